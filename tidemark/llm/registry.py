@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-from . import near_dup
+from . import decontaminate, language, mixing, near_dup, pseudonyms, quality, suffix_tree
 
 
 def queries() -> dict:
-    return {"op6_near_duplicates": near_dup.op6_near_duplicates}
+    return {
+        "op1_contained_items": decontaminate.op1_contained_items,
+        "op3_suffix_tree": suffix_tree.op3_suffix_tree,
+        "op4_repetition": quality.op4_repetition,
+        "op5_language": language.op5_language,
+        "op6_near_duplicates": near_dup.op6_near_duplicates,
+        "op7_mixture": mixing.op7_mixture,
+        "op10_pseudonyms": pseudonyms.op10_pseudonyms,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_contained_items": decontaminate.OP1_SQL, "op7_mixture": mixing.OP7_SQL}
