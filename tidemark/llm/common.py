@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+import gc
 import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 DOC_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -38,35 +41,56 @@ class Workspace:
         self.root = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
         self._n = 0
 
-    def write(self, df: DataFrame) -> DataFrame:
+    def write(self, df: DataFrame, small: bool = False) -> DataFrame:
+        """The table, read back; ``small`` ones, of a few numbers a row, get two files a core at most."""
         self._n += 1
         path = f"{self.root}/t{self._n}"
+        if small:
+            df = df.coalesce(2 * self.spark.sparkContext.defaultParallelism)
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._tidemark_path = path
         return out
 
+    def release(self) -> None:
+        """Lets Spark remove the shuffle files of finished jobs: it does so when their plans are garbage."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """Writes a result and removes all other tables."""
+        hold = Workspace(self.spark, "result")
+        out = hold.write(df)
+        self._remove(self.root)
+        return out
+
+    def _remove(self, path: str) -> None:
+        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
     def drop(self, *tables: DataFrame | None) -> None:
         for t in tables:
             path = getattr(t, "_tidemark_path", None)
             if path:
-                hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-                hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+                self._remove(path)
 
 
 def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def bitmap_slot(x: Column, log_bits: int) -> Column:
-    """Slot of a 64-bit value in a bitmap of 2**log_bits bits; ``bitmap_slots`` is its numpy form."""
-    folded = x.bitwiseXOR(F.shiftrightunsigned(x, 31)).bitwiseXOR(F.shiftrightunsigned(x, 47))
-    return folded.bitwiseAND(F.lit((1 << log_bits) - 1))
+@functools.cache
+def bitmap_size(log_bits: int) -> int:
+    """The largest prime below 2**log_bits: values in arithmetic progressions spread over all slots."""
+    n = (1 << log_bits) - 1
+    while any(n % d == 0 for d in range(3, int(n**0.5) + 1, 2)):
+        n -= 2
+    return n
 
 
 def bitmap_slots(x: np.ndarray, log_bits: int) -> np.ndarray:
-    x = x.view(np.uint64)
-    return ((x ^ (x >> np.uint64(31)) ^ (x >> np.uint64(47))) & np.uint64((1 << log_bits) - 1)).astype(np.int64)
+    """Slot of 64-bit values in a bitmap of 2**log_bits bits."""
+    return x.view(np.int64) % bitmap_size(log_bits)
 
 
 def bitmap(df: DataFrame, column: str, log_bits: int) -> np.ndarray:
@@ -74,7 +98,7 @@ def bitmap(df: DataFrame, column: str, log_bits: int) -> np.ndarray:
 
     A value whose bit is not set is surely absent; a set bit may be another value's.
     """
-    slot = bitmap_slot(F.col(column), log_bits)
+    slot = F.pmod(F.col(column), F.lit(bitmap_size(log_bits)))
     rows = (
         df.filter(F.col(column).isNotNull())
         .select((slot / 32).cast("long").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 32).cast("int")).alias("m"))
@@ -97,31 +121,54 @@ def bitmap_bits(values: int, least: int = 16, most: int = 28) -> int:
     return int(min(max(np.ceil(np.log2(max(values, 1) * 16)), least), most))
 
 
-def components(edges: DataFrame, ws: Workspace) -> DataFrame:
+def without(docs: DataFrame, ids: DataFrame, repeated: DataFrame | None = None) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is not in ``ids(doc_id)``; of rows with an id in ``repeated`` one stays.
+
+    A bitmap of bounded size tells which rows may be concerned. Only these, and not the texts of
+    all others, meet the ids in a shuffle; of rows with the same id the smallest text stays.
+    """
+    asked = ids if repeated is None else ids.union(repeated)
+    log_bits = bitmap_bits(4 * asked.count())
+    bits = bitmap(asked, "doc_id", log_bits)
+
+    @F.pandas_udf("boolean")
+    def may_go(x: pd.Series) -> pd.Series:
+        return pd.Series(in_bitmap(bits, x.fillna(0).to_numpy(np.int64), log_bits) & x.notna().to_numpy())
+
+    marked = docs.withColumn("_may_go", may_go(F.col("doc_id").cast("long")))
+    left = marked.filter("_may_go").join(ids, "doc_id", "left_anti")
+    if repeated is not None:
+        same = Window.partitionBy("doc_id").orderBy(*[c for c in docs.columns if c != "doc_id"])
+        left = left.withColumn("_nth", F.row_number().over(same)).filter("_nth = 1").drop("_nth")
+    return marked.filter("not _may_go").unionByName(left).drop("_may_go").select(*docs.columns)
+
+
+def components(edges: DataFrame, ws: Workspace, rounds: int | None = None) -> DataFrame:
     """Connected components of ``edges(a, b)``: ``(c, k)`` for every vertex, k the smallest vertex reachable.
 
-    Alternating large-star and small-star rounds; every round is two aggregations and joins over
-    the edges, written to the shared folder. A vertex with very many edges is one aggregated
-    minimum and a join that Spark may split.
+    Alternating large-star and small-star rounds; every round is aggregations and joins over the
+    edges, written to the shared folder. A vertex with very many edges is one aggregated minimum
+    and a join that Spark may split. After a limited number of rounds, k is some vertex of the
+    component, not the same for all of it: enough where labels only save work.
     """
-    cur = ws.write(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    before = None
-    while True:
+    cur = ws.write(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), small=True)
+    before, done = None, 0
+    while rounds is None or done < rounds:
         both = cur.union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
-        large = ws.write(large)
+        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v")
+        large = ws.write(large, small=True)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e"))
-        small = small.select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).filter("u > v").distinct()
-        nxt = ws.write(small)
-        now = nxt.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
+        nxt = ws.write(small.select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).filter("u > v").distinct(), small=True)
+        now = nxt.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first() if rounds is None else None
         ws.drop(cur, large)
-        cur = nxt
-        if now == before:
+        cur, done = nxt, done + 1
+        if rounds is None and now == before:
             break
         before = now
-    roots = cur.select(F.col("v").alias("c")).distinct().select("c", F.col("c").alias("k"))
-    out = ws.write(cur.select(F.col("u").alias("c"), F.col("v").alias("k")).union(roots))
+    label = cur.groupBy(F.col("u").alias("c")).agg(F.min("v").alias("k"))
+    roots = cur.select(F.col("v").alias("c")).distinct().join(label, "c", "left_anti").select("c", F.col("c").alias("k"))
+    out = ws.write(label.union(roots), small=True)
     ws.drop(cur)
     return out

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, bitmap, bitmap_bits, in_bitmap, read_documents
+from .common import Workspace, bitmap, bitmap_bits, in_bitmap, read_documents, without
 from .text import chunks, distinct_sorted, mix64, row_minima, shingles, stream64, words
 
 COORDS = 48
@@ -164,6 +164,11 @@ def contained_items(docs: DataFrame, items: DataFrame, *, percent: int = 75) ->
     return best.select("doc_id", "item_id", "b.n_shared", "b.n_item", F.col("b.c").alias("containment"))
 
 
+def decontaminate(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that hold no test item; rows without a doc_id stay."""
+    return without(docs, contained_items(docs, items, **options).select("doc_id").distinct())
+
+
 def op1_contained_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contained_items(read_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 

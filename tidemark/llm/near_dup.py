@@ -31,14 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, bitmap, bitmap_bits, components, in_bitmap, read_documents
+from .common import Workspace, bitmap, bitmap_bits, components, in_bitmap, read_documents, without
 from .text import binary_column, chunks, distinct_sorted, mix64, row_minima, row_sums, shingles, stream64, words
 
 COORDS = 128
 _U = np.uint64
 _SKETCH = [f"s{i}" for i in range(4)]
 #: Trees of the first two waves; what they link, the other trees need not compare.
-_EARLY = 3
+_EARLY = 2
 #: Classes at 0.75 agree in 0.8125 of the 128 two-bit values; 85 lies more than four deviations lower.
 _LEAST_AGREE = 85
 
@@ -231,19 +231,19 @@ def _survives(threshold: float, levels: int) -> float:
     return alive
 
 
-def trees_for(recall: float, threshold: float, levels: int = 3) -> int:
-    """Independent trees after which a pair at the threshold has met with probability ``recall``."""
+def trees_for(recall: float, threshold: float, levels: int = 1) -> int:
+    """Independent trees after which a pair at the threshold has met, that many levels deep, with probability ``recall``."""
     return math.ceil(math.log(1 - recall) / math.log(1 - _survives(threshold, levels)))
 
 
-def _links(reps: DataFrame, items: DataFrame, ws: Workspace, percent: int, recall: float, block: int, work: int, depth: int) -> DataFrame | None:
+def _links(rows: DataFrame, classes: DataFrame, ws: Workspace, percent: int, recall: float, block: int, work: int, depth: int) -> DataFrame | None:
     """Components ``(c, k)`` of the classes that have links; None if no pair has any."""
     threshold = percent / 100
     share = 1 / (threshold * COORDS)
     trees = trees_for(recall, threshold)
-    sketches = reps.select("c", *_SKETCH)
-    level = ws.write(reps.select("c", "sig").mapInArrow(_children(share, trees), "node long, c long, tree int"))
-    comp, wave = None, 0
+    sketches, signatures, items = rows.select("c", *_SKETCH), rows.select("c", "sig"), rows.select("c", "items")
+    level = ws.write(signatures.mapInArrow(_children(share, trees), "node long, c long, tree int").join(classes, "c", "left_semi"))
+    comp, known, wave = None, None, 0
     frontier = level.filter(F.col("tree") < _EARLY).select("node", "c")
     while True:
         f = frontier.withColumn("k", F.col("c")) if comp is None else frontier.join(comp, "c", "left").withColumn("k", F.coalesce("k", "c"))
@@ -267,27 +267,29 @@ def _links(reps: DataFrame, items: DataFrame, ws: Workspace, percent: int, recal
             links = full.mapInArrow(_link_blocks(percent), "a long, b long")
             branch = big.filter("not settled")
             links = links.union(_pivot_links(branch, items, ws, percent))
-        links = ws.write(links.distinct())
-        if not links.isEmpty():
-            comp = _joined(comp, links, ws)
+        links = ws.write(links.distinct(), small=True)
+        known = links if known is None else known.union(links)
+        ws.release()
         wave += 1
         if wave == 1:
             frontier = level.filter(F.col("tree") < _EARLY).select("node", "c")
         else:
-            nxt = branch.select("node", "c").join(reps.select("c", "sig"), "c").mapInArrow(_children(share, 0), "node long, c long, tree int")
+            nxt = branch.select("node", "c").join(signatures, "c").mapInArrow(_children(share, 0), "node long, c long, tree int")
             if wave == 2:
                 nxt = nxt.unionByName(level.filter(F.col("tree") >= _EARLY))
             frontier = ws.write(nxt.select("node", "c"))
             if frontier.isEmpty():
                 break
+        # Labels that join most of what is linked so far; they only save comparisons.
+        comp = components(known, ws, rounds=2)
         ws.drop(live)
     ws.drop(level)
-    return comp
+    return None if known.isEmpty() else components(known, ws)
 
 
 def _needed_sets(classes: DataFrame, items: DataFrame) -> DataFrame:
     """The shingle sets of some classes; a bitmap of bounded size keeps the others out of the shuffle."""
-    log_bits = bitmap_bits(classes.count())
+    log_bits = bitmap_bits(4 * classes.count())
     return items.mapInArrow(_needed(bitmap(classes, "c", log_bits), log_bits), "c long, items binary")
 
 
@@ -300,7 +302,7 @@ def _pivot_links(rows: DataFrame, items: DataFrame, ws: Workspace, percent: int)
         d = F.col(x).bitwiseXOR(F.col(f"p_{x}"))
         off = off + F.bit_count(d.bitwiseOR(F.shiftrightunsigned(d, 1)).bitwiseAND(F.lit(0x5555555555555555)))
     near = rows.join(pivots, "node").filter((F.col("k") != F.col("p_k")) & (off <= COORDS - _LEAST_AGREE))
-    pairs = ws.write(near.select(F.least("c", "p_c").alias("a"), F.greatest("c", "p_c").alias("b")).distinct())
+    pairs = ws.write(near.select(F.least("c", "p_c").alias("a"), F.greatest("c", "p_c").alias("b")).distinct(), small=True)
     sets = _needed_sets(pairs.select(F.explode(F.array("a", "b")).alias("c")), items)
     full = pairs.join(sets.select(F.col("c").alias("a"), F.col("items").alias("items_a")), "a").join(sets.select(F.col("c").alias("b"), F.col("items").alias("items_b")), "b")
     return full.mapInArrow(_verify(percent), "a long, b long")
@@ -314,18 +316,6 @@ def _blocks(rows: DataFrame, block: int, columns: list[str]) -> DataFrame:
     return members.drop("i").join(outside.drop("j"), "node")
 
 
-def _joined(comp: DataFrame | None, links: DataFrame, ws: Workspace) -> DataFrame:
-    """Components after some more links."""
-    if comp is None:
-        return components(links, ws)
-    ka, kb = comp.select(F.col("c").alias("a"), F.col("k").alias("ka")), comp.select(F.col("c").alias("b"), F.col("k").alias("kb"))
-    joined = links.join(ka, "a", "left").join(kb, "b", "left").select(F.coalesce("ka", "a").alias("a"), F.coalesce("kb", "b").alias("b"))
-    merged = components(joined, ws).select(F.col("c").alias("k"), F.col("k").alias("kk"))
-    moved = comp.join(merged, "k", "left").select("c", F.coalesce("kk", "k").alias("k"))
-    fresh = merged.select(F.col("k").alias("c"), F.col("kk").alias("k")).join(comp, "c", "left_anti")
-    return ws.write(moved.union(fresh))
-
-
 def near_duplicates(docs: DataFrame, *, percent: int = 75, recall: float = 0.9999, block: int = 128, work: int = 1 << 24, depth: int = 8) -> DataFrame:
     """Groups of near-duplicate documents.
 
@@ -350,9 +340,7 @@ def near_duplicates(docs: DataFrame, *, percent: int = 75, recall: float = 0.999
     some = feats.filter("n_shingles > 0")
     key = ["n_shingles", "f1", "f2"]
     classes = ws.write(some.groupBy(*key).agg(F.min("rid").alias("c"), F.min("doc_id").alias("first_id")))
-    slim = ws.write(some.withColumnRenamed("rid", "c").select("c", *_SKETCH, "sig").join(classes.select("c"), "c", "left_semi"))
-    items = some.select(F.col("rid").alias("c"), "items")
-    comp = _links(slim, items, ws, percent, recall, block, work, depth)
+    comp = _links(some.withColumnRenamed("rid", "c"), classes.select("c"), ws, percent, recall, block, work, depth)
     if comp is None:
         named = classes.select(*key, F.col("c").alias("group"), F.col("first_id").alias("component_id"))
     else:
@@ -361,7 +349,19 @@ def near_duplicates(docs: DataFrame, *, percent: int = 75, recall: float = 0.999
         named = k.join(names, "k").select(*key, F.col("k").alias("group"), "component_id")
     rows = feats.select("doc_id", *key)
     out = rows.join(named, key, "left").withColumn("component_id", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"), "group")
+    out = out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"), "group")
+    return ws.keep(out)
+
+
+def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """One document of each group, that with the smallest doc_id, with all its columns.
+
+    Of rows that repeat a doc_id one stays. Rows without an id, and those without a word, all stay.
+    """
+    groups = near_duplicates(docs, **options).filter("doc_id is not null")
+    repeated = groups.groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    gone = groups.groupBy("doc_id").agg(F.bool_or("kept").alias("kept")).filter("not kept").select("doc_id")
+    return without(docs, gone, repeated)
 
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import read_documents
 from .text import SPACE, Words, chunks, mix64, row_sums, shingles, words
@@ -73,9 +74,10 @@ def _lines(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of each batch, whose last column is the text to measure, with the measures in its place."""
     for batch in batches:
-        ids = batch.column(0)
-        for lo, hi, buf, offs in chunks(batch.column(1)):
+        kept = batch.schema.names[:-1]
+        for lo, hi, buf, offs in chunks(batch.column(batch.num_columns - 1)):
             w = words(buf, offs)
             n = hi - lo
             h = w.hashes(lower=False)
@@ -90,7 +92,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             dup_chars = np.bincount(rows[later], weights=(lead[ends] - lead[starts])[later], minlength=n)
             full = np.maximum(word_chars, 1)
             out = {
-                "doc_id": ids.slice(lo, n),
+                **{c: batch.column(i).slice(lo, n) for i, c in enumerate(kept)},
                 "n_words": w.counts,
                 "word_chars": word_chars,
                 "n_symbols": row_sums(_SYMBOL[buf], offs),
@@ -106,20 +108,24 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _LONGS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
-def repetition(docs: DataFrame, min_words: int = 20) -> DataFrame:
+def repetition(docs: DataFrame, min_words: int = 20, columns: list[str] | None = None) -> DataFrame:
     """Repetition measures and verdict of every text.
 
-    One row per input row of ``docs`` (``doc_id`` and ``text``; other columns are ignored):
-    ``n_words``, ``word_chars`` (code points in words), ``n_symbols``, ``n_dup_lines`` (lines with
-    a word, equal to an earlier line), ``n_repeat_words`` (words in repeated 8-word windows), the
-    shares of word characters inside repeated lines and n-grams, ``base_failed`` (fewer than
-    ``min_words`` words, or over 30 % of them in repeated windows) and ``kept``: not base_failed,
-    no share above its limit, and at most one symbol for ten words. Null, empty and blank texts have no words: all counts are 0 and
+    One row per input row of ``docs``, with its ``columns`` (``doc_id`` by default; ``text`` is
+    needed, and columns named like a measure are not taken): ``n_words``, ``word_chars`` (code
+    points in words), ``n_symbols``, ``n_dup_lines`` (lines with a word, equal to an earlier line),
+    ``n_repeat_words`` (words in repeated 8-word windows), the shares of word characters inside
+    repeated lines and n-grams, ``base_failed`` (fewer than ``min_words`` words, or over 30 % of
+    them in repeated windows) and ``kept``: not base_failed, and no share above its limit, and at
+    most one symbol for ten words. Null, empty and blank texts have no words: all counts are 0 and
     they are not kept. Repeated rows are judged alike.
     """
     shares = {"dup_line_share": LINE_LIMIT} | {f"dup_{k}gram_share": v for k, v in NGRAM_LIMITS.items()}
-    schema = "doc_id long, " + ", ".join(f"{c} long" for c in _LONGS) + ", " + ", ".join(f"{c} double" for c in shares)
-    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_measure, schema)
+    measures = [*_LONGS, *shares, "base_failed", "kept"]
+    columns = ["doc_id"] if columns is None else [c for c in columns if c not in measures]
+    rows = docs.withColumn("doc_id", F.col("doc_id").cast("long")).select(*columns, F.col("text").alias("_text"))
+    schema = T.StructType([rows.schema[c] for c in columns] + [T.StructField(c, T.LongType()) for c in _LONGS] + [T.StructField(c, T.DoubleType()) for c in shares])
+    rows = rows.mapInArrow(_measure, schema)
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     good = F.col("n_symbols") <= SYMBOL_LIMIT * F.col("n_words")
     for c, limit in shares.items():
@@ -127,5 +133,15 @@ def repetition(docs: DataFrame, min_words: int = 20) -> DataFrame:
     return rows.withColumn("base_failed", failed).withColumn("kept", ~failed & good)
 
 
+def keep_good(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose texts pass the rules."""
+    names = docs.columns
+    plain = docs.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(names)), "doc_id", "text") if set(names) & {*_LONGS, "kept"} else docs
+    if plain is docs:
+        return repetition(docs, columns=names).filter("kept").select(*names)
+    kept = repetition(plain, columns=[f"c{i}" for i in range(len(names))]).filter("kept")
+    return kept.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)))
+
+
 def op4_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition(read_documents(spark, sf_dir))
