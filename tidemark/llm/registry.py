@@ -2,20 +2,30 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, mixing, near_dup, pseudonyms, quality, suffix_tree
+import corpus_pipeline
+
+from . import decontaminate, language, licenses, mixing, near_dup, pseudonyms, quality, suffix_tree, token_count, warc
 
 
 def queries() -> dict:
     return {
         "op1_contained_items": decontaminate.op1_contained_items,
+        "op2_warc": warc.op2_warc,
         "op3_suffix_tree": suffix_tree.op3_suffix_tree,
         "op4_repetition": quality.op4_repetition,
         "op5_language": language.op5_language,
         "op6_near_duplicates": near_dup.op6_near_duplicates,
         "op7_mixture": mixing.op7_mixture,
+        "op8_token_counts": token_count.op8_token_counts,
+        "op9_licenses": licenses.op9_licenses,
         "op10_pseudonyms": pseudonyms.op10_pseudonyms,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_contained_items": decontaminate.OP1_SQL, "op7_mixture": mixing.OP7_SQL}
+    return {
+        "op1_contained_items": decontaminate.OP1_SQL,
+        "op2_warc": warc.OP2_SQL,
+        "op7_mixture": mixing.OP7_SQL,
+    }

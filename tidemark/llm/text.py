@@ -111,12 +111,13 @@ class Words:
         return mix64((total[self.ends] - total[self.starts]) * _inverse[self.starts])
 
 
-def words(buf: np.ndarray, row_offs: np.ndarray) -> Words:
+def words(buf: np.ndarray, row_offs: np.ndarray, breaks: np.ndarray = SPACE) -> Words:
+    """Words of consecutive rows: runs of bytes that ``breaks`` does not mark."""
     n = buf.size
     if n == 0:
         e = np.zeros(0, np.int64)
         return Words(buf, row_offs, e, e, np.zeros(len(row_offs), np.int64))
-    space = SPACE[buf]
+    space = breaks[buf]
     edge = np.ones(n + 1, dtype=bool)
     edge[1:] = space
     first = row_offs[:-1]
