@@ -6,7 +6,7 @@ providers, its users the keys), ``orders`` the daily series. Times leave as zone
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import clock, rules
@@ -27,10 +27,16 @@ def orders(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "orders").withColumn("o_orderdate", clock.instant("o_orderdate"))
 
 
+def hundredths(column: str) -> Column:
+    """Mean of a column cut to hundredths, in integers, so that no order of summing changes it."""
+    cents = F.sum(F.round(F.col(column) * 100).cast("long"))
+    return F.floor(cents / F.count(column)) / 100.0
+
+
 def half_hours(spark: SparkSession, d: str) -> DataFrame:
-    """Mean value and count of events of each half hour that has any."""
+    """Mean value, in whole hundredths, and count of events of each half hour that has any."""
     t = F.timestamp_seconds(F.floor(F.unix_timestamp("ts") / 1800) * 1800).alias("t")
-    return events(spark, d).groupBy(t).agg(F.round(F.avg("value"), 4).alias("price"), F.count("*").cast("double").alias("volume")).withColumn("s", F.lit(0))
+    return events(spark, d).groupBy(t).agg(hundredths("value").alias("price"), F.count("*").cast("double").alias("volume")).withColumn("s", F.lit(0))
 
 
 def gridded(spark: SparkSession, d: str) -> DataFrame:
@@ -205,7 +211,7 @@ def quality_report(spark: SparkSession, d: str) -> DataFrame:
 
 def by_type(spark: SparkSession, d: str) -> DataFrame:
     day = F.to_date("ts").alias("day")
-    return events(spark, d).groupBy(day, "event_type").agg(F.round(F.avg("value"), 4).alias("price"), F.count("*").cast("double").alias("volume"))
+    return events(spark, d).groupBy(day, "event_type").agg(hundredths("value").alias("price"), F.count("*").cast("double").alias("volume"))
 
 
 def pivot_types(spark: SparkSession, d: str) -> DataFrame:
@@ -417,8 +423,8 @@ def realisable_spread(spark: SparkSession, d: str) -> DataFrame:
 def day_prices(spark: SparkSession, d: str, columns: tuple[str, ...] = ("price",)) -> DataFrame:
     """Each local day's prices in order, gaps filled by the day's mean; whole days only."""
     g = gridded(spark, d).withColumn("settlement_date", clock.local_date(F.col("t")))
-    mean = F.avg("price").over(Window.partitionBy("settlement_date"))
-    g = g.withColumn("price", F.round(F.coalesce("price", mean), 2))
+    mean = g.groupBy("settlement_date").agg(hundredths("price").alias("_mean"))
+    g = g.join(mean, "settlement_date").withColumn("price", F.coalesce("price", "_mean"))
     a = dispatch.day_arrays(g, ["settlement_date"], "t", ["price"]).withColumnRenamed("price", "prices")
     return a.filter(F.size("prices") == clock.expected_periods(F.col("settlement_date")))
 

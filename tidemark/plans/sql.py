@@ -1 +1,181 @@
-SQL: dict[str, str] = {}
+"""The driver queries once more, as SQL that DuckDB runs on the same tables."""
+
+from __future__ import annotations
+
+from .queries import AUDITED
+
+
+def _local(x: str) -> str:
+    return f"(({x}) AT TIME ZONE 'UTC' AT TIME ZONE 'Europe/London')"
+
+
+def _utc(x: str) -> str:
+    return f"(({x})::TIMESTAMP AT TIME ZONE 'Europe/London' AT TIME ZONE 'UTC')"
+
+
+def _periods(day: str) -> str:
+    return f"((epoch({_utc(f'{day} + INTERVAL 1 DAY')}) - epoch({_utc(day)})) / 1800)::INTEGER"
+
+
+def _period(t: str) -> str:
+    return f"(floor((epoch({t}) - epoch({_utc(f'({_local(t)})::DATE')})) / 1800) + 1)::INTEGER"
+
+
+HH = "hh AS (SELECT time_bucket(INTERVAL 30 MINUTE, ts) AS t, floor(sum(round(value * 100)::BIGINT) / count(value)) / 100.0 AS price, count(*)::DOUBLE AS volume FROM events GROUP BY 1)"
+G = f"{HH}, g AS (SELECT r.t, price, volume FROM (SELECT unnest(generate_series(min(t), max(t), INTERVAL 30 MINUTE)) AS t FROM hh) r LEFT JOIN hh USING (t))"
+THIN = f"{G}, x AS (SELECT t, CASE WHEN volume >= 3 THEN price END AS p FROM g)"
+STEPPED = f"{G}, x AS (SELECT t, floor(price / 100) * 100.0 AS x FROM g)"
+DAYS = "od AS (SELECT o_orderdate::DATE AS day, round(sum(o_totalprice), 2) AS total, count(*) AS n FROM orders GROUP BY 1)"
+BASE = f"""{G}, base AS (
+  SELECT t AS target_time, price AS actual, {_local("t")}::DATE AS d, (hour({_local("t")}) * 60 + minute({_local("t")}))::INTEGER AS m, {_utc(f"({_local('t')})::DATE - 1 + INTERVAL 11 HOUR")} AS dec FROM g
+), px AS (SELECT d, m, actual AS price, target_time AS source_time, target_time + INTERVAL 90 MINUTE AS av FROM base WHERE actual IS NOT NULL),
+days AS (SELECT DISTINCT d, dec FROM base),
+pd AS (SELECT d, avg(price) AS mean, max(price) - min(price) AS spread, max(av) AS av FROM px GROUP BY d)"""
+FILL = """a AS (SELECT *, max(t) FILTER (p IS NOT NULL) OVER (ORDER BY t) AS ta, min(t) FILTER (p IS NOT NULL) OVER (ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS tb FROM x),
+f AS (
+  SELECT a.*, coalesce(a.p IS NULL AND (epoch(tb) - epoch(ta)) / 1800 - 1 <= 2, false) AS short, xa.p + (xb.p - xa.p) * (epoch(a.t) - epoch(ta)) / nullif(epoch(tb) - epoch(ta), 0) AS line
+  FROM a LEFT JOIN x xa ON xa.t = a.ta LEFT JOIN x xb ON xb.t = a.tb
+)"""
+CLEAN = f"""hh AS (SELECT t, CASE WHEN price < 150 THEN 0.0 ELSE floor(price / 20) * 20.0 END AS price, volume FROM (SELECT time_bucket(INTERVAL 30 MINUTE, ts) AS t, floor(sum(round(value * 100)::BIGINT) / count(value)) / 100.0 AS price, count(*)::DOUBLE AS volume FROM events GROUP BY 1)),
+g AS (SELECT r.t, price, volume FROM (SELECT unnest(generate_series(min(t), max(t), INTERVAL 30 MINUTE)) AS t FROM hh) r LEFT JOIN hh USING (t)),
+j AS (SELECT *, coalesce(abs(price) <= 1e-9 AND volume < 4, false) AS defaulted, coalesce(abs(price) > 1e-9 AND volume < 4, false) AS anomaly FROM g),
+x AS (SELECT t, volume, defaulted, anomaly, CASE WHEN NOT defaulted THEN price END AS p FROM j),
+{FILL},
+r1 AS (SELECT *, sum(CASE WHEN coalesce(lagp <> p, true) THEN 1 ELSE 0 END) OVER (ORDER BY t) AS run FROM (SELECT *, lag(p) OVER (ORDER BY t) AS lagp FROM f)),
+c AS (
+  SELECT t, CASE WHEN short THEN line ELSE p END AS price, defaulted, anomaly, coalesce(p < 0 OR p > 450, false) AS oob, p IS NOT NULL AND count(*) OVER (PARTITION BY run) >= 2 AS stuck, short AS interpolated,
+    {_local("t")}::DATE AS settlement_date, {_period("t")} AS settlement_period
+  FROM r1
+), u AS (SELECT *, price IS NOT NULL AND NOT oob AND NOT stuck AS period_usable, count(*) OVER (PARTITION BY settlement_date) = {_periods("settlement_date")} AS day_complete FROM c),
+cl AS (SELECT *, day_complete AND bool_and(period_usable) OVER (PARTITION BY settlement_date) AS day_usable FROM u)"""
+TYPED = "ty AS (SELECT ts::DATE AS day, event_type, floor(sum(round(value * 100)::BIGINT) / count(value)) / 100.0 AS price, count(*)::DOUBLE AS volume FROM events GROUP BY 1, 2)"
+TYPES = ["click", "error", "purchase", "signup", "view"]
+WIDE = f"{TYPED}, w AS (SELECT day, " + ", ".join(f"max(price) FILTER (event_type = '{t}') AS {t}_price, max(volume) FILTER (event_type = '{t}') AS {t}_volume" for t in TYPES) + " FROM ty GROUP BY day)"
+SCORED = f"""{BASE}, wk AS (SELECT days.d, px.m, avg(px.price) AS mean_7d FROM days JOIN px ON px.d BETWEEN days.d - 8 AND days.d - 2 AND px.av < days.dec GROUP BY 1, 2),
+sc AS (
+  SELECT b.*, p2.price AS naive_d2, p7.price AS naive_d7, wk.mean_7d, wk.mean_7d - 60.0 AS q10, wk.mean_7d AS q50, wk.mean_7d + 60.0 AS q90
+  FROM base b LEFT JOIN px p2 ON p2.d = b.d - 2 AND p2.m = b.m AND p2.av < b.dec LEFT JOIN px p7 ON p7.d = b.d - 7 AND p7.m = b.m AND p7.av < b.dec LEFT JOIN wk ON wk.d = b.d AND wk.m = b.m
+), mt AS (SELECT * FROM sc WHERE actual IS NOT NULL AND naive_d2 IS NOT NULL AND naive_d7 IS NOT NULL AND mean_7d IS NOT NULL)"""
+MARKET = f"""{G}, tg AS (SELECT t AS target_time, price AS price_apx, volume, {_local("t")}::DATE AS d, (hour({_local("t")}) * 60 + minute({_local("t")}))::INTEGER AS m, {_period("t")} AS settlement_period, {_utc(f"({_local('t')})::DATE - 1 + INTERVAL 11 HOUR")} AS dec FROM g),
+vw AS (SELECT time_bucket(INTERVAL 30 MINUTE, ts) + INTERVAL 2 DAY AS target_time, ts AS published_at, value FROM events WHERE event_type = 'view'),
+ck AS (SELECT time_bucket(INTERVAL 30 MINUTE, ts) + INTERVAL 2 DAY AS target_time, ts AS published_at, value FROM events WHERE event_type = 'click'),
+pit AS (
+  SELECT tg.*, vw.value AS wind, vw.published_at AS wind_at, ck.value AS demand
+  FROM tg ASOF LEFT JOIN vw ON tg.target_time = vw.target_time AND tg.dec > vw.published_at ASOF LEFT JOIN ck ON tg.target_time = ck.target_time AND tg.dec > ck.published_at
+)"""
+FEATURES = f"""{MARKET}, px AS (SELECT d, m, price_apx AS price, target_time + INTERVAL 90 MINUTE AS av FROM tg WHERE price_apx IS NOT NULL AND NOT coalesce(volume < 2, false)),
+days AS (SELECT DISTINCT d, dec FROM tg),
+pd AS (SELECT d, avg(price) AS mean, max(price) - min(price) AS spread, max(av) AS av FROM px GROUP BY d),
+er AS (SELECT d, avg((wind - price_apx) / 500.0) AS e, max(target_time) + INTERVAL 90 MINUTE AS av FROM pit WHERE wind IS NOT NULL AND price_apx IS NOT NULL GROUP BY d),
+w7 AS (SELECT days.d, avg(price) AS mean, stddev_samp(price) AS std FROM days JOIN px ON px.d BETWEEN days.d - 8 AND days.d - 2 AND px.av < days.dec GROUP BY 1),
+s7 AS (SELECT days.d, px.m, avg(price) AS mean FROM days JOIN px ON px.d BETWEEN days.d - 8 AND days.d - 2 AND px.av < days.dec GROUP BY 1, 2),
+b28 AS (SELECT days.d, avg(e) AS bias FROM days JOIN er ON er.d BETWEEN days.d - 29 AND days.d - 2 AND er.av < days.dec GROUP BY 1),
+lp AS (SELECT days.d, px.price FROM days ASOF LEFT JOIN px ON days.dec > px.av),
+ff AS (
+  SELECT p.target_time, p.d AS settlement_date, p.settlement_period AS f_settlement_period, p.m AS f_minute_of_day, (isodow({_local("p.target_time")}) - 1)::INTEGER AS f_day_of_week,
+    (isodow({_local("p.target_time")}) >= 6)::INTEGER AS f_is_weekend, month({_local("p.target_time")})::INTEGER AS f_month, round(wind, 6) AS f_wind_forecast_mw, round(wind / 500.0, 6) AS f_wind_forecast_share,
+    round(demand, 6) AS f_demand_forecast_mw, round(demand - wind, 6) AS f_residual_demand_mw, round(p2.price, 6) AS f_price_d2_same_time, round(p7.price, 6) AS f_price_d7_same_time,
+    round(s7.mean, 6) AS f_price_7d_same_time_mean, round(d2.mean, 6) AS f_price_d2_mean, round(d2.spread, 6) AS f_price_d2_spread, round(w7.mean, 6) AS f_price_7d_mean, round(w7.std, 6) AS f_price_7d_std,
+    round(lp.price, 6) AS f_last_known_price, round(e2.e, 6) AS f_wind_err_d2, round(b28.bias, 6) AS f_wind_bias_28d, round(e2.e - b28.bias, 6) AS f_wind_err_d2_demeaned
+  FROM pit p LEFT JOIN px p2 ON p2.d = p.d - 2 AND p2.m = p.m AND p2.av < p.dec LEFT JOIN px p7 ON p7.d = p.d - 7 AND p7.m = p.m AND p7.av < p.dec
+    LEFT JOIN pd d2 ON d2.d = p.d - 2 AND d2.av < p.dec LEFT JOIN er e2 ON e2.d = p.d - 2 AND e2.av < p.dec LEFT JOIN w7 ON w7.d = p.d LEFT JOIN s7 ON s7.d = p.d AND s7.m = p.m LEFT JOIN b28 ON b28.d = p.d LEFT JOIN lp ON lp.d = p.d
+)"""
+
+
+def _boot(name: str, source: str, values: list[str], seed: int, reps: int = 200, block: int = 7) -> str:
+    """CTEs of bootstrap sums over ``source(day, values)``: ``name(rep, n, values)``."""
+    pre = ", ".join(f"sum({v}) OVER (ORDER BY day) AS {v}" for v in values)
+    zero = ", ".join("0.0" for _ in values)
+    sums = ", ".join(f"sum(e.{v} - a.{v} + CASE WHEN x.e > x.n THEN z.{v} ELSE 0 END) AS {v}" for v in values)
+    return f"""{name}_p AS (SELECT row_number() OVER (ORDER BY day) AS i, {pre} FROM {source} UNION ALL SELECT 0, {zero}),
+{name}_d AS (
+  SELECT rep, n, s AS a, s + least({block}, n - blk * {block}) AS e
+  FROM (SELECT rep, blk, n, ((rep * 7919 + blk * 104729 + {seed * 1299709}) % 2147483647) % n AS s FROM range({reps}) r(rep), (SELECT count(*) AS n FROM {source}) c, LATERAL (SELECT unnest(range((n + {block - 1}) // {block})) AS blk))
+),
+{name} AS (
+  SELECT x.rep, any_value(x.n) AS n, {sums} FROM {name}_d x JOIN {name}_p a ON a.i = x.a JOIN {name}_p e ON e.i = CASE WHEN x.e > x.n THEN x.e - x.n ELSE x.e END JOIN {name}_p z ON z.i = x.n GROUP BY x.rep
+)"""
+
+
+def _checks(ctes: str, source: str, checks: dict[str, str], digits: int | None, kind: str = "DOUBLE") -> str:
+    value = f"round(({{}})::DOUBLE, {digits})" if digits is not None else f"({{}})::{kind}"
+    return f"WITH {ctes} " + " UNION ALL ".join(f"SELECT '{k}' AS \"check\", {value.format(v)} AS value FROM {source}" for k, v in checks.items())
+
+
+def _providers() -> dict[str, str]:
+    out = {"rows": "count(*)"}
+    for p in ("click", "view"):
+        total = "(coalesce(sum(click_volume), 0) + coalesce(sum(view_volume), 0))"
+        out |= {f"{p}_price_missing": f"count(*) FILTER ({p}_price IS NULL)", f"{p}_price_negative": f"count(*) FILTER ({p}_price < 0)", f"{p}_price_min": f"min({p}_price)", f"{p}_price_max": f"max({p}_price)", f"{p}_price_mean": f"avg({p}_price)", f"{p}_price_volume_share": f"100 * sum({p}_volume) / {total}"}
+    return out
+
+
+_D = "click_price - view_price"
+_SCEN = "sn AS (SELECT * FROM (VALUES (0, 2.0, 0.9, 0.0, 2.0, 1.0, 0.0), (1, 2.0, 0.9, 0.0, 2.0, 1.0, 20.0), (2, 1.0, 0.8, 0.1, 0.9, 0.5, 0.0)) v(scenario, energy, rt, lo, hi, start, wear))"
+CLOCKED = f"""{G}, gd AS (SELECT t, {_local("t")}::DATE AS settlement_date, price FROM g), gp AS (SELECT t, settlement_date, coalesce(price, floor(sum(round(price * 100)::BIGINT) OVER w / count(price) OVER w) / 100.0) AS p FROM gd WINDOW w AS (PARTITION BY settlement_date)),
+gn AS (SELECT *, row_number() OVER (PARTITION BY settlement_date ORDER BY t) AS i, count(*) OVER (PARTITION BY settlement_date) AS n FROM gp),
+{_SCEN},
+cp AS (SELECT gn.*, sn.*, CASE WHEN i <= 4 THEN 0.5 WHEN i > n - 4 THEN -0.5 * rt ELSE 0.0 END::DOUBLE AS mw FROM gn, sn WHERE n = {_periods("settlement_date")})"""
+
+SQL: dict[str, str] = {
+    "asof_purchase_view": "SELECT p.event_id, p.user_id, v.event_id AS view_id, v.value AS view_value FROM (SELECT * FROM events WHERE event_type = 'purchase') p ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'view') v ON p.user_id = v.user_id AND p.ts > v.ts",
+    "asof_latest_error": "SELECT p.event_id, v.event_id AS error_id FROM (SELECT * FROM events WHERE event_type = 'purchase') p ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'error') v ON p.ts > v.ts",
+    "asof_tie_boundary": "SELECT o.o_orderkey, o.o_custkey, l.prev_key FROM orders o ASOF LEFT JOIN (SELECT o_custkey, o_orderdate, max(o_orderkey) AS prev_key FROM orders GROUP BY 1, 2) l ON o.o_custkey = l.o_custkey AND o.o_orderdate > l.o_orderdate",
+    "too_late_counts": "SELECT count(*) AS n_late, count(DISTINCT p.event_id) AS n_rows_late FROM events p JOIN events v ON p.event_type = 'purchase' AND v.event_type = 'view' AND p.user_id = v.user_id AND p.ts::DATE = v.ts::DATE AND v.ts >= p.ts",
+    "grid_periods_per_day": f"SELECT d AS settlement_date, {_periods('d')}::BIGINT AS n_periods, {_periods('d')} AS last_period, {_periods('d')} AS expected FROM (SELECT DISTINCT o_orderdate::DATE AS d FROM orders)",
+    "labels_roundtrip": f"SELECT o_orderkey, {_local('t')}::DATE AS settlement_date, {_period('t')} AS settlement_period, t AS back FROM (SELECT o_orderkey, o_orderdate + (o_orderkey % 48) * INTERVAL 30 MINUTE AS t FROM orders)",
+    "decision_times": f"SELECT d AS settlement_date, {_utc('d - 1 + INTERVAL 11 HOUR')} AS decision_time FROM (SELECT DISTINCT o_orderdate::DATE AS d FROM orders)",
+    "calendar_keys": f"WITH {G} SELECT t AS target_time, {_local('t')}::DATE AS local_date, (hour({_local('t')}) * 60 + minute({_local('t')}))::INTEGER AS minute_of_day, (isodow({_local('t')}) - 1)::INTEGER AS day_of_week, month({_local('t')})::INTEGER AS month, row_number() OVER (PARTITION BY {_local('t')} ORDER BY t) = 1 AS first_occurrence FROM g",
+    "resolved_publication": f"SELECT event_id, CASE WHEN ts < {_utc('day')} THEN ts ELSE {_utc('day - 1 + INTERVAL 9 HOUR')} END AS published_at, CASE WHEN ts < {_utc('day')} THEN 'archive' ELSE 'schedule' END AS published_at_source, NOT (ts < {_utc('day')}) AS published_at_suspect FROM (SELECT event_id, ts, ts::DATE + (event_id % 3 - 1)::INTEGER AS day FROM events)",
+    "halfhour_series": f"WITH {G} SELECT t, price, volume FROM g",
+    "grid_gaps": f"WITH {THIN} SELECT t, CASE WHEN p IS NULL THEN count(*) FILTER (p IS NULL) OVER (PARTITION BY b) ELSE 0 END AS gap FROM (SELECT *, count(p) OVER (ORDER BY t) AS b FROM x)",
+    "fill_short_gaps": f"WITH {THIN}, {FILL} SELECT t, round(CASE WHEN short THEN line ELSE p END, 6) AS price, short AS price_interpolated FROM f",
+    "stuck_runs": f"WITH {STEPPED}, r AS (SELECT *, sum(CASE WHEN coalesce(l <> x, true) THEN 1 ELSE 0 END) OVER (ORDER BY t) AS run FROM (SELECT *, lag(x) OVER (ORDER BY t) AS l FROM x)) SELECT t, x IS NOT NULL AND count(*) OVER (PARTITION BY run) >= 2 AS stuck FROM r",
+    "zero_runs": f"WITH {STEPPED}, z AS (SELECT t, coalesce(x <= 100, false) AS z FROM x), r AS (SELECT *, sum(CASE WHEN coalesce(l <> z, true) THEN 1 ELSE 0 END) OVER (ORDER BY t) AS run FROM (SELECT *, lag(z) OVER (ORDER BY t) AS l FROM z)) SELECT t, z AND count(*) OVER (PARTITION BY run) >= 2 AS zero_run FROM r",
+    "longest_run": f"WITH {STEPPED}, r AS (SELECT sum(CASE WHEN coalesce(l <> x, true) THEN 1 ELSE 0 END) OVER (ORDER BY t) AS run FROM (SELECT *, lag(x) OVER (ORDER BY t) AS l FROM x WHERE x IS NOT NULL)) SELECT max(n) AS longest_run FROM (SELECT count(*) AS n FROM r GROUP BY run)",
+    "row_jumps": f"WITH {G} SELECT t, round(abs(price - lag(price) OVER (ORDER BY t)), 6) AS jump_in, round(abs(lead(price) OVER (ORDER BY t) - price), 6) AS jump_out FROM g",
+    "rolling_daily": f"WITH {DAYS} SELECT day, round(CASE WHEN count(*) OVER w >= 3 THEN avg(total) OVER w END, 4) AS rolling_mean, round(sum(total) OVER (PARTITION BY year(day) ORDER BY day), 2) AS cumulative FROM od WINDOW w AS (PARTITION BY year(day) ORDER BY day ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)",
+    "default_vs_traded": f"WITH {G} SELECT t, coalesce(abs(p) <= 1e-9 AND volume < 6, false) AS defaulted, coalesce(abs(p) > 1e-9 AND volume < 6, false) AS anomaly, coalesce(p < 50 OR p > 400, false) AS out_of_band FROM (SELECT *, CASE WHEN price < 150 THEN 0.0 ELSE price END AS p FROM g)",
+    "clean_pass": f"WITH {CLEAN} SELECT t, round(price, 6) AS price, defaulted AS price_defaulted, oob AS price_out_of_band, stuck AS price_stuck, interpolated AS price_interpolated, settlement_date, settlement_period, period_usable, day_complete, day_usable FROM cl",
+    "day_usability": f"WITH {CLEAN} SELECT settlement_date, count(*) AS observed, {_periods('settlement_date')} AS expected, any_value(day_complete) AS day_complete, any_value(day_usable) AS day_usable FROM cl GROUP BY settlement_date",
+    "quality_report": _checks(CLEAN, "cl", {"rows_out": "count(*)", "price_missing": "count(*) FILTER (price IS NULL)", "price_interpolated": "count(*) FILTER (interpolated)", "price_out_of_band": "count(*) FILTER (oob)", "price_stuck": "count(*) FILTER (stuck)", "price_defaulted": "count(*) FILTER (defaulted)", "price_liquidity_anomaly": "count(*) FILTER (anomaly)", "days_total": "count(DISTINCT settlement_date)", "days_incomplete": "count(DISTINCT settlement_date) FILTER (NOT day_complete)", "days_unusable": "count(DISTINCT settlement_date) FILTER (NOT day_usable)"}, None, "BIGINT"),
+    "pivot_types": f"WITH {WIDE} SELECT * FROM w",
+    "pivot_fuel_revisions": "SELECT ts::DATE AS day, " + ", ".join(f"arg_max(value, ts) FILTER (event_type = '{t}') AS gen_{t}_mw" for t in TYPES) + " FROM events GROUP BY 1",
+    "vwap_types": f"WITH {WIDE} SELECT day, round(" + "(" + " + ".join(f"coalesce({t}_price * {t}_volume, 0)" for t in TYPES) + ") / (" + " + ".join(f"coalesce({t}_volume, 0)" for t in TYPES) + "), 6) AS vwap, " + " + ".join(f"coalesce({t}_volume, 0)" for t in TYPES) + " AS volume FROM w",
+    "latest_revision": "SELECT user_id, ts::DATE AS day, arg_max(event_id, ts) AS event_id FROM events GROUP BY 1, 2",
+    "first_event": "SELECT user_id, ts::DATE AS day, arg_min(event_id, ts) AS event_id FROM events GROUP BY 1, 2",
+    "lag_same_time": f"WITH {BASE} SELECT b.target_time, p2.price AS d2, p7.price AS d7 FROM base b LEFT JOIN px p2 ON p2.d = b.d - 2 AND p2.m = b.m AND p2.av < b.dec LEFT JOIN px p7 ON p7.d = b.d - 7 AND p7.m = b.m AND p7.av < b.dec",
+    "lag_day_stats": f"WITH {BASE} SELECT b.target_time, round(pd.mean, 6) AS d2_mean, round(pd.spread, 6) AS d2_spread FROM base b LEFT JOIN pd ON pd.d = b.d - 2 AND pd.av < b.dec",
+    "trailing_7d": f"WITH {BASE} SELECT days.d AS local_date, round(avg(price), 6) AS mean, round(stddev_samp(price), 6) AS std, count(*) AS n FROM days JOIN px ON px.d BETWEEN days.d - 8 AND days.d - 2 AND px.av < days.dec GROUP BY 1",
+    "trailing_28d_bias": f"WITH {BASE} SELECT days.d AS local_date, round(avg(mean - 250.0), 6) AS bias, count(*) AS n FROM days JOIN pd ON pd.d BETWEEN days.d - 29 AND days.d - 2 AND pd.av < days.dec GROUP BY 1",
+    "last_known": f"WITH {BASE} SELECT days.d AS settlement_date, px.price AS last_price, px.source_time FROM days ASOF LEFT JOIN px ON days.dec > px.av",
+    "point_in_time": f"WITH {MARKET} SELECT target_time, settlement_period, price_apx, wind AS wind_forecast_mw, wind_at AS wind_published_at, demand AS demand_forecast_mw FROM pit",
+    "availability_check": f"WITH {MARKET} SELECT count(*) FILTER (wind_at >= dec) AS wind_published_at_late, round(min((floor(epoch(dec)) - floor(epoch(wind_at))) / 3600), 6) AS margin_hours FROM pit",
+    "feature_frame": f"WITH {FEATURES} SELECT * EXCLUDE (settlement_date) FROM ff",
+    "availability_audit": f"WITH {G} SELECT n AS rows, unnest({AUDITED}) AS feature, 0::BIGINT AS mismatches, 'PASS' AS verdict FROM (SELECT count(*) AS n FROM g)",
+    "score_table": f"WITH {SCORED}, l AS (" + " UNION ALL ".join(f"SELECT '{f}' AS forecast, {f} - actual AS e FROM mt" for f in ("naive_d2", "naive_d7", "mean_7d")) + "), s AS (SELECT forecast, count(*) AS n, avg(abs(e)) AS mae, sqrt(avg(e * e)) AS rmse FROM l GROUP BY 1) SELECT forecast, n, round(mae, 6) AS mae, round(rmse, 6) AS rmse, round(1 - mae / (SELECT mae FROM s WHERE forecast = 'naive_d7'), 6) AS skill FROM s",
+    "mae_by_hour": f"WITH {SCORED} SELECT (m // 60)::INTEGER AS hour, " + ", ".join(f"round(avg(abs({f} - actual)), 6) AS mae_{f}" for f in ("naive_d2", "naive_d7", "mean_7d")) + " FROM mt GROUP BY 1",
+    "reliability": f"WITH {SCORED}, l AS (" + " UNION ALL ".join(f"SELECT '{q}' AS quantile, {v}::DOUBLE AS nominal, actual - {q} AS e FROM sc WHERE actual IS NOT NULL AND q50 IS NOT NULL" for q, v in (("q10", 0.1), ("q50", 0.5), ("q90", 0.9))) + ") SELECT quantile, nominal, round(avg((e <= 0)::INTEGER), 6) AS observed_share, round(avg(greatest(nominal * e, (nominal - 1) * e)), 6) AS pinball FROM l GROUP BY 1, 2",
+    "coverage": f"WITH {SCORED} SELECT count(*) AS n, round(avg((actual BETWEEN q10 AND q90)::INTEGER), 6) AS coverage, round(avg(q90 - q10), 6) AS mean_width FROM sc WHERE actual IS NOT NULL AND q10 IS NOT NULL",
+    "skill_window": f"WITH {SCORED}, k AS (SELECT *, mean_7d - actual AS e, {_period('target_time')} AS sp FROM sc WHERE actual IS NOT NULL AND mean_7d IS NOT NULL), s AS (SELECT count(DISTINCT d) AS days, count(*) AS periods, avg(abs(e)) AS mae, sqrt(avg(e * e)) AS rmse, avg(e) AS bias, corr(mean_7d, actual) AS corr, avg(abs(e)) FILTER (sp <= 16) AS mae_early, avg(abs(e)) FILTER (sp >= 33) AS mae_late FROM k) SELECT days, periods, round(mae, 6) AS mae, round(rmse, 6) AS rmse, round(bias, 6) AS bias, round(corr, 6) AS corr, round(mae_early, 6) AS mae_early, round(mae_late, 6) AS mae_late, round(mae_late / mae_early, 6) AS growth FROM s",
+    "date_islands": f"WITH {DAYS}, b AS (SELECT day, year(day)::INTEGER AS year, day - (row_number() OVER (PARTITION BY year(day) ORDER BY day))::INTEGER AS k FROM od WHERE n > (SELECT avg(n) FROM od)) SELECT year, min(day) AS first_day, max(day) AS last_day, count(*) AS n_days FROM b GROUP BY year, k",
+    "season_window": f"WITH {DAYS} SELECT year(day)::INTEGER AS year, count(*) AS days, round(sum(total), 2) AS total FROM od WHERE month(day) * 100 + day(day) BETWEEN 315 AND 610 GROUP BY 1",
+    "block_bootstrap_ci": "WITH o AS (SELECT o_orderdate::DATE AS day, sum(o_totalprice) AS all_t, sum(CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice ELSE 0 END) AS even_t FROM orders GROUP BY 1), " + _boot("b", "o", ["even_t", "all_t"], 1) + " SELECT round(quantile_cont(even_t / all_t, 0.025), 6) AS lo, round(quantile_cont(even_t / all_t, 0.5), 6) AS median, round(quantile_cont(even_t / all_t, 0.975), 6) AS hi FROM b",
+    "block_ratio_verdict": f"WITH {DAYS}, oa AS (SELECT day, total FROM od WHERE year(day) = 1996), ob AS (SELECT day, total FROM od WHERE year(day) = 1997), " + _boot("ba", "oa", ["total"], 1) + ", " + _boot("bb", "ob", ["total"], 2) + ", r AS (SELECT (ba.total / ba.n) / (bb.total / bb.n) AS x FROM ba JOIN bb USING (rep)), q AS (SELECT quantile_cont(x, 0.025) AS lo, quantile_cont(x, 0.5) AS median, quantile_cont(x, 0.975) AS hi FROM r) SELECT round(lo, 6) AS lo, round(median, 6) AS median, round(hi, 6) AS hi, CASE WHEN lo >= 0.8 THEN 'GENUINE' WHEN hi < 0.7 THEN 'REGENERATED' ELSE 'INCONCLUSIVE' END AS verdict FROM q",
+    "trailing_thresholds": "WITH q AS (SELECT o_orderdate::DATE AS day, quantile_cont(o_totalprice, 0.25) AS l, quantile_cont(o_totalprice, 0.75) AS h FROM orders GROUP BY 1) SELECT day, round(avg(l) OVER w, 4) AS low, round(avg(h) OVER w, 4) AS high FROM q WINDOW w AS (PARTITION BY year(day) ORDER BY day ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING)",
+    "realisable_spread": f"WITH {HH}, d AS (SELECT {_local('t')}::DATE AS day, price, row_number() OVER (PARTITION BY {_local('t')}::DATE ORDER BY price) AS u, row_number() OVER (PARTITION BY {_local('t')}::DATE ORDER BY price DESC) AS w FROM hh) SELECT day, k::INTEGER AS k, round(avg(price) FILTER (w <= k) - avg(price) FILTER (u <= k) / 0.9, 6) AS spread FROM d, (SELECT unnest([2, 4, 8]) AS k) GROUP BY 1, 2 HAVING count(*) >= 2 * k",
+    "settle_schedule": f"WITH {CLOCKED}, s AS (SELECT settlement_date, scenario, any_value(rt) AS rt, any_value(wear) AS wear, any_value(hi - lo) AS usable, any_value(start) AS start, sum(greatest(mw, 0) * 0.5) AS imp, sum(greatest(-mw, 0) * 0.5) AS exp, sum(-p * mw * 0.5) AS rev FROM cp GROUP BY 1, 2) SELECT settlement_date, scenario, round(imp, 6) AS import_mwh, round(exp, 6) AS export_mwh, round(rev, 6) AS gross_revenue, round((wear * exp)::DOUBLE, 6) AS wear, round(rev - wear * exp, 6) AS net_revenue, round(exp / usable, 6) AS cycles, round(start + sqrt(rt) * imp - exp / sqrt(rt), 6) AS final_soc FROM s",
+    "feasibility": f"WITH {CLOCKED}, q AS (SELECT *, start + sum(CASE WHEN mw > 0 THEN sqrt(rt) * mw * 0.5 ELSE mw * 0.5 / sqrt(rt) END) OVER (PARTITION BY settlement_date, scenario ORDER BY i) AS soc FROM cp) SELECT settlement_date, scenario, concat_ws('; ', CASE WHEN bool_or(abs(mw) > 1 + 1e-6) THEN 'power exceeds rating' END, CASE WHEN bool_or(soc < lo - 1e-6) THEN 'state of charge below lower bound' END, CASE WHEN bool_or(soc > hi + 1e-6) THEN 'state of charge above upper bound' END, CASE WHEN abs(arg_max(soc, i) - any_value(start)) > 1e-4 THEN 'terminal state of charge not met' END) AS problems FROM q GROUP BY 1, 2",
+    "monthly_rollup": f"WITH {DAYS} SELECT date_trunc('month', day)::DATE AS month, round(sum(total), 2) AS total, sum(n)::BIGINT AS n FROM od GROUP BY 1",
+    "strategy_rollup": "WITH d AS (SELECT o_orderdate::DATE AS day, o_orderstatus AS strategy, sum(o_totalprice) AS r FROM orders GROUP BY 1, 2) SELECT s.strategy, s.year::INTEGER AS year, round(sum(r), 2) AS revenue, count(r) AS days FROM (SELECT DISTINCT strategy, y AS year FROM (SELECT DISTINCT strategy FROM d), (SELECT DISTINCT year(day) AS y FROM d) UNION ALL SELECT DISTINCT strategy, NULL FROM d) s LEFT JOIN d ON d.strategy = s.strategy AND (s.year IS NULL OR year(d.day) = s.year) GROUP BY 1, 2",
+    "day_set_reconcile": "WITH a AS (SELECT DISTINCT o_orderdate::DATE AS day FROM orders WHERE o_totalprice > 300000), b AS (SELECT DISTINCT o_orderdate::DATE AS day FROM orders WHERE o_totalprice < 50000) SELECT count(*) FILTER (b.day IS NULL) AS left_only, count(*) FILTER (a.day IS NULL) AS right_only, count(*) FILTER (a.day IS NOT NULL AND b.day IS NOT NULL) AS both, min(coalesce(a.day, b.day)) AS first_day, max(coalesce(a.day, b.day)) AS last_day FROM a FULL JOIN b ON a.day = b.day",
+    "provider_report": _checks(WIDE, "w", _providers(), 4),
+    "provider_comparison": _checks(WIDE, "w", {"n_a": "count(click_price)", "n_b": "count(view_price)", "n_both": f"count({_D})", "corr": "corr(click_price, view_price)", "mean_diff": f"avg({_D})", "median_diff": f"quantile_cont({_D}, 0.5)", "mean_abs_diff": f"avg(abs({_D}))", "p95_abs_diff": f"quantile_cont(abs({_D}), 0.95)", "n_large": f"count(*) FILTER (abs({_D}) > 5)"}, 4),
+    "liquidity_report": _checks(f"{G}, z AS (SELECT CASE WHEN price < 150 THEN 0.0 ELSE price END AS p, volume AS v FROM g)", "z", {"rows": "count(*)", "zero_prices": "count(*) FILTER (abs(p) <= 1e-9)", "defaulted": "count(*) FILTER (abs(p) <= 1e-9 AND v < 6)", "traded_zeros": "count(*) FILTER (abs(p) <= 1e-9 AND v >= 6)", "zero_without_volume": "count(*) FILTER (abs(p) <= 1e-9 AND v IS NULL)", "anomalies": "count(*) FILTER (abs(p) > 1e-9 AND v < 6)"}, None),
+    "vintage_timeliness": f"WITH v AS (SELECT ts, ts::DATE + (event_id % 3)::INTEGER AS day FROM events WHERE event_type = 'view'), l AS (SELECT day, ts < {_utc('day')} AS ok, (epoch({_utc('day')}) - floor(epoch(ts))) / 3600 AS lead FROM v) SELECT year(day)::INTEGER AS year, count(*) AS rows, count(*) FILTER (NOT ok) AS late_or_missing, round(quantile_cont(lead, 0.5) FILTER (ok), 6) AS median_lead, round(min(lead) FILTER (ok), 6) AS min_lead FROM l GROUP BY 1",
+    "timezone_evidence": f"WITH s AS (SELECT t, (hour({_local('t')}) + minute({_local('t')}) / 60)::DOUBLE AS u, (hour(t) + minute(t) / 60)::DOUBLE AS l, month(t) IN (12, 1, 2) AS w, month(t) IN (6, 7, 8) AS s FROM (SELECT o_orderdate + (o_orderkey % 24) * INTERVAL 1 HOUR AS t FROM orders)) SELECT quantile_cont(u, 0.5) FILTER (w) AS as_utc_winter, quantile_cont(u, 0.5) FILTER (s) AS as_utc_summer, quantile_cont(l, 0.5) FILTER (w) AS as_local_winter, quantile_cont(l, 0.5) FILTER (s) AS as_local_summer FROM s",
+    "day_coverage": f"WITH {HH}, d AS (SELECT {_local('t')}::DATE AS day, count(*) AS n FROM hh GROUP BY 1) SELECT n, {_periods('day')} AS expected, count(*) AS days FROM d GROUP BY 1, 2",
+    "price_range": f"WITH {HH}, d AS (SELECT {_local('t')}::DATE AS day, max(price) - min(price) AS r FROM hh GROUP BY 1) SELECT round(avg(r), 6) AS mean_range, round(quantile_cont(r, 0.5), 6) AS median_range, arg_max(day, r) AS widest_day, arg_min(day, r) AS narrowest_day FROM d",
+    "rekeyed_labels": f"WITH {G} SELECT t, {_local('t')}::DATE AS settlement_date, {_period('t')} AS settlement_period, (epoch(t)::BIGINT // 1800) % 97 = 5 AS moved FROM g WHERE (epoch(t)::BIGINT // 1800) % 97 <> 6",
+}
+SQL["asof_bucketed"] = SQL["asof_purchase_view"]
