@@ -447,7 +447,7 @@ KEYS = ["settlement_date", "scenario"]
 
 def rounded(df: DataFrame, keys: list[str], digits: int = 6) -> DataFrame:
     kinds = dict(df.dtypes)
-    return df.select(*keys, *((F.round(c, digits).alias(c) if kinds[c] == "double" else F.col(c)) for c in df.columns if c not in keys))
+    return df.select(*keys, *(((F.round(c, digits) + 0.0).alias(c) if kinds[c] == "double" else F.col(c)) for c in df.columns if c not in keys))
 
 
 def settle_schedule(spark: SparkSession, d: str) -> DataFrame:

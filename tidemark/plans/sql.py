@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..operators.features import REGISTER
 from .queries import AUDITED
 
 
@@ -164,7 +165,7 @@ SQL: dict[str, str] = {
     "block_ratio_verdict": f"WITH {DAYS}, oa AS (SELECT day, total FROM od WHERE year(day) = 1996), ob AS (SELECT day, total FROM od WHERE year(day) = 1997), " + _boot("ba", "oa", ["total"], 1) + ", " + _boot("bb", "ob", ["total"], 2) + ", r AS (SELECT (ba.total / ba.n) / (bb.total / bb.n) AS x FROM ba JOIN bb USING (rep)), q AS (SELECT quantile_cont(x, 0.025) AS lo, quantile_cont(x, 0.5) AS median, quantile_cont(x, 0.975) AS hi FROM r) SELECT round(lo, 6) AS lo, round(median, 6) AS median, round(hi, 6) AS hi, CASE WHEN lo >= 0.8 THEN 'GENUINE' WHEN hi < 0.7 THEN 'REGENERATED' ELSE 'INCONCLUSIVE' END AS verdict FROM q",
     "trailing_thresholds": "WITH q AS (SELECT o_orderdate::DATE AS day, quantile_cont(o_totalprice, 0.25) AS l, quantile_cont(o_totalprice, 0.75) AS h FROM orders GROUP BY 1) SELECT day, round(avg(l) OVER w, 4) AS low, round(avg(h) OVER w, 4) AS high FROM q WINDOW w AS (PARTITION BY year(day) ORDER BY day ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING)",
     "realisable_spread": f"WITH {HH}, d AS (SELECT {_local('t')}::DATE AS day, price, row_number() OVER (PARTITION BY {_local('t')}::DATE ORDER BY price) AS u, row_number() OVER (PARTITION BY {_local('t')}::DATE ORDER BY price DESC) AS w FROM hh) SELECT day, k::INTEGER AS k, round(avg(price) FILTER (w <= k) - avg(price) FILTER (u <= k) / 0.9, 6) AS spread FROM d, (SELECT unnest([2, 4, 8]) AS k) GROUP BY 1, 2 HAVING count(*) >= 2 * k",
-    "settle_schedule": f"WITH {CLOCKED}, s AS (SELECT settlement_date, scenario, any_value(rt) AS rt, any_value(wear) AS wear, any_value(hi - lo) AS usable, any_value(start) AS start, sum(greatest(mw, 0) * 0.5) AS imp, sum(greatest(-mw, 0) * 0.5) AS exp, sum(-p * mw * 0.5) AS rev FROM cp GROUP BY 1, 2) SELECT settlement_date, scenario, round(imp, 6) AS import_mwh, round(exp, 6) AS export_mwh, round(rev, 6) AS gross_revenue, round((wear * exp)::DOUBLE, 6) AS wear, round(rev - wear * exp, 6) AS net_revenue, round(exp / usable, 6) AS cycles, round(start + sqrt(rt) * imp - exp / sqrt(rt), 6) AS final_soc FROM s",
+    "settle_schedule": f"WITH {CLOCKED}, s AS (SELECT settlement_date, scenario, any_value(rt) AS rt, any_value(wear) AS wear, any_value(hi - lo) AS usable, any_value(start) AS start, sum(greatest(mw, 0) * 0.5) AS imp, sum(greatest(-mw, 0) * 0.5) AS exp, sum(-p * mw * 0.5) AS rev FROM cp GROUP BY 1, 2) SELECT settlement_date, scenario, round(imp, 6) AS import_mwh, round(exp, 6) AS export_mwh, round(rev, 6) AS gross_revenue, round((wear * exp)::DOUBLE, 6) AS wear, round(rev - wear * exp, 6) AS net_revenue, round(exp / usable, 6) AS cycles, round((start + sqrt(rt) * imp - exp / sqrt(rt))::DOUBLE, 6) + 0.0 AS final_soc FROM s",
     "feasibility": f"WITH {CLOCKED}, q AS (SELECT *, start + sum(CASE WHEN mw > 0 THEN sqrt(rt) * mw * 0.5 ELSE mw * 0.5 / sqrt(rt) END) OVER (PARTITION BY settlement_date, scenario ORDER BY i) AS soc FROM cp) SELECT settlement_date, scenario, concat_ws('; ', CASE WHEN bool_or(abs(mw) > 1 + 1e-6) THEN 'power exceeds rating' END, CASE WHEN bool_or(soc < lo - 1e-6) THEN 'state of charge below lower bound' END, CASE WHEN bool_or(soc > hi + 1e-6) THEN 'state of charge above upper bound' END, CASE WHEN abs(arg_max(soc, i) - any_value(start)) > 1e-4 THEN 'terminal state of charge not met' END) AS problems FROM q GROUP BY 1, 2",
     "monthly_rollup": f"WITH {DAYS} SELECT date_trunc('month', day)::DATE AS month, round(sum(total), 2) AS total, sum(n)::BIGINT AS n FROM od GROUP BY 1",
     "strategy_rollup": "WITH d AS (SELECT o_orderdate::DATE AS day, o_orderstatus AS strategy, sum(o_totalprice) AS r FROM orders GROUP BY 1, 2) SELECT s.strategy, s.year::INTEGER AS year, round(sum(r), 2) AS revenue, count(r) AS days FROM (SELECT DISTINCT strategy, y AS year FROM (SELECT DISTINCT strategy FROM d), (SELECT DISTINCT year(day) AS y FROM d) UNION ALL SELECT DISTINCT strategy, NULL FROM d) s LEFT JOIN d ON d.strategy = s.strategy AND (s.year IS NULL OR year(d.day) = s.year) GROUP BY 1, 2",
@@ -178,4 +179,27 @@ SQL: dict[str, str] = {
     "price_range": f"WITH {HH}, d AS (SELECT {_local('t')}::DATE AS day, max(price) - min(price) AS r FROM hh GROUP BY 1) SELECT round(avg(r), 6) AS mean_range, round(quantile_cont(r, 0.5), 6) AS median_range, arg_max(day, r) AS widest_day, arg_min(day, r) AS narrowest_day FROM d",
     "rekeyed_labels": f"WITH {G} SELECT t, {_local('t')}::DATE AS settlement_date, {_period('t')} AS settlement_period, (epoch(t)::BIGINT // 1800) % 97 = 5 AS moved FROM g WHERE (epoch(t)::BIGINT // 1800) % 97 <> 6",
 }
+SQL["missing_shares"] = f"WITH {FEATURES} " + " UNION ALL ".join(f"SELECT '{f}' AS feature, round(avg(({f} IS NULL)::INTEGER), 6) AS missing_share, min(settlement_date) FILTER ({f} IS NOT NULL) AS first_day FROM ff" for f in REGISTER.features)
+SQL["threshold_dispatch"] = f"""
+WITH RECURSIVE {CLOCKED},
+q AS (SELECT settlement_date, quantile_cont(price, 0.25) AS l, quantile_cont(price, 0.75) AS h FROM gd WHERE price IS NOT NULL GROUP BY 1),
+th AS (SELECT settlement_date, avg(l) OVER w AS low, avg(h) OVER w AS high FROM q WINDOW w AS (ORDER BY settlement_date ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING)),
+cx AS (SELECT settlement_date, scenario, i, p, low, high, sqrt(rt)::DOUBLE AS eta, lo::DOUBLE AS lo, hi::DOUBLE AS hi, start::DOUBLE AS start, wear::DOUBLE AS wear FROM cp JOIN th USING (settlement_date) WHERE low IS NOT NULL),
+st AS (
+  SELECT settlement_date, scenario, 0::BIGINT AS i, start AS soc, 0.0::DOUBLE AS imp, 0.0::DOUBLE AS exp, 0.0::DOUBLE AS rev FROM cx WHERE i = 1
+  UNION ALL
+  SELECT settlement_date, scenario, i, soc + CASE WHEN mw > 0 THEN eta * mw * 0.5::DOUBLE ELSE mw * 0.5::DOUBLE / eta END, imp + greatest(mw, 0) * 0.5::DOUBLE, exp + greatest(-mw, 0) * 0.5::DOUBLE, rev - p * mw * 0.5::DOUBLE
+  FROM (
+    SELECT cx.*, st.soc, st.imp, st.exp, st.rev,
+      CASE WHEN p <= low THEN greatest(0.0::DOUBLE, least(1.0::DOUBLE, (hi - soc) / (eta * 0.5::DOUBLE))) WHEN p >= high THEN -greatest(0.0::DOUBLE, least(1.0::DOUBLE, (soc - lo) * eta / 0.5::DOUBLE)) ELSE 0.0::DOUBLE END AS mw
+    FROM st JOIN cx ON cx.settlement_date = st.settlement_date AND cx.scenario = st.scenario AND cx.i = st.i + 1)
+), fin AS (
+  SELECT st.*, k.eta, k.start, k.wear, k.usable, k.mean, k.start + k.eta * imp - exp / k.eta AS final_soc
+  FROM st JOIN (SELECT settlement_date, scenario, max(i) AS n, any_value(eta) AS eta, any_value(start) AS start, any_value(wear) AS wear, any_value(hi - lo) AS usable, avg(p) AS mean FROM cx GROUP BY 1, 2) k
+    ON k.settlement_date = st.settlement_date AND k.scenario = st.scenario AND k.n = st.i
+)
+SELECT settlement_date, scenario, round(imp, 6) AS import_mwh, round(exp, 6) AS export_mwh, round(rev, 6) AS gross_revenue, round(wear * exp, 6) AS wear, round(rev - wear * exp, 6) AS net_revenue,
+  round(exp / usable, 6) AS cycles, round(final_soc, 6) + 0.0 AS final_soc, round(final_soc - start, 6) + 0.0 AS residual_mwh, round(rev + (final_soc - start) * mean, 6) AS marked_revenue
+FROM fin
+"""
 SQL["asof_bucketed"] = SQL["asof_purchase_view"]
