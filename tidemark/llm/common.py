@@ -159,8 +159,8 @@ def components(edges: DataFrame, ws: Workspace, rounds: int | None = None) -> Da
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v")
         large = ws.write(large, small=True)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e"))
-        nxt = ws.write(small.select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).filter("u > v").distinct(), small=True)
+        moved = large.join(low, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        nxt = ws.write(moved.union(low.select("u", F.col("m").alias("v"))), small=True)
         now = nxt.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first() if rounds is None else None
         ws.drop(cur, large)
         cur, done = nxt, done + 1

@@ -266,7 +266,9 @@ def _links(rows: DataFrame, classes: DataFrame, ws: Workspace, percent: int, rec
             full = _blocks(near.join(counts, "node").join(sets, "c"), block, ["c", "k", *_SKETCH, "items"])
             links = full.mapInArrow(_link_blocks(percent), "a long, b long")
             branch = big.filter("not settled")
-            links = links.union(_pivot_links(branch, items, ws, percent))
+            more = not branch.isEmpty()
+            if more:
+                links = links.union(_pivot_links(branch, items, ws, percent))
         links = ws.write(links.distinct(), small=True)
         known = links if known is None else known.union(links)
         ws.release()
@@ -274,14 +276,15 @@ def _links(rows: DataFrame, classes: DataFrame, ws: Workspace, percent: int, rec
         if wave == 1:
             frontier = level.filter(F.col("tree") < _EARLY).select("node", "c")
         else:
-            nxt = branch.select("node", "c").join(signatures, "c").mapInArrow(_children(share, 0), "node long, c long, tree int")
-            if wave == 2:
-                nxt = nxt.unionByName(level.filter(F.col("tree") >= _EARLY))
-            frontier = ws.write(nxt.select("node", "c"))
-            if frontier.isEmpty():
+            rest = level.filter(F.col("tree") >= _EARLY) if wave == 2 else level.limit(0)
+            if more:
+                rest = rest.unionByName(branch.select("node", "c").join(signatures, "c").mapInArrow(_children(share, 0), "node long, c long, tree int"))
+                rest = ws.write(rest)
+            elif wave > 2:
                 break
+            frontier = rest.select("node", "c")
         # Labels that join most of what is linked so far; they only save comparisons.
-        comp = components(known, ws, rounds=2)
+        comp = components(known, ws, rounds=1)
         ws.drop(live)
     ws.drop(level)
     return None if known.isEmpty() else components(known, ws)
@@ -366,3 +369,18 @@ def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_documents(spark, sf_dir)).drop("group")
+
+
+#: The same groups by an inverted index of all shingles and reachability.
+OP6_SQL = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS g FROM w
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= 75 * (x.n + y.n - common)),
+r(a, b) AS (SELECT doc_id, doc_id FROM w UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id, w.doc_id = c.component_id AS kept
+FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a) c USING (doc_id)
+"""

@@ -145,3 +145,28 @@ def keep_good(docs: DataFrame) -> DataFrame:
 
 def op4_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition(read_documents(spark, sf_dir))
+
+
+def _covered_sql(n: int) -> str:
+    """CTE of the words (rid, i) inside n-word windows that their text has twice or more."""
+    return f"""v{n} AS (SELECT rid, i, array_to_string(ws[i:i + {n - 1}], ' ') AS g FROM (SELECT rid, ws, unnest(range(1, len(ws) - {n - 2})) AS i FROM d)),
+c{n} AS (SELECT DISTINCT rid, unnest(range(i, i + {n})) AS i FROM (SELECT *, count(*) OVER (PARTITION BY rid, g) AS m FROM v{n}) WHERE m > 1),
+k{n} AS (SELECT rid, count(*) AS n, sum(length(word)) AS chars FROM c{n} JOIN w USING (rid, i) GROUP BY rid)"""
+
+
+#: The same measures by plain windows and lines.
+OP4_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+w AS (SELECT rid, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM d),
+t AS (SELECT rid, sum(length(word)) AS chars FROM w GROUP BY rid),
+l AS (SELECT rid, line, row_number() OVER (PARTITION BY rid, line) AS nth FROM (SELECT rid, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
+x AS (SELECT rid, count(*) AS n, sum(length(regexp_replace(line, '[\\x20\\x09-\\x0D]', '', 'g'))) AS chars FROM l WHERE nth > 1 GROUP BY rid),
+{", ".join(_covered_sql(n) for n in (WINDOW, *NGRAM_LIMITS))},
+m AS (
+  SELECT d.doc_id, len(d.ws)::BIGINT AS n_words, coalesce(t.chars, 0)::BIGINT AS word_chars, length(regexp_replace(d.t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+    coalesce(x.n, 0)::BIGINT AS n_dup_lines, coalesce(k{WINDOW}.n, 0)::BIGINT AS n_repeat_words, coalesce(x.chars, 0)::DOUBLE / greatest(coalesce(t.chars, 0), 1) AS dup_line_share,
+    {", ".join(f"coalesce(k{n}.chars, 0)::DOUBLE / greatest(coalesce(t.chars, 0), 1) AS dup_{n}gram_share" for n in NGRAM_LIMITS)}
+  FROM d LEFT JOIN t USING (rid) LEFT JOIN x USING (rid) {" ".join(f"LEFT JOIN k{n} USING (rid)" for n in (WINDOW, *NGRAM_LIMITS))}
+), f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
+SELECT *, NOT base_failed AND n_symbols <= {SYMBOL_LIMIT}::DOUBLE * n_words AND dup_line_share <= {LINE_LIMIT}::DOUBLE AND {" AND ".join(f"dup_{n}gram_share <= {v}::DOUBLE" for n, v in NGRAM_LIMITS.items())} AS kept FROM f
+"""

@@ -27,5 +27,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_contained_items": decontaminate.OP1_SQL,
         "op2_warc": warc.OP2_SQL,
+        "op4_repetition": quality.OP4_SQL,
+        "op6_near_duplicates": near_dup.OP6_SQL,
         "op7_mixture": mixing.OP7_SQL,
     }
