@@ -13,6 +13,8 @@ and then inside each bucket.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -99,7 +101,7 @@ def mix_counted(rows: DataFrame, ws: Workspace, budget: int | None, entropy: flo
     total, count = sources.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.count("*")).first()
     size = int(total if budget is None else budget)
     if entropy is None and entropy_share is not None and count:
-        entropy = entropy_share * spark_log(count)
+        entropy = entropy_share * math.log(count)
     alpha = find_exponent(sources, float(size), entropy, max_passes) if count else 1.0
     top = sources.agg(F.log(F.max("tokens")).alias("top"))
     raised = sources.crossJoin(F.broadcast(top)).withColumn("p", F.exp(F.lit(alpha) * (F.log("tokens") - F.col("top")))).drop("top")
@@ -125,13 +127,6 @@ def mix_counted(rows: DataFrame, ws: Workspace, budget: int | None, entropy: flo
     return placed.select("doc_id", "source", "n_tokens", "pass", "block", (F.row_number().over(deal) - 1).alias("place"))
 
 
-def spark_log(n: int) -> float:
-    """Entropy of n equal weights."""
-    import math
-
-    return math.log(n)
-
-
 def op7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture(read_documents(spark, sf_dir), entropy_share=0.95, max_passes=4.0)
 
