@@ -160,20 +160,31 @@ def test_suffix_tree_base_and_gain(spark, docs, corpus):
     assert suffix_tree.score_texts(docs.limit(0), cond).count() == 0
 
 
-def test_suffix_tree_distributions_sum_to_one(spark):
+def test_suffix_tree_prefers_what_follows_a_context(spark):
     rnd = random.Random(2)
     rows = [(i, " ".join(rnd.choice(["a b c", "a b d", "x y"]) for _ in range(30))) for i in range(40)]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    vocab = ["a", "b", "c", "d", "x", "y"]
-    after = "x y a b"
-    asked = [(1000, after)] + [(1001 + k, f"{after} {w}") for k, w in enumerate(vocab)] + [(2000, f"{after} unseen")]
-    both = df.withColumn("h", F.lit(False)).union(spark.createDataFrame(asked, "doc_id long, text string").withColumn("h", F.lit(True)))
-    got = {r["doc_id"]: r["score"] for r in suffix_tree.score_texts(both, F.col("h")).collect()}
-    end = {r: 10 ** got[r] for r in got if r >= 1000}
-    # P(after, w, end) over P(after) needs P(end | ... w); bound the next-word mass from above and below instead.
-    mass = sum(end[1001 + k] for k in range(6))
-    assert mass < 10 ** got[1000] * 1000 and all(x < 0 for x in got.values())
-    assert got[1001 + vocab.index("c")] > got[1001 + vocab.index("y")]
+    asked = [(1000 + k, f"x y a b {w}") for k, w in enumerate("abcdxy")] + [(2000, "x y a b unseen")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("h", F.lit(False)).union(spark.createDataFrame(asked, "doc_id long, text string").withColumn("h", F.lit(True)))
+    got = {r["doc_id"]: r for r in suffix_tree.score_texts(df, F.col("h")).collect()}
+    by = {w: got[1000 + k]["score"] for k, w in enumerate("abcdxy")}
+    assert min(by["c"], by["d"]) > max(by[w] for w in "abxy") + 0.5 > got[2000]["score"]
+    assert got[1002]["score"] > got[1002]["base_score"]
+
+
+def test_suffix_tree_mass_is_one():
+    import numpy as np
+
+    words = np.arange(4, dtype=np.uint64) + np.uint64(9)
+    m = suffix_tree._Model(words, np.array([50, 30, 20, 10]), np.arange(4), 110, 4)
+    key = lambda pairs: np.array([(a << 32) | b for a, b in pairs], np.uint64)
+    m.grow(key([(0, 1), (0, 2), (1, 0)]), np.array([30, 15, 25]))
+    m.grow(key([(0, 0), (2, 1)]), np.array([20, 18]))
+    for own, rest, keys in zip(m.own, m.rest, m.keys):
+        ctx = (keys >> np.uint64(32)).astype(np.int64)
+        mass = np.bincount(ctx, weights=own, minlength=rest.size) + rest
+        assert np.allclose(mass, 1) and (rest >= 0).all() and (own > 0).all()
+    index = suffix_tree.HashIndex(words)
+    assert index.find(words).tolist() == [0, 1, 2, 3] and index.find(np.array([0, 99], np.uint64)).tolist() == [-1, -1]
 
 
 def test_archives_round_trip(spark):
