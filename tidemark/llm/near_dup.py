@@ -140,15 +140,21 @@ def _similar_within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def _similar_across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All pairs of a member and one of the others of each row."""
+    """All pairs of a member and one of the others of each row; of a node's rows that follow one another each class comes once."""
+    node, told = None, set()
     for batch in batches:
         for r in range(batch.num_rows):
             b = batch.slice(r, 1)
+            own = b.column("node")[0].as_py()
+            if own != node or len(told) > 1 << 20:
+                node, told = own, set()
             _, c, k, s = _members(b.column("members"))
             _, c2, k2, s2 = _members(b.column("others"))
             i, j = np.divmod(np.arange(len(c) * len(c2)), len(c2))
             c, k, s = np.concatenate([c, c2]), np.concatenate([k, k2]), np.concatenate([s, s2])
-            yield _similar(np.full(len(c), b.column("node")[0].as_py()), c, k, s, i, len(c) - len(c2) + j)
+            found = set(_similar(np.full(len(c), node), c, k, s, i, len(c) - len(c2) + j).column("c").to_pylist()) - told
+            told |= found
+            yield pa.RecordBatch.from_arrays([pa.array([node] * len(found), pa.int64()), pa.array(sorted(found), pa.int64())], names=["node", "c"])
 
 
 def _link_blocks(percent: int):
@@ -248,18 +254,18 @@ def _links(rows: DataFrame, classes: DataFrame, ws: Workspace, percent: int, rec
     while True:
         f = frontier.withColumn("k", F.col("c")) if comp is None else frontier.join(comp, "c", "left").withColumn("k", F.coalesce("k", "c"))
         sizes = f.groupBy("node").agg(F.count("*").alias("n"), F.min("k").alias("k0"), F.max("k").alias("k1")).filter("k0 < k1")
-        live = ws.write(f.join(sizes.select("node", "n"), "node").join(sketches, "c"))
+        live = ws.write(f.join(sizes.select("node", "n"), "node").join(sketches, "c"), small=True)
         if wave == 0:
             links = _pivot_links(live, items, ws, percent)
         else:
             shares = live.filter(F.col("n") > block).groupBy("node", "k").agg(F.count("*").alias("m")).groupBy("node").agg(F.max(F.struct("m", "k")).alias("top"), F.sum("m").alias("all"))
             shares = shares.select("node", F.col("top.k").alias("main"), (F.col("all") - F.col("top.m")).alias("n_out"))
             settled = (F.lit(wave) >= depth) | (F.col("n") * F.col("n_out") <= work)
-            big = ws.write(live.join(shares, "node").withColumn("settled", settled))
+            big = ws.write(live.join(shares, "node").withColumn("settled", settled), small=True)
             lists = live.filter(F.col("n") <= block).groupBy("node").agg(F.collect_list(F.struct("c", "k", *_SKETCH)).alias("members"))
             near = lists.mapInArrow(_similar_within, "node long, c long")
             near = near.union(_blocks(big.filter("settled"), block, ["c", "k", *_SKETCH]).mapInArrow(_similar_across, "node long, c long"))
-            near = ws.write(near.distinct().join(live.select("node", "c", "k", *_SKETCH), ["node", "c"]))
+            near = ws.write(near.distinct().join(live.select("node", "c", "k", *_SKETCH), ["node", "c"]), small=True)
             sets = _needed_sets(near.select("c"), items)
             counts = near.groupBy("node", "k").agg(F.count("*").alias("m")).groupBy("node").agg(F.max(F.struct("m", "k")).alias("top"), F.sum("m").alias("n"))
             counts = counts.select("node", F.col("top.k").alias("main"), "n", (F.col("n") - F.col("top.m")).alias("n_out"))
@@ -342,7 +348,7 @@ def near_duplicates(docs: DataFrame, *, percent: int = 75, recall: float = 0.999
     feats = ws.write(feats.withColumn("rid", F.monotonically_increasing_id()))
     some = feats.filter("n_shingles > 0")
     key = ["n_shingles", "f1", "f2"]
-    classes = ws.write(some.groupBy(*key).agg(F.min("rid").alias("c"), F.min("doc_id").alias("first_id")))
+    classes = ws.write(some.groupBy(*key).agg(F.min("rid").alias("c"), F.min("doc_id").alias("first_id")), small=True)
     comp = _links(some.withColumnRenamed("rid", "c"), classes.select("c"), ws, percent, recall, block, work, depth)
     if comp is None:
         named = classes.select(*key, F.col("c").alias("group"), F.col("first_id").alias("component_id"))
