@@ -187,6 +187,54 @@ def test_suffix_tree_mass_is_one():
     assert index.find(words).tolist() == [0, 1, 2, 3] and index.find(np.array([0, 99], np.uint64)).tolist() == [-1, -1]
 
 
+def brute_tree_scores(texts, asked, depth=3, least=2):
+    """log10 scores by the longest retained suffix, from plain counts of all sequences."""
+    rows = [words(t) + ["\0"] for t in texts]
+    count = collections.Counter(tuple(r[i : i + k]) for r in rows for k in range(1, depth + 2) for i in range(len(r) - k + 1))
+    n, v = sum(len(r) for r in rows), len({w for r in rows for w in r})
+    floor = n + 0.1 * (v + 1)
+    smooth = {s: (f + 0.1) / floor for s, f in count.items() if len(s) == 1}
+    rest, own = {}, {}
+    for k in range(2, depth + 2):
+        kids = collections.defaultdict(list)
+        for s, f in count.items():
+            if len(s) == k and f >= least:
+                kids[s[:-1]].append(s)
+        for c, some in kids.items():
+            mass = {s: (count[s] - 0.5) / count[c] for s in some}
+            left = 1 - sum(mass.values())
+            gain = sum(count[s] * math.log((mass[s] + left * smooth[s[1:]]) / smooth[s[1:]]) for s in some) + (count[c] - sum(count[s] for s in some)) * math.log(left)
+            if gain > 0.5 * math.log(n) * len(some):
+                rest[c] = left
+                own.update(mass)
+            smooth.update({s: mass[s] + left * smooth[s[1:]] if c in rest else smooth[s[1:]] for s in some})
+    out = []
+    for r in (words(t) + ["\0"] for t in asked):
+        score = 0.0
+        for i, w in enumerate(r):
+            p = (count[(w,)] + 0.1) / floor
+            for k in range(1, min(i, depth) + 1):
+                c = tuple(r[i - k : i])
+                if c in rest:
+                    p = own.get((*c, w), 0.0) + rest[c] * p
+            score += math.log10(p)
+        out.append(score)
+    return out
+
+
+def test_suffix_tree_keeps_rare_sequences_of_a_large_table(spark):
+    """A pair of two occurrences counts among 600,000 tokens too; by share it took three."""
+    rnd = random.Random(3)
+    texts = [" ".join(f"w{int(rnd.paretovariate(0.8))}" for _ in range(400)) for _ in range(1500)] + ["oak elm ash fir", "yew oak elm ash fir", None, ""]
+    asked = ["oak elm ash fir", "oak elm", "yew oak", texts[0], texts[5] + " oak elm ash", None]
+    df = spark.createDataFrame([(i, t, i >= len(texts)) for i, t in enumerate(texts + asked)], "doc_id long, text string, h boolean")
+    want = brute_tree_scores(texts, texts + asked)
+    for share in (5e-6, 1e-3, 1.0):  # what is broadcast changes nothing
+        got = {r["doc_id"]: r for r in suffix_tree.score_texts(df.repartition(3), F.col("h"), cache_share=share).collect()}
+        assert len(got) == len(want) and max(abs(got[i]["score"] - w) for i, w in enumerate(want)) < 1e-6
+    assert got[len(texts)]["score"] > got[len(texts)]["base_score"] + 3
+
+
 def test_archives_round_trip(spark):
     rnd = random.Random(5)
     big = "<p>" + "é" * 600

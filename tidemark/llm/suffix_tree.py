@@ -1,13 +1,20 @@
 """Language-model scoring with a probabilistic suffix tree over words.
 
-A context of up to ``depth`` words is grown level by level: a word sequence is counted only if
-its parts were frequent enough one level lower, so that every level holds at most
-``1 / least_share`` sequences whatever the corpus is. Counts cover all training texts; tasks
-combine before the shuffle. A context stays in the tree if its next-word distribution diverges
-from that of its suffix: the log-likelihood gained must exceed the description length of its
-transitions. Smoothing is absolute discounting towards the longest retained suffix, down to the
-smoothed unigram distribution. A text's score follows the longest retained suffix of what came
-before each word.
+A context of up to ``depth`` words is grown level by level: every word sequence that occurs
+``least`` times or more in training is counted, whatever the corpus is. Both parts of such a
+sequence occur as often one level lower, so bitmaps of bounded size of the level below keep most
+others out of the shuffle; a bit set by chance costs a row, never a result. Counts cover all
+training texts; tasks combine before the shuffle. A context stays in the tree if its next-word
+distribution diverges from that of its suffix: the log-likelihood gained must exceed the
+description length of its transitions. Smoothing is absolute discounting towards the longest
+retained suffix, down to the smoothed unigram distribution. A text's score follows the longest
+retained suffix of what came before each word.
+
+The levels are tables, built by joins. What a sequence adds to a text's score is one number: as a
+transition the log of its probability over that of its suffix, and as a context the log of the
+mass it passes on. A text's score is the sum over all its sequences. The sequences of ``cache_share``
+of all tokens or more (at most ``1 / cache_share`` a level) are broadcast; all others meet the
+texts in a shuffle join, a part of the keys at a time.
 
 Words are 64-bit hashes. Frequent words (``word_share`` of all tokens or more, a proven bound of
 ``1 / word_share`` entries) are broadcast; the counts of all others come from a shuffle join.
@@ -22,12 +29,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, read_documents
-from .text import chunks, row_sums, words
+from .common import Workspace, bitmap_bits, bitmap_size, in_bitmap, read_documents
+from .text import chunks, mix64, row_sums, words
 
 END = np.uint64(0x51ED270B35A1B2C7)
 DISCOUNT = 0.5
+#: Parts of the key space that the lookups of a scoring go through one after the other, for less disk at a time.
+SLICES = 4
 _U = np.uint64
+_PAIR = _U(0xD6E8FEB86659FD93)
 
 
 class HashIndex:
@@ -69,38 +79,30 @@ def _tokens(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(w.hashes(), w.offs[1:], END), w.offs + np.arange(w.offs.size)
 
 
-def _frequent(words_index: HashIndex, ranks: np.ndarray, x: np.ndarray) -> np.ndarray:
-    at = words_index.find(x)
-    return np.where(at >= 0, ranks[at], -1).astype(np.int64)
+def _join(c: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """Keys of sequences from those of all but their last and all but their first word."""
+    return mix64(c * _PAIR + t)
 
 
-def _contexts(levels: list[HashIndex], rank: np.ndarray, offs: np.ndarray) -> Iterator[np.ndarray]:
-    """For each length, the id of the kept sequence of that many tokens that ends at a token, or -1."""
-    first = np.zeros(rank.size, bool)
-    first[offs[:-1]] = True
-    ids = rank
-    yield ids
-    for index in levels:
-        before = np.empty_like(ids)
-        before[1:] = ids[:-1]
-        before[0] = -1
-        before[first] = -1
-        key = (before << 32) | rank
-        ok = np.flatnonzero((before >= 0) & (rank >= 0))
-        ids = np.full(rank.size, -1, np.int64)
-        ids[ok] = index.find(key[ok].view(np.uint64))
-        yield ids
+def _sequences(x: np.ndarray, offs: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each length up to ``most``, the key of the sequence that ends at a token, and whether it lies in its row."""
+    place = np.arange(x.size) - np.repeat(offs[:-1], np.diff(offs))
+    h = x
+    for k in range(1, most + 1):
+        if k > 1:
+            h = _join(np.concatenate([h[:1], h[:-1]]), h)
+        yield h, place >= k - 1
 
 
 class _Counter:
-    """Adds up keys; what exceeds ``most`` distinct ones is handed on early."""
+    """Adds up keys, and keeps one value of each further column a key; what exceeds ``most`` distinct ones is handed on early."""
 
-    def __init__(self, most: int = 1 << 20):
-        self.most, self.parts, self.size = most, [], 0
+    def __init__(self, names: list[str], most: int = 1 << 20):
+        self.names, self.most, self.parts, self.size = names, most, [], 0
 
-    def add(self, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
-        k, n = np.unique(keys, return_counts=True)
-        self.parts.append((k, n))
+    def add(self, keys: np.ndarray, *more: np.ndarray) -> Iterator[pa.RecordBatch]:
+        k, at, n = np.unique(keys, return_index=True, return_counts=True)
+        self.parts.append((k, n, *(x[at] for x in more)))
         self.size += k.size
         if self.size > 2 * self.most:
             self._merge()
@@ -109,51 +111,67 @@ class _Counter:
 
     def _merge(self) -> None:
         if len(self.parts) > 1:
-            k = np.concatenate([x for x, _ in self.parts])
-            n = np.concatenate([x for _, x in self.parts])
-            u, inv = np.unique(k, return_inverse=True)
-            self.parts = [(u, np.bincount(inv, weights=n, minlength=u.size).astype(np.int64))]
-        self.size = sum(x.size for x, _ in self.parts)
+            k, n, *more = (np.concatenate(x) for x in zip(*self.parts))
+            u, at, inv = np.unique(k, return_index=True, return_inverse=True)
+            self.parts = [(u, np.bincount(inv, weights=n, minlength=u.size).astype(np.int64), *(x[at] for x in more))]
+        self.size = sum(x[0].size for x in self.parts)
 
     def flush(self) -> Iterator[pa.RecordBatch]:
         self._merge()
-        for k, n in self.parts:
+        for k, n, *more in self.parts:
+            columns = [*(x.view(np.int64) for x in more or [k]), n]
             for lo in range(0, k.size, 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(k[lo : lo + (1 << 16)].view(np.int64)), pa.array(n[lo : lo + (1 << 16)])], names=["h", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(x[lo : lo + (1 << 16)]) for x in columns], names=self.names)
         self.parts, self.size = [], 0
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = _Counter()
+    total = _Counter(["h", "n"])
     for batch in batches:
         for _, _, buf, offs in chunks(batch.column(0)):
             yield from total.add(_tokens(buf, offs)[0])
     yield from total.flush()
 
 
-def _count_sequences(shared):
-    """Counts of the sequences one token longer than the kept ones, all of whose parts are kept."""
+def _count_sequences(shared, length: int):
+    """Counts of the sequences of some words, by their first and last part, where both may be in the level below."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, ranks, levels = shared.value
-        index, kept, total = HashIndex(keys), [HashIndex(k) for k in levels], _Counter()
+        bits, log_bits = shared.value
+        total = _Counter(["c", "t", "n"])
         for batch in batches:
             for _, _, buf, offs in chunks(batch.column(0)):
                 x, at = _tokens(buf, offs)
-                rank = _frequent(index, ranks, x)
-                *_, last = _contexts(kept, rank, at)
-                before = np.full(last.size, -1, np.int64)
-                before[1:] = last[:-1]
-                before[at[:-1]] = -1
-                ok = (before >= 0) & (last >= 0)
-                yield from total.add(((before[ok] << 32) | rank[ok]).view(np.uint64))
+                *_, (h, inside) = _sequences(x, at, length - 1)
+                may = inside & in_bitmap(bits, h, log_bits)
+                first = np.zeros(x.size, bool)
+                first[at[:-1]] = True
+                ok = np.flatnonzero(may[1:] & may[:-1] & ~first[1:]) + 1
+                c, t = h[ok - 1], h[ok]
+                yield from total.add(_join(c, t), c, t)
         yield from total.flush()
 
     return run
 
 
+def _bitmap(df: DataFrame, log_bits: int) -> np.ndarray:
+    """The bitmap of column s, collected as blocks of 4096 bytes: far less for the driver than a row for each word of bits."""
+    slot = F.pmod(F.col("s"), F.lit(bitmap_size(log_bits)))
+    blocks = df.select(F.shiftright(slot, 15).alias("w"), slot.bitwiseAND(F.lit(32767)).alias("b")).groupBy("w").agg(F.bitmap_construct_agg("b").alias("m"))
+    out = np.zeros(max((1 << log_bits) >> 15, 1) * 4096, np.uint8)
+    for r in blocks.toLocalIterator():
+        out[r["w"] * 4096 : (r["w"] + 1) * 4096] = np.frombuffer(r["m"], np.uint8)
+    return out
+
+
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        c, t = (batch.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in (0, 1))
+        yield pa.RecordBatch.from_arrays([pa.array(_join(c, t).view(np.int64)), *batch.columns], names=["s", *batch.schema.names])
+
+
 class _Model:
-    """The suffix tree: frequent words with their counts, and per level its sequences' keys, discounted
+    """The suffix tree in memory, which the tables of ``_tree`` are held against: frequent words with their counts, and per level its sequences' keys, discounted
     probabilities, and for the contexts that precede them whether they stay and what mass they pass on."""
 
     def __init__(self, words: np.ndarray, counts: np.ndarray, ranks: np.ndarray, n: int, v: int):
@@ -194,82 +212,136 @@ class _Model:
 
 
 def _score(shared):
+    """Each text's sums over the frequent words and sequences, and its other words."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        index, levels = HashIndex(m.words), [HashIndex(k) for k in m.keys]
+        keys, counts, floor, seq, value, _, _, most = shared.value
+        index, cache = HashIndex(keys), HashIndex(seq)
         for batch in batches:
-            for lo, hi, buf, offs in chunks(batch.column(2)):
+            for lo, hi, buf, offs in chunks(batch.column(3)):
                 x, at = _tokens(buf, offs)
                 word = index.find(x)
                 known = word >= 0
-                p = np.where(known, (m.counts[word] + 0.1) / m.floor, 1.0)
-                base = row_sums(np.log10(p), at)
-                rank = np.where(known, m.ranks[word], -1).astype(np.int64)
-                ids = list(_contexts(levels, rank, at))
-                for k, (own, stays, rest) in enumerate(zip(m.own, m.stays, m.rest)):
-                    if not stays.size:
-                        continue
-                    before = np.full(rank.size, -1, np.int64)
-                    before[1:] = ids[k][:-1]
-                    before[at[:-1]] = -1
-                    on = np.flatnonzero(before >= 0)
-                    on = on[stays[before[on]]]
-                    trans = ids[k + 1][on]
-                    p[on] = np.where(trans >= 0, own[trans], 0.0) + rest[before[on]] * p[on]
+                p = np.log10(np.where(known, (counts[word] + 0.1) / floor, 1.0) if keys.size else np.ones(x.size))
+                base = row_sums(p, at)
+                gain = np.zeros(x.size)
+                for h, inside in _sequences(x, at, most) if seq.size else ():
+                    own = cache.find(h)
+                    gain += np.where(inside & (own >= 0), value[own], 0.0)
                 rare = ~known
                 n = hi - lo
                 rare_offs = np.concatenate([[0], np.cumsum(row_sums(rare, at))]).astype(np.int32)
                 out = [
-                    batch.column(0).slice(lo, n),
-                    batch.column(1).slice(lo, n),
+                    *(batch.column(i).slice(lo, n) for i in range(3)),
                     pa.array(np.diff(at)),
                     pa.array(row_sums(known, at)),
                     pa.array(base),
-                    pa.array(row_sums(np.log10(p), at)),
+                    pa.array(base + row_sums(gain, at)),
                     pa.ListArray.from_arrays(pa.array(rare_offs), pa.array(x[rare].view(np.int64))),
                 ]
-                yield pa.RecordBatch.from_arrays(out, names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare"])
+                yield pa.RecordBatch.from_arrays(out, names=["rid", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare"])
+
+    return run
+
+
+def _lookups(shared, part: int):
+    """(row, sequence) of one part of the sequences that are not broadcast but may be in the tree."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        *_, seq, _, bits, log_bits, most = shared.value
+        cache = HashIndex(seq)
+        for batch in batches:
+            rid = batch.column(0).to_numpy(zero_copy_only=False)
+            for lo, hi, buf, offs in chunks(batch.column(1)):
+                x, at = _tokens(buf, offs)
+                row = np.repeat(rid[lo:hi], np.diff(at))
+                for h, inside in _sequences(x, at, most):
+                    ok = np.flatnonzero(inside & (h % _U(SLICES) == part))
+                    ok = ok[in_bitmap(bits, h[ok], log_bits)]
+                    ok = ok[cache.find(h[ok]) < 0]
+                    yield pa.RecordBatch.from_arrays([pa.array(row[ok]), pa.array(h[ok].view(np.int64))], names=["rid", "s"])
 
     return run
 
 
-def score_texts(docs: DataFrame, held_out: Column, *, depth: int = 3, least_share: float = 5e-6, word_share: float = 4e-7) -> DataFrame:
+def _tree(train: DataFrame, vocab: DataFrame, total: int, floor: float, depth: int, least: int, ws: Workspace) -> DataFrame:
+    """``(s, n, v)``: what each sequence of the tree adds to the log10 probability of a text, and how often it occurs."""
+    spark = train.sparkSession
+    lower = vocab.filter(F.col("n") >= least).select(F.col("h").alias("s"), "n", ((F.col("n") + 0.1) / floor).alias("smooth"))
+    parts = []
+    for length in range(2, depth + 2):
+        log_bits = bitmap_bits(lower.count())
+        shared = spark.sparkContext.broadcast((_bitmap(lower, log_bits), log_bits))
+        counted = train.mapInArrow(_count_sequences(shared, length), "c long, t long, n long").groupBy("c", "t").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+        level = ws.write(counted.mapInArrow(_keyed, "s long, c long, t long, n long"))
+        shared.destroy()
+        ws.release()
+        seen = level.groupBy("c").agg(F.sum("n").alias("seen"), F.count("*").alias("kids")).join(lower.select(F.col("s").alias("c"), F.col("n").alias("m")), "c")
+        seen = seen.withColumn("rest", 1 - (F.col("seen") - DISCOUNT * F.col("kids")) / F.col("m"))
+        x = level.join(lower.select(F.col("s").alias("t"), F.col("smooth").alias("below")), "t").join(seen, "c")
+        x = x.withColumn("near", (F.col("n") - DISCOUNT) / F.col("m") + F.col("rest") * F.col("below"))
+        x = ws.write(x.select("s", "c", "n", "below", "near", "rest", "m", "seen", "kids"))
+        gain = x.groupBy("c", "m", "seen", "kids", "rest").agg(F.sum(F.col("n") * F.log(F.col("near") / F.col("below"))).alias("g"))
+        gain = gain.withColumn("g", F.col("g") + (F.col("m") - F.col("seen")) * F.log("rest"))
+        stays = ws.write(gain.filter(F.col("g") > 0.5 * float(np.log(max(total, 2))) * F.col("kids")).select("c", "m", F.log10("rest").alias("v")))
+        on = x.select("s", "c", "n", "below", "near").join(stays.select("c", F.col("v").alias("passed")), "c", "left")
+        smooth = F.when(F.col("passed").isNull(), F.col("below")).otherwise(F.col("near"))
+        nxt = ws.write(on.select("s", "n", smooth.alias("smooth"), (F.log10(F.col("near") / F.col("below")) - F.col("passed")).alias("v")))
+        ws.drop(level, x)
+        ws.release()
+        parts += [nxt.filter("v is not null").select("s", "n", "v"), stays.select(F.col("c").alias("s"), F.col("m").alias("n"), "v")]
+        lower = nxt.select("s", "n", "smooth")
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return ws.write(out.groupBy("s").agg(F.max("n").alias("n"), F.sum("v").alias("v")))
+
+
+def score_texts(docs: DataFrame, held_out: Column, *, depth: int = 3, least: int = 2, cache_share: float = 5e-6, word_share: float = 4e-7) -> DataFrame:
     """Scores every whole text under a suffix tree learned from the rows that are not held out.
 
     One row per input row: ``doc_id``, ``held_out``, ``n_tokens`` (words and one end),
     ``n_known`` (tokens that occur in training), ``train_tokens``, ``base_score`` (log10
-    probability under smoothed unigrams) and ``score`` (under the tree). Null texts count as
-    empty: their only token is the end. Where a null doc_id makes ``held_out`` unknown, the row
-    trains. Repeated rows train as often as they occur. Without training rows every token has the
-    uniform probability of the smoothing.
+    probability under smoothed unigrams) and ``score`` (under the tree). Sequences of ``least``
+    training occurrences or more make the tree, however large the table is; ``cache_share`` and
+    ``word_share`` only say what is broadcast. Null texts count as empty: their only token is the
+    end. Where a null doc_id makes ``held_out`` unknown, the row trains. Repeated rows train as
+    often as they occur. Without training rows every token has the uniform probability of the
+    smoothing.
     """
     spark = docs.sparkSession
     ws = Workspace(spark, "suffix-tree")
+    # Read several times, with the same number for each row.
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce(held_out, F.lit(False)).alias("held_out"), "text")
+    docs = ws.write(docs.withColumn("rid", F.monotonically_increasing_id())).select("rid", "doc_id", "held_out", "text")
     train = docs.filter("not held_out").select("text")
     vocab = ws.write(train.mapInArrow(_count_words, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")))
     total, distinct = vocab.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    floor = total + 0.1 * (distinct + 1)
     common = vocab.filter(F.col("n") >= max(word_share * total, 1)).toPandas()
-    hashes, counts = common["h"].to_numpy(np.int64).view(np.uint64), common["n"].to_numpy(np.int64)
-    least = max(least_share * total, 2)
-    ranks = np.full(hashes.size, -1, np.int64)
-    often = np.argsort(-counts, kind="stable")[: int((counts >= least).sum())]
-    ranks[often] = np.arange(often.size)
-    model = _Model(hashes, counts, ranks, total, distinct)
-    for _ in range(depth):
-        shared = spark.sparkContext.broadcast((hashes[often], np.arange(often.size), model.keys))
-        got = train.mapInArrow(_count_sequences(shared), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).toPandas()
-        if got.empty:
-            break
-        model.grow(got["h"].to_numpy(np.int64).view(np.uint64), got["n"].to_numpy(np.int64))
-    model._suffix, model._smooth = [], []
-    scored = docs.mapInArrow(_score(spark.sparkContext.broadcast(model)), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<long>")
-    scored = ws.write(scored.withColumn("rid", F.monotonically_increasing_id()))
+    tree = _tree(train, vocab, total, floor, depth, least, ws)
+    often = F.col("n") >= max(cache_share * total, 1)
+    cache, light = tree.filter(often).toPandas(), tree.filter(~often).select("s", "v")
+    log_bits = bitmap_bits(light.count())
+    bits = _bitmap(light, log_bits)
+    keys = [x.to_numpy(np.int64).view(np.uint64) for x in (common["h"], cache["s"])]
+    shared = spark.sparkContext.broadcast((keys[0], common["n"].to_numpy(np.int64), floor, keys[1], cache["v"].to_numpy(np.float64), bits, log_bits, depth + 1))
+    scored = ws.write(docs.mapInArrow(_score(shared), "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<long>"))
+    sums = []
+    for part in range(SLICES):
+        asked = docs.select("rid", "text").mapInArrow(_lookups(shared, part), "rid long, s long")
+        own = light.filter(F.pmod("s", F.lit(SLICES)) == part).hint("shuffle_hash")
+        sums.append(ws.write(asked.join(own, "s").groupBy("rid").agg(F.sum("v").alias("v"))))
+        ws.release()
+    more = sums[0]
+    for x in sums[1:]:
+        more = more.union(x)
+    more = more.groupBy("rid").agg(F.sum("v").alias("v"))
     rare = scored.select("rid", F.explode("rare").alias("h"))
     seen = rare.join(vocab.filter(F.col("n") < max(word_share * total, 1)), "h", "left")
-    log_p = F.log10((F.coalesce("n", F.lit(0)) + 0.1) / F.lit(model.floor))
+    log_p = F.log10((F.coalesce("n", F.lit(0)) + 0.1) / F.lit(floor))
     extra = seen.groupBy("rid").agg(F.count("n").alias("k"), F.sum(log_p).alias("s"))
-    out = scored.drop("rare").join(extra, "rid", "left")
+    out = scored.drop("rare").join(extra, "rid", "left").join(more, "rid", "left")
     return out.select(
         "doc_id",
         "held_out",
@@ -277,7 +349,7 @@ def score_texts(docs: DataFrame, held_out: Column, *, depth: int = 3, least_shar
         (F.col("n_known") + F.coalesce("k", F.lit(0))).alias("n_known"),
         F.lit(int(total)).cast("long").alias("train_tokens"),
         (F.col("base_score") + F.coalesce("s", F.lit(0.0))).alias("base_score"),
-        (F.col("score") + F.coalesce("s", F.lit(0.0))).alias("score"),
+        (F.col("score") + F.coalesce("s", F.lit(0.0)) + F.coalesce("v", F.lit(0.0))).alias("score"),
     )
 
 
