@@ -166,6 +166,16 @@ def test_licenses_are_found_in_any_place(spark):
     assert licenses.scan_licenses(df.limit(0)).count() == 0 and licenses.scan_licenses(df, {}).count() == 0
 
 
+def test_licenses_that_follow_one_another(spark):
+    mit, notice, gpl = licenses.TEMPLATES["MIT"], "Released under the MIT License.", licenses.TEMPLATES["GPL-3.0 notice"]
+    longer = gpl.replace("General", "very General")
+    texts = [f"intro words here {notice} {notice} end words", f"intro {notice} " * 4 + "end", f"{prose(50)} {mit} {mit} {prose(50)}", f"start {longer} {longer} {longer} end", f"a b {notice.replace('MIT', '')} c {notice} {notice} d"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r["doc_id"], r["license"]): (r["coverage"], texts[r["doc_id"]].encode()[r["begin_byte"] : r["end_byte"]].decode()) for r in licenses.scan_licenses(df).collect()}
+    want = {(0, "MIT notice"): notice, (1, "MIT notice"): notice, (2, "MIT"): mit, (3, "GPL-3.0 notice"): longer, (4, "MIT notice"): notice}
+    assert {k: x for k, (_, x) in got.items()} == {k: x.rstrip(".") for k, x in want.items()} and {x for x, _ in got.values()} == {1.0}
+
+
 def luhn(s):
     d = [int(c) for c in s if c.isdigit()][::-1]
     return sum(d[0::2]) + sum(x * 2 - 9 * (x > 4) for x in d[1::2])

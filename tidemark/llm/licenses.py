@@ -4,10 +4,11 @@ Templates are compared with texts word by word. Words unique to both the templat
 of text are anchors; the longest increasing subsequence of anchors is kept and the gaps between
 them are aligned in the same way. A template's coverage is the share of its words that align.
 
-A stretch is where a template may stand: around the places of a text that have three successive
-words of a template, found by hash in numpy over whole texts, wide enough to hold the template
-with as many words more. Texts without such a place have no stretch; few texts have any, and only
-their stretches are aligned, each on its own.
+A template may stand around the places of a text that have three successive words of it, found by
+hash in numpy over whole texts. Each such place is aligned within windows of the template's length
+at the offset that the three words have in the template, and with up to as many words more each
+way: in a narrow window the words of a copy are unique even if others follow at once. Places near
+one another are also aligned as one stretch. Texts without such a place, nearly all, are not aligned.
 """
 
 from __future__ import annotations
@@ -68,6 +69,7 @@ class Template(NamedTuple):
     name: str
     words: list[int]
     seeds: np.ndarray
+    offsets: dict[int, list[int]]
 
 
 def template_index(templates: dict[str, str]) -> list[Template]:
@@ -77,7 +79,10 @@ def template_index(templates: dict[str, str]) -> list[Template]:
         w = words(buf, np.array([0, buf.size]), _BREAK)
         h = w.hashes()
         if h.size:
-            out.append(Template(name, h.tolist(), np.unique(shingles(h, w.offs, SEED_WORDS)[0])))
+            offsets: dict[int, list[int]] = {}
+            for at, seed in enumerate(shingles(h, w.offs, SEED_WORDS)[0].tolist()):
+                offsets.setdefault(seed, []).append(at)
+            out.append(Template(name, h.tolist(), np.array(sorted(offsets), np.uint64), offsets))
     return out
 
 
@@ -141,6 +146,24 @@ def _stretches(hits: np.ndarray, size: int, lo: int, hi: int) -> list[tuple[int,
     return out
 
 
+def _best_place(t: Template, h: np.ndarray, hits: np.ndarray, seeds: np.ndarray, lo: int, hi: int) -> tuple[int, int, int]:
+    """(aligned words, first, last) of the place with most aligned words, the first of equals."""
+    best, size = (0, 0, 0), len(t.words)
+    for start in sorted({x - at for x, seed in zip(hits.tolist(), seeds.tolist()) for at in t.offsets[seed]}):
+        for slack in sorted({0, size // 4, size // 2, size}):
+            a, b = max(start - slack, lo), min(start + size + slack, hi)
+            pairs = patience(t.words, h[a:b].tolist())
+            if len(pairs) > best[0]:
+                best = (len(pairs), a + pairs[0][1], a + pairs[-1][1])
+            if best[0] == size:
+                return best
+    for a, b in _stretches(hits, size, lo, hi):
+        pairs = patience(t.words, h[a:b].tolist())
+        if len(pairs) > best[0]:
+            best = (len(pairs), a + pairs[0][1], a + pairs[-1][1])
+    return best
+
+
 def _scan(templates: list[Template], percent: int):
     seeds = np.unique(np.concatenate([t.seeds for t in templates]))
 
@@ -158,12 +181,8 @@ def _scan(templates: list[Template], percent: int):
                     own = hits[rows == r]
                     first, last = int(w.offs[r]), int(w.offs[r + 1])
                     for t in templates:
-                        here = own[np.isin(s[own], t.seeds)] - so[r] + first
-                        best = (0, 0, 0)
-                        for a, b in _stretches(here, len(t.words), first, last) if here.size else []:
-                            pairs = patience(t.words, h[a:b].tolist())
-                            if len(pairs) > best[0]:
-                                best = (len(pairs), a + pairs[0][1], a + pairs[-1][1])
+                        here = own[np.isin(s[own], t.seeds)]
+                        best = _best_place(t, h, here - so[r] + first, s[here], first, last)
                         if 100 * best[0] >= percent * len(t.words):
                             begin, end = int(w.starts[best[1]] - offs[r]), int(w.ends[best[2]] - offs[r])
                             found.append((lo + r, t.name, best[0], len(t.words), begin, end))
