@@ -187,6 +187,15 @@ def test_suffix_tree_mass_is_one():
     assert index.find(words).tolist() == [0, 1, 2, 3] and index.find(np.array([0, 99], np.uint64)).tolist() == [-1, -1]
 
 
+def test_near_duplicates_take_trees_for_their_depth(spark, monkeypatch):
+    got, count = [], near_dup.trees_for
+    monkeypatch.setattr(near_dup, "trees_for", lambda *a, **b: got.append(count(*a, **b)) or got[-1])
+    base = " ".join(f"w{i}" for i in range(60))
+    df = spark.createDataFrame([(1, base), (2, base + " end"), (3, "x y z")], "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(df, depth=3).collect()} == {1: 1, 2: 1, 3: 3}
+    assert (1 - near_dup._survives(0.75, 3)) ** got[0] <= 1e-4
+
+
 def brute_tree_scores(texts, asked, depth=3, least=2):
     """log10 scores by the longest retained suffix, from plain counts of all sequences."""
     rows = [words(t) + ["\0"] for t in texts]

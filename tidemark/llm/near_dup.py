@@ -5,7 +5,7 @@ one class first, so copies never meet one another. Every class then has a signat
 ``COORDS`` minwise values. A tree's root chooses some of these coordinates and sends a class to a
 child for each chosen coordinate's minwise value; crowded children branch in the same way. Small
 nodes are compared exhaustively, several independent trees bring the recall of a pair at the
-threshold to ``recall``.
+threshold to ``recall`` even if its nodes are crowded at every level down to ``depth``.
 
 Large groups of near copies make crowded nodes. Only links between different components can
 change the result, so pairs that earlier links connect are never compared again:
@@ -246,7 +246,7 @@ def _links(rows: DataFrame, classes: DataFrame, ws: Workspace, percent: int, rec
     """Components ``(c, k)`` of the classes that have links; None if no pair has any."""
     threshold = percent / 100
     share = 1 / (threshold * COORDS)
-    trees = trees_for(recall, threshold)
+    trees = trees_for(recall, threshold, depth)
     sketches, signatures, items = rows.select("c", *_SKETCH), rows.select("c", "sig"), rows.select("c", "items")
     level = ws.write(signatures.mapInArrow(_children(share, trees), "node long, c long, tree int").join(classes, "c", "left_semi"))
     comp, known, wave = None, None, 0
@@ -331,7 +331,7 @@ def near_duplicates(docs: DataFrame, *, percent: int = 75, recall: float = 0.999
     Args:
         docs: a frame with ``doc_id`` and ``text``; other columns are ignored.
         percent: documents are linked if 100 * intersection >= percent * union of their sets.
-        recall: probability with which a pair exactly at the threshold meets in some node.
+        recall: least probability with which a pair exactly at the threshold meets in some node, in crowded nodes of ``depth`` levels too.
 
     Returns one row per input row: ``doc_id``, ``n_shingles``, ``component_id`` (the smallest
     doc_id reachable over links, itself included), ``kept`` (doc_id = component_id) and ``group``
