@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
 import functools
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DOC_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -18,28 +20,57 @@ DOC_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where it is unset (a single machine, as in tests) a new temporary folder is chosen and set.
+    Where it is unset on a single machine, as in tests, a new temporary folder is chosen and set;
+    on a cluster, whose machines share no such folder, that is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         if found.isDefined():
             return found.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path
 
 
+def free_name(name: str, taken: Iterable[str]) -> str:
+    """The name, with underscores in front until no column has it."""
+    taken = {c.lower() for c in taken}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+_folders: dict[str, SparkSession] = {}
+
+
+@atexit.register
+def _tidy() -> None:
+    """Removes the folders that lazily read results still needed, when the program ends before its session."""
+    for path, spark in _folders.items():
+        if spark.sparkContext._jsc is not None:
+            _remove(spark, path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 class Workspace:
     """Tables written once in the shared folder, so that lost executors cost no recomputation.
 
-    Each use has a folder of its own; ``drop`` removes a table that nothing reads any more.
+    Each use has a folder of its own; ``drop`` removes a table that nothing reads any more, and
+    what is left goes when the program ends.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
         self._n = 0
+        _folders[self.root] = spark
 
     def write(self, df: DataFrame, small: bool = False) -> DataFrame:
         """The table, read back; ``small`` ones, of a few numbers a row, get two files a core at most."""
@@ -61,18 +92,15 @@ class Workspace:
         """Writes a result and removes all other tables."""
         hold = Workspace(self.spark, "result")
         out = hold.write(df)
-        self._remove(self.root)
+        _remove(self.spark, self.root)
+        _folders.pop(self.root, None)
         return out
 
-    def _remove(self, path: str) -> None:
-        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
-
     def drop(self, *tables: DataFrame | None) -> None:
         for t in tables:
             path = getattr(t, "_tidemark_path", None)
             if path:
-                self._remove(path)
+                _remove(self.spark, path)
 
 
 def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,19 +124,15 @@ def bitmap_slots(x: np.ndarray, log_bits: int) -> np.ndarray:
 def bitmap(df: DataFrame, column: str, log_bits: int) -> np.ndarray:
     """A bitmap of the values' slots as uint8 bytes: 2**(log_bits - 3) bytes, whatever the rows are.
 
-    A value whose bit is not set is surely absent; a set bit may be another value's.
+    A value whose bit is not set is surely absent; a set bit may be another value's. The driver
+    gets blocks of 4096 bytes, one at a time.
     """
     slot = F.pmod(F.col(column), F.lit(bitmap_size(log_bits)))
-    rows = (
-        df.filter(F.col(column).isNotNull())
-        .select((slot / 32).cast("long").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 32).cast("int")).alias("m"))
-        .groupBy("w")
-        .agg(F.bit_or("m").alias("m"))
-        .toPandas()
-    )
-    out = np.zeros(1 << (log_bits - 5), np.uint32)
-    out[rows["w"].to_numpy(np.int64)] = rows["m"].to_numpy(np.int64).astype(np.uint32)
-    return out.view(np.uint8)
+    blocks = df.filter(F.col(column).isNotNull()).select(F.shiftright(slot, 15).alias("w"), slot.bitwiseAND(F.lit(32767)).alias("b"))
+    out = np.zeros(max((1 << log_bits) >> 15, 1) * 4096, np.uint8)
+    for r in blocks.groupBy("w").agg(F.bitmap_construct_agg("b").alias("m")).toLocalIterator():
+        out[r["w"] * 4096 : (r["w"] + 1) * 4096] = np.frombuffer(r["m"], np.uint8)
+    return out
 
 
 def in_bitmap(bits: np.ndarray, x: np.ndarray, log_bits: int) -> np.ndarray:
@@ -121,26 +145,32 @@ def bitmap_bits(values: int, least: int = 16, most: int = 28) -> int:
     return int(min(max(np.ceil(np.log2(max(values, 1) * 16)), least), most))
 
 
-def without(docs: DataFrame, ids: DataFrame, repeated: DataFrame | None = None) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is not in ``ids(doc_id)``; of rows with an id in ``repeated`` one stays.
+def without(docs: DataFrame, gone: DataFrame, key: Column, repeated: DataFrame | None = None) -> DataFrame:
+    """The rows of ``docs`` whose ``key``, a long, is not in ``gone(key)``; of rows with one key of ``repeated(key)`` one stays.
 
     A bitmap of bounded size tells which rows may be concerned. Only these, and not the texts of
-    all others, meet the ids in a shuffle; of rows with the same id the smallest text stays.
+    all others, meet the keys in a shuffle. Of rows with the same key the smallest stays; rows
+    whose key is null all stay.
     """
-    asked = ids if repeated is None else ids.union(repeated)
+    asked = gone if repeated is None else gone.union(repeated)
     log_bits = bitmap_bits(4 * asked.count())
-    bits = bitmap(asked, "doc_id", log_bits)
+    bits = bitmap(asked, "key", log_bits)
+    own, mark = (free_name(x, docs.columns) for x in ("key", "concerned"))
 
     @F.pandas_udf("boolean")
-    def may_go(x: pd.Series) -> pd.Series:
+    def concerned(x: pd.Series) -> pd.Series:
         return pd.Series(in_bitmap(bits, x.fillna(0).to_numpy(np.int64), log_bits) & x.notna().to_numpy())
 
-    marked = docs.withColumn("_may_go", may_go(F.col("doc_id").cast("long")))
-    left = marked.filter("_may_go").join(ids, "doc_id", "left_anti")
+    marked = docs.withColumn(own, key.cast("long")).withColumn(mark, concerned(F.col(own)))
+    left = marked.filter(mark).drop(mark).join(gone.select(F.col("key").alias(own)), own, "left_anti")
     if repeated is not None:
-        same = Window.partitionBy("doc_id").orderBy(*[c for c in docs.columns if c != "doc_id"])
-        left = left.withColumn("_nth", F.row_number().over(same)).filter("_nth = 1").drop("_nth")
-    return marked.filter("not _may_go").unionByName(left).drop("_may_go").select(*docs.columns)
+        again = repeated.select(F.col("key").alias(own)).distinct()
+        # Equal rows combine before the shuffle, however many there are.
+        ordered = [c for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"]
+        row = F.struct(*docs.columns)
+        one = left.join(again, own, "left_semi").groupBy(own).agg(F.min_by(row, F.struct(*ordered)).alias("r")).select("r.*")
+        left = left.join(again, own, "left_anti").select(*docs.columns).unionByName(one)
+    return marked.filter(f"not `{mark}`").select(*docs.columns).unionByName(left.select(*docs.columns))
 
 
 def components(edges: DataFrame, ws: Workspace, rounds: int | None = None) -> DataFrame:

@@ -166,7 +166,7 @@ def contained_items(docs: DataFrame, items: DataFrame, *, percent: int = 75) ->
 
 def decontaminate(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """The rows of ``docs``, with all their columns, that hold no test item; rows without a doc_id stay."""
-    return without(docs, contained_items(docs, items, **options).select("doc_id").distinct())
+    return without(docs, contained_items(docs, items, **options).select(F.col("doc_id").alias("key")).distinct(), F.col("doc_id"))
 
 
 def op1_contained_items(spark: SparkSession, sf_dir: str) -> DataFrame:

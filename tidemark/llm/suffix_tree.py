@@ -4,39 +4,48 @@ A context of up to ``depth`` words is grown level by level: every word sequence
 ``least`` times or more in training is counted, whatever the corpus is. Both parts of such a
 sequence occur as often one level lower, so bitmaps of bounded size of the level below keep most
 others out of the shuffle; a bit set by chance costs a row, never a result. Counts cover all
-training texts; tasks combine before the shuffle. A context stays in the tree if its next-word
-distribution diverges from that of its suffix: the log-likelihood gained must exceed the
-description length of its transitions. Smoothing is absolute discounting towards the longest
-retained suffix, down to the smoothed unigram distribution. A text's score follows the longest
-retained suffix of what came before each word.
+training texts. A context stays in the tree if its next-word distribution diverges from that of
+its suffix: the log-likelihood gained must exceed the description length of its transitions.
+Smoothing is absolute discounting towards the longest retained suffix, down to the smoothed
+unigram distribution. A text's score follows the longest retained suffix of what came before each
+word.
+
+Texts become word hashes once. Sequences are counted and looked up in numpy: a task sends each
+reducer blocks of keys and counts as byte columns, and a reducer sorts what it gets. One share of
+the keys goes through the shuffle at a time, so that the disk it takes is a part of the table.
 
 The levels are tables, built by joins. What a sequence adds to a text's score is one number: as a
 transition the log of its probability over that of its suffix, and as a context the log of the
 mass it passes on. A text's score is the sum over all its sequences. The sequences of ``cache_share``
 of all tokens or more (at most ``1 / cache_share`` a level) are broadcast; all others meet the
-texts in a shuffle join, a part of the keys at a time.
+texts in the shuffle.
 
-Words are 64-bit hashes. Frequent words (``word_share`` of all tokens or more, a proven bound of
-``1 / word_share`` entries) are broadcast; the counts of all others come from a shuffle join.
+Words are 48-bit hashes, sequences 64-bit ones. Frequent words (``word_share`` of all tokens or
+more, a proven bound of ``1 / word_share`` entries) are broadcast; the counts of all others come
+from a shuffle join.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, bitmap_bits, bitmap_size, in_bitmap, read_documents
-from .text import chunks, mix64, row_sums, words
+from .common import Workspace, bitmap, bitmap_bits, in_bitmap, read_documents
+from .text import binary_column, chunks, mix64, row_sums, string_buffers, words
 
-END = np.uint64(0x51ED270B35A1B2C7)
+_U = np.uint64
+_WORD_BYTES = 6
+_WORD_MASK = _U((1 << 48) - 1)
+END = _U(0x51ED270B35A1B2C7) & _WORD_MASK
 DISCOUNT = 0.5
-#: Parts of the key space that the lookups of a scoring go through one after the other, for less disk at a time.
+#: Parts of the key space that go through a shuffle one after the other, for less disk at a time.
 SLICES = 4
-_U = np.uint64
+#: Keys that a reducer sorts, about, and blocks of keys it gets from each flush of a task.
+TASK_KEYS, BLOCKS = 1 << 20, 4
 _PAIR = _U(0xD6E8FEB86659FD93)
 
 
@@ -73,10 +82,24 @@ class HashIndex:
         return out
 
 
-def _tokens(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes of every row followed by the end token, and row offsets."""
-    w = words(buf, offs)
-    return np.insert(w.hashes(), w.offs[1:], END), w.offs + np.arange(w.offs.size)
+def _tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text's word hashes, six bytes a word, followed by the end token."""
+    for batch in batches:
+        for lo, hi, buf, offs in chunks(batch.column(2)):
+            w = words(buf, offs)
+            x = np.insert(w.hashes() & _WORD_MASK, w.offs[1:], END)
+            packed = np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :_WORD_BYTES]).reshape(-1)
+            at = w.offs + np.arange(w.offs.size)
+            out = [batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), binary_column(packed, at * _WORD_BYTES)]
+            yield pa.RecordBatch.from_arrays(out, names=["doc_id", "held_out", "tokens"])
+
+
+def _tokens(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, word hashes, row offsets) for runs of whole rows."""
+    for lo, hi, buf, offs in chunks(column):
+        wide = np.zeros((buf.size // _WORD_BYTES, 8), np.uint8)
+        wide[:, :_WORD_BYTES] = buf.reshape(-1, _WORD_BYTES)
+        yield lo, hi, wide.view(np.uint64).ravel(), offs // _WORD_BYTES
 
 
 def _join(c: np.ndarray, t: np.ndarray) -> np.ndarray:
@@ -97,8 +120,8 @@ def _sequences(x: np.ndarray, offs: np.ndarray, most: int) -> Iterator[tuple[np.
 class _Counter:
     """Adds up keys, and keeps one value of each further column a key; what exceeds ``most`` distinct ones is handed on early."""
 
-    def __init__(self, names: list[str], most: int = 1 << 20):
-        self.names, self.most, self.parts, self.size = names, most, [], 0
+    def __init__(self, emit: Callable[..., Iterator[pa.RecordBatch]], most: int = 1 << 20):
+        self.emit, self.most, self.parts, self.size = emit, most, [], 0
 
     def add(self, keys: np.ndarray, *more: np.ndarray) -> Iterator[pa.RecordBatch]:
         k, at, n = np.unique(keys, return_index=True, return_counts=True)
@@ -118,35 +141,56 @@ class _Counter:
 
     def flush(self) -> Iterator[pa.RecordBatch]:
         self._merge()
-        for k, n, *more in self.parts:
-            columns = [*(x.view(np.int64) for x in more or [k]), n]
-            for lo in range(0, k.size, 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(x[lo : lo + (1 << 16)]) for x in columns], names=self.names)
+        for part in self.parts:
+            yield from self.emit(*part)
         self.parts, self.size = [], 0
 
 
+def _rows(names: list[str], *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for lo in range(0, columns[0].size, 1 << 16):
+        yield pa.RecordBatch.from_arrays([pa.array(x[lo : lo + (1 << 16)]) for x in columns], names=names)
+
+
+def _deal(keys: np.ndarray, parts: int, names: list[str], *columns: np.ndarray) -> pa.RecordBatch:
+    """A row for each part of the key space that occurs: its number, and the columns' values of its keys as bytes."""
+    part = ((keys >> _U(32)) * _U(parts) >> _U(32)).astype(np.int32)
+    order = np.argsort(part, kind="stable")
+    cuts = np.searchsorted(part[order], np.arange(parts + 1))
+    some = np.flatnonzero(np.diff(cuts))
+    offs = np.append(cuts[some], keys.size)
+    return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *(binary_column(x[order], offs) for x in columns)], names=["p", *names])
+
+
+def _values(blocks: list[pa.Array], kind: type) -> np.ndarray:
+    """All values of some columns of blocks, one after the other."""
+    return np.concatenate([np.zeros(0, kind), *(np.frombuffer(string_buffers(b)[0].tobytes(), kind) for b in blocks)])
+
+
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = _Counter(["h", "n"])
+    total = _Counter(lambda k, n: _rows(["h", "n"], k.view(np.int64), n))
     for batch in batches:
-        for _, _, buf, offs in chunks(batch.column(0)):
-            yield from total.add(_tokens(buf, offs)[0])
+        for _, _, x, _ in _tokens(batch.column(0)):
+            yield from total.add(x)
     yield from total.flush()
 
 
-def _count_sequences(shared, length: int):
-    """Counts of the sequences of some words, by their first and last part, where both may be in the level below."""
+def _count_sequences(shared, length: int, slice_no: int, parts: int):
+    """Blocks of the sequences of some words with their counts, where both parts may be in the level below."""
+
+    def emit(k, n, c, t):
+        yield _deal(k, parts, ["c", "t", "n"], c, t, n.astype(np.uint32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, log_bits = shared.value
-        total = _Counter(["c", "t", "n"])
+        total = _Counter(emit)
         for batch in batches:
-            for _, _, buf, offs in chunks(batch.column(0)):
-                x, at = _tokens(buf, offs)
+            for _, _, x, at in _tokens(batch.column(0)):
                 *_, (h, inside) = _sequences(x, at, length - 1)
-                may = inside & in_bitmap(bits, h, log_bits)
-                first = np.zeros(x.size, bool)
-                first[at[:-1]] = True
-                ok = np.flatnonzero(may[1:] & may[:-1] & ~first[1:]) + 1
+                inside[at[:-1]] = False
+                inside[1:] &= h[1:] % _U(SLICES) == slice_no
+                ok = np.flatnonzero(inside[1:] & (np.arange(1, x.size) - np.repeat(at[:-1], np.diff(at))[1:] >= length - 1)) + 1
+                ok = ok[in_bitmap(bits, h[ok], log_bits)]
+                ok = ok[in_bitmap(bits, h[ok - 1], log_bits)]
                 c, t = h[ok - 1], h[ok]
                 yield from total.add(_join(c, t), c, t)
         yield from total.flush()
@@ -154,61 +198,35 @@ def _count_sequences(shared, length: int):
     return run
 
 
-def _bitmap(df: DataFrame, log_bits: int) -> np.ndarray:
-    """The bitmap of column s, collected as blocks of 4096 bytes: far less for the driver than a row for each word of bits."""
-    slot = F.pmod(F.col("s"), F.lit(bitmap_size(log_bits)))
-    blocks = df.select(F.shiftright(slot, 15).alias("w"), slot.bitwiseAND(F.lit(32767)).alias("b")).groupBy("w").agg(F.bitmap_construct_agg("b").alias("m"))
-    out = np.zeros(max((1 << log_bits) >> 15, 1) * 4096, np.uint8)
-    for r in blocks.toLocalIterator():
-        out[r["w"] * 4096 : (r["w"] + 1) * 4096] = np.frombuffer(r["m"], np.uint8)
-    return out
+def _counted(least: int):
+    """The sequences of a reducer's blocks that occur often enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [b for b in batches if b.num_rows]
+        c, t, n = (_values([b.column(i) for b in got], kind) for i, kind in ((1, np.uint64), (2, np.uint64), (3, np.uint32)))
+        if c.size:
+            s = _join(c, t)
+            order = np.argsort(s)
+            s = s[order]
+            first = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
+            n = np.add.reduceat(n[order].astype(np.int64), first)
+            often = n >= least
+            at = order[first[often]]
+            yield from _rows(["s", "c", "t", "n"], *(x.view(np.int64) for x in (s[first[often]], c[at], t[at])), n[often])
 
+    return run
 
-def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        c, t = (batch.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in (0, 1))
-        yield pa.RecordBatch.from_arrays([pa.array(_join(c, t).view(np.int64)), *batch.columns], names=["s", *batch.schema.names])
-
-
-class _Model:
-    """The suffix tree in memory, which the tables of ``_tree`` are held against: frequent words with their counts, and per level its sequences' keys, discounted
-    probabilities, and for the contexts that precede them whether they stay and what mass they pass on."""
-
-    def __init__(self, words: np.ndarray, counts: np.ndarray, ranks: np.ndarray, n: int, v: int):
-        self.words, self.counts, self.ranks, self.n, self.v = words, counts, ranks, n, v
-        self.keys: list[np.ndarray] = []
-        self.found: list[np.ndarray] = []
-        self.own: list[np.ndarray] = []
-        self.stays: list[np.ndarray] = []
-        self.rest: list[np.ndarray] = []
-        self._suffix: list[np.ndarray] = []
-        self._smooth: list[np.ndarray] = []
-
-    @property
-    def floor(self) -> float:
-        return self.n + 0.1 * (self.v + 1)
-
-    def grow(self, keys: np.ndarray, found: np.ndarray) -> None:
-        """Adds the level of the kept sequences, and decides which of their contexts stay."""
-        order = np.argsort(keys)
-        keys, found = keys[order], found[order].astype(np.float64)
-        ctx, nxt = (keys >> _U(32)).astype(np.int64), (keys & _U(0xFFFFFFFF)).astype(np.int64)
-        by_rank = np.zeros(int(self.ranks.max(initial=-1)) + 1)
-        by_rank[self.ranks[self.ranks >= 0]] = self.counts[self.ranks >= 0]
-        if not self.keys:
-            suffix, below, ctx_count = nxt, (by_rank[nxt] + 0.1) / self.floor, by_rank
-        else:
-            above = self._suffix[-1][ctx]
-            suffix = np.searchsorted(self.keys[-1], (above.astype(np.uint64) << _U(32)) | nxt.astype(np.uint64))
-            below, ctx_count = self._smooth[-1][suffix], self.found[-1]
-        own = np.maximum(found - DISCOUNT, 0) / np.maximum(ctx_count[ctx], 1)
-        rest = 1 - np.bincount(ctx, weights=own, minlength=ctx_count.size)
-        gain = np.bincount(ctx, weights=found * np.log((own + rest[ctx] * below) / below), minlength=ctx_count.size)
-        gain += (ctx_count - np.bincount(ctx, weights=found, minlength=ctx_count.size)) * np.log(np.maximum(rest, 1e-12))
-        stays = gain > 0.5 * np.log(max(self.n, 2)) * np.maximum(np.bincount(ctx, minlength=ctx_count.size), 1)
-        smooth = np.where(stays[ctx], own + rest[ctx] * below, below)
-        for name, x in (("keys", keys), ("found", found), ("own", own), ("stays", stays), ("rest", rest), ("_suffix", suffix), ("_smooth", smooth)):
-            getattr(self, name).append(x)
+
+def _where(shared, column: int, hit: bool):
+    """The rows whose value may be in the bitmap, or those whose value is not."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, log_bits = shared.value
+        for batch in batches:
+            x = batch.column(column).to_numpy(zero_copy_only=False)
+            yield batch.filter(pa.array(in_bitmap(bits, x, log_bits) == hit))
+
+    return run
 
 
 def _score(shared):
@@ -218,8 +236,7 @@ def _score(shared):
         keys, counts, floor, seq, value, _, _, most = shared.value
         index, cache = HashIndex(keys), HashIndex(seq)
         for batch in batches:
-            for lo, hi, buf, offs in chunks(batch.column(3)):
-                x, at = _tokens(buf, offs)
+            for lo, hi, x, at in _tokens(batch.column(3)):
                 word = index.find(x)
                 known = word >= 0
                 p = np.log10(np.where(known, (counts[word] + 0.1) / floor, 1.0) if keys.size else np.ones(x.size))
@@ -244,77 +261,156 @@ def _score(shared):
     return run
 
 
-def _lookups(shared, part: int):
-    """(row, sequence) of one part of the sequences that are not broadcast but may be in the tree."""
+def _asked(shared, slice_no: int, parts: int):
+    """Blocks of (sequence, row) of one slice of the sequences that are not broadcast but may be in the tree."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         *_, seq, _, bits, log_bits, most = shared.value
         cache = HashIndex(seq)
         for batch in batches:
             rid = batch.column(0).to_numpy(zero_copy_only=False)
-            for lo, hi, buf, offs in chunks(batch.column(1)):
-                x, at = _tokens(buf, offs)
+            for lo, hi, x, at in _tokens(batch.column(1)):
                 row = np.repeat(rid[lo:hi], np.diff(at))
+                keys, rows = [], []
                 for h, inside in _sequences(x, at, most):
-                    ok = np.flatnonzero(inside & (h % _U(SLICES) == part))
+                    ok = np.flatnonzero(inside & (h % _U(SLICES) == slice_no))
                     ok = ok[in_bitmap(bits, h[ok], log_bits)]
                     ok = ok[cache.find(h[ok]) < 0]
-                    yield pa.RecordBatch.from_arrays([pa.array(row[ok]), pa.array(h[ok].view(np.int64))], names=["rid", "s"])
+                    keys.append(h[ok])
+                    rows.append(row[ok])
+                keys, rows = np.concatenate(keys), np.concatenate(rows)
+                out = _deal(keys, parts, ["k", "r"], keys, rows)
+                yield pa.RecordBatch.from_arrays([*out.columns, pa.nulls(out.num_rows, pa.binary())], names=["p", "k", "r", "v"])
+
+    return run
+
+
+def _told(parts: int):
+    """The tree's rows (sequence, value) as blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            s, v = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            p, k, v = _deal(s.view(np.uint64), parts, ["k", "v"], s, v).columns
+            yield pa.RecordBatch.from_arrays([p, k, pa.nulls(len(p), pa.binary()), v], names=["p", "k", "r", "v"])
 
     return run
 
 
+def _found(parts: int):
+    """Blocks of (row, sum of the values of its sequences) from a reducer's questions and values."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [b for b in batches if b.num_rows]
+        told, asked = ([b.filter(b.column(i).is_valid()) for b in got] for i in (3, 2))
+        s, v = _values([b.column(1) for b in told], np.uint64), _values([b.column(3) for b in told], np.float64)
+        k, r = _values([b.column(1) for b in asked], np.uint64), _values([b.column(2) for b in asked], np.int64)
+        if s.size and k.size:
+            order = np.argsort(s)
+            s, v = s[order], v[order]
+            at = np.minimum(np.searchsorted(s, k), s.size - 1)
+            hit = s[at] == k
+            rows, back = np.unique(r[hit], return_inverse=True)
+            sums = np.bincount(back, weights=v[at[hit]], minlength=rows.size)
+            yield _deal(mix64(rows.view(np.uint64).copy()), parts, ["r", "v"], rows, sums)
+
+    return run
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, sum) over a reducer's blocks."""
+    got = [b for b in batches if b.num_rows]
+    rows, back = np.unique(_values([b.column(1) for b in got], np.int64), return_inverse=True)
+    yield from _rows(["rid", "v"], rows, np.bincount(back, weights=_values([b.column(2) for b in got], np.float64), minlength=rows.size))
+
+
 def _tree(train: DataFrame, vocab: DataFrame, total: int, floor: float, depth: int, least: int, ws: Workspace) -> DataFrame:
     """``(s, n, v)``: what each sequence of the tree adds to the log10 probability of a text, and how often it occurs."""
     spark = train.sparkSession
+    tasks = _reducers(spark, total / SLICES)
     lower = vocab.filter(F.col("n") >= least).select(F.col("h").alias("s"), "n", ((F.col("n") + 0.1) / floor).alias("smooth"))
-    parts = []
+    #: Description length of a transition in nats.
+    cost = 0.5 * float(np.log(max(total, 2)))
+    parts, levels = [], []
     for length in range(2, depth + 2):
         log_bits = bitmap_bits(lower.count())
-        shared = spark.sparkContext.broadcast((_bitmap(lower, log_bits), log_bits))
-        counted = train.mapInArrow(_count_sequences(shared, length), "c long, t long, n long").groupBy("c", "t").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-        level = ws.write(counted.mapInArrow(_keyed, "s long, c long, t long, n long"))
+        shared = spark.sparkContext.broadcast((bitmap(lower, "s", log_bits), log_bits))
+        level = []
+        for i in range(SLICES):
+            blocks = train.mapInArrow(_count_sequences(shared, length, i, BLOCKS * tasks), "p int, c binary, t binary, n binary").repartition(tasks, "p")
+            counted = blocks.mapInArrow(_counted(least), "s long, c long, t long, n long")
+            suffix = lower.filter(F.pmod("s", F.lit(SLICES)) == i).select(F.col("s").alias("t"), F.col("smooth").alias("below"))
+            level.append(ws.write(counted.join(suffix, "t").select("s", "c", "n", "below")))
+            ws.release()
         shared.destroy()
-        ws.release()
-        seen = level.groupBy("c").agg(F.sum("n").alias("seen"), F.count("*").alias("kids")).join(lower.select(F.col("s").alias("c"), F.col("n").alias("m")), "c")
-        seen = seen.withColumn("rest", 1 - (F.col("seen") - DISCOUNT * F.col("kids")) / F.col("m"))
-        x = level.join(lower.select(F.col("s").alias("t"), F.col("smooth").alias("below")), "t").join(seen, "c")
-        x = x.withColumn("near", (F.col("n") - DISCOUNT) / F.col("m") + F.col("rest") * F.col("below"))
-        x = ws.write(x.select("s", "c", "n", "below", "near", "rest", "m", "seen", "kids"))
-        gain = x.groupBy("c", "m", "seen", "kids", "rest").agg(F.sum(F.col("n") * F.log(F.col("near") / F.col("below"))).alias("g"))
+        x = level[0]
+        for part in level[1:]:
+            x = x.union(part)
+        # As no probability exceeds one, a context gains nothing unless one of its transitions could alone pay for itself.
+        worth = x.filter(F.col("n") * -F.log("below") > cost).select(F.col("c").alias("s"))
+        log_bits = bitmap_bits(worth.count())
+        shared = spark.sparkContext.broadcast((bitmap(worth, "s", log_bits), log_bits))
+        kind = "s long, c long, n long, below double"
+        may = x.mapInArrow(_where(shared, 1, True), kind)
+        seen = may.groupBy("c").agg(F.sum("n").alias("seen"), F.count("*").alias("kids")).join(lower.select(F.col("s").alias("c"), F.col("n").alias("m")), "c")
+        seen = ws.write(seen.withColumn("rest", 1 - (F.col("seen") - DISCOUNT * F.col("kids")) / F.col("m")))
+        near = (F.col("n") - DISCOUNT) / F.col("m") + F.col("rest") * F.col("below")
+        gain = may.join(seen, "c").groupBy("c", "m", "seen", "kids", "rest").agg(F.sum(F.col("n") * F.log(near / F.col("below"))).alias("g"))
         gain = gain.withColumn("g", F.col("g") + (F.col("m") - F.col("seen")) * F.log("rest"))
-        stays = ws.write(gain.filter(F.col("g") > 0.5 * float(np.log(max(total, 2))) * F.col("kids")).select("c", "m", F.log10("rest").alias("v")))
-        on = x.select("s", "c", "n", "below", "near").join(stays.select("c", F.col("v").alias("passed")), "c", "left")
-        smooth = F.when(F.col("passed").isNull(), F.col("below")).otherwise(F.col("near"))
-        nxt = ws.write(on.select("s", "n", smooth.alias("smooth"), (F.log10(F.col("near") / F.col("below")) - F.col("passed")).alias("v")))
-        ws.drop(level, x)
+        stays = ws.write(gain.filter(F.col("g") > cost * F.col("kids")).select("c", "m", "rest"))
+        ws.drop(seen)
+        last = length == depth + 1
+        on = may.join(stays, "c", "inner" if last else "left")
+        nxt = on.select("s", "n", F.when(F.col("m").isNull(), F.col("below")).otherwise(near).alias("smooth"), (F.log10(near / F.col("below")) - F.log10("rest")).alias("v"))
+        if not last:
+            nxt = nxt.union(x.mapInArrow(_where(shared, 1, False), kind).select("s", "n", F.col("below").alias("smooth"), F.lit(None).cast("double").alias("v")))
+        nxt = ws.write(nxt)
+        shared.destroy()
+        ws.drop(*level)
         ws.release()
-        parts += [nxt.filter("v is not null").select("s", "n", "v"), stays.select(F.col("c").alias("s"), F.col("m").alias("n"), "v")]
+        levels += [nxt, stays]
+        parts += [nxt.filter("v is not null").select("s", "n", "v"), stays.select(F.col("c").alias("s"), F.col("m").alias("n"), F.log10("rest").alias("v"))]
         lower = nxt.select("s", "n", "smooth")
     out = parts[0]
     for p in parts[1:]:
         out = out.union(p)
-    return ws.write(out.groupBy("s").agg(F.max("n").alias("n"), F.sum("v").alias("v")))
+    out = ws.write(out.groupBy("s").agg(F.max("n").alias("n"), F.sum("v").alias("v")))
+    ws.drop(*levels)
+    ws.release()
+    return out
+
+
+def _reducers(spark: SparkSession, keys: float) -> int:
+    """Reducers for about this many keys; blocks are numbered by 32 bits of a key."""
+    return int(min(max(keys / TASK_KEYS, spark.sparkContext.defaultParallelism), 1 << 24))
 
 
 def score_texts(docs: DataFrame, held_out: Column, *, depth: int = 3, least: int = 2, cache_share: float = 5e-6, word_share: float = 4e-7) -> DataFrame:
     """Scores every whole text under a suffix tree learned from the rows that are not held out.
 
+    Args:
+        docs: a frame with ``doc_id`` and ``text``; other columns are only seen by ``held_out``.
+        held_out: rows that do not train.
+        depth: words of the longest context.
+        least: training occurrences from which a sequence takes part, however large the table is;
+            1 takes all.
+        cache_share, word_share: only say what is broadcast, and change no result.
+
     One row per input row: ``doc_id``, ``held_out``, ``n_tokens`` (words and one end),
     ``n_known`` (tokens that occur in training), ``train_tokens``, ``base_score`` (log10
-    probability under smoothed unigrams) and ``score`` (under the tree). Sequences of ``least``
-    training occurrences or more make the tree, however large the table is; ``cache_share`` and
-    ``word_share`` only say what is broadcast. Null texts count as empty: their only token is the
-    end. Where a null doc_id makes ``held_out`` unknown, the row trains. Repeated rows train as
-    often as they occur. Without training rows every token has the uniform probability of the
-    smoothing.
+    probability under smoothed unigrams) and ``score`` (under the tree). Null texts count as
+    empty: their only token is the end. Where a null doc_id makes ``held_out`` unknown, the row
+    trains. Repeated rows train as often as they occur. Without training rows every token has the
+    probability of the smoothing, which is 1. Words are equal if 48-bit hashes of them are: of ten
+    million different words two agree with a chance of about a sixth.
     """
     spark = docs.sparkSession
     ws = Workspace(spark, "suffix-tree")
+    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(held_out, F.lit(False)).alias("held_out"), "text")
+    rows = rows.mapInArrow(_tokenise, "doc_id long, held_out boolean, tokens binary")
     # Read several times, with the same number for each row.
-    docs = docs.select(F.col("doc_id").cast("long"), F.coalesce(held_out, F.lit(False)).alias("held_out"), "text")
-    docs = ws.write(docs.withColumn("rid", F.monotonically_increasing_id())).select("rid", "doc_id", "held_out", "text")
-    train = docs.filter("not held_out").select("text")
+    rows = ws.write(rows.withColumn("rid", F.monotonically_increasing_id())).select("rid", "doc_id", "held_out", "tokens")
+    train = rows.filter("not held_out").select("tokens")
     vocab = ws.write(train.mapInArrow(_count_words, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")))
     total, distinct = vocab.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     floor = total + 0.1 * (distinct + 1)
@@ -323,33 +419,35 @@ def score_texts(docs: DataFrame, held_out: Column, *, depth: int = 3, least: int
     often = F.col("n") >= max(cache_share * total, 1)
     cache, light = tree.filter(often).toPandas(), tree.filter(~often).select("s", "v")
     log_bits = bitmap_bits(light.count())
-    bits = _bitmap(light, log_bits)
+    bits = bitmap(light, "s", log_bits)
     keys = [x.to_numpy(np.int64).view(np.uint64) for x in (common["h"], cache["s"])]
     shared = spark.sparkContext.broadcast((keys[0], common["n"].to_numpy(np.int64), floor, keys[1], cache["v"].to_numpy(np.float64), bits, log_bits, depth + 1))
-    scored = ws.write(docs.mapInArrow(_score(shared), "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<long>"))
-    sums = []
-    for part in range(SLICES):
-        asked = docs.select("rid", "text").mapInArrow(_lookups(shared, part), "rid long, s long")
-        own = light.filter(F.pmod("s", F.lit(SLICES)) == part).hint("shuffle_hash")
-        sums.append(ws.write(asked.join(own, "s").groupBy("rid").agg(F.sum("v").alias("v"))))
+    scored = ws.write(rows.mapInArrow(_score(shared), "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<long>"))
+    tasks = _reducers(spark, scored.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0] / SLICES)
+    more = None
+    for i in range(SLICES):
+        blocks = rows.select("rid", "tokens").mapInArrow(_asked(shared, i, BLOCKS * tasks), "p int, k binary, r binary, v binary")
+        blocks = blocks.union(light.filter(F.pmod("s", F.lit(SLICES)) == i).mapInArrow(_told(BLOCKS * tasks), "p int, k binary, r binary, v binary")).repartition(tasks, "p")
+        sums = blocks.mapInArrow(_found(BLOCKS * tasks), "p int, r binary, v binary").repartition(tasks, "p")
+        sums = ws.write(sums.mapInArrow(_summed, "rid long, v double"))
         ws.release()
-    more = sums[0]
-    for x in sums[1:]:
-        more = more.union(x)
+        more = sums if more is None else more.union(sums)
     more = more.groupBy("rid").agg(F.sum("v").alias("v"))
     rare = scored.select("rid", F.explode("rare").alias("h"))
     seen = rare.join(vocab.filter(F.col("n") < max(word_share * total, 1)), "h", "left")
     log_p = F.log10((F.coalesce("n", F.lit(0)) + 0.1) / F.lit(floor))
     extra = seen.groupBy("rid").agg(F.count("n").alias("k"), F.sum(log_p).alias("s"))
     out = scored.drop("rare").join(extra, "rid", "left").join(more, "rid", "left")
-    return out.select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        (F.col("n_known") + F.coalesce("k", F.lit(0))).alias("n_known"),
-        F.lit(int(total)).cast("long").alias("train_tokens"),
-        (F.col("base_score") + F.coalesce("s", F.lit(0.0))).alias("base_score"),
-        (F.col("score") + F.coalesce("s", F.lit(0.0)) + F.coalesce("v", F.lit(0.0))).alias("score"),
+    return ws.keep(
+        out.select(
+            "doc_id",
+            "held_out",
+            "n_tokens",
+            (F.col("n_known") + F.coalesce("k", F.lit(0))).alias("n_known"),
+            F.lit(int(total)).cast("long").alias("train_tokens"),
+            (F.col("base_score") + F.coalesce("s", F.lit(0.0))).alias("base_score"),
+            (F.col("score") + F.coalesce("s", F.lit(0.0)) + F.coalesce("v", F.lit(0.0))).alias("score"),
+        )
     )
 
 

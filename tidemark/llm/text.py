@@ -61,11 +61,11 @@ def _grow(n: int) -> None:
 
 
 def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes and row offsets (one more than rows) of a string column, without a copy; nulls are empty."""
+    """Bytes and row offsets (one more than rows) of a string or binary column, without a copy; nulls are empty."""
     if column.null_count:
-        column = column.fill_null("")
-    wide = pa.types.is_large_string(column.type)
-    if not wide and not pa.types.is_string(column.type):
+        column = column.fill_null(b"" if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type) else "")
+    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
+    if not wide and not pa.types.is_string(column.type) and not pa.types.is_binary(column.type):
         column, wide = column.cast(pa.large_string()), True
     _, offsets, data = column.buffers()
     if len(column) == 0 or offsets is None:
