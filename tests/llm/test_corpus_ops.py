@@ -106,9 +106,10 @@ def test_components_bitmaps_and_without(spark):
     values = np.array([5, -7, 1 << 40, (1 << 33) + 5], np.int64)
     bits = bitmap(spark.createDataFrame([(int(v),) for v in values], "x long"), "x", 16)
     assert in_bitmap(bits, values, 16).all() and in_bitmap(bits, np.arange(1000, 2000), 16).sum() < 10
-    df = spark.createDataFrame([(1, "a"), (2, "b"), (2, "a"), (3, "c"), (None, "d")], "doc_id long, text string")
-    out = without(df, spark.createDataFrame([(3,)], "doc_id long"), spark.createDataFrame([(2,)], "doc_id long"))
-    assert sorted(map(tuple, out.collect()), key=str) == [(1, "a"), (2, "a"), (None, "d")]
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (2, "a"), (3, "c"), (None, "d")], "doc_id long, text string").withColumns({"key": F.lit(1), "concerned": F.lit(True), "_key": F.create_map(F.lit(1), F.lit(2))})
+    out = without(df, spark.createDataFrame([(3,)], "key long"), F.col("doc_id"), spark.createDataFrame([(2,)], "key long"))
+    assert out.columns == df.columns
+    assert sorted(map(tuple, out.select("doc_id", "text").collect()), key=str) == [(1, "a"), (2, "a"), (None, "d")]
 
 
 def test_contained_items_equal_brute_force(spark, docs, corpus):
@@ -171,22 +172,20 @@ def test_suffix_tree_prefers_what_follows_a_context(spark):
     assert got[1002]["score"] > got[1002]["base_score"]
 
 
-def test_suffix_tree_mass_is_one():
+def test_hash_index():
     import numpy as np
 
     words = np.arange(4, dtype=np.uint64) + np.uint64(9)
-    m = suffix_tree._Model(words, np.array([50, 30, 20, 10]), np.arange(4), 110, 4)
-    key = lambda pairs: np.array([(a << 32) | b for a, b in pairs], np.uint64)
-    m.grow(key([(0, 1), (0, 2), (1, 0)]), np.array([30, 15, 25]))
-    m.grow(key([(0, 0), (2, 1)]), np.array([20, 18]))
-    for own, rest, keys in zip(m.own, m.rest, m.keys):
-        ctx = (keys >> np.uint64(32)).astype(np.int64)
-        mass = np.bincount(ctx, weights=own, minlength=rest.size) + rest
-        assert np.allclose(mass, 1) and (rest >= 0).all() and (own > 0).all()
     index = suffix_tree.HashIndex(words)
     assert index.find(words).tolist() == [0, 1, 2, 3] and index.find(np.array([0, 99], np.uint64)).tolist() == [-1, -1]
 
 
+def test_suffix_tree_without_training_rows(spark, docs, corpus):
+    got = suffix_tree.score_texts(docs, F.lit(True)).collect()
+    assert len(got) == len(corpus)
+    assert {(r["train_tokens"], r["n_known"], r["base_score"], r["score"]) for r in got} == {(0, 0, 0.0, 0.0)}
+
+
 def test_near_duplicates_take_trees_for_their_depth(spark, monkeypatch):
     got, count = [], near_dup.trees_for
     monkeypatch.setattr(near_dup, "trees_for", lambda *a, **b: got.append(count(*a, **b)) or got[-1])

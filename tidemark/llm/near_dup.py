@@ -11,7 +11,7 @@ Large groups of near copies make crowded nodes. Only links between different com
 change the result, so pairs that earlier links connect are never compared again:
 
 - a first wave compares the members of a few trees' nodes with one pivot only, a second one settles
-  these nodes, and the other trees follow;
+  these nodes, and the other trees follow, some at a time, so that each wave takes little disk;
 - a node whose members are all of one component is finished;
 - a node is small if members times members outside its largest component are at most ``work``:
   those outside are compared with all, block by block, which settles every possible link in it;
@@ -37,17 +37,26 @@ from .text import binary_column, chunks, distinct_sorted, mix64, row_minima, row
 COORDS = 128
 _U = np.uint64
 _SKETCH = [f"s{i}" for i in range(4)]
-#: Trees of the first two waves; what they link, the other trees need not compare.
-_EARLY = 2
-#: Classes at 0.75 agree in 0.8125 of the 128 two-bit values; 85 lies more than four deviations lower.
-_LEAST_AGREE = 85
+#: Trees of the first two waves; what they link, the other trees need not compare. Trees of a later wave.
+_EARLY, _LATER = 2, 4
+#: Blocks of a node's side that one task joins, so that a crowded node is dealt over many.
+_GRID = 8
+
+
+def least_agree(percent: int) -> int:
+    """In how many of their two-bit values two sets at the threshold agree, less 4.3 standard deviations.
+
+    A share j of the minwise values is equal, and of the others a quarter agree by chance.
+    """
+    p = percent / 100 + (1 - percent / 100) / 4
+    return math.floor(COORDS * p - 4.3 * math.sqrt(COORDS * p * (1 - p)))
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     mult = (stream64(3, COORDS) >> _U(32)).astype(np.uint32) | np.uint32(1)
     for batch in batches:
-        ids = batch.column(0)
-        for lo, hi, buf, offs in chunks(batch.column(1)):
+        ids, hashes = batch.column(0), batch.column(1)
+        for lo, hi, buf, offs in chunks(batch.column(2)):
             w = words(buf, offs)
             s, so = shingles(w.hashes(), w.offs)
             u, uo = distinct_sorted(s, so)
@@ -61,6 +70,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(
                 [
                     ids.slice(lo, hi - lo),
+                    hashes.slice(lo, hi - lo),
                     pa.array(np.diff(uo)),
                     pa.array(row_sums(mix64(u.copy()), uo).view(np.int64)),
                     pa.array(row_sums(mix64(u ^ _U(0xA5A5A5A5A5A5A5A5)), uo).view(np.int64)),
@@ -68,7 +78,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     binary_column(sig.view(np.uint8).reshape(-1), np.arange(hi - lo + 1) * COORDS * 4),
                     binary_column(np.ascontiguousarray(parts).reshape(-1), uo * 6),
                 ],
-                names=["doc_id", "n_shingles", "f1", "f2", *_SKETCH, "sig", "items"],
+                names=["doc_id", "text_hash", "n_shingles", "f1", "f2", *_SKETCH, "sig", "items"],
             )
 
 
@@ -81,6 +91,8 @@ def _choices(nodes: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _children(share: float, trees: int):
+    """The children of the roots of some trees, with the tree's number; of nodes if there are none, with the child's level."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roots = stream64(41, max(trees, 1))
         for batch in batches:
@@ -95,7 +107,7 @@ def _children(share: float, trees: int):
                 else:
                     own = b.column("node").to_numpy(zero_copy_only=False).view(np.uint64)
                     row, coord = _choices(own, share)
-                    node, tree = own[row], np.zeros(len(row), np.int64)
+                    node, tree = own[row], b.column("level").to_numpy(zero_copy_only=False)[row] + 1
                 child = mix64(mix64(node + coord.astype(np.uint64) * _U(0x9E3779B97F4A7C15)) ^ (sig[row, coord].astype(np.uint64) * _U(0xD6E8FEB86659FD93)))
                 yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), pa.array(c[row]), pa.array(tree.astype(np.int32))], names=["node", "c", "tree"])
 
@@ -116,45 +128,53 @@ def _members(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))]), c, k, s
 
 
-def _similar(node: np.ndarray, c: np.ndarray, k: np.ndarray, s: np.ndarray, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+def _similar(least: int, node: np.ndarray, c: np.ndarray, k: np.ndarray, s: np.ndarray, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
     """(node, class) of the classes with a possible link to another component; i and j index the pairs to look at."""
     keep = k[i] != k[j]
     i, j = i[keep], j[keep]
-    keep = _agree(s[i], s[j]) >= _LEAST_AGREE
+    keep = _agree(s[i], s[j]) >= least
     own = np.unique(np.concatenate([i[keep], j[keep]]))
     return pa.RecordBatch.from_arrays([pa.array(node[own]), pa.array(c[own])], names=["node", "c"])
 
 
-def _similar_within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _similar_within(least: int):
     """All pairs of each row's members; rows of equal length are compared together."""
-    for batch in batches:
-        for lo in range(0, batch.num_rows, 128):
-            b = batch.slice(lo, 128)
-            offs, c, k, s = _members(b.column("members"))
-            sizes = np.diff(offs)
-            node = np.repeat(b.column("node").to_numpy(zero_copy_only=False), sizes)
-            for size in np.unique(sizes):
-                x, y = np.triu_indices(size, 1)
-                first = offs[:-1][sizes == size][:, None]
-                yield _similar(node, c, k, s, (first + x).ravel(), (first + y).ravel())
-
-
-def _similar_across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 128):
+                b = batch.slice(lo, 128)
+                offs, c, k, s = _members(b.column("members"))
+                sizes = np.diff(offs)
+                node = np.repeat(b.column("node").to_numpy(zero_copy_only=False), sizes)
+                for size in np.unique(sizes):
+                    x, y = np.triu_indices(size, 1)
+                    first = offs[:-1][sizes == size][:, None]
+                    yield _similar(least, node, c, k, s, (first + x).ravel(), (first + y).ravel())
+
+    return run
+
+
+def _similar_across(least: int):
     """All pairs of a member and one of the others of each row; of a node's rows that follow one another each class comes once."""
-    node, told = None, set()
-    for batch in batches:
-        for r in range(batch.num_rows):
-            b = batch.slice(r, 1)
-            own = b.column("node")[0].as_py()
-            if own != node or len(told) > 1 << 20:
-                node, told = own, set()
-            _, c, k, s = _members(b.column("members"))
-            _, c2, k2, s2 = _members(b.column("others"))
-            i, j = np.divmod(np.arange(len(c) * len(c2)), len(c2))
-            c, k, s = np.concatenate([c, c2]), np.concatenate([k, k2]), np.concatenate([s, s2])
-            found = set(_similar(np.full(len(c), node), c, k, s, i, len(c) - len(c2) + j).column("c").to_pylist()) - told
-            told |= found
-            yield pa.RecordBatch.from_arrays([pa.array([node] * len(found), pa.int64()), pa.array(sorted(found), pa.int64())], names=["node", "c"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        node, told = None, set()
+        for batch in batches:
+            for r in range(batch.num_rows):
+                b = batch.slice(r, 1)
+                own = b.column("node")[0].as_py()
+                if own != node or len(told) > 1 << 20:
+                    node, told = own, set()
+                _, c, k, s = _members(b.column("members"))
+                _, c2, k2, s2 = _members(b.column("others"))
+                i, j = np.divmod(np.arange(len(c) * len(c2)), len(c2))
+                c, k, s = np.concatenate([c, c2]), np.concatenate([k, k2]), np.concatenate([s, s2])
+                found = set(_similar(least, np.full(len(c), node), c, k, s, i, len(c) - len(c2) + j).column("c").to_pylist()) - told
+                told |= found
+                yield pa.RecordBatch.from_arrays([pa.array([node] * len(found), pa.int64()), pa.array(sorted(found), pa.int64())], names=["node", "c"])
+
+    return run
 
 
 def _link_blocks(percent: int):
@@ -184,7 +204,7 @@ def _forest(members: pa.Array, others: pa.Array, percent: int) -> pa.RecordBatch
     found = []
     for x, kx, sx, items in zip(c2.tolist(), k2.tolist(), s2, others.flatten().field("items")):
         own = np.array([find(v) for v in k.tolist()])
-        may = np.flatnonzero((own != find(kx)) & (_agree(s, sx[None, :]) >= _LEAST_AGREE))
+        may = np.flatnonzero((own != find(kx)) & (_agree(s, sx[None, :]) >= least_agree(percent)))
         if not may.size:
             continue
         items = _unpack(items.as_py())
@@ -244,54 +264,56 @@ def trees_for(recall: float, threshold: float, levels: int = 1) -> int:
 
 def _links(rows: DataFrame, classes: DataFrame, ws: Workspace, percent: int, recall: float, block: int, work: int, depth: int) -> DataFrame | None:
     """Components ``(c, k)`` of the classes that have links; None if no pair has any."""
-    threshold = percent / 100
+    threshold, least = percent / 100, least_agree(percent)
     share = 1 / (threshold * COORDS)
     trees = trees_for(recall, threshold, depth)
     sketches, signatures, items = rows.select("c", *_SKETCH), rows.select("c", "sig"), rows.select("c", "items")
     level = ws.write(signatures.mapInArrow(_children(share, trees), "node long, c long, tree int").join(classes, "c", "left_semi"))
+
+    def nodes_of(first: int, size: int) -> DataFrame:
+        return level.filter(F.col("tree").between(first, first + size - 1)).select("node", "c", F.lit(1).alias("level"))
+
+    waiting = list(range(_EARLY, trees, _LATER))
     comp, known, wave = None, None, 0
-    frontier = level.filter(F.col("tree") < _EARLY).select("node", "c")
-    while True:
+    frontier = nodes_of(0, _EARLY)
+    while frontier is not None:
         f = frontier.withColumn("k", F.col("c")) if comp is None else frontier.join(comp, "c", "left").withColumn("k", F.coalesce("k", "c"))
         sizes = f.groupBy("node").agg(F.count("*").alias("n"), F.min("k").alias("k0"), F.max("k").alias("k1")).filter("k0 < k1")
         live = ws.write(f.join(sizes.select("node", "n"), "node").join(sketches, "c"), small=True)
+        nxt = nodes_of(0, _EARLY) if wave == 0 else None
         if wave == 0:
             links = _pivot_links(live, items, ws, percent)
         else:
             shares = live.filter(F.col("n") > block).groupBy("node", "k").agg(F.count("*").alias("m")).groupBy("node").agg(F.max(F.struct("m", "k")).alias("top"), F.sum("m").alias("all"))
             shares = shares.select("node", F.col("top.k").alias("main"), (F.col("all") - F.col("top.m")).alias("n_out"))
-            settled = (F.lit(wave) >= depth) | (F.col("n") * F.col("n_out") <= work)
+            settled = (F.col("level") >= depth) | (F.col("n") * F.col("n_out") <= work)
             big = ws.write(live.join(shares, "node").withColumn("settled", settled), small=True)
             lists = live.filter(F.col("n") <= block).groupBy("node").agg(F.collect_list(F.struct("c", "k", *_SKETCH)).alias("members"))
-            near = lists.mapInArrow(_similar_within, "node long, c long")
-            near = near.union(_blocks(big.filter("settled"), block, ["c", "k", *_SKETCH]).mapInArrow(_similar_across, "node long, c long"))
+            near = lists.mapInArrow(_similar_within(least), "node long, c long")
+            near = near.union(_blocks(big.filter("settled"), block, ["c", "k", *_SKETCH]).mapInArrow(_similar_across(least), "node long, c long"))
             near = ws.write(near.distinct().join(live.select("node", "c", "k", *_SKETCH), ["node", "c"]), small=True)
             sets = _needed_sets(near.select("c"), items)
             counts = near.groupBy("node", "k").agg(F.count("*").alias("m")).groupBy("node").agg(F.max(F.struct("m", "k")).alias("top"), F.sum("m").alias("n"))
             counts = counts.select("node", F.col("top.k").alias("main"), "n", (F.col("n") - F.col("top.m")).alias("n_out"))
             full = _blocks(near.join(counts, "node").join(sets, "c"), block, ["c", "k", *_SKETCH, "items"])
             links = full.mapInArrow(_link_blocks(percent), "a long, b long")
+            if waiting:
+                nxt = nodes_of(waiting.pop(0), _LATER)
             branch = big.filter("not settled")
-            more = not branch.isEmpty()
-            if more:
+            if not branch.isEmpty():
                 links = links.union(_pivot_links(branch, items, ws, percent))
+                children = branch.select("node", "c", "level").join(signatures, "c").mapInArrow(_children(share, 0), "node long, c long, level int")
+                children = ws.write(children.select("node", "c", "level"))
+                nxt = children if nxt is None else nxt.unionByName(children)
         links = ws.write(links.distinct(), small=True)
         known = links if known is None else known.union(links)
+        ws.drop(live)
+        if wave > 0:
+            ws.drop(big, near)
         ws.release()
-        wave += 1
-        if wave == 1:
-            frontier = level.filter(F.col("tree") < _EARLY).select("node", "c")
-        else:
-            rest = level.filter(F.col("tree") >= _EARLY) if wave == 2 else level.limit(0)
-            if more:
-                rest = rest.unionByName(branch.select("node", "c").join(signatures, "c").mapInArrow(_children(share, 0), "node long, c long, tree int"))
-                rest = ws.write(rest)
-            elif wave > 2:
-                break
-            frontier = rest.select("node", "c")
+        wave, frontier = wave + 1, nxt
         # Labels that join most of what is linked so far; they only save comparisons.
         comp = components(known, ws, rounds=1)
-        ws.drop(live)
     ws.drop(level)
     return None if known.isEmpty() else components(known, ws)
 
@@ -310,7 +332,7 @@ def _pivot_links(rows: DataFrame, items: DataFrame, ws: Workspace, percent: int)
     for x in _SKETCH:
         d = F.col(x).bitwiseXOR(F.col(f"p_{x}"))
         off = off + F.bit_count(d.bitwiseOR(F.shiftrightunsigned(d, 1)).bitwiseAND(F.lit(0x5555555555555555)))
-    near = rows.join(pivots, "node").filter((F.col("k") != F.col("p_k")) & (off <= COORDS - _LEAST_AGREE))
+    near = rows.join(pivots, "node").filter((F.col("k") != F.col("p_k")) & (off <= COORDS - least_agree(percent)))
     pairs = ws.write(near.select(F.least("c", "p_c").alias("a"), F.greatest("c", "p_c").alias("b")).distinct(), small=True)
     sets = _needed_sets(pairs.select(F.explode(F.array("a", "b")).alias("c")), items)
     full = pairs.join(sets.select(F.col("c").alias("a"), F.col("items").alias("items_a")), "a").join(sets.select(F.col("c").alias("b"), F.col("items").alias("items_b")), "b")
@@ -318,11 +340,19 @@ def _pivot_links(rows: DataFrame, items: DataFrame, ws: Workspace, percent: int)
 
 
 def _blocks(rows: DataFrame, block: int, columns: list[str]) -> DataFrame:
-    """Each node's members in blocks of about ``block``, beside each block of its members outside the largest component."""
+    """Each node's members in blocks of about ``block``, beside each block of its members outside the largest component.
+
+    Both sides are dealt over a grid: a task joins ``_GRID`` blocks of each side, however crowded a node is.
+    """
     member = F.struct(*columns)
-    members = rows.groupBy("node", F.pmod(F.xxhash64("c"), F.ceil(F.col("n") / block)).alias("i")).agg(F.collect_list(member).alias("members"))
-    outside = rows.filter("k <> main").groupBy("node", F.pmod(F.xxhash64("c"), F.ceil(F.col("n_out") / block)).alias("j")).agg(F.collect_list(member).alias("others"))
-    return members.drop("i").join(outside.drop("j"), "node")
+    blocks = {x: F.ceil(F.col(x) / block) for x in ("n", "n_out")}
+    own = {x: F.pmod(F.xxhash64("c"), b).alias("i") for x, b in blocks.items()}
+    grid = {x: F.ceil(b / _GRID) for x, b in blocks.items()}
+    members = rows.groupBy("node", "n", "n_out", own["n"]).agg(F.collect_list(member).alias("members"))
+    members = members.select("node", F.pmod("i", grid["n"]).alias("x"), F.explode(F.sequence(F.lit(0).cast("long"), grid["n_out"] - 1)).alias("y"), "members")
+    outside = rows.filter("k <> main").groupBy("node", "n", "n_out", own["n_out"]).agg(F.collect_list(member).alias("others"))
+    outside = outside.select("node", F.explode(F.sequence(F.lit(0).cast("long"), grid["n"] - 1)).alias("x"), F.pmod("i", grid["n_out"]).alias("y"), "others")
+    return members.join(outside, ["node", "x", "y"]).drop("x", "y")
 
 
 def near_duplicates(docs: DataFrame, *, percent: int = 75, recall: float = 0.9999, block: int = 128, work: int = 1 << 24, depth: int = 8) -> DataFrame:
@@ -330,8 +360,14 @@ def near_duplicates(docs: DataFrame, *, percent: int = 75, recall: float = 0.999
 
     Args:
         docs: a frame with ``doc_id`` and ``text``; other columns are ignored.
-        percent: documents are linked if 100 * intersection >= percent * union of their sets.
-        recall: least probability with which a pair exactly at the threshold meets in some node, in crowded nodes of ``depth`` levels too.
+        percent: documents are linked if 100 * intersection >= percent * union of their sets, 30 at least.
+        recall: least probability with which a pair exactly at the threshold meets in some node, in
+            crowded nodes of ``depth`` levels too; it gives the number of trees.
+        block: members that are compared at once.
+        work: a node with more pairs to settle than this branches, and is settled ``depth`` levels
+            down at the latest; all nodes together still hold every pair with probability ``recall``.
+
+    Of pairs exactly at the threshold, one in 10^5 is lost by the sketches.
 
     Returns one row per input row: ``doc_id``, ``n_shingles``, ``component_id`` (the smallest
     doc_id reachable over links, itself included), ``kept`` (doc_id = component_id) and ``group``
@@ -341,10 +377,16 @@ def near_duplicates(docs: DataFrame, *, percent: int = 75, recall: float = 0.999
     Repeated rows are equal sets and so one component. A null doc_id takes part, but never names a
     component: component_id is null and kept false where no row of the component has an id.
     """
-    spark = docs.sparkSession
-    ws = Workspace(spark, "near-dup")
-    schema = "doc_id long, n_shingles long, f1 long, f2 long, s0 long, s1 long, s2 long, s3 long, sig binary, items binary"
-    feats = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_features, schema)
+    return _grouped(docs, percent, recall, block, work, depth).drop("text_hash")
+
+
+def _grouped(docs: DataFrame, percent: int = 75, recall: float = 0.9999, block: int = 128, work: int = 1 << 24, depth: int = 8) -> DataFrame:
+    """``near_duplicates`` with the hash of each row's text."""
+    if not 30 <= percent <= 100:
+        raise ValueError("percent must lie between 30 and 100")
+    ws = Workspace(docs.sparkSession, "near-dup")
+    schema = "doc_id long, text_hash long, n_shingles long, f1 long, f2 long, s0 long, s1 long, s2 long, s3 long, sig binary, items binary"
+    feats = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(_features, schema)
     feats = ws.write(feats.withColumn("rid", F.monotonically_increasing_id()))
     some = feats.filter("n_shingles > 0")
     key = ["n_shingles", "f1", "f2"]
@@ -356,21 +398,26 @@ def near_duplicates(docs: DataFrame, *, percent: int = 75, recall: float = 0.999
         k = classes.join(comp, "c", "left").withColumn("k", F.coalesce("k", "c"))
         names = k.groupBy("k").agg(F.min("first_id").alias("component_id"))
         named = k.join(names, "k").select(*key, F.col("k").alias("group"), "component_id")
-    rows = feats.select("doc_id", *key)
+    rows = feats.select("doc_id", "text_hash", *key)
     out = rows.join(named, key, "left").withColumn("component_id", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")))
-    out = out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"), "group")
-    return ws.keep(out)
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept")
+    return ws.keep(out.select("doc_id", "text_hash", "n_shingles", "component_id", kept, "group"))
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """One document of each group, that with the smallest doc_id, with all its columns.
 
-    Of rows that repeat a doc_id one stays. Rows without an id, and those without a word, all stay.
+    Of several rows of a group with its smallest doc_id one stays; rows of other groups stay, also
+    if they repeat a doc_id. Rows without an id, and those without a word, all stay. A row is known
+    by a 64-bit hash of its id and text.
     """
-    groups = near_duplicates(docs, **options).filter("doc_id is not null")
-    repeated = groups.groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    gone = groups.groupBy("doc_id").agg(F.bool_or("kept").alias("kept")).filter("not kept").select("doc_id")
-    return without(docs, gone, repeated)
+    rows = _grouped(docs, **options).filter("doc_id is not null and group is not null")
+    rows = rows.withColumn("key", F.xxhash64("doc_id", "text_hash"))
+    heads = rows.filter("kept").groupBy("group").agg(F.min("key").alias("first"), F.count("*").alias("n")).filter("n > 1")
+    same = rows.filter("kept").select("group", "key").distinct().join(heads, "group")
+    gone = rows.filter("not kept").select("key").union(same.filter("key <> first").select("key")).distinct()
+    own = F.when(F.col("doc_id").isNotNull(), F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64("text")))
+    return without(docs, gone, own, same.filter("key = first").select("key"))
 
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
