@@ -31,6 +31,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,7 +46,7 @@ DISCOUNT = 0.5
 #: Parts of the key space that go through a shuffle one after the other, for less disk at a time.
 SLICES = 4
 #: Keys that a reducer sorts, about, and blocks of keys it gets from each flush of a task.
-TASK_KEYS, BLOCKS = 1 << 20, 4
+TASK_KEYS, BLOCKS = 1 << 19, 4
 _PAIR = _U(0xD6E8FEB86659FD93)
 
 
@@ -120,7 +121,7 @@ def _sequences(x: np.ndarray, offs: np.ndarray, most: int) -> Iterator[tuple[np.
 class _Counter:
     """Adds up keys, and keeps one value of each further column a key; what exceeds ``most`` distinct ones is handed on early."""
 
-    def __init__(self, emit: Callable[..., Iterator[pa.RecordBatch]], most: int = 1 << 20):
+    def __init__(self, emit: Callable[..., Iterator[pa.RecordBatch]], most: int = 1 << 19):
         self.emit, self.most, self.parts, self.size = emit, most, [], 0
 
     def add(self, keys: np.ndarray, *more: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -174,23 +175,26 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from total.flush()
 
 
-def _count_sequences(shared, length: int, slice_no: int, parts: int):
-    """Blocks of the sequences of some words with their counts, where both parts may be in the level below."""
+def _count_sequences(shared, length: int, least: int, slice_no: int, parts: int):
+    """Blocks of the sequences of some words with their counts, where both parts may be in the level below and the context may stay."""
 
     def emit(k, n, c, t):
         yield _deal(k, parts, ["c", "t", "n"], c, t, n.astype(np.uint32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, log_bits = shared.value
+        below, promising = shared.value
         total = _Counter(emit)
         for batch in batches:
             for _, _, x, at in _tokens(batch.column(0)):
-                *_, (h, inside) = _sequences(x, at, length - 1)
-                inside[at[:-1]] = False
-                inside[1:] &= h[1:] % _U(SLICES) == slice_no
-                ok = np.flatnonzero(inside[1:] & (np.arange(1, x.size) - np.repeat(at[:-1], np.diff(at))[1:] >= length - 1)) + 1
-                ok = ok[in_bitmap(bits, h[ok], log_bits)]
-                ok = ok[in_bitmap(bits, h[ok - 1], log_bits)]
+                place = np.arange(x.size) - np.repeat(at[:-1], np.diff(at))
+                *suffix, h = (h for h, _ in _sequences(x, at, length - 1))
+                ok = np.flatnonzero((place >= length - 1) & (h % _U(SLICES) == slice_no))
+                for bits, log_bits in below:
+                    ok = ok[in_bitmap(bits, h[ok], log_bits)]
+                    ok = ok[in_bitmap(bits, h[ok - 1], log_bits)]
+                if promising:
+                    (more, more_log), (low, low_log) = promising
+                    ok = ok[in_bitmap(more, h[ok - 1], more_log) | in_bitmap(low, suffix[-1][ok - 1], low_log)]
                 c, t = h[ok - 1], h[ok]
                 yield from total.add(_join(c, t), c, t)
         yield from total.flush()
@@ -217,14 +221,19 @@ def _counted(least: int):
     return run
 
 
-def _where(shared, column: int, hit: bool):
-    """The rows whose value may be in the bitmap, or those whose value is not."""
+def _bits(df: DataFrame, column: str) -> tuple[np.ndarray, int]:
+    """A bitmap of a column's values, 16 MB at most, and the log2 of its size."""
+    log_bits = bitmap_bits(df.count(), most=27)
+    return bitmap(df, column, log_bits), log_bits
+
+
+def _where(shared, column: int):
+    """The rows whose value may be in the bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, log_bits = shared.value
         for batch in batches:
-            x = batch.column(column).to_numpy(zero_copy_only=False)
-            yield batch.filter(pa.array(in_bitmap(bits, x, log_bits) == hit))
+            yield batch.filter(pa.array(in_bitmap(bits, batch.column(column).to_numpy(zero_copy_only=False), log_bits)))
 
     return run
 
@@ -261,6 +270,9 @@ def _score(shared):
     return run
 
 
+_BLOCKS = "p int, k binary, r binary, v binary, base long"
+
+
 def _asked(shared, slice_no: int, parts: int):
     """Blocks of (sequence, row) of one slice of the sequences that are not broadcast but may be in the tree."""
 
@@ -279,8 +291,11 @@ def _asked(shared, slice_no: int, parts: int):
                     keys.append(h[ok])
                     rows.append(row[ok])
                 keys, rows = np.concatenate(keys), np.concatenate(rows)
-                out = _deal(keys, parts, ["k", "r"], keys, rows)
-                yield pa.RecordBatch.from_arrays([*out.columns, pa.nulls(out.num_rows, pa.binary())], names=["p", "k", "r", "v"])
+                # Row numbers of one file share their upper bits.
+                for base in np.unique(rows >> 33).tolist():
+                    own = rows >> 33 == base
+                    out = _deal(keys[own], parts, ["k", "r"], keys[own], (rows[own] - (base << 33)).astype(np.uint32))
+                    yield pa.RecordBatch.from_arrays([*out.columns, pa.nulls(out.num_rows, pa.binary()), pa.array(np.full(out.num_rows, base))], names=["p", "k", "r", "v", "base"])
 
     return run
 
@@ -292,7 +307,7 @@ def _told(parts: int):
         for batch in batches:
             s, v = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             p, k, v = _deal(s.view(np.uint64), parts, ["k", "v"], s, v).columns
-            yield pa.RecordBatch.from_arrays([p, k, pa.nulls(len(p), pa.binary()), v], names=["p", "k", "r", "v"])
+            yield pa.RecordBatch.from_arrays([p, k, pa.nulls(len(p), pa.binary()), v, pa.nulls(len(p), pa.int64())], names=["p", "k", "r", "v", "base"])
 
     return run
 
@@ -304,7 +319,9 @@ def _found(parts: int):
         got = [b for b in batches if b.num_rows]
         told, asked = ([b.filter(b.column(i).is_valid()) for b in got] for i in (3, 2))
         s, v = _values([b.column(1) for b in told], np.uint64), _values([b.column(3) for b in told], np.float64)
-        k, r = _values([b.column(1) for b in asked], np.uint64), _values([b.column(2) for b in asked], np.int64)
+        k, r = _values([b.column(1) for b in asked], np.uint64), _values([b.column(2) for b in asked], np.uint32).astype(np.int64)
+        sizes = [pa.compute.binary_length(b.column(1)).to_numpy(zero_copy_only=False) // 8 for b in asked]
+        r += np.concatenate([np.zeros(0, np.int64), *(np.repeat(b.column(4).to_numpy(zero_copy_only=False).astype(np.int64) << 33, n) for b, n in zip(asked, sizes))])
         if s.size and k.size:
             order = np.argsort(s)
             s, v = s[order], v[order]
@@ -333,11 +350,17 @@ def _tree(train: DataFrame, vocab: DataFrame, total: int, floor: float, depth: i
     cost = 0.5 * float(np.log(max(total, 2)))
     parts, levels = [], []
     for length in range(2, depth + 2):
-        log_bits = bitmap_bits(lower.count())
-        shared = spark.sparkContext.broadcast((bitmap(lower, "s", log_bits), log_bits))
+        last = length == depth + 1
+        promising = None
+        if last and length > 2:
+            # No probability exceeds one, so a context stays only if one of its transitions could alone pay for itself;
+            # a context of least occurrences needs a transition that its suffix holds for improbable.
+            improbable = lower.filter(F.col("smooth") < float(np.exp(-cost / least))).select("c")
+            promising = [_bits(lower.filter(F.col("n") > least), "s"), _bits(improbable, "c")]
+        shared = spark.sparkContext.broadcast(([_bits(lower, "s")], promising))
         level = []
         for i in range(SLICES):
-            blocks = train.mapInArrow(_count_sequences(shared, length, i, BLOCKS * tasks), "p int, c binary, t binary, n binary").repartition(tasks, "p")
+            blocks = train.mapInArrow(_count_sequences(shared, length, least, i, BLOCKS * tasks), "p int, c binary, t binary, n binary").repartition(tasks, "p")
             counted = blocks.mapInArrow(_counted(least), "s long, c long, t long, n long")
             suffix = lower.filter(F.pmod("s", F.lit(SLICES)) == i).select(F.col("s").alias("t"), F.col("smooth").alias("below"))
             level.append(ws.write(counted.join(suffix, "t").select("s", "c", "n", "below")))
@@ -346,31 +369,24 @@ def _tree(train: DataFrame, vocab: DataFrame, total: int, floor: float, depth: i
         x = level[0]
         for part in level[1:]:
             x = x.union(part)
-        # As no probability exceeds one, a context gains nothing unless one of its transitions could alone pay for itself.
-        worth = x.filter(F.col("n") * -F.log("below") > cost).select(F.col("c").alias("s"))
-        log_bits = bitmap_bits(worth.count())
-        shared = spark.sparkContext.broadcast((bitmap(worth, "s", log_bits), log_bits))
-        kind = "s long, c long, n long, below double"
-        may = x.mapInArrow(_where(shared, 1, True), kind)
-        seen = may.groupBy("c").agg(F.sum("n").alias("seen"), F.count("*").alias("kids")).join(lower.select(F.col("s").alias("c"), F.col("n").alias("m")), "c")
+        if last:
+            shared = spark.sparkContext.broadcast(_bits(x.filter(F.col("n") * -F.log("below") > cost), "c"))
+            x = x.mapInArrow(_where(shared, 1), "s long, c long, n long, below double")
+        seen = x.groupBy("c").agg(F.sum("n").alias("seen"), F.count("*").alias("kids")).join(lower.select(F.col("s").alias("c"), F.col("n").alias("m")), "c")
         seen = ws.write(seen.withColumn("rest", 1 - (F.col("seen") - DISCOUNT * F.col("kids")) / F.col("m")))
         near = (F.col("n") - DISCOUNT) / F.col("m") + F.col("rest") * F.col("below")
-        gain = may.join(seen, "c").groupBy("c", "m", "seen", "kids", "rest").agg(F.sum(F.col("n") * F.log(near / F.col("below"))).alias("g"))
+        gain = x.join(seen, "c").groupBy("c", "m", "seen", "kids", "rest").agg(F.sum(F.col("n") * F.log(near / F.col("below"))).alias("g"))
         gain = gain.withColumn("g", F.col("g") + (F.col("m") - F.col("seen")) * F.log("rest"))
         stays = ws.write(gain.filter(F.col("g") > cost * F.col("kids")).select("c", "m", "rest"))
         ws.drop(seen)
-        last = length == depth + 1
-        on = may.join(stays, "c", "inner" if last else "left")
-        nxt = on.select("s", "n", F.when(F.col("m").isNull(), F.col("below")).otherwise(near).alias("smooth"), (F.log10(near / F.col("below")) - F.log10("rest")).alias("v"))
-        if not last:
-            nxt = nxt.union(x.mapInArrow(_where(shared, 1, False), kind).select("s", "n", F.col("below").alias("smooth"), F.lit(None).cast("double").alias("v")))
-        nxt = ws.write(nxt)
-        shared.destroy()
+        on = x.join(stays, "c", "inner" if last else "left")
+        smooth = F.when(F.col("m").isNull(), F.col("below")).otherwise(near)
+        nxt = ws.write(on.select("s", "c", "n", smooth.alias("smooth"), (F.log10(near / F.col("below")) - F.log10("rest")).alias("v")))
         ws.drop(*level)
         ws.release()
         levels += [nxt, stays]
         parts += [nxt.filter("v is not null").select("s", "n", "v"), stays.select(F.col("c").alias("s"), F.col("m").alias("n"), F.log10("rest").alias("v"))]
-        lower = nxt.select("s", "n", "smooth")
+        lower = nxt
     out = parts[0]
     for p in parts[1:]:
         out = out.union(p)
@@ -418,16 +434,15 @@ def score_texts(docs: DataFrame, held_out: Column, *, depth: int = 3, least: int
     tree = _tree(train, vocab, total, floor, depth, least, ws)
     often = F.col("n") >= max(cache_share * total, 1)
     cache, light = tree.filter(often).toPandas(), tree.filter(~often).select("s", "v")
-    log_bits = bitmap_bits(light.count())
-    bits = bitmap(light, "s", log_bits)
+    bits, log_bits = _bits(light, "s")
     keys = [x.to_numpy(np.int64).view(np.uint64) for x in (common["h"], cache["s"])]
     shared = spark.sparkContext.broadcast((keys[0], common["n"].to_numpy(np.int64), floor, keys[1], cache["v"].to_numpy(np.float64), bits, log_bits, depth + 1))
     scored = ws.write(rows.mapInArrow(_score(shared), "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<long>"))
     tasks = _reducers(spark, scored.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0] / SLICES)
     more = None
     for i in range(SLICES):
-        blocks = rows.select("rid", "tokens").mapInArrow(_asked(shared, i, BLOCKS * tasks), "p int, k binary, r binary, v binary")
-        blocks = blocks.union(light.filter(F.pmod("s", F.lit(SLICES)) == i).mapInArrow(_told(BLOCKS * tasks), "p int, k binary, r binary, v binary")).repartition(tasks, "p")
+        blocks = rows.select("rid", "tokens").mapInArrow(_asked(shared, i, BLOCKS * tasks), _BLOCKS)
+        blocks = blocks.union(light.filter(F.pmod("s", F.lit(SLICES)) == i).mapInArrow(_told(BLOCKS * tasks), _BLOCKS)).repartition(tasks, "p")
         sums = blocks.mapInArrow(_found(BLOCKS * tasks), "p int, r binary, v binary").repartition(tasks, "p")
         sums = ws.write(sums.mapInArrow(_summed, "rid long, v double"))
         ws.release()
