@@ -1,6 +1,9 @@
 """The corpus pipeline: rules, near duplicates, decontamination, pseudonyms, mixture.
 
 Every stage works on all that its predecessor kept; each is written as Parquet and read again.
+Documents without a word are rejected by the rules, also those with a null text; a null doc_id
+passes all stages; columns other than those of documents are dropped by the first one. Rows that
+repeat a doc_id and text are one document. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -12,7 +15,7 @@ from tidemark.llm.common import DOC_COLUMNS, Workspace, read_documents
 from tidemark.llm.decontaminate import decontaminate
 from tidemark.llm.mixing import mixture
 from tidemark.llm.near_dup import drop_near_duplicates
-from tidemark.llm.pseudonyms import pseudonymise
+from tidemark.llm.pseudonyms import pseudonymise, secret
 from tidemark.llm.quality import keep_good
 
 
@@ -33,7 +36,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with pseudonyms for personal data; n_chars follows where a text changed."""
-    out = pseudonymise(docs)
+    out = pseudonymise(docs, secret(spark))
     return out.withColumn("n_chars", F.when(F.col("n_replaced") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*DOC_COLUMNS)
 
 
