@@ -52,7 +52,7 @@ def docs(spark, corpus):
     return spark.createDataFrame(corpus, SCHEMA).withColumns({"c": F.lit(1), "node": F.lit("x"), "key": F.lit(2), "f1": F.lit(3)}).repartition(5)
 
 
-def brute_components(rows):
+def brute_components(rows, percent=75):
     ids = [(i, shingle_set(t)) for i, t, *_ in rows if i is not None]
     sets = dict(ids)
     root = {i: i for i in sets}
@@ -66,7 +66,7 @@ def brute_components(rows):
     for i in sorted(sets):
         common = collections.Counter(j for s in sets[i] for j in inverted[s])
         for j, k in common.items():
-            if 100 * k >= 75 * (len(sets[i]) + len(sets[j]) - k):
+            if 100 * k >= percent * (len(sets[i]) + len(sets[j]) - k):
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
         for s in sets[i]:
@@ -93,6 +93,36 @@ def test_one_document_of_each_group_stays(docs, corpus):
     assert near_dup.near_duplicates(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("percent", [50, 90])
+def test_near_duplicates_at_other_thresholds(spark, percent):
+    """Pairs just above the threshold: at least 0.99 of them are linked."""
+    rnd = random.Random(percent)
+    rows = []
+    for i in range(150):
+        a = [f"v{rnd.randint(0, 10**6)}" for _ in range(200)]
+        b = list(a)
+        while True:
+            c = list(b)
+            c[rnd.randrange(200)] = f"u{rnd.randint(0, 10**6)}"
+            s, t = (shingle_set(" ".join(x)) for x in (a, c))
+            if 100 * len(s & t) < percent * len(s | t):
+                break
+            b = c
+        rows += [(2 * i, " ".join(a)), (2 * i + 1, " ".join(b))]
+    want, _ = brute_components(rows, percent)
+    assert all(want[2 * i + 1] == 2 * i for i in range(150))
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=percent, depth=2).collect()
+    right = sum(r["component_id"] == want[r["doc_id"]] for r in got)
+    assert right >= 0.99 * len(rows) and near_dup.least_agree(75) == 85
+
+
+def test_rows_that_repeat_an_id_stay_if_their_texts_differ(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(30)) for x in "ab")
+    rows = [(1, a, "p"), (1, b, "q"), (2, a + " end", "r"), (1, a, "s"), (3, None, "t"), (3, "", "u"), (None, a, "v"), (4, b, "w")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, key string")
+    assert sorted(r["key"] for r in near_dup.drop_near_duplicates(df).collect()) == ["p", "q", "t", "u", "v"]
+
+
 def test_components_bitmaps_and_without(spark):
     rnd = random.Random(1)
     edges = [(i, i + 1) for i in range(40)] + [(100, rnd.randint(101, 400)) for _ in range(300)] + [(500, 500)]
@@ -292,6 +322,21 @@ def test_mixture_meets_quotas_and_targets(spark):
     plain = mixing.mixture(df, max_passes=1.0, **share)
     assert plain.groupBy("pass").count().collect()[0]["pass"] == 0
     assert mixing.mixture(df.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        mixing.mixture(df, budget=10 * budget, max_passes=3.0)
+
+
+def test_mixture_spreads_rows_without_an_id(spark, monkeypatch):
+    """Half of the rows have no id and one length: their buckets and blocks hold no more than others, in any partitioning."""
+    monkeypatch.setattr(mixing, "COPIES", 50)
+    rows = [(None, "w w w", "hot")] * 600 + [(i, "w w w", "hot") for i in range(600)] + [(7, "w w w", "hot")] * 100
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("copy", F.lit("x"))
+    runs = [mixing.mixture(df.repartition(n), budget=1950, bucket_rows=50, block_tokens=195).toPandas() for n in (2, 5)]
+    for out in runs:
+        assert abs(out["n_tokens"].sum() - 1950) < 4
+        assert 0.3 < out["doc_id"].isna().mean() < 0.6 and all(0.15 < g["doc_id"].isna().mean() < 0.75 for _, g in out.groupby("block"))
+    key = ["doc_id", "pass", "block", "place"]
+    assert [x[key].fillna(-1).sort_values(key).values.tolist() for x in runs][0] == [x[key].fillna(-1).sort_values(key).values.tolist() for x in runs][1]
 
 
 def test_exponent_meets_the_target(spark):
@@ -309,6 +354,19 @@ def test_exponent_meets_the_target(spark):
     assert 1.9 < w <= 2.0
 
 
+def test_pipeline_of_an_empty_table(spark):
+    base = tempfile.mkdtemp(prefix="spark-")
+    spark.createDataFrame([], SCHEMA).write.parquet(f"{base}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{base}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, base).count() == 0
+
+
+def test_archive_paths_of_hadoop(tmp_path):
+    for root in (str(tmp_path), f"file:{tmp_path}", f"file://{tmp_path}"):
+        fs, path = warc._open(root)
+        assert fs.type_name == "local" and path == str(tmp_path)
+
+
 def test_pipeline_stages_follow_one_another(spark, corpus):
     good = [(i, t, "xx", s, n) for i, t, _, s, n in corpus if t and len(t.split()) > 19 and i is not None]
     item = " ".join(f"q{i}" for i in range(30))

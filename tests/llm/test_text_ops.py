@@ -2,6 +2,9 @@
 
 import collections
 import datetime as dt
+import hashlib
+import hmac
+import math
 import random
 import re
 
@@ -99,6 +102,46 @@ def test_language_learns_from_labels_only(spark):
     assert language.identify_language(df.limit(0), F.lit(False)).count() == 0
 
 
+def brute_language(train, asked):
+    """Naive Bayes over letter n-grams kept as strings, with 65,536 cells a language."""
+    def grams(t):
+        t = "".join(c.lower() if c.isalpha() else " " for c in t)
+        return [t[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1) if t[i : i + n].strip()]
+
+    count = collections.defaultdict(collections.Counter)
+    docs = collections.Counter(k for _, k in train)
+    for t, k in train:
+        count[k].update(grams(t))
+    out = []
+    for t in asked:
+        logs = {k: math.log(docs[k] / len(train)) + sum(math.log((count[k][g] + 0.5) / (sum(count[k].values()) + 0.5 * 65536)) for g in grams(t)) for k in docs}
+        best = max(sorted(logs), key=logs.get)
+        out.append((best, 1 / sum(math.exp(v - logs[best]) for v in logs.values())))
+    return out
+
+
+def test_language_equals_brute_force(spark):
+    rnd = random.Random(5)
+    texts = [("".join(rnd.choice("abc" if k else "bcd") for _ in range(rnd.randint(1, 9))), "xy"[k]) for k in (rnd.randint(0, 1) for _ in range(60))]
+    texts += [(texts[0][0], "x")] * 5
+    asked = ["ab cd", "BBBB", "c", "dada", "bc bc", "ab cd", "bcb" * 4000]
+    rows = [(i, t, k) for i, (t, k) in enumerate(texts)] + [(1000 + i, t, None) for i, t in enumerate(asked)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({"cell": F.lit(1), "held_out": F.lit("x")})
+    got = {r["doc_id"]: r for r in language.identify_language(df, F.col("doc_id") >= 1000).collect()}
+    for i, (best, score) in enumerate(brute_language(texts, asked)):
+        r = got[1000 + i]
+        assert abs(r["score"] - score) < 2e-3 and (r["lang_pred"] == best or score < 0.502)
+    with pytest.raises(ValueError):
+        language.identify_language(df, F.lit(False), max_cells=256)
+
+
+def test_language_of_held_out_documents(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = language.identify_language(df, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1).join(df.select("doc_id", "lang", F.length("text").alias("n")), "doc_id")
+    right, n = got.filter("held_out and n > 40 and lang is not null and lang_pred <> 'und'").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int")), F.count("*")).first()
+    assert n > 100 and right > 0.97
+
+
 def tokenizer(vocab):
     tokenizers = pytest.importorskip("tokenizers")
     low = min(s for _, s in vocab.pieces)
@@ -176,6 +219,60 @@ def test_licenses_that_follow_one_another(spark):
     assert {k: x for k, (_, x) in got.items()} == {k: x.rstrip(".") for k, x in want.items()} and {x for x, _ in got.values()} == {1.0}
 
 
+def lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(row[j] + 1 if x == y else max(row[j + 1], new[-1]))
+        row = new
+    return row[-1]
+
+
+def test_licenses_equal_a_full_scan(spark):
+    """Altered copies between words of the templates, against the longest common subsequence of every stretch."""
+    rnd = random.Random(9)
+    templates = {"short": "a1 a2 a3 a4 a5", "long": "b1 b2 b3 b1 b4 b5 b6 b2 b7 b8 b9 b1 b10 b11 b12 b13", "repeats": "c1 c2 c1 c2 c1 c3 c4 c1 c2 c5"}
+    pool = [w for t in templates.values() for w in t.split()]
+
+    def altered(ws):
+        out = []
+        for w in ws:
+            x = rnd.random()
+            out += [] if x < 0.06 else [rnd.choice(pool + ["z"])] if x < 0.12 else [w, "z"] if x < 0.2 else [w]
+        return out
+
+    texts = []
+    for _ in range(120):
+        ws = [rnd.choice(pool + ["z"] * 60) for _ in range(rnd.randint(0, 25))]
+        for t in rnd.choices(list(templates.values()), k=rnd.randint(0, 2)) * rnd.randint(1, 2):
+            ws += altered(t.split()) + [rnd.choice(pool + ["z"] * 60) for _ in range(rnd.randint(0, 8))]
+        texts.append(" ".join(ws))
+    want = {}
+    for i, t in enumerate(texts):
+        ws = t.split()
+        for name, x in templates.items():
+            x = x.split()
+            best = max((lcs(x, ws[j : j + 2 * len(x)]) for j in range(len(ws))), default=0)
+            if 100 * best >= 80 * len(x):
+                want[i, name] = best
+    df = spark.createDataFrame([*enumerate(texts), (None, templates["short"]), (0, texts[0])], "doc_id long, text string").withColumns({"license": F.lit(1), "n_aligned": F.lit(2)})
+    rows = licenses.scan_licenses(df).collect()
+    assert [r["license"] for r in rows if r["doc_id"] is None] == ["short"]
+    got = {(r["doc_id"], r["license"]): r["n_aligned"] for r in rows if r["doc_id"] is not None}
+    # A match that lies inside another one's span is not told.
+    assert set(got) <= set(want) and all(got[k] <= want[k] for k in got)
+    assert len(want) > 60 and len(got) >= 0.95 * len(want)
+
+
+def test_licenses_of_a_family_and_altered_notices(spark):
+    t = licenses.TEMPLATES
+    texts = [t["BSD-3-Clause with warranty"], t["BSD-3-Clause"], t["MIT with warranty"], "released under our mit license", "pad " * 60 + t["Apache-2.0 header"] + " " + t["Apache-2.0 header"] + " pad" * 60, f"x {t['ISC']} {t['ISC']} y"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r["doc_id"], r["license"]): r["n_aligned"] / r["n_template"] for r in licenses.scan_licenses(df).collect()}
+    assert got == {(0, "BSD-3-Clause with warranty"): 1, (1, "BSD-3-Clause"): 1, (2, "MIT with warranty"): 1, (3, "MIT notice"): 0.8, (4, "Apache-2.0 header"): 1, (5, "ISC"): 1}
+
+
 def luhn(s):
     d = [int(c) for c in s if c.isdigit()][::-1]
     return sum(d[0::2]) + sum(x * 2 - 9 * (x > 4) for x in d[1::2])
@@ -209,6 +306,77 @@ def test_pseudonyms_keep_format_and_links(spark):
     assert pseudonyms.pseudonymise(df.limit(0), "k1").count() == 0
 
 
+def plain_feistel(v, a, b, key, tag, back=False):
+    left, right = divmod(v, b)
+    for i in range(8)[:: -1 if back else 1]:
+        f = int(hmac.new(key.encode(), f"{tag}|{i}|{left if i % 2 else right}".encode(), hashlib.sha256).hexdigest()[:13], 16) * (-1 if back else 1)
+        left, right = (left, (right + f) % b) if i % 2 else ((left + f) % a, right)
+    return left * b + right
+
+
+def plain_digits(d, key, tag, back=False):
+    half = len(d) // 2
+    return str(plain_feistel(int(d), 10 ** (len(d) - half), 10**half, key, f"{tag}{len(d)}", back)).zfill(len(d))
+
+
+def plain_date(day, key, back=False, late=False):
+    first = dt.date(1900, 1, 1)
+    n = (day - first).days
+    while True:
+        n = plain_feistel(n, 229, 319, key, "date late" if late else "date", back)
+        if n < 73049 and (not late or (first + dt.timedelta(n)).day > 12):
+            return first + dt.timedelta(n)
+
+
+def test_pseudonyms_equal_plain_python_and_can_be_inverted(spark):
+    key, rnd = "a longer secret " * 9, random.Random(3)
+    digits = lambda n: "".join(rnd.choice("0123456789") for _ in range(n))
+    texts, undo = [], []
+    short = key if len(key) <= 64 else hashlib.sha256(key.encode()).digest()
+    assert hmac.new(key.encode(), b"x", hashlib.sha256).digest() == hmac.new(short, b"x", hashlib.sha256).digest()
+    for _ in range(12):
+        body = "4" + digits(14)
+        card = body + next(c for c in "0123456789" if luhn(body + c) % 10 == 0)
+        texts.append(card)
+        undo.append((lambda v: plain_digits(v[:-1], key, "card", True), body))
+        phone = digits(10)
+        texts.append(f"({phone[:3]}) {phone[3:6]}-{phone[6:]}")
+        undo.append((lambda v: plain_digits(re.sub(r"\D", "", v), key, "phone1/", True), phone))
+        day = dt.date(1900, 1, 1) + dt.timedelta(rnd.randint(0, 73048))
+        texts.append(day.isoformat())
+        undo.append((lambda v: plain_date(dt.date.fromisoformat(v), key, True), day))
+        late = dt.date(rnd.randint(1900, 2099), rnd.randint(1, 12), rnd.randint(13, 28))
+        texts.append(f"{late.month}/{late.day}/{late.year}")
+        undo.append((lambda v: plain_date(dt.datetime.strptime(v, "%m/%d/%Y").date(), key, True, True), late))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r["text"] for r in pseudonyms.pseudonymise(df, key).orderBy("doc_id").collect()]
+    for text_, new, (f, want) in zip(texts, got, undo):
+        assert f(new) == want and new != text_
+    assert got[2] == plain_date(dt.date.fromisoformat(texts[2]), key).isoformat()
+
+
+def test_pseudonyms_link_spellings_and_alphabets(spark):
+    same = ["+1 (743) 555-3824", "+17435553824", "(743) 555-3824", "743.555.3824", "743-555-3824"]
+    boxes = ["иван@пример.рф", "νίκος@x.gr", "山田@例え.jp", "김철수@x.kr", "é.ü@x.de", "a" * 90 + "@mail.example.com", "x@" + "a." * 12 + "com"]
+    around = [" -ann@x.org", " _ann@x.org_", "(ann@x.org)", "end.4785380592391139", "on 1/2/1999", "on 12/31/1999 and 31/12/1999", "0.4785380592391139", "a..@x"]
+    texts = same + boxes + around + [None, "", boxes[0], boxes[0]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumns({c: F.lit(1) for c in ("parts", "new", "_parts", "_new", "a", "b")})
+    rows = pseudonyms.pseudonymise(df, "k").orderBy("doc_id").collect()
+    assert set(df.columns) < set(rows[0].asDict()) and all(rows[0][c] == 1 for c in ("parts", "new", "_parts", "_new"))
+    got = [r["text"] for r in rows]
+    assert len({re.sub(r"\D", "", t)[-10:] for t in got[:5]}) == 1 and "7435553824" not in re.sub(r"\D", "", got[0])
+    for old, new in zip(boxes, got[5:12]):
+        assert new != old and len(new) == len(old) and new.split("@")[1] == old.split("@")[1]
+        assert not set(zip(old.split("@")[0], new.split("@")[0])) & {(c, "@") for c in old}
+    ann = got[12].strip()[1:4]
+    assert ann != "ann" and got[13] == f" _{ann}@x.org_" and got[14] == f"({ann}@x.org)"
+    assert got[15] != around[3] and luhn(got[15]) % 10 == 0 and re.fullmatch(r"on \d{1,2}/\d{1,2}/\d{4}", got[16]) and got[16] != around[4]
+    assert re.fullmatch(r"on \d\d/\d\d/\d{4} and \d\d/\d\d/\d{4}", got[17]) and "31" not in (got[17][6:8], "") or got[17] != around[5]
+    assert got[18:21] == [around[6], around[7], None] and got[21] == "" and got[22] == got[23] == got[5]
+    with pytest.raises(ValueError):
+        pseudonyms.pseudonymise(df, "")
+
+
 @pytest.mark.parametrize("a,b", [(229, 319), (10, 10), (100, 1000)])
 def test_feistel_is_a_permutation(spark, a, b):
     n = a * b

@@ -2,7 +2,7 @@
 
 Training counts every n-gram of the labelled texts into ``buckets`` hash buckets by language;
 each task adds up its own counts, Spark sums them. The matrix of log-probabilities has languages
-times buckets cells, ``MAX_CELLS`` at most whatever the input, and is broadcast; texts are scored
+times buckets cells, ``max_cells`` at most whatever the input, and is broadcast; texts are scored
 in numpy, a few megabytes at a time.
 """
 
@@ -19,7 +19,8 @@ from .common import read_documents
 from .text import CHUNK_BYTES, chunks
 
 LENGTHS = (1, 2, 3)
-MAX_CELLS = 1 << 22
+#: Least buckets of a language.
+LEAST_BUCKETS = 256
 _MULT = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
 _tables: dict[str, np.ndarray] = {}
 
@@ -107,25 +108,33 @@ def _score(model, langs: list[str], bits: int):
     return run
 
 
-def identify_language(docs: DataFrame, held_out: Column, *, buckets: int = 1 << 16, smoothing: float = 0.5) -> DataFrame:
+def identify_language(docs: DataFrame, held_out: Column, *, buckets: int = 1 << 16, smoothing: float = 0.5, max_cells: int = 1 << 22) -> DataFrame:
     """Predicted language of every whole text, learned from the rows that are not held out.
 
-    ``docs`` has ``doc_id``, ``text`` and ``lang``; a prediction uses the text alone. One row per
-    input row: ``doc_id``, ``held_out``, ``lang_pred`` (a learned value of lang; ``und`` for a null
+    Args:
+        docs: a frame with ``doc_id``, ``text`` and ``lang``; a prediction uses the text alone.
+        held_out: rows that teach nothing.
+        buckets: hash buckets of n-grams, a power of two.
+        smoothing: added to every bucket's count.
+        max_cells: bound of languages times buckets, which are broadcast (16 MB at the default) and
+            collected once. Up to 64 languages have 65,536 buckets; more have fewer (1,000: 4,096),
+            and more than ``max_cells / 256`` are refused with a ValueError.
+
+    One row per input row: ``doc_id``, ``held_out``, ``lang_pred`` (a learned value of lang; ``und`` for a null
     text or one without a letter), ``score`` (the posterior probability; 0 for ``und``). Rows with
-    a null lang or text teach nothing. Without any labelled row all predictions are ``und``.
-    More languages than ``MAX_CELLS / 256`` are refused; with many, buckets get fewer.
+    a null lang or text teach nothing, repeated rows teach as often as they occur. Without any
+    labelled row all predictions are ``und``. Of equally probable languages the first by name is told.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce(held_out, F.lit(False)).alias("held_out"), "text", "lang")
     train = docs.filter("not held_out and lang is not null and text is not null").select("text", "lang")
-    seen = train.groupBy("lang").count().orderBy("lang").limit(MAX_CELLS // 256 + 1).collect()
-    if len(seen) > MAX_CELLS // 256:
-        raise ValueError(f"more than {MAX_CELLS // 256} languages")
+    seen = train.groupBy("lang").count().orderBy("lang").limit(max_cells // LEAST_BUCKETS + 1).collect()
+    if len(seen) > max_cells // LEAST_BUCKETS:
+        raise ValueError(f"more than {max_cells // LEAST_BUCKETS} languages")
     if not seen:
         return docs.select("doc_id", "held_out", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
     langs = [r["lang"] for r in seen]
-    bits = min(int(np.log2(buckets)), int(np.log2(MAX_CELLS // len(langs))))
+    bits = min(int(np.log2(buckets)), int(np.log2(max_cells // len(langs))))
     cells = train.mapInArrow(_count(langs, bits), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(len(langs) << bits)
     counts[cells["cell"]] = cells["n"]

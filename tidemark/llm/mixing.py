@@ -21,13 +21,15 @@ from pyspark.sql import functions as F
 from .common import Workspace, read_documents
 
 POINTS, PASSES = 17, 5
+#: Equal rows that one task numbers.
+COPIES = 1 << 16
 NO_SOURCE = ""
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def permuted(*what: Column | str) -> Column:
-    """A number below 2**52 that orders rows at random, the same in every run."""
-    text = F.concat_ws("|", *(F.lit(x) if isinstance(x, str) else F.coalesce(x.cast("string"), F.lit("-")) for x in what))
+def permuted(*what: Column | str, copy: Column) -> Column:
+    """A number below 2**52 that orders rows at random, the same in every run; equal rows differ by their number ``copy``."""
+    text = F.concat_ws("|", *(F.lit(x) if isinstance(x, str) else F.coalesce(x.cast("string"), F.lit("-")) for x in what), F.when(copy > 0, copy.cast("string")))
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long")
 
 
@@ -76,30 +78,40 @@ def mixture(
         docs: a frame with ``doc_id``, ``text`` and ``source``; other columns are ignored.
         budget: tokens (words) of the mixture; all tokens of ``docs`` if None.
         entropy: target entropy of the weights in nats, or ``entropy_share`` of the largest one possible.
-        max_passes: how often a source may be repeated; None for any.
+        max_passes: how often a source may be repeated, 1 at least; None for any. A budget that
+            takes more passes over all of ``docs`` is refused with a ValueError.
         block_tokens: about how many tokens a block has.
+        bucket_rows: about how many rows of a source are summed up in one task.
 
     Returns one row per document and pass: ``doc_id``, ``source``, ``n_tokens``, ``pass`` (from 0),
     ``block`` (from 0) and ``place`` (from 0, within the block). A document is taken in a pass if
     the source's documents before it, in this pass's order, have fewer tokens than the quota
     leaves; a quota is so exceeded by less than one document. A null source is a source of its own
     (written as it is); a null text or one without words has 0 tokens, and such documents are
-    spread like others. Sources without tokens have no weight and no rows. Repeated rows count as
-    often as they occur and keep apart by a number of their own. An empty table gives no rows.
+    spread like others. Sources without tokens have no weight and no rows. Repeated rows, and rows
+    of one source and length without an id, count as often as they occur and are told apart by a
+    number, so that they spread like others too. An entropy that no exponent of 0 to 1 gives is
+    met as nearly as it can be. An empty table gives no rows.
     """
     spark = docs.sparkSession
     ws = Workspace(spark, "mixing")
     rows = docs.select(F.col("doc_id").cast("long"), "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("n_tokens"))
-    return mix_counted(ws.write(rows), ws, budget, entropy, entropy_share, max_passes, block_tokens, bucket_rows, seed)
+    equal = rows.groupBy("doc_id", "source", "n_tokens").agg(F.count("*").alias("m"))
+    parts = equal.withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1, F.lit(COPIES).cast("long"))))
+    parts = parts.repartition("doc_id", "source", "n_tokens", "first")
+    copies = parts.withColumn("copy", F.explode(F.sequence("first", F.least(F.col("first") + COPIES, F.col("m")) - 1)))
+    return mix_counted(ws.write(copies.select("doc_id", "source", "n_tokens", "copy")), ws, budget, entropy, entropy_share, max_passes, block_tokens, bucket_rows, seed)
 
 
 def mix_counted(rows: DataFrame, ws: Workspace, budget: int | None, entropy: float | None, entropy_share: float | None, max_passes: float | None, block_tokens: int, bucket_rows: int, seed: str) -> DataFrame:
-    """``mixture`` of rows whose ``n_tokens`` are known."""
+    """``mixture`` of rows whose ``n_tokens`` are known, with the number ``copy`` of each of equal ones."""
     key = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))
     rows = rows.withColumn("s", key)
     sources = ws.write(rows.groupBy("s").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs")).filter("tokens > 0"))
     total, count = sources.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.count("*")).first()
     size = int(total if budget is None else budget)
+    if count and max_passes is not None and size > max_passes * total:
+        raise ValueError(f"{size} tokens take {size / total:.2f} passes over {total} tokens, and {max_passes} are allowed")
     if entropy is None and entropy_share is not None and count:
         entropy = entropy_share * math.log(count)
     alpha = find_exponent(sources, float(size), entropy, max_passes) if count else 1.0
@@ -112,18 +124,18 @@ def mix_counted(rows: DataFrame, ws: Workspace, budget: int | None, entropy: flo
 
     # Each document once a pass, in the pass's order: a bucket of about bucket_rows rows, then a place in it.
     copies = rows.join(quotas, "s").withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))))
-    copies = copies.withColumn("o", permuted(seed, F.col("s"), F.col("pass"), F.col("doc_id")))
+    copies = copies.withColumn("o", permuted(seed, F.col("s"), F.col("pass"), F.col("doc_id"), copy=F.col("copy")))
     n_buckets = F.greatest(F.ceil(F.col("docs") / bucket_rows), F.lit(1))
     copies = copies.withColumn("bucket", F.floor(F.col("o") / F.pow(F.lit(2.0), F.lit(52)) * n_buckets))
     sums = copies.groupBy("s", "pass", "bucket").agg(F.sum("n_tokens").alias("t"))
     ahead = Window.partitionBy("s").orderBy("pass", "bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("ahead", F.coalesce(F.sum("t").over(ahead), F.lit(0))).drop("t")
-    inside = Window.partitionBy("s", "pass", "bucket").orderBy("o", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("s", "pass", "bucket").orderBy("o", "doc_id", "n_tokens", "copy").rowsBetween(Window.unboundedPreceding, -1)
     placed = copies.withColumn("before", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).join(sums, ["s", "pass", "bucket"])
     placed = placed.withColumn("before", F.col("before") + F.col("ahead")).filter("before < quota")
     blocks = max(round(size / block_tokens), 1)
     placed = placed.withColumn("block", F.floor(F.col("before") * blocks / F.col("quota")))
-    deal = Window.partitionBy("block").orderBy(permuted(seed, F.lit("block"), F.col("block"), F.col("pass"), F.col("doc_id")), "doc_id", "pass", "s", "n_tokens")
+    deal = Window.partitionBy("block").orderBy(permuted(seed, F.lit("block"), F.col("block"), F.col("pass"), F.col("doc_id"), copy=F.col("copy")), "doc_id", "pass", "s", "n_tokens")
     return placed.select("doc_id", "source", "n_tokens", "pass", "block", (F.row_number().over(deal) - 1).alias("place"))
 
 
@@ -134,7 +146,8 @@ def op7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: The same mixture; the exponent by the same section search in a recursive query.
 OP7_SQL = r"""
 WITH RECURSIVE r AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS n_tokens, coalesce('s' || source, 'n') AS s FROM documents
+  SELECT *, nullif(row_number() OVER (PARTITION BY doc_id, source, n_tokens) - 1, 0) AS copy
+  FROM (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS n_tokens, coalesce('s' || source, 'n') AS s FROM documents)
 ), src AS (
   SELECT s, sum(n_tokens)::BIGINT AS tokens FROM r GROUP BY s HAVING sum(n_tokens) > 0
 ), tot AS (
@@ -156,12 +169,12 @@ WITH RECURSIVE r AS (
 ), c AS (
   SELECT r.*, q.quota, unnest(range(0, (q.quota + q.tokens - 1) // q.tokens)) AS pass FROM r JOIN q USING (s)
 ), o AS (
-  SELECT *, ('0x' || substr(md5(concat_ws('|', 'mix', s, pass::VARCHAR, coalesce(doc_id::VARCHAR, '-'))), 1, 13))::BIGINT AS o FROM c
+  SELECT *, ('0x' || substr(md5(concat_ws('|', 'mix', s, pass::VARCHAR, coalesce(doc_id::VARCHAR, '-'), copy::VARCHAR)), 1, 13))::BIGINT AS o FROM c
 ), b AS (
-  SELECT *, coalesce(sum(n_tokens) OVER (PARTITION BY s ORDER BY pass, o, doc_id, n_tokens ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM o
+  SELECT *, coalesce(sum(n_tokens) OVER (PARTITION BY s ORDER BY pass, o, doc_id, n_tokens, copy NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM o
 ), d AS (
   SELECT *, floor(before * greatest(round((SELECT size FROM tot) / 262144), 1) / quota)::BIGINT AS block FROM b WHERE before < quota
 )
-SELECT doc_id, source, n_tokens, pass, block, (row_number() OVER (PARTITION BY block ORDER BY ('0x' || substr(md5(concat_ws('|', 'mix', 'block', block::VARCHAR, pass::VARCHAR, coalesce(doc_id::VARCHAR, '-'))), 1, 13))::BIGINT, doc_id, pass, s, n_tokens) - 1)::INTEGER AS place
+SELECT doc_id, source, n_tokens, pass, block, (row_number() OVER (PARTITION BY block ORDER BY ('0x' || substr(md5(concat_ws('|', 'mix', 'block', block::VARCHAR, pass::VARCHAR, coalesce(doc_id::VARCHAR, '-'), copy::VARCHAR)), 1, 13))::BIGINT, doc_id, pass, s, n_tokens) - 1)::INTEGER AS place
 FROM d
 """

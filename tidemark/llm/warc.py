@@ -67,11 +67,21 @@ def _record(page: str, nth: int, url: str | None, payload: bytes, digest: str, r
     return _member(headers, block)
 
 
+def _open(root: str) -> tuple[pafs.FileSystem, str]:
+    """File system and path of a folder as Hadoop names it: s3a is s3, and one slash after file: is enough."""
+    for scheme, known in (("s3a:", "s3:"), ("s3n:", "s3:"), ("abfss:", "abfs:")):
+        if root.startswith(scheme):
+            root = known + root.removeprefix(scheme)
+    if root.startswith("file:"):
+        root = "file:///" + root.removeprefix("file:").lstrip("/")
+    return pafs.FileSystem.from_uri(root)
+
+
 class _Files:
     """Rolls the files of one task."""
 
     def __init__(self, root: str, limit: int):
-        self.fs, self.root = pafs.FileSystem.from_uri(root)
+        self.fs, self.root = _open(root)
         self.limit, self.attempt, self.out, self.shard, self.seq = limit, uuid.uuid4().hex, None, None, 0
         self.fs.create_dir(f"{self.root}/_tmp", recursive=True)
 
@@ -139,7 +149,7 @@ def _publish(root: str):
     """Moves reported files to their final names; what an earlier attempt has moved is left."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, base = pafs.FileSystem.from_uri(root)
+        fs, base = _open(root)
         for batch in batches:
             for row in batch.to_pylist():
                 tmp, final = f"{base}/{row['tmp']}", f"{base}/{row['name']}"
@@ -203,7 +213,8 @@ def write_warc(pages: DataFrame, root: str, *, revisit_bytes: int = 1000, shard_
     payload: by default a thousandth of all, 8 MB at least and 1 GB at most. Returns the manifest:
     ``shard``, ``seq``, ``name``, ``records``, ``bytes``, ``sha1``.
 
-    A null html is an empty payload; a null url is ``about:blank``. Rows with a null page_id come
+    A null html is an empty payload; a null or empty url is ``about:blank``, and characters that no
+    URI has are percent-encoded, so that such a url comes back encoded. Rows with a null page_id come
     first and are revisits only of a page that has an id. Of rows that repeat a page and payload
     the first is the response, if this page is the largest with that payload, and the others
     revisit it. An empty table gives an empty manifest and no file. Other columns are ignored.
@@ -250,7 +261,7 @@ def _headers(f) -> dict[str, str] | None:
 
 def _read_records(root: str, payloads: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, base = pafs.FileSystem.from_uri(root)
+        fs, base = _open(root)
         kinds = [("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())]
         for batch in batches:
             for row in batch.to_pylist():
