@@ -260,14 +260,15 @@ def brute_tree_scores(texts, asked, depth=3, least=2):
     return out
 
 
-def test_suffix_tree_keeps_rare_sequences_of_a_large_table(spark):
+def test_suffix_tree_keeps_rare_sequences_of_a_large_table(spark, monkeypatch):
     """A pair of two occurrences counts among 600,000 tokens too; by share it took three."""
     rnd = random.Random(3)
     texts = [" ".join(f"w{int(rnd.paretovariate(0.8))}" for _ in range(400)) for _ in range(1500)] + ["oak elm ash fir", "yew oak elm ash fir", None, ""]
     asked = ["oak elm ash fir", "oak elm", "yew oak", texts[0], texts[5] + " oak elm ash", None]
     df = spark.createDataFrame([(i, t, i >= len(texts)) for i, t in enumerate(texts + asked)], "doc_id long, text string, h boolean")
     want = brute_tree_scores(texts, texts + asked)
-    for share in (5e-6, 1e-3, 1.0):  # what is broadcast changes nothing
+    for share, hot in ((5e-6, 1 << 22), (1.0, 2000)):  # what is broadcast and what is hot changes nothing
+        monkeypatch.setattr(suffix_tree, "HOT", hot)
         got = {r["doc_id"]: r for r in suffix_tree.score_texts(df.repartition(3), F.col("h"), cache_share=share).collect()}
         assert len(got) == len(want) and max(abs(got[i]["score"] - w) for i, w in enumerate(want)) < 1e-6
     assert got[len(texts)]["score"] > got[len(texts)]["base_score"] + 3

@@ -10,13 +10,16 @@ Smoothing is absolute discounting towards the longest retained suffix, down to t
 unigram distribution. A text's score follows the longest retained suffix of what came before each
 word.
 
-Texts become word hashes once. Sequences are counted and looked up in numpy: a task sends each
-reducer blocks of keys and counts as byte columns, and a reducer sorts what it gets. One share of
-the keys goes through the shuffle at a time, so that the disk it takes is a part of the table.
-
-The levels are tables, built by joins. What a sequence adds to a text's score is one number: as a
-transition the log of its probability over that of its suffix, and as a context the log of the
-mass it passes on. A text's score is the sum over all its sequences. The sequences of ``cache_share``
+Texts become word hashes once. Sequences are counted, judged and looked up in numpy: tasks send
+reducers blocks of keys and values as byte columns, by suffix to be counted and by context to be
+judged, and a reducer sorts what it gets. One share of the keys goes through the shuffle at a time,
+so that the disk it takes is a part of the table. Hot suffixes and contexts, those of ``HOT``
+occurrences or a millionth of all, would crowd one reducer: suffixes are broadcast instead, and
+contexts judged by aggregations and joins.
+
+What a sequence adds to a text's score is one number: as a transition the log of its probability
+over that of its suffix, and as a context the log of the mass it passes on. A text's score is the
+sum over all its sequences. The sequences of ``cache_share``
 of all tokens or more (at most ``1 / cache_share`` a level) are broadcast; all others meet the
 texts in the shuffle.
 
@@ -47,6 +50,8 @@ DISCOUNT = 0.5
 SLICES = 4
 #: Keys that a reducer sorts, about, and blocks of keys it gets from each flush of a task.
 TASK_KEYS, BLOCKS = 1 << 19, 4
+#: Occurrences from which a sequence is hot, or a share of all tokens where that is more.
+HOT, HOT_SHARE = 1 << 22, 1e-6
 _PAIR = _U(0xD6E8FEB86659FD93)
 
 
@@ -153,8 +158,8 @@ def _rows(names: list[str], *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
 
 
 def _deal(keys: np.ndarray, parts: int, names: list[str], *columns: np.ndarray) -> pa.RecordBatch:
-    """A row for each part of the key space that occurs: its number, and the columns' values of its keys as bytes."""
-    part = ((keys >> _U(32)) * _U(parts) >> _U(32)).astype(np.int32)
+    """A row for each part of the hashed keys that occurs: its number, and the columns' values of its keys as bytes."""
+    part = ((mix64(keys + _U(1)) >> _U(32)) * _U(parts) >> _U(32)).astype(np.int32)
     order = np.argsort(part, kind="stable")
     cuts = np.searchsorted(part[order], np.arange(parts + 1))
     some = np.flatnonzero(np.diff(cuts))
@@ -175,23 +180,51 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from total.flush()
 
 
-def _count_sequences(shared, length: int, least: int, slice_no: int, parts: int):
-    """Blocks of the sequences of some words with their counts, where both parts may be in the level below and the context may stay."""
+_BLOCKS = "p int, s binary, c binary, n binary, v binary"
+
+
+def _blocks(out: pa.RecordBatch) -> pa.RecordBatch:
+    """The columns of ``_BLOCKS``, null where a batch has none of that name."""
+    names = ["p", "s", "c", "n", "v"]
+    return pa.RecordBatch.from_arrays([out.column(x) if x in out.schema.names else pa.nulls(out.num_rows, pa.binary()) for x in names], names=names)
+
+
+def _find(keys: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Position of each value among sorted keys, and whether it is one of them."""
+    if not keys.size:
+        return np.zeros(x.size, np.int64), np.zeros(x.size, bool)
+    at = np.minimum(np.searchsorted(keys, x), keys.size - 1)
+    return at, keys[at] == x
+
+
+def _told(key: str, value: str, parts: int):
+    """Rows of a key and a number as blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            k, v = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
+            yield _blocks(_deal(k.view(np.uint64), parts, [key, value], k, v.astype(np.float64)))
+
+    return run
+
+
+def _count_sequences(shared, length: int, slice_no: int, parts: int):
+    """Blocks (context, suffix, count) of the sequences of some words where both may be in the level below and the context may stay."""
 
     def emit(k, n, c, t):
-        yield _deal(k, parts, ["c", "t", "n"], c, t, n.astype(np.uint32))
+        (hot, _), *_ = shared.value
+        yield _blocks(_deal(np.where(_find(hot, t)[1], k, t), parts, ["c", "s", "n"], c, t, n.astype(np.uint32)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        below, promising = shared.value
+        _, (bits, log_bits), promising = shared.value
         total = _Counter(emit)
         for batch in batches:
             for _, _, x, at in _tokens(batch.column(0)):
                 place = np.arange(x.size) - np.repeat(at[:-1], np.diff(at))
                 *suffix, h = (h for h, _ in _sequences(x, at, length - 1))
                 ok = np.flatnonzero((place >= length - 1) & (h % _U(SLICES) == slice_no))
-                for bits, log_bits in below:
-                    ok = ok[in_bitmap(bits, h[ok], log_bits)]
-                    ok = ok[in_bitmap(bits, h[ok - 1], log_bits)]
+                ok = ok[in_bitmap(bits, h[ok], log_bits)]
+                ok = ok[in_bitmap(bits, h[ok - 1], log_bits)]
                 if promising:
                     (more, more_log), (low, low_log) = promising
                     ok = ok[in_bitmap(more, h[ok - 1], more_log) | in_bitmap(low, suffix[-1][ok - 1], low_log)]
@@ -202,42 +235,114 @@ def _count_sequences(shared, length: int, least: int, slice_no: int, parts: int)
     return run
 
 
-def _counted(least: int):
-    """The sequences of a reducer's blocks that occur often enough."""
+def _split(batches: Iterator[pa.RecordBatch]) -> tuple[list[pa.RecordBatch], list[pa.RecordBatch]]:
+    """A reducer's blocks with and without counts."""
+    got = [b for b in batches if b.num_rows]
+    return [b.filter(b.column("n").is_valid()) for b in got], [b.filter(b.column("n").is_null()) for b in got]
+
+
+def _counted(shared, least: int, parts: int):
+    """Blocks (sequence, context, count, suffix's probability), by context, of the sequences that occur often enough; hot contexts apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if b.num_rows]
-        c, t, n = (_values([b.column(i) for b in got], kind) for i, kind in ((1, np.uint64), (2, np.uint64), (3, np.uint32)))
-        if c.size:
-            s = _join(c, t)
-            order = np.argsort(s)
-            s = s[order]
-            first = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
-            n = np.add.reduceat(n[order].astype(np.int64), first)
-            often = n >= least
-            at = order[first[often]]
-            yield from _rows(["s", "c", "t", "n"], *(x.view(np.int64) for x in (s[first[often]], c[at], t[at])), n[often])
+        (hot, hot_smooth), *_ = shared.value
+        counts, told = _split(batches)
+        c, t, n = (_values([b.column(x) for b in counts], kind) for x, kind in (("c", np.uint64), ("s", np.uint64), ("n", np.uint32)))
+        if not c.size:
+            return
+        s = _join(c, t)
+        order = np.argsort(s)
+        s = s[order]
+        first = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
+        n = np.add.reduceat(n[order].astype(np.int64), first)
+        often = n >= least
+        s, n, at = s[first[often]], n[often], order[first[often]]
+        c, t = c[at], t[at]
+        keys, smooth = _values([b.column("s") for b in told], np.uint64), _values([b.column("v") for b in told], np.float64)
+        order = np.argsort(keys)
+        at, known = _find(keys[order], t)
+        below = smooth[order][at] if keys.size else np.zeros(t.size)
+        at, warm = _find(hot, t)
+        below[warm] = hot_smooth[at[warm]]
+        crowded = _find(hot, c)[1]
+        for ok, key, shift in (((known | warm) & ~crowded, c, 0), ((known | warm) & crowded, s, parts)):
+            out = _blocks(_deal(key[ok], parts, ["s", "c", "n", "v"], s[ok], c[ok], n[ok], below[ok]))
+            yield out.set_column(0, "p", pa.array(out.column(0).to_numpy() + np.int32(shift)))
 
     return run
 
 
-def _bits(df: DataFrame, column: str) -> tuple[np.ndarray, int]:
-    """A bitmap of a column's values, 16 MB at most, and the log2 of its size."""
-    log_bits = bitmap_bits(df.count(), most=27)
-    return bitmap(df, column, log_bits), log_bits
+_LEVEL = "s long, c long, n long, smooth double, v double"
 
 
-def _where(shared, column: int):
-    """The rows whose value may be in the bitmap."""
+def _judged(cost: float, all_rows: bool):
+    """Rows of ``_LEVEL`` for the transitions of a reducer's contexts, and for the contexts that stay, whose c is null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, log_bits = shared.value
-        for batch in batches:
-            yield batch.filter(pa.array(in_bitmap(bits, batch.column(column).to_numpy(zero_copy_only=False), log_bits)))
+        rows, told = _split(batches)
+        s, c, n, below = (_values([b.column(x) for b in rows], kind) for x, kind in (("s", np.int64), ("c", np.uint64), ("n", np.int64), ("v", np.float64)))
+        if not s.size:
+            return
+        order = np.argsort(c)
+        s, c, n, below = s[order], c[order], n[order], below[order]
+        first = np.flatnonzero(np.append(True, c[1:] != c[:-1]))
+        kids = np.diff(np.append(first, c.size))
+        keys, counts = _values([b.column("c") for b in told], np.uint64), _values([b.column("v") for b in told], np.float64)
+        order = np.argsort(keys)
+        m = counts[order][_find(keys[order], c[first])[0]]
+        seen = np.add.reduceat(n, first)
+        rest = 1 - (seen - DISCOUNT * kids) / m
+        of = np.repeat(np.arange(first.size), kids)
+        near = (n - DISCOUNT) / m[of] + rest[of] * below
+        gain = np.add.reduceat(n * np.log(near / below), first) + (m - seen) * np.log(rest)
+        stays = gain > cost * kids
+        own = stays[of]
+        v = np.log10(near / below) - np.log10(rest)[of]
+        ok = np.flatnonzero(own | all_rows)
+        yield from _level(s[ok], c[ok].view(np.int64), n[ok], np.where(own, near, below)[ok], v[ok], ~own[ok])
+        at = np.flatnonzero(stays)
+        yield from _level(c[first[at]].view(np.int64), None, m[at].astype(np.int64), None, np.log10(rest[at]), None)
 
     return run
 
 
+def _level(s, c, n, smooth, v, without) -> Iterator[pa.RecordBatch]:
+    for lo in range(0, s.size, 1 << 16):
+        part = slice(lo, lo + (1 << 16))
+        size = s[part].size
+        columns = [pa.array(s[part]), pa.nulls(size, pa.int64()) if c is None else pa.array(c[part]), pa.array(n[part])]
+        columns += [pa.nulls(size, pa.float64()) if smooth is None else pa.array(smooth[part]), pa.array(v[part], mask=None if without is None else without[part])]
+        yield pa.RecordBatch.from_arrays(columns, names=["s", "c", "n", "smooth", "v"])
+
+
+def _plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks as rows (s, c, n, below)."""
+    for batch in batches:
+        x = [_values([batch.column(k)], kind) for k, kind in (("s", np.int64), ("c", np.int64), ("n", np.int64), ("v", np.float64))]
+        yield from _rows(["s", "c", "n", "below"], *x)
+
+
+def _judged_apart(x: DataFrame, lower: DataFrame, cost: float, ws: Workspace) -> DataFrame:
+    """The same rows of ``_LEVEL`` for hot contexts, whose transitions (s, c, n, below) lie in many tasks."""
+    seen = x.groupBy("c").agg(F.sum("n").alias("seen"), F.count("*").alias("kids")).join(lower.select(F.col("s").alias("c"), F.col("n").alias("m")), "c")
+    seen = ws.write(seen.withColumn("rest", 1 - (F.col("seen") - DISCOUNT * F.col("kids")) / F.col("m")), small=True)
+    near = (F.col("n") - DISCOUNT) / F.col("m") + F.col("rest") * F.col("below")
+    gain = x.join(F.broadcast(seen), "c").groupBy("c", "m", "seen", "kids", "rest").agg(F.sum(F.col("n") * F.log(near / F.col("below"))).alias("g"))
+    gain = gain.withColumn("g", F.col("g") + (F.col("m") - F.col("seen")) * F.log("rest"))
+    stays = ws.write(gain.filter(F.col("g") > cost * F.col("kids")).select("c", "m", "rest"), small=True)
+    on = x.join(F.broadcast(stays), "c", "left")
+    smooth = F.when(F.col("m").isNull(), F.col("below")).otherwise(near)
+    out = on.select("s", "c", "n", smooth.alias("smooth"), (F.log10(near / F.col("below")) - F.log10("rest")).alias("v"))
+    none = F.lit(None)
+    return out.union(stays.select(F.col("c").alias("s"), none.cast("long"), "m", none.cast("double"), F.log10("rest")))
+
+
+def _bits(df: DataFrame, column: str) -> tuple[np.ndarray, int]:
+    """A bitmap of a column's values, 16 MB at most, and the log2 of its size."""
+    log_bits = bitmap_bits(df.count(), most=27)
+    return bitmap(df, column, log_bits), log_bits
+
+
 def _score(shared):
     """Each text's sums over the frequent words and sequences, and its other words."""
 
@@ -270,7 +375,7 @@ def _score(shared):
     return run
 
 
-_BLOCKS = "p int, k binary, r binary, v binary, base long"
+_QUESTIONS = "p int, k binary, r binary, v binary, base long"
 
 
 def _asked(shared, slice_no: int, parts: int):
@@ -300,7 +405,7 @@ def _asked(shared, slice_no: int, parts: int):
     return run
 
 
-def _told(parts: int):
+def _answers(parts: int):
     """The tree's rows (sequence, value) as blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -323,13 +428,14 @@ def _found(parts: int):
         sizes = [pa.compute.binary_length(b.column(1)).to_numpy(zero_copy_only=False) // 8 for b in asked]
         r += np.concatenate([np.zeros(0, np.int64), *(np.repeat(b.column(4).to_numpy(zero_copy_only=False).astype(np.int64) << 33, n) for b, n in zip(asked, sizes))])
         if s.size and k.size:
+            # A sequence may have a value as a transition and one as a context.
             order = np.argsort(s)
-            s, v = s[order], v[order]
-            at = np.minimum(np.searchsorted(s, k), s.size - 1)
-            hit = s[at] == k
+            first = np.flatnonzero(np.append(True, s[order][1:] != s[order][:-1]))
+            s, v = s[order[first]], np.add.reduceat(v[order], first)
+            at, hit = _find(s, k)
             rows, back = np.unique(r[hit], return_inverse=True)
             sums = np.bincount(back, weights=v[at[hit]], minlength=rows.size)
-            yield _deal(mix64(rows.view(np.uint64).copy()), parts, ["r", "v"], rows, sums)
+            yield _deal(rows.view(np.uint64), parts, ["r", "v"], rows, sums)
 
     return run
 
@@ -341,57 +447,59 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from _rows(["rid", "v"], rows, np.bincount(back, weights=_values([b.column(2) for b in got], np.float64), minlength=rows.size))
 
 
-def _tree(train: DataFrame, vocab: DataFrame, total: int, floor: float, depth: int, least: int, ws: Workspace) -> DataFrame:
-    """``(s, n, v)``: what each sequence of the tree adds to the log10 probability of a text, and how often it occurs."""
+def _tree(train: DataFrame, vocab: DataFrame, total: int, floor: float, depth: int, least: int, ws: Workspace) -> list[DataFrame]:
+    """Tables ``(s, n, v)``: what each sequence of the tree adds to the log10 probability of a text, as a transition and as a context, and how often it occurs."""
     spark = train.sparkSession
     tasks = _reducers(spark, total / SLICES)
-    lower = vocab.filter(F.col("n") >= least).select(F.col("h").alias("s"), "n", ((F.col("n") + 0.1) / floor).alias("smooth"))
+    parts = BLOCKS * tasks
+    lower = vocab.filter(F.col("n") >= least).select(F.col("h").alias("s"), F.lit(None).cast("long").alias("c"), "n", ((F.col("n") + 0.1) / floor).alias("smooth"))
     #: Description length of a transition in nats.
     cost = 0.5 * float(np.log(max(total, 2)))
-    parts, levels = [], []
+    tree, level = [], None
     for length in range(2, depth + 2):
         last = length == depth + 1
         promising = None
         if last and length > 2:
             # No probability exceeds one, so a context stays only if one of its transitions could alone pay for itself;
             # a context of least occurrences needs a transition that its suffix holds for improbable.
-            improbable = lower.filter(F.col("smooth") < float(np.exp(-cost / least))).select("c")
+            improbable = lower.filter(F.col("smooth") < float(np.exp(-cost / least)))
             promising = [_bits(lower.filter(F.col("n") > least), "s"), _bits(improbable, "c")]
-        shared = spark.sparkContext.broadcast(([_bits(lower, "s")], promising))
-        level = []
+        hot = lower.filter(F.col("n") >= max(HOT, HOT_SHARE * total)).select("s", "smooth").toPandas().sort_values("s", key=lambda x: x.astype("uint64"))
+        hot = (hot["s"].to_numpy(np.int64).view(np.uint64), hot["smooth"].to_numpy(np.float64))
+        shared = spark.sparkContext.broadcast((hot, _bits(lower, "s"), promising))
+        slices = []
         for i in range(SLICES):
-            blocks = train.mapInArrow(_count_sequences(shared, length, least, i, BLOCKS * tasks), "p int, c binary, t binary, n binary").repartition(tasks, "p")
-            counted = blocks.mapInArrow(_counted(least), "s long, c long, t long, n long")
-            suffix = lower.filter(F.pmod("s", F.lit(SLICES)) == i).select(F.col("s").alias("t"), F.col("smooth").alias("below"))
-            level.append(ws.write(counted.join(suffix, "t").select("s", "c", "n", "below")))
+            blocks = train.mapInArrow(_count_sequences(shared, length, i, parts), _BLOCKS)
+            suffixes = lower.filter(F.pmod("s", F.lit(SLICES)) == i).select("s", "smooth").mapInArrow(_told("s", "v", parts), _BLOCKS)
+            slices.append(ws.write(blocks.union(suffixes).repartition(tasks, "p").mapInArrow(_counted(shared, least, parts), _BLOCKS)))
             ws.release()
         shared.destroy()
-        x = level[0]
-        for part in level[1:]:
-            x = x.union(part)
-        if last:
-            shared = spark.sparkContext.broadcast(_bits(x.filter(F.col("n") * -F.log("below") > cost), "c"))
-            x = x.mapInArrow(_where(shared, 1), "s long, c long, n long, below double")
-        seen = x.groupBy("c").agg(F.sum("n").alias("seen"), F.count("*").alias("kids")).join(lower.select(F.col("s").alias("c"), F.col("n").alias("m")), "c")
-        seen = ws.write(seen.withColumn("rest", 1 - (F.col("seen") - DISCOUNT * F.col("kids")) / F.col("m")))
-        near = (F.col("n") - DISCOUNT) / F.col("m") + F.col("rest") * F.col("below")
-        gain = x.join(seen, "c").groupBy("c", "m", "seen", "kids", "rest").agg(F.sum(F.col("n") * F.log(near / F.col("below"))).alias("g"))
-        gain = gain.withColumn("g", F.col("g") + (F.col("m") - F.col("seen")) * F.log("rest"))
-        stays = ws.write(gain.filter(F.col("g") > cost * F.col("kids")).select("c", "m", "rest"))
-        ws.drop(seen)
-        on = x.join(stays, "c", "inner" if last else "left")
-        smooth = F.when(F.col("m").isNull(), F.col("below")).otherwise(near)
-        nxt = ws.write(on.select("s", "c", "n", smooth.alias("smooth"), (F.log10(near / F.col("below")) - F.log10("rest")).alias("v")))
-        ws.drop(*level)
-        ws.release()
-        levels += [nxt, stays]
-        parts += [nxt.filter("v is not null").select("s", "n", "v"), stays.select(F.col("c").alias("s"), F.col("m").alias("n"), F.log10("rest").alias("v"))]
-        lower = nxt
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    out = ws.write(out.groupBy("s").agg(F.max("n").alias("n"), F.sum("v").alias("v")))
-    ws.drop(*levels)
+        x = slices[0]
+        for more in slices[1:]:
+            x = x.union(more)
+        judged = []
+        for lo, hi in ((0, parts // 2), (parts // 2, parts)):
+            contexts = lower.select("s", "n").mapInArrow(_told("c", "v", parts), _BLOCKS)
+            blocks = x.union(contexts).filter(F.col("p").between(lo, hi - 1)).repartition(tasks, "p")
+            judged.append(ws.write(blocks.mapInArrow(_judged(cost, not last), _LEVEL)))
+            ws.release()
+        if hot[0].size:
+            crowded = x.filter(F.col("p") >= parts).mapInArrow(_plain, "s long, c long, n long, below double")
+            judged.append(ws.write(_judged_apart(crowded, lower, cost, ws)))
+        ws.drop(*slices)
+        before, level = level, judged
+        nxt = judged[0]
+        for more in judged[1:]:
+            nxt = nxt.union(more)
+        # What the level below adds to scores is all that is needed of it any more.
+        tree += _kept(before, ws)
+        lower = nxt.filter("c is not null").select("s", "c", "n", "smooth")
+    return tree + _kept(level, ws)
+
+
+def _kept(level: list[DataFrame] | None, ws: Workspace) -> list[DataFrame]:
+    out = [ws.write(x.filter("v is not null").select("s", "n", "v")) for x in level or []]
+    ws.drop(*level or [])
     ws.release()
     return out
 
@@ -431,9 +539,11 @@ def score_texts(docs: DataFrame, held_out: Column, *, depth: int = 3, least: int
     total, distinct = vocab.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     floor = total + 0.1 * (distinct + 1)
     common = vocab.filter(F.col("n") >= max(word_share * total, 1)).toPandas()
-    tree = _tree(train, vocab, total, floor, depth, least, ws)
+    tree = None
+    for part in _tree(train, vocab, total, floor, depth, least, ws):
+        tree = part if tree is None else tree.union(part)
     often = F.col("n") >= max(cache_share * total, 1)
-    cache, light = tree.filter(often).toPandas(), tree.filter(~often).select("s", "v")
+    cache, light = tree.filter(often).groupBy("s").agg(F.sum("v").alias("v")).toPandas(), tree.filter(~often).select("s", "v")
     bits, log_bits = _bits(light, "s")
     keys = [x.to_numpy(np.int64).view(np.uint64) for x in (common["h"], cache["s"])]
     shared = spark.sparkContext.broadcast((keys[0], common["n"].to_numpy(np.int64), floor, keys[1], cache["v"].to_numpy(np.float64), bits, log_bits, depth + 1))
@@ -441,8 +551,8 @@ def score_texts(docs: DataFrame, held_out: Column, *, depth: int = 3, least: int
     tasks = _reducers(spark, scored.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0] / SLICES)
     more = None
     for i in range(SLICES):
-        blocks = rows.select("rid", "tokens").mapInArrow(_asked(shared, i, BLOCKS * tasks), _BLOCKS)
-        blocks = blocks.union(light.filter(F.pmod("s", F.lit(SLICES)) == i).mapInArrow(_told(BLOCKS * tasks), _BLOCKS)).repartition(tasks, "p")
+        blocks = rows.select("rid", "tokens").mapInArrow(_asked(shared, i, BLOCKS * tasks), _QUESTIONS)
+        blocks = blocks.union(light.filter(F.pmod("s", F.lit(SLICES)) == i).mapInArrow(_answers(BLOCKS * tasks), _QUESTIONS)).repartition(tasks, "p")
         sums = blocks.mapInArrow(_found(BLOCKS * tasks), "p int, r binary, v binary").repartition(tasks, "p")
         sums = ws.write(sums.mapInArrow(_summed, "rid long, v double"))
         ws.release()
