@@ -49,7 +49,7 @@ DISCOUNT = 0.5
 #: Parts of the key space that go through a shuffle one after the other, for less disk at a time.
 SLICES = 4
 #: Keys that a reducer sorts, about, and blocks of keys it gets from each flush of a task.
-TASK_KEYS, BLOCKS = 1 << 19, 4
+TASK_KEYS, BLOCKS = 1 << 18, 4
 #: Occurrences from which a sequence is hot, or a share of all tokens where that is more.
 HOT, HOT_SHARE = 1 << 22, 1e-6
 _PAIR = _U(0xD6E8FEB86659FD93)
@@ -126,7 +126,7 @@ def _sequences(x: np.ndarray, offs: np.ndarray, most: int) -> Iterator[tuple[np.
 class _Counter:
     """Adds up keys, and keeps one value of each further column a key; what exceeds ``most`` distinct ones is handed on early."""
 
-    def __init__(self, emit: Callable[..., Iterator[pa.RecordBatch]], most: int = 1 << 19):
+    def __init__(self, emit: Callable[..., Iterator[pa.RecordBatch]], most: int = 1 << 18):
         self.emit, self.most, self.parts, self.size = emit, most, [], 0
 
     def add(self, keys: np.ndarray, *more: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -337,9 +337,9 @@ def _judged_apart(x: DataFrame, lower: DataFrame, cost: float, ws: Workspace) ->
     return out.union(stays.select(F.col("c").alias("s"), none.cast("long"), "m", none.cast("double"), F.log10("rest")))
 
 
-def _bits(df: DataFrame, column: str) -> tuple[np.ndarray, int]:
-    """A bitmap of a column's values, 16 MB at most, and the log2 of its size."""
-    log_bits = bitmap_bits(df.count(), most=27)
+def _bits(df: DataFrame, column: str, most: int = 27) -> tuple[np.ndarray, int]:
+    """A bitmap of a column's values, 2**most bits (16 MB) at most, and the log2 of its size."""
+    log_bits = bitmap_bits(df.count(), most=most)
     return bitmap(df, column, log_bits), log_bits
 
 
@@ -463,7 +463,7 @@ def _tree(train: DataFrame, vocab: DataFrame, total: int, floor: float, depth: i
             # No probability exceeds one, so a context stays only if one of its transitions could alone pay for itself;
             # a context of least occurrences needs a transition that its suffix holds for improbable.
             improbable = lower.filter(F.col("smooth") < float(np.exp(-cost / least)))
-            promising = [_bits(lower.filter(F.col("n") > least), "s"), _bits(improbable, "c")]
+            promising = [_bits(lower.filter(F.col("n") > least), "s", 26), _bits(improbable, "c", 26)]
         hot = lower.filter(F.col("n") >= max(HOT, HOT_SHARE * total)).select("s", "smooth").toPandas().sort_values("s", key=lambda x: x.astype("uint64"))
         hot = (hot["s"].to_numpy(np.int64).view(np.uint64), hot["smooth"].to_numpy(np.float64))
         shared = spark.sparkContext.broadcast((hot, _bits(lower, "s"), promising))
