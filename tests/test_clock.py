@@ -1,4 +1,8 @@
+"""Calendars against the standard library's zones."""
+
 import datetime as dt
+import random
+from zoneinfo import ZoneInfo
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,50 +10,84 @@ from pyspark.sql import functions as F
 from tidemark.functions import clock
 from tidemark.operators.contracts import ContractError, assert_labels, assert_unique, one_to_one, require_columns
 
+LONDON, UTC = ZoneInfo("Europe/London"), dt.timezone.utc
+CHANGES = [dt.date(2019, 3, 31), dt.date(2021, 10, 31), dt.date(2028, 3, 26)]
+DAYS = CHANGES + [d + dt.timedelta(1) for d in CHANGES] + [dt.date(2018, 1, 1) + dt.timedelta(random.Random(4).randint(0, 3000)) for _ in range(4)]
+
+
+def utc(day, minute=0):
+    """UTC instant of a local clock time, without its zone."""
+    local = dt.datetime.combine(day, dt.time(minute // 60, minute % 60), LONDON)
+    return local.astimezone(UTC).replace(tzinfo=None)
+
+
+@pytest.fixture(scope="module")
+def days(spark):
+    return spark.createDataFrame([(d,) for d in sorted(set(DAYS))], "settlement_date date")
+
 
-@pytest.mark.parametrize("day,n", [("2024-01-15", 48), ("2024-07-15", 48), ("2024-03-31", 46), ("2024-10-27", 50)])
-def test_grid_has_the_days_half_hours(spark, day, n):
-    g = clock.grid(spark, day, day).orderBy("target_time").collect()
-    assert [r["settlement_period"] for r in g] == list(range(1, n + 1))
-    steps = {b["target_time"] - a["target_time"] for a, b in zip(g, g[1:])}
-    assert steps == {dt.timedelta(minutes=30)}
+def test_grid_has_each_days_half_hours(spark, days):
+    rows = clock.grid_of(days).collect()
+    for d in set(DAYS):
+        start, end = utc(d), utc(d + dt.timedelta(1))
+        own = sorted((r["target_time"], r["settlement_period"]) for r in rows if r["settlement_date"] == d)
+        assert own == [(start + dt.timedelta(minutes=30 * i), i + 1) for i in range((end - start) // dt.timedelta(minutes=30))]
+    day = CHANGES[0].isoformat()
+    assert clock.grid(spark, day, day).count() == 46
 
 
-@pytest.mark.parametrize("day", ["2024-03-31", "2024-10-27", "2024-07-01"])
-def test_labels_round_trip(spark, day):
+def test_labels_round_trip(days):
     t = F.col("target_time")
-    back = clock.grid(spark, day, day).select("target_time", clock.from_label(clock.local_date(t), clock.period(t)).alias("b"), "settlement_period", clock.period(t).alias("p"))
-    assert back.filter("b <> target_time or p <> settlement_period").count() == 0
+    back = clock.grid_of(days).select("target_time", "settlement_date", "settlement_period", clock.local_date(t).alias("d"), clock.period(t).alias("p"), clock.from_label(clock.local_date(t), clock.period(t)).alias("b"))
+    assert back.filter("b <> target_time or p <> settlement_period or d <> settlement_date").count() == 0
 
 
 def test_impossible_labels_are_null_or_refused(spark):
-    df = spark.sql("select date'2024-03-31' d, 47 n")
-    assert df.select(clock.from_label(F.col("d"), F.col("n")).alias("x")).first()["x"] is None
+    df = spark.createDataFrame([(CHANGES[0], 47), (CHANGES[1], 50)], "d date, n int")
+    assert {r["n"]: r["x"] is None for r in df.select("n", clock.from_label(F.col("d"), F.col("n")).alias("x")).collect()} == {47: True, 50: False}
     with pytest.raises(ContractError):
         assert_labels(df, "d", "n", clock.ZONE)
 
 
-@pytest.mark.parametrize("day,utc", [("2024-01-15", "2024-01-14 11:00:00"), ("2024-07-15", "2024-07-14 10:00:00"), ("2024-03-31", "2024-03-30 11:00:00"), ("2024-04-01", "2024-03-31 10:00:00"), ("2024-10-27", "2024-10-26 10:00:00")])
-def test_decisions_across_clock_changes(spark, day, utc):
-    d = clock.decision_table(spark.sql(f"select date'{day}' settlement_date"))
-    assert d.selectExpr("date_format(decision_time, 'yyyy-MM-dd HH:mm:ss') x").first()["x"] == utc
+def test_instants_between_half_hours_are_refused(spark):
+    df = spark.createDataFrame([(dt.datetime(2021, 5, 5, 10, 30),), (dt.datetime(2021, 5, 5, 10, 31),)], "t timestamp")
+    assert clock.assert_aligned(df.limit(1), "t").count() == 1
+    with pytest.raises(ContractError):
+        clock.assert_aligned(df, "t")
+
+
+def test_decisions_are_local_clock_times_of_the_eve(days):
+    for r in clock.decision_table(days, 10 * 60 + 45).collect():
+        assert r["decision_time"] == utc(r["settlement_date"] - dt.timedelta(1), 10 * 60 + 45)
+    assert clock.assert_decided_before(clock.decision_table(days)).count() == len(set(DAYS))
+    with pytest.raises(ContractError):
+        clock.assert_decided_before(clock.decision_table(days, 60, 0))
+
+
+def test_repeated_and_skipped_clock_times(spark):
+    keys = clock.calendar_table(clock.grid(spark, "2021-10-31", "2021-10-31"))
+    assert sorted(r["minute_of_day"] for r in keys.filter("not first_occurrence").collect()) == [60, 90]
+    again = keys.withColumn("one", clock.first_occurrence(keys, ["local_date", "minute_of_day"], "target_time"))
+    assert again.filter("one <> first_occurrence").count() == 0
+    spring = spark.createDataFrame([(dt.datetime(2019, 3, 31, h, 15),) for h in (0, 1, 2)], "t timestamp")
+    assert [r[0] for r in spring.select(clock.exists_locally(F.col("t"))).collect()] == [True, False, True]
 
 
-def test_repeated_hour_and_skipped_hour(spark):
-    keys = clock.calendar_table(clock.grid(spark, "2024-10-27", "2024-10-27"))
-    second = keys.filter("not first_occurrence").select("minute_of_day").orderBy("minute_of_day").collect()
-    assert [r[0] for r in second] == [60, 90]
-    spring = spark.sql("select timestamp'2024-03-31 01:30:00' a, timestamp'2024-03-31 03:30:00' b")
-    row = spring.select(clock.exists_locally(F.col("a")).alias("a"), clock.exists_locally(F.col("b")).alias("b")).first()
-    assert (row["a"], row["b"]) == (False, True)
+def test_publication_counts_strictly_before_the_day(spark):
+    day = dt.date(2022, 6, 10)
+    stamps = [utc(day) - dt.timedelta(seconds=1), utc(day), None]
+    df = spark.createDataFrame([(i, day, t) for i, t in enumerate(stamps)], "i int, d date, t timestamp")
+    rows = df.select("i", *(c.alias(k) for k, c in clock.resolve_publication(F.col("t"), F.col("d"), 500, 2).items())).orderBy("i").collect()
+    due = utc(day - dt.timedelta(2), 500)
+    assert [(r["published_at"], r["published_at_source"], r["published_at_suspect"]) for r in rows] == [(stamps[0], "archive", False), (due, "schedule", True), (due, "schedule", True)]
 
 
-def test_publication_before_the_day_starts_counts(spark):
-    df = spark.sql("select date'2024-07-15' d, t from values (timestamp'2024-07-14 22:59:59'), (timestamp'2024-07-14 23:00:00'), (null) v(t)")
-    pub = clock.resolve_publication(F.col("t"), F.col("d"), 540, 1)
-    rows = df.select("t", *(c.alias(k) for k, c in pub.items())).orderBy(F.col("t").asc_nulls_last()).collect()
-    assert [r["published_at_source"] for r in rows] == ["archive", "schedule", "schedule"]
-    assert rows[1]["published_at"].strftime("%H:%M") == "08:00" and rows[2]["published_at_suspect"]
+def test_stamps_are_read_leniently(spark):
+    df = spark.createDataFrame([("2022-06-10T09:30:00Z",), ("2022-06-10 10:30",), ("no date",), (None,)], "x string")
+    got = [r[0] for r in df.select(clock.lenient(F.col("x"))).collect()]
+    assert got == [dt.datetime(2022, 6, 10, 9, 30), dt.datetime(2022, 6, 10, 10, 30), None, None]
+    local = [r[0] for r in df.select(clock.lenient(F.col("x"), clock.ZONE)).collect()]
+    assert local[1] == dt.datetime(2022, 6, 10, 9, 30)
 
 
 def test_contracts_name_what_is_wrong(spark):

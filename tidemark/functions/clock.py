@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.contracts import assert_none
+
 ZONE = "Europe/London"
 STEP_MINUTES = 30
 
@@ -25,6 +27,12 @@ def plain(c: Column | str) -> Column:
     return instant(c).cast("timestamp_ntz")
 
 
+def lenient(c: Column, zone: str | None = None) -> Column:
+    """The instant of a written time, null where it is none; one without a zone of its own is read in ``zone``, or as UTC."""
+    t = F.try_to_timestamp(c)
+    return t if zone is None else F.when(c.rlike(r"(Z|[+-]\d\d:?\d\d)$"), t).otherwise(F.to_utc_timestamp(t, zone))
+
+
 def local(c: Column, zone: str = ZONE) -> Column:
     return F.from_utc_timestamp(instant(c), zone)
 
@@ -98,6 +106,17 @@ def decision_table(periods: DataFrame, decision_minute: int = 11 * 60, lead_days
     return periods.withColumn("decision_time", at_local(F.date_sub("settlement_date", lead_days), decision_minute, zone))
 
 
+def assert_decided_before(rows: DataFrame, date: str = "settlement_date", decision: str = "decision_time", zone: str = ZONE) -> DataFrame:
+    """Refuses decisions that are not before the first half hour of their day."""
+    return assert_none(rows, F.col(decision) >= day_start(F.col(date), zone), "decided after the day began")
+
+
+def assert_aligned(rows: DataFrame, time: str, step: int = STEP_MINUTES) -> DataFrame:
+    """Refuses instants that do not begin a period, whose label would be that of another instant."""
+    t = instant(time)
+    return assert_none(rows, (F.unix_micros(t) % (step * 60_000_000)) != 0, f"{time} lies between periods")
+
+
 def calendar_table(periods: DataFrame, zone: str = ZONE) -> DataFrame:
     """Local-clock keys of each half hour."""
     t = F.col("target_time")

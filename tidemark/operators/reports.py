@@ -22,13 +22,16 @@ def provider_quality(wide: DataFrame, prices: dict[str, str]) -> DataFrame:
     return as_checks(wide.agg(F.count("*").alias("rows"), *aggs))
 
 
-def compare_providers(wide: DataFrame, a: str, b: str, large: float = 5.0) -> DataFrame:
-    """Agreement of two providers' prices."""
+def compare_providers(wide: DataFrame, a: str, b: str, volumes: dict[str, str], large: float = 5.0) -> DataFrame:
+    """Agreement of two providers' prices, and the level of each one's prices and volumes."""
     d = F.col(a) - F.col(b)
+    own = []
+    for p, v in volumes.items():
+        own += [F.percentile(p, F.lit(0.5)).alias(f"{p}_median"), F.avg(p).alias(f"{p}_mean"), F.percentile(v, F.lit(0.5)).alias(f"{v}_median"), F.avg(v).alias(f"{v}_mean"), F.max(v).alias(f"{v}_max"), F.sum(v).alias(f"{v}_total")]
     return as_checks(
         wide.agg(
             F.count(a).alias("n_a"), F.count(b).alias("n_b"), F.count(d).alias("n_both"), F.corr(a, b).alias("corr"), F.avg(d).alias("mean_diff"), F.percentile(d, F.lit(0.5)).alias("median_diff"),
-            F.avg(F.abs(d)).alias("mean_abs_diff"), F.percentile(F.abs(d), F.lit(0.95)).alias("p95_abs_diff"), F.count_if(F.abs(d) > large).alias("n_large"),
+            F.avg(F.abs(d)).alias("mean_abs_diff"), F.percentile(F.abs(d), F.lit(0.95)).alias("p95_abs_diff"), F.count_if(F.abs(d) > large).alias("n_large"), *own,
         )
     )
 
@@ -48,9 +51,9 @@ def liquidity_audit(df: DataFrame, price: str, volume: str, threshold: float = r
     )
 
 
-def affected_days(df: DataFrame, date: Column, price: str, volume: str, most: int = 10) -> DataFrame:
-    """Days with most default prices."""
-    d = df.groupBy(date.alias("day")).agg(F.count_if(rules.defaulted(F.col(price), F.col(volume))).alias("n_defaulted"))
+def affected_days(df: DataFrame, date: Column, price: str, volume: str, threshold: float = rules.LIQUIDITY_THRESHOLD, most: int = 10) -> DataFrame:
+    """Days with most default prices, ``most`` of them."""
+    d = df.groupBy(date.alias("day")).agg(F.count_if(rules.defaulted(F.col(price), F.col(volume), threshold)).alias("n_defaulted"))
     return d.filter("n_defaulted > 0").orderBy(F.desc("n_defaulted"), "day").limit(most)
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import clock, rules
+from .contracts import require_columns
 
 CHUNK_DAYS = 32
 
@@ -122,11 +123,12 @@ def date_runs(df: DataFrame, date: str, series: list[str] | None = None) -> Data
     return runs.agg(F.min(date).alias("first_day"), F.max(date).alias("last_day"), F.count("*").alias("n_days")).drop("_g")
 
 
-def jumps(df: DataFrame, series: list[str], time: str, value: str) -> DataFrame:
-    """Absolute change into and out of each row."""
-    w = Window.partitionBy(*series).orderBy(time)
+def jumps(df: DataFrame, series: list[str], time: str, value: str, step: int = 1800) -> DataFrame:
+    """Absolute change into and out of each row of a grid, from the step before and to the step after."""
+    d = with_halo(df, time, step)
+    w = Window.partitionBy(*series, "_chunk").orderBy(time)
     x = F.col(value)
-    return df.withColumn("jump_in", F.abs(x - F.lag(value).over(w))).withColumn("jump_out", F.abs(F.lead(value).over(w) - x))
+    return core(d.withColumn("jump_in", F.abs(x - F.lag(value).over(w))).withColumn("jump_out", F.abs(F.lead(value).over(w) - x)))
 
 
 def rolling_mean(df: DataFrame, series: list[str], date: str, value: str, rows: int = 7, least: int = 3, name: str = "rolling_mean") -> DataFrame:
@@ -134,6 +136,12 @@ def rolling_mean(df: DataFrame, series: list[str], date: str, value: str, rows:
     return df.withColumn(name, F.when(F.count(value).over(w) >= least, F.avg(value).over(w)))
 
 
+def trailing_days(df: DataFrame, series: list[str], date: str, value: str, first: int, last: int, name: str = "trailing_mean") -> DataFrame:
+    """Mean over the calendar days ``first`` to ``last`` before each row's date, whichever of them have rows."""
+    w = Window.partitionBy(*series).orderBy(F.unix_date(date)).rangeBetween(-first, -last)
+    return df.withColumn(name, F.avg(value).over(w))
+
+
 def cumulative(df: DataFrame, series: list[str], date: str, value: str, name: str = "cumulative") -> DataFrame:
     return df.withColumn(name, F.sum(value).over(Window.partitionBy(*series).orderBy(date).rowsBetween(Window.unboundedPreceding, 0)))
 
@@ -168,7 +176,8 @@ def clean_series(df: DataFrame, series: list[str], time: str, policy: CleaningPo
     for p in policy.prices:
         raw = F.col(p)
         v = policy.volumes.get(p)
-        if v is not None and v in df.columns:
+        if v is not None:
+            require_columns(df, [v], f"the volume of {p}")
             out = out.withColumn(f"{p}_defaulted", rules.defaulted(raw, F.col(v), policy.liquidity))
             out = out.withColumn(f"{p}_liquidity_anomaly", rules.liquidity_anomaly(raw, F.col(v), policy.liquidity))
         else:
@@ -190,15 +199,22 @@ def day_usability(df: DataFrame, series: list[str], date: str = "settlement_date
     return d.withColumn("day_usable", F.col("day_complete") & F.col("all_usable"))
 
 
-def quality_report(clean: DataFrame, policy: CleaningPolicy, rows_in: int | None = None) -> DataFrame:
-    """Counts of a cleaned table as (check, value) rows, from one pass over it."""
+def quality_report(clean: DataFrame, policy: CleaningPolicy, raw: DataFrame | None = None, keys: list[str] | None = None) -> DataFrame:
+    """Counts of a cleaned table as (check, value) rows, from one pass over it.
+
+    With the raw table and its keys (series and time) also the rows that came in, those that
+    repeated a key, and those that the grid added.
+    """
     checks: dict[str, Column] = {"rows_out": F.count("*")}
     for p in policy.prices:
         checks |= {f"{p}_missing": F.count_if(F.col(p).isNull())} | {f"{p}_{k}": F.count_if(F.col(f"{p}_{k}")) for k in ("interpolated", "out_of_band", "stuck", "defaulted", "liquidity_anomaly")}
     checks["days_total"] = F.countDistinct("settlement_date")
     checks["days_incomplete"] = F.countDistinct(F.when(~F.col("day_complete"), F.col("settlement_date")))
     checks["days_unusable"] = F.countDistinct(F.when(~F.col("day_usable"), F.col("settlement_date")))
-    if rows_in is not None:
-        checks["rows_in"] = F.lit(rows_in)
     one = clean.agg(*(x.cast("long").alias(k) for k, x in checks.items()))
-    return one.unpivot([], list(checks), "check", "value")
+    names = list(checks)
+    if raw is not None:
+        came = raw.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("rows_in"), F.count("*").alias("_keys"))
+        one = one.crossJoin(F.broadcast(came)).withColumns({"duplicates": F.col("rows_in") - F.col("_keys"), "inserted": F.col("rows_out") - F.col("_keys")})
+        names += ["rows_in", "duplicates", "inserted"]
+    return one.unpivot([], names, "check", "value")

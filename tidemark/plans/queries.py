@@ -173,7 +173,7 @@ def row_jumps(spark: SparkSession, d: str) -> DataFrame:
 
 def rolling_daily(spark: SparkSession, d: str) -> DataFrame:
     """Seven-day mean of daily order totals, and their running sum."""
-    o = daily_orders(spark, d).withColumn("s", F.year("day"))
+    o = daily_orders(spark, d).withColumn("s", F.lit(0))
     o = series.cumulative(series.rolling_mean(o, ["s"], "day", "total"), ["s"], "day", "total")
     return o.select("day", F.round("rolling_mean", 4).alias("rolling_mean"), F.round("cumulative", 2).alias("cumulative"))
 
@@ -206,7 +206,7 @@ def day_usability(spark: SparkSession, d: str) -> DataFrame:
 
 def quality_report(spark: SparkSession, d: str) -> DataFrame:
     """A10."""
-    return series.quality_report(cleaned(spark, d), POLICY)
+    return series.quality_report(cleaned(spark, d), POLICY, half_hours(spark, d), ["s", "t"])
 
 
 def by_type(spark: SparkSession, d: str) -> DataFrame:
@@ -283,16 +283,21 @@ def last_known(spark: SparkSession, d: str) -> DataFrame:
     return out.select("settlement_date", "last_price", clock.plain("source_time").alias("source_time"))
 
 
+def forecasts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Vintages of two forecasts, for half hours two days after they are published: views and clicks."""
+    e = events(spark, d)
+    target = F.timestamp_seconds(F.floor(F.unix_timestamp("ts") / 1800) * 1800 + 2 * 86400)
+    columns = lambda kind, name: e.filter(F.col("event_type") == kind).select(target.alias("target_time"), F.col("ts").alias("published_at"), F.col("value").alias(name))
+    return columns("view", "wind_forecast_mw"), columns("click", "demand_forecast_mw")
+
+
 def market(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """A point-in-time frame, prices and outturn made of the events: views stand for wind forecasts, clicks for demand."""
     g = gridded(spark, d)
     label = {"settlement_date": clock.local_date(F.col("target_time")), "settlement_period": clock.period(F.col("target_time"))}
     targets = clock.decision_table(g.select(F.col("t").alias("target_time")).withColumns(label))
     prices = g.select(F.col("t").alias("start_time_utc"), F.col("price").alias("price_apx"), (F.col("volume") < 2).alias("price_apx_interpolated"))
-    e = events(spark, d)
-    target = F.timestamp_seconds(F.floor(F.unix_timestamp("ts") / 1800) * 1800 + 2 * 86400)
-    views = e.filter("event_type = 'view'").select(target.alias("target_time"), F.col("ts").alias("published_at"), F.col("value").alias("wind_forecast_mw"))
-    clicks = e.filter("event_type = 'click'").select(target.alias("target_time"), F.col("ts").alias("published_at"), F.col("value").alias("demand_forecast_mw"))
+    views, clicks = forecasts(spark, d)
     own = prices.select(F.col("start_time_utc").alias("target_time"), "price_apx")
     pit = asof.point_in_time(targets, own, {"wind": (views, {"wind_forecast_mw": "wind_forecast_mw"}), "demand": (clicks, {"demand_forecast_mw": "demand_forecast_mw"})})
     pit = pit.withColumns({"wind_capacity_mw": F.lit(500.0), "wind_forecast_share": F.col("wind_forecast_mw") / 500.0, "period_usable": F.col("price_apx").isNotNull(), "day_usable": F.lit(True), "wind_suspect": F.lit(False)})
@@ -319,13 +324,13 @@ def feature_frame(spark: SparkSession, d: str) -> DataFrame:
     return f.select(clock.plain("target_time").alias("target_time"), *(F.round(c, 6).alias(c) if kinds[c] == "double" else F.col(c) for c in features.REGISTER.features))
 
 
-AUDITED = [f for f in features.REGISTER.features if f.startswith(("f_price", "f_last", "f_wind_err", "f_wind_bias"))]
-
-
 def availability_audit(spark: SparkSession, d: str) -> DataFrame:
-    """The features by a second route; mismatches of each."""
+    """The twenty features by a second route: mismatches and least margin of each."""
     pit, prices, outturn = market(spark, d)
-    return audit.compare(features.feature_frame(pit, prices, outturn), audit.recompute(pit, prices, outturn), AUDITED)
+    views, clicks = forecasts(spark, d)
+    again = audit.recompute(pit, prices, outturn, vintages={"wind": (views, "wind_forecast_mw"), "demand": (clicks, "demand_forecast_mw")})
+    out = audit.compare(features.feature_frame(pit, prices, outturn), again, list(features.REGISTER.features))
+    return out.withColumn("least_margin_hours", F.round("least_margin_hours", 6))
 
 
 def missing_shares(spark: SparkSession, d: str) -> DataFrame:
@@ -378,11 +383,11 @@ def skill_window(spark: SparkSession, d: str) -> DataFrame:
 
 
 def date_islands(spark: SparkSession, d: str) -> DataFrame:
-    """Runs of successive days with orders above the usual number, by year."""
+    """Runs of successive days with orders above the usual number."""
     o = daily_orders(spark, d)
     mean = o.agg(F.avg("n").alias("m"))
-    busy = o.crossJoin(F.broadcast(mean)).filter("n > m").withColumn("year", F.year("day"))
-    return series.date_runs(busy, "day", ["year"])
+    busy = o.crossJoin(F.broadcast(mean)).filter("n > m").withColumn("s", F.lit(0))
+    return series.date_runs(busy, "day", ["s"]).drop("s")
 
 
 def season_window(spark: SparkSession, d: str) -> DataFrame:
@@ -394,22 +399,22 @@ def season_window(spark: SparkSession, d: str) -> DataFrame:
 def block_bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
     """Interval of the share of totals of even days' orders, by circular blocks."""
     o = orders(spark, d).groupBy(F.to_date("o_orderdate").alias("day")).agg(F.sum("o_totalprice").alias("all_t"), F.sum(F.when(F.col("o_orderkey") % 2 == 0, F.col("o_totalprice")).otherwise(0.0)).alias("even_t"))
-    s = scoring.bootstrap_capture(o, "day", "even_t", "all_t", replicates=200)
+    s = scoring.bootstrap_capture(o, "day", "even_t", "all_t", replicates=2000)
     return s.select(*(F.round(c, 6).alias(c) for c in ("lo", "median", "hi")))
 
 
 def block_ratio_verdict(spark: SparkSession, d: str) -> DataFrame:
     """Ratio of two years' mean daily totals with its verdict."""
     o = daily_orders(spark, d)
-    s = scoring.bootstrap_ratio(o.filter("year(day) = 1996"), o.filter("year(day) = 1997"), "day", "total", replicates=200)
+    s = scoring.bootstrap_ratio(o.filter("year(day) = 1996"), o.filter("year(day) = 1997"), "day", "total", replicates=10_000)
     s = s.withColumn("verdict", scoring.verdict(F.col("lo"), F.col("hi")))
     return s.select(*(F.round(c, 6).alias(c) for c in ("lo", "median", "hi")), "verdict")
 
 
 def trailing_thresholds(spark: SparkSession, d: str) -> DataFrame:
     """Means of the prior seven days' quartiles."""
-    o = orders(spark, d).select(F.to_date("o_orderdate").alias("day"), F.year("o_orderdate").alias("y"), "o_totalprice")
-    t = dispatch.trailing_thresholds(o, ["y"], "day", "o_totalprice")
+    o = orders(spark, d).select(F.to_date("o_orderdate").alias("day"), F.lit(0).alias("s"), "o_totalprice")
+    t = dispatch.trailing_thresholds(o, ["s"], "day", "o_totalprice")
     return t.select("day", F.round("low", 4).alias("low"), F.round("high", 4).alias("high"))
 
 
@@ -533,7 +538,7 @@ def provider_report(spark: SparkSession, d: str) -> DataFrame:
 
 def provider_comparison(spark: SparkSession, d: str) -> DataFrame:
     """Agreement of two providers."""
-    r = reports.compare_providers(pivot_types(spark, d), "click_price", "view_price")
+    r = reports.compare_providers(pivot_types(spark, d), "click_price", "view_price", {"click_price": "click_volume", "view_price": "view_volume"})
     return r.select("check", F.round("value", 4).alias("value"))
 
 
@@ -571,10 +576,10 @@ def rekeyed_labels(spark: SparkSession, d: str) -> DataFrame:
     """Labels of which a few disagree with their start times, put right; impossible ones set apart."""
     g = gridded(spark, d)
     n = clock.period(F.col("t"))
-    off = F.when(F.pmod(F.unix_timestamp("t") / 1800, F.lit(97)) == 5, 1).otherwise(0)
+    # The labels of two neighbours are swapped now and then.
+    nth = F.pmod(F.unix_timestamp("t") / 1800, F.lit(97))
+    off = F.when(nth == 5, 1).when(nth == 6, -1).otherwise(0)
     feed = g.select("t", F.to_date(clock.local(F.col("t"))).alias("d"), (n + off).cast("int").alias("n"))
-    # Where a label is wrong the row that holds it rightly is left out, so that nothing collides.
-    feed = feed.filter(F.pmod(F.unix_timestamp("t") / 1800, F.lit(97)) != 6)
     kept, _ = ingest.quarantine(ingest.rekey(feed, "d", "n", "t"), "d", "n")
     return kept.select(clock.plain("t").alias("t"), F.col("d").alias("settlement_date"), F.col("n").alias("settlement_period"), "moved")
 
@@ -590,6 +595,81 @@ def walk_forward_gbt(spark: SparkSession, d: str) -> DataFrame:
     return q.select("day", "fold", "y", "predicted", "q10", "q50", "q90")
 
 
+def range_window(spark: SparkSession, d: str) -> DataFrame:
+    """Mean total of the calendar days eight to two before each day with orders."""
+    o = series.trailing_days(daily_orders(spark, d).withColumn("s", F.lit(0)), ["s"], "day", "total", 8, 2)
+    return o.select("day", F.round("trailing_mean", 4).alias("trailing_mean"))
+
+
+def lead_summary(spark: SparkSession, d: str) -> DataFrame:
+    """How long before their half hour views and clicks were published."""
+    e = events(spark, d).filter("event_type in ('view', 'click')")
+    start = F.timestamp_seconds(F.floor(F.unix_timestamp("ts") / 1800) * 1800 + 2 * 86400 + F.pmod("event_id", F.lit(5)) * 3600)
+    r = reports.lead_summary(e.withColumns({"start": start, "odd": F.pmod("event_id", F.lit(2)) == 1}), "event_type", "start", "ts", "odd")
+    return r.select("event_type", "rows", *(F.round(c, 6).alias(c) for c in ("min_lead", "median_lead", "max_lead")), "suspect")
+
+
+def worst_days(spark: SparkSession, d: str) -> DataFrame:
+    """The ten days with most default prices."""
+    g = gridded(spark, d).withColumn("price", F.when(F.col("price") < 150, 0.0).otherwise(F.col("price")))
+    return reports.affected_days(g, clock.local_date(F.col("t")), "price", "volume", 6)
+
+
+def vintage_build(spark: SparkSession, d: str) -> DataFrame:
+    """Canonical vintages of a raw feed: renamed, restricted, labelled, with resolved publications."""
+    e = events(spark, d).filter("event_type = 'view'")
+    target = F.timestamp_seconds(F.unix_timestamp("ts") + F.pmod("event_id", F.lit(4)) * 43200)
+    raw = e.select(clock.local_date(target).alias("Date"), clock.period(target).alias("Settlement_period"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("Stamp"), F.col("value").cast("string").alias("Forecast"), "event_id")
+    feed = ingest.canonical(raw, {"Date": "day", "Settlement_period": "n", "Stamp": "stamp", "Forecast": "forecast", "event_id": "event_id"}, numeric=["forecast"])
+    first, last = feed.agg(F.date_add(F.min("day"), 1).cast("string"), F.date_sub(F.max("day"), 1).cast("string")).first()
+    # The latest of equal publications, as stamps that come after the day's start are all resolved to one instant.
+    feed = feed.withColumn("at", clock.resolve_publication(clock.lenient(F.col("stamp")), F.col("day"), 540, 1)["published_at"])
+    feed = series.latest_revision(feed, ["day", "n", "at"], "event_id")
+    v = ingest.vintage_table(feed, "day", "n", clock.lenient(F.col("stamp")), ["forecast"], minute=540, lead_days=1, start=first, end=last)
+    return v.select(clock.plain("target_time").alias("target_time"), "settlement_date", "settlement_period", clock.plain("published_at").alias("published_at"), "published_at_source", "published_at_suspect", "forecast")
+
+
+def outside_grid(spark: SparkSession, d: str) -> DataFrame:
+    """events' half hours that the grid of the first ten days does not hold."""
+    h = half_hours(spark, d)
+    first = h.agg(F.min(clock.local_date(F.col("t"))).alias("a"))
+    days = first.select(F.explode(F.sequence("a", F.date_add("a", 9))).alias("settlement_date"))
+    out = ingest.outside_grid(h, clock.grid_of(days).select(F.col("target_time").alias("t")), "t")
+    return out.select(clock.plain("t").alias("t"), "price")
+
+
+def grid_with_data(spark: SparkSession, d: str) -> DataFrame:
+    """Every half hour of the events' days with the forecast part of its data."""
+    h = half_hours(spark, d)
+    days = h.select(clock.local_date(F.col("t")).alias("settlement_date")).distinct()
+    forecast, _ = ingest.split_outturn(h.withColumnRenamed("t", "target_time"), ["target_time"], ["volume"], ["price"])
+    return ingest.on_grid(clock.grid_of(days), forecast, ["target_time"]).select(clock.plain("target_time").alias("target_time"), "settlement_date", "settlement_period", "volume")
+
+
+def skill_interval(spark: SparkSession, d: str) -> DataFrame:
+    """Interval of the share of daily totals that even days' orders leave."""
+    o = orders(spark, d).groupBy(F.to_date("o_orderdate").alias("day")).agg(F.sum("o_totalprice").alias("all_t"), F.sum(F.when(F.col("o_orderkey") % 2 == 0, F.col("o_totalprice")).otherwise(0.0)).alias("even_t"))
+    return rounded(scoring.bootstrap_skill(o, "day", "even_t", "all_t", replicates=2000), [])
+
+
+def paired_capture(spark: SparkSession, d: str) -> DataFrame:
+    """Interval of the paired difference of two statuses' shares of daily totals."""
+    part = lambda k: F.sum(F.when(F.col("o_orderstatus") == k, F.col("o_totalprice")).otherwise(0.0))
+    o = orders(spark, d).groupBy(F.to_date("o_orderdate").alias("day")).agg(F.sum("o_totalprice").alias("all_t"), part("O").alias("o_t"), part("F").alias("f_t"))
+    return rounded(scoring.bootstrap_capture(o, "day", "o_t", "all_t", "f_t", replicates=2000), [])
+
+
+def matched_days(spark: SparkSession, d: str) -> DataFrame:
+    """Days whose half hours all have a target and every naive forecast."""
+    f = scored(spark, d).withColumn("usable", F.col("actual").isNotNull())
+    return dispatch.matched_days(f, "settlement_date", clock.expected_periods(F.col("settlement_date")), "usable", ["naive_d2", "mean_7d"])
+
+
+def described_events(spark: SparkSession, d: str) -> DataFrame:
+    """A36, IO11: columns of the cleaned series with their types and nulls."""
+    return reports.describe_table(clean_pass(spark, d))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -599,5 +679,6 @@ QUERIES = {
         availability_audit, missing_shares, score_table, mae_by_hour, reliability, coverage, skill_window, date_islands, season_window, block_bootstrap_ci, block_ratio_verdict, trailing_thresholds,
         realisable_spread, settle_schedule, feasibility, threshold_dispatch, lattice_dispatch, backtest_capture, scenario_frontier, rule_against_optimum, monthly_rollup, strategy_rollup,
         day_set_reconcile, provider_report, provider_comparison, liquidity_report, vintage_timeliness, timezone_evidence, day_coverage, price_range, rekeyed_labels, walk_forward_gbt,
+        range_window, lead_summary, worst_days, vintage_build, outside_grid, grid_with_data, skill_interval, paired_capture, matched_days, described_events,
     )
 }

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from ..operators.features import REGISTER
-from .queries import AUDITED
-
 
 def _local(x: str) -> str:
     return f"(({x}) AT TIME ZONE 'UTC' AT TIME ZONE 'Europe/London')"
@@ -83,7 +81,7 @@ ff AS (
 )"""
 
 
-def _boot(name: str, source: str, values: list[str], seed: int, reps: int = 200, block: int = 7) -> str:
+def _boot(name: str, source: str, values: list[str], seed: int, reps: int = 2000, block: int = 7) -> str:
     """CTEs of bootstrap sums over ``source(day, values)``: ``name(rep, n, values)``."""
     pre = ", ".join(f"sum({v}) OVER (ORDER BY day) AS {v}" for v in values)
     zero = ", ".join("0.0" for _ in values)
@@ -135,11 +133,11 @@ SQL: dict[str, str] = {
     "zero_runs": f"WITH {STEPPED}, z AS (SELECT t, coalesce(x <= 100, false) AS z FROM x), r AS (SELECT *, sum(CASE WHEN coalesce(l <> z, true) THEN 1 ELSE 0 END) OVER (ORDER BY t) AS run FROM (SELECT *, lag(z) OVER (ORDER BY t) AS l FROM z)) SELECT t, z AND count(*) OVER (PARTITION BY run) >= 2 AS zero_run FROM r",
     "longest_run": f"WITH {STEPPED}, r AS (SELECT sum(CASE WHEN coalesce(l <> x, true) THEN 1 ELSE 0 END) OVER (ORDER BY t) AS run FROM (SELECT *, lag(x) OVER (ORDER BY t) AS l FROM x WHERE x IS NOT NULL)) SELECT max(n) AS longest_run FROM (SELECT count(*) AS n FROM r GROUP BY run)",
     "row_jumps": f"WITH {G} SELECT t, round(abs(price - lag(price) OVER (ORDER BY t)), 6) AS jump_in, round(abs(lead(price) OVER (ORDER BY t) - price), 6) AS jump_out FROM g",
-    "rolling_daily": f"WITH {DAYS} SELECT day, round(CASE WHEN count(*) OVER w >= 3 THEN avg(total) OVER w END, 4) AS rolling_mean, round(sum(total) OVER (PARTITION BY year(day) ORDER BY day), 2) AS cumulative FROM od WINDOW w AS (PARTITION BY year(day) ORDER BY day ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)",
+    "rolling_daily": f"WITH {DAYS} SELECT day, round(CASE WHEN count(*) OVER w >= 3 THEN avg(total) OVER w END, 4) AS rolling_mean, round(sum(total) OVER (ORDER BY day), 2) AS cumulative FROM od WINDOW w AS (ORDER BY day ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)",
     "default_vs_traded": f"WITH {G} SELECT t, coalesce(abs(p) <= 1e-9 AND volume < 6, false) AS defaulted, coalesce(abs(p) > 1e-9 AND volume < 6, false) AS anomaly, coalesce(p < 50 OR p > 400, false) AS out_of_band FROM (SELECT *, CASE WHEN price < 150 THEN 0.0 ELSE price END AS p FROM g)",
     "clean_pass": f"WITH {CLEAN} SELECT t, round(price, 6) AS price, defaulted AS price_defaulted, oob AS price_out_of_band, stuck AS price_stuck, interpolated AS price_interpolated, settlement_date, settlement_period, period_usable, day_complete, day_usable FROM cl",
     "day_usability": f"WITH {CLEAN} SELECT settlement_date, count(*) AS observed, {_periods('settlement_date')} AS expected, any_value(day_complete) AS day_complete, any_value(day_usable) AS day_usable FROM cl GROUP BY settlement_date",
-    "quality_report": _checks(CLEAN, "cl", {"rows_out": "count(*)", "price_missing": "count(*) FILTER (price IS NULL)", "price_interpolated": "count(*) FILTER (interpolated)", "price_out_of_band": "count(*) FILTER (oob)", "price_stuck": "count(*) FILTER (stuck)", "price_defaulted": "count(*) FILTER (defaulted)", "price_liquidity_anomaly": "count(*) FILTER (anomaly)", "days_total": "count(DISTINCT settlement_date)", "days_incomplete": "count(DISTINCT settlement_date) FILTER (NOT day_complete)", "days_unusable": "count(DISTINCT settlement_date) FILTER (NOT day_usable)"}, None, "BIGINT"),
+    "quality_report": _checks(CLEAN, "cl", {"rows_out": "count(*)", "price_missing": "count(*) FILTER (price IS NULL)", "price_interpolated": "count(*) FILTER (interpolated)", "price_out_of_band": "count(*) FILTER (oob)", "price_stuck": "count(*) FILTER (stuck)", "price_defaulted": "count(*) FILTER (defaulted)", "price_liquidity_anomaly": "count(*) FILTER (anomaly)", "days_total": "count(DISTINCT settlement_date)", "days_incomplete": "count(DISTINCT settlement_date) FILTER (NOT day_complete)", "days_unusable": "count(DISTINCT settlement_date) FILTER (NOT day_usable)", "rows_in": "any_value((SELECT count(*) FROM hh))", "duplicates": "any_value((SELECT count(*) - count(DISTINCT t) FROM hh))", "inserted": "count(*) - any_value((SELECT count(DISTINCT t) FROM hh))"}, None, "BIGINT"),
     "pivot_types": f"WITH {WIDE} SELECT * FROM w",
     "pivot_fuel_revisions": "SELECT ts::DATE AS day, " + ", ".join(f"arg_max(value, ts) FILTER (event_type = '{t}') AS gen_{t}_mw" for t in TYPES) + " FROM events GROUP BY 1",
     "vwap_types": f"WITH {WIDE} SELECT day, round(" + "(" + " + ".join(f"coalesce({t}_price * {t}_volume, 0)" for t in TYPES) + ") / (" + " + ".join(f"coalesce({t}_volume, 0)" for t in TYPES) + "), 6) AS vwap, " + " + ".join(f"coalesce({t}_volume, 0)" for t in TYPES) + " AS volume FROM w",
@@ -153,17 +151,16 @@ SQL: dict[str, str] = {
     "point_in_time": f"WITH {MARKET} SELECT target_time, settlement_period, price_apx, wind AS wind_forecast_mw, wind_at AS wind_published_at, demand AS demand_forecast_mw FROM pit",
     "availability_check": f"WITH {MARKET} SELECT count(*) FILTER (wind_at >= dec) AS wind_published_at_late, round(min((floor(epoch(dec)) - floor(epoch(wind_at))) / 3600), 6) AS margin_hours FROM pit",
     "feature_frame": f"WITH {FEATURES} SELECT * EXCLUDE (settlement_date) FROM ff",
-    "availability_audit": f"WITH {G} SELECT n AS rows, unnest({AUDITED}) AS feature, 0::BIGINT AS mismatches, 'PASS' AS verdict FROM (SELECT count(*) AS n FROM g)",
     "score_table": f"WITH {SCORED}, l AS (" + " UNION ALL ".join(f"SELECT '{f}' AS forecast, {f} - actual AS e FROM mt" for f in ("naive_d2", "naive_d7", "mean_7d")) + "), s AS (SELECT forecast, count(*) AS n, avg(abs(e)) AS mae, sqrt(avg(e * e)) AS rmse FROM l GROUP BY 1) SELECT forecast, n, round(mae, 6) AS mae, round(rmse, 6) AS rmse, round(1 - mae / (SELECT mae FROM s WHERE forecast = 'naive_d7'), 6) AS skill FROM s",
     "mae_by_hour": f"WITH {SCORED} SELECT (m // 60)::INTEGER AS hour, " + ", ".join(f"round(avg(abs({f} - actual)), 6) AS mae_{f}" for f in ("naive_d2", "naive_d7", "mean_7d")) + " FROM mt GROUP BY 1",
     "reliability": f"WITH {SCORED}, l AS (" + " UNION ALL ".join(f"SELECT '{q}' AS quantile, {v}::DOUBLE AS nominal, actual - {q} AS e FROM sc WHERE actual IS NOT NULL AND q50 IS NOT NULL" for q, v in (("q10", 0.1), ("q50", 0.5), ("q90", 0.9))) + ") SELECT quantile, nominal, round(avg((e <= 0)::INTEGER), 6) AS observed_share, round(avg(greatest(nominal * e, (nominal - 1) * e)), 6) AS pinball FROM l GROUP BY 1, 2",
     "coverage": f"WITH {SCORED} SELECT count(*) AS n, round(avg((actual BETWEEN q10 AND q90)::INTEGER), 6) AS coverage, round(avg(q90 - q10), 6) AS mean_width FROM sc WHERE actual IS NOT NULL AND q10 IS NOT NULL",
     "skill_window": f"WITH {SCORED}, k AS (SELECT *, mean_7d - actual AS e, {_period('target_time')} AS sp FROM sc WHERE actual IS NOT NULL AND mean_7d IS NOT NULL), s AS (SELECT count(DISTINCT d) AS days, count(*) AS periods, avg(abs(e)) AS mae, sqrt(avg(e * e)) AS rmse, avg(e) AS bias, corr(mean_7d, actual) AS corr, avg(abs(e)) FILTER (sp <= 16) AS mae_early, avg(abs(e)) FILTER (sp >= 33) AS mae_late FROM k) SELECT days, periods, round(mae, 6) AS mae, round(rmse, 6) AS rmse, round(bias, 6) AS bias, round(corr, 6) AS corr, round(mae_early, 6) AS mae_early, round(mae_late, 6) AS mae_late, round(mae_late / mae_early, 6) AS growth FROM s",
-    "date_islands": f"WITH {DAYS}, b AS (SELECT day, year(day)::INTEGER AS year, day - (row_number() OVER (PARTITION BY year(day) ORDER BY day))::INTEGER AS k FROM od WHERE n > (SELECT avg(n) FROM od)) SELECT year, min(day) AS first_day, max(day) AS last_day, count(*) AS n_days FROM b GROUP BY year, k",
+    "date_islands": f"WITH {DAYS}, b AS (SELECT day, day - (row_number() OVER (ORDER BY day))::INTEGER AS k FROM od WHERE n > (SELECT avg(n) FROM od)) SELECT min(day) AS first_day, max(day) AS last_day, count(*) AS n_days FROM b GROUP BY k",
     "season_window": f"WITH {DAYS} SELECT year(day)::INTEGER AS year, count(*) AS days, round(sum(total), 2) AS total FROM od WHERE month(day) * 100 + day(day) BETWEEN 315 AND 610 GROUP BY 1",
     "block_bootstrap_ci": "WITH o AS (SELECT o_orderdate::DATE AS day, sum(o_totalprice) AS all_t, sum(CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice ELSE 0 END) AS even_t FROM orders GROUP BY 1), " + _boot("b", "o", ["even_t", "all_t"], 1) + " SELECT round(quantile_cont(even_t / all_t, 0.025), 6) AS lo, round(quantile_cont(even_t / all_t, 0.5), 6) AS median, round(quantile_cont(even_t / all_t, 0.975), 6) AS hi FROM b",
-    "block_ratio_verdict": f"WITH {DAYS}, oa AS (SELECT day, total FROM od WHERE year(day) = 1996), ob AS (SELECT day, total FROM od WHERE year(day) = 1997), " + _boot("ba", "oa", ["total"], 1) + ", " + _boot("bb", "ob", ["total"], 2) + ", r AS (SELECT (ba.total / ba.n) / (bb.total / bb.n) AS x FROM ba JOIN bb USING (rep)), q AS (SELECT quantile_cont(x, 0.025) AS lo, quantile_cont(x, 0.5) AS median, quantile_cont(x, 0.975) AS hi FROM r) SELECT round(lo, 6) AS lo, round(median, 6) AS median, round(hi, 6) AS hi, CASE WHEN lo >= 0.8 THEN 'GENUINE' WHEN hi < 0.7 THEN 'REGENERATED' ELSE 'INCONCLUSIVE' END AS verdict FROM q",
-    "trailing_thresholds": "WITH q AS (SELECT o_orderdate::DATE AS day, quantile_cont(o_totalprice, 0.25) AS l, quantile_cont(o_totalprice, 0.75) AS h FROM orders GROUP BY 1) SELECT day, round(avg(l) OVER w, 4) AS low, round(avg(h) OVER w, 4) AS high FROM q WINDOW w AS (PARTITION BY year(day) ORDER BY day ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING)",
+    "block_ratio_verdict": f"WITH {DAYS}, oa AS (SELECT day, total FROM od WHERE year(day) = 1996), ob AS (SELECT day, total FROM od WHERE year(day) = 1997), " + _boot("ba", "oa", ["total"], 1, 10_000) + ", " + _boot("bb", "ob", ["total"], 2, 10_000) + ", r AS (SELECT (ba.total / ba.n) / (bb.total / bb.n) AS x FROM ba JOIN bb USING (rep)), q AS (SELECT quantile_cont(x, 0.025) AS lo, quantile_cont(x, 0.5) AS median, quantile_cont(x, 0.975) AS hi FROM r) SELECT round(lo, 6) AS lo, round(median, 6) AS median, round(hi, 6) AS hi, CASE WHEN lo >= 0.8 THEN 'GENUINE' WHEN hi < 0.7 THEN 'REGENERATED' ELSE 'INCONCLUSIVE' END AS verdict FROM q",
+    "trailing_thresholds": "WITH q AS (SELECT o_orderdate::DATE AS day, quantile_cont(o_totalprice, 0.25) AS l, quantile_cont(o_totalprice, 0.75) AS h FROM orders GROUP BY 1) SELECT day, round(avg(l) OVER w, 4) AS low, round(avg(h) OVER w, 4) AS high FROM q WINDOW w AS (ORDER BY day ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING)",
     "realisable_spread": f"WITH {HH}, d AS (SELECT {_local('t')}::DATE AS day, price, row_number() OVER (PARTITION BY {_local('t')}::DATE ORDER BY price) AS u, row_number() OVER (PARTITION BY {_local('t')}::DATE ORDER BY price DESC) AS w FROM hh) SELECT day, k::INTEGER AS k, round(avg(price) FILTER (w <= k) - avg(price) FILTER (u <= k) / 0.9, 6) AS spread FROM d, (SELECT unnest([2, 4, 8]) AS k) GROUP BY 1, 2 HAVING count(*) >= 2 * k",
     "settle_schedule": f"WITH {CLOCKED}, s AS (SELECT settlement_date, scenario, any_value(rt) AS rt, any_value(wear) AS wear, any_value(hi - lo) AS usable, any_value(start) AS start, sum(greatest(mw, 0) * 0.5) AS imp, sum(greatest(-mw, 0) * 0.5) AS exp, sum(-p * mw * 0.5) AS rev FROM cp GROUP BY 1, 2) SELECT settlement_date, scenario, round(imp, 6) AS import_mwh, round(exp, 6) AS export_mwh, round(rev, 6) AS gross_revenue, round((wear * exp)::DOUBLE, 6) AS wear, round(rev - wear * exp, 6) AS net_revenue, round(exp / usable, 6) AS cycles, round((start + sqrt(rt) * imp - exp / sqrt(rt))::DOUBLE, 6) + 0.0 AS final_soc FROM s",
     "feasibility": f"WITH {CLOCKED}, q AS (SELECT *, start + sum(CASE WHEN mw > 0 THEN sqrt(rt) * mw * 0.5 ELSE mw * 0.5 / sqrt(rt) END) OVER (PARTITION BY settlement_date, scenario ORDER BY i) AS soc FROM cp) SELECT settlement_date, scenario, concat_ws('; ', CASE WHEN bool_or(abs(mw) > 1 + 1e-6) THEN 'power exceeds rating' END, CASE WHEN bool_or(soc < lo - 1e-6) THEN 'state of charge below lower bound' END, CASE WHEN bool_or(soc > hi + 1e-6) THEN 'state of charge above upper bound' END, CASE WHEN abs(arg_max(soc, i) - any_value(start)) > 1e-4 THEN 'terminal state of charge not met' END) AS problems FROM q GROUP BY 1, 2",
@@ -171,13 +168,13 @@ SQL: dict[str, str] = {
     "strategy_rollup": "WITH d AS (SELECT o_orderdate::DATE AS day, o_orderstatus AS strategy, sum(o_totalprice) AS r FROM orders GROUP BY 1, 2) SELECT s.strategy, s.year::INTEGER AS year, round(sum(r), 2) AS revenue, count(r) AS days FROM (SELECT DISTINCT strategy, y AS year FROM (SELECT DISTINCT strategy FROM d), (SELECT DISTINCT year(day) AS y FROM d) UNION ALL SELECT DISTINCT strategy, NULL FROM d) s LEFT JOIN d ON d.strategy = s.strategy AND (s.year IS NULL OR year(d.day) = s.year) GROUP BY 1, 2",
     "day_set_reconcile": "WITH a AS (SELECT DISTINCT o_orderdate::DATE AS day FROM orders WHERE o_totalprice > 300000), b AS (SELECT DISTINCT o_orderdate::DATE AS day FROM orders WHERE o_totalprice < 50000) SELECT count(*) FILTER (b.day IS NULL) AS left_only, count(*) FILTER (a.day IS NULL) AS right_only, count(*) FILTER (a.day IS NOT NULL AND b.day IS NOT NULL) AS both, min(coalesce(a.day, b.day)) AS first_day, max(coalesce(a.day, b.day)) AS last_day FROM a FULL JOIN b ON a.day = b.day",
     "provider_report": _checks(WIDE, "w", _providers(), 4),
-    "provider_comparison": _checks(WIDE, "w", {"n_a": "count(click_price)", "n_b": "count(view_price)", "n_both": f"count({_D})", "corr": "corr(click_price, view_price)", "mean_diff": f"avg({_D})", "median_diff": f"quantile_cont({_D}, 0.5)", "mean_abs_diff": f"avg(abs({_D}))", "p95_abs_diff": f"quantile_cont(abs({_D}), 0.95)", "n_large": f"count(*) FILTER (abs({_D}) > 5)"}, 4),
+    "provider_comparison": _checks(WIDE, "w", {"n_a": "count(click_price)", "n_b": "count(view_price)", "n_both": f"count({_D})", "corr": "corr(click_price, view_price)", "mean_diff": f"avg({_D})", "median_diff": f"quantile_cont({_D}, 0.5)", "mean_abs_diff": f"avg(abs({_D}))", "p95_abs_diff": f"quantile_cont(abs({_D}), 0.95)", "n_large": f"count(*) FILTER (abs({_D}) > 5)"} | {f"{p}_{k}": v.format(f"{p}") for p in ("click_price", "view_price", "click_volume", "view_volume") for k, v in (("median", "quantile_cont({}, 0.5)"), ("mean", "avg({})"), *((("max", "max({})"), ("total", "sum({})")) if p.endswith("volume") else ()))}, 4),
     "liquidity_report": _checks(f"{G}, z AS (SELECT CASE WHEN price < 150 THEN 0.0 ELSE price END AS p, volume AS v FROM g)", "z", {"rows": "count(*)", "zero_prices": "count(*) FILTER (abs(p) <= 1e-9)", "defaulted": "count(*) FILTER (abs(p) <= 1e-9 AND v < 6)", "traded_zeros": "count(*) FILTER (abs(p) <= 1e-9 AND v >= 6)", "zero_without_volume": "count(*) FILTER (abs(p) <= 1e-9 AND v IS NULL)", "anomalies": "count(*) FILTER (abs(p) > 1e-9 AND v < 6)"}, None),
     "vintage_timeliness": f"WITH v AS (SELECT ts, ts::DATE + (event_id % 3)::INTEGER AS day FROM events WHERE event_type = 'view'), l AS (SELECT day, ts < {_utc('day')} AS ok, (epoch({_utc('day')}) - floor(epoch(ts))) / 3600 AS lead FROM v) SELECT year(day)::INTEGER AS year, count(*) AS rows, count(*) FILTER (NOT ok) AS late_or_missing, round(quantile_cont(lead, 0.5) FILTER (ok), 6) AS median_lead, round(min(lead) FILTER (ok), 6) AS min_lead FROM l GROUP BY 1",
     "timezone_evidence": f"WITH s AS (SELECT t, (hour({_local('t')}) + minute({_local('t')}) / 60)::DOUBLE AS u, (hour(t) + minute(t) / 60)::DOUBLE AS l, month(t) IN (12, 1, 2) AS w, month(t) IN (6, 7, 8) AS s FROM (SELECT o_orderdate + (o_orderkey % 24) * INTERVAL 1 HOUR AS t FROM orders)) SELECT quantile_cont(u, 0.5) FILTER (w) AS as_utc_winter, quantile_cont(u, 0.5) FILTER (s) AS as_utc_summer, quantile_cont(l, 0.5) FILTER (w) AS as_local_winter, quantile_cont(l, 0.5) FILTER (s) AS as_local_summer FROM s",
     "day_coverage": f"WITH {HH}, d AS (SELECT {_local('t')}::DATE AS day, count(*) AS n FROM hh GROUP BY 1) SELECT n, {_periods('day')} AS expected, count(*) AS days FROM d GROUP BY 1, 2",
     "price_range": f"WITH {HH}, d AS (SELECT {_local('t')}::DATE AS day, max(price) - min(price) AS r FROM hh GROUP BY 1) SELECT round(avg(r), 6) AS mean_range, round(quantile_cont(r, 0.5), 6) AS median_range, arg_max(day, r) AS widest_day, arg_min(day, r) AS narrowest_day FROM d",
-    "rekeyed_labels": f"WITH {G} SELECT t, {_local('t')}::DATE AS settlement_date, {_period('t')} AS settlement_period, (epoch(t)::BIGINT // 1800) % 97 = 5 AS moved FROM g WHERE (epoch(t)::BIGINT // 1800) % 97 <> 6",
+    "rekeyed_labels": f"WITH {G} SELECT t, {_local('t')}::DATE AS settlement_date, {_period('t')} AS settlement_period, (epoch(t)::BIGINT // 1800) % 97 IN (5, 6) AS moved FROM g",
 }
 SQL["missing_shares"] = f"WITH {FEATURES} " + " UNION ALL ".join(f"SELECT '{f}' AS feature, round(avg(({f} IS NULL)::INTEGER), 6) AS missing_share, min(settlement_date) FILTER ({f} IS NOT NULL) AS first_day FROM ff" for f in REGISTER.features)
 SQL["threshold_dispatch"] = f"""
@@ -203,3 +200,46 @@ SELECT settlement_date, scenario, round(imp, 6) AS import_mwh, round(exp, 6) AS
 FROM fin
 """
 SQL["asof_bucketed"] = SQL["asof_purchase_view"]
+
+# The audit once more: features by range joins and correlated aggregates against those of the frame, and least margins of what they use.
+_BY_MARGIN = {
+    "NULL": ["f_settlement_period", "f_minute_of_day", "f_day_of_week", "f_is_weekend", "f_month"], "mw": ["f_wind_forecast_mw", "f_wind_forecast_share"], "md": ["f_demand_forecast_mw"], "mb": ["f_residual_demand_mw"],
+    "mp": [f for f in REGISTER.features if f.startswith("f_price")], "ml": ["f_last_known_price"], "me": ["f_wind_err_d2", "f_wind_bias_28d", "f_wind_err_d2_demeaned"],
+}
+_AGAIN = {
+    "f_settlement_period": "p.settlement_period", "f_minute_of_day": "p.m", "f_day_of_week": f"(dayofweek({_local('p.target_time')}) + 6) % 7", "f_is_weekend": f"(dayofweek({_local('p.target_time')}) IN (0, 6))::INTEGER", "f_month": f"strftime({_local('p.target_time')}, '%m')::INTEGER",
+    "f_wind_forecast_mw": "(SELECT arg_max(value, published_at) FROM vw WHERE vw.target_time = p.target_time AND published_at < p.dec)", "f_wind_forecast_share": "(SELECT arg_max(value, published_at) FROM vw WHERE vw.target_time = p.target_time AND published_at < p.dec) / 500.0",
+    "f_demand_forecast_mw": "(SELECT arg_max(value, published_at) FROM ck WHERE ck.target_time = p.target_time AND published_at < p.dec)", "f_residual_demand_mw": "p.demand - p.wind",
+    "f_price_d2_same_time": "w.x2", "f_price_d7_same_time": "w.x7", "f_price_7d_same_time_mean": "w.x", "f_price_d2_mean": "z.mean2", "f_price_d2_spread": "z.spread2", "f_price_7d_mean": "z.mean", "f_price_7d_std": "z.std", "f_last_known_price": "l.x",
+    "f_wind_err_d2": "er2.e2", "f_wind_bias_28d": "er2.bias", "f_wind_err_d2_demeaned": "er2.e2 - er2.bias",
+}
+SQL["availability_audit"] = f"""WITH {FEATURES},
+pj AS (SELECT days.d, days.dec, px.d AS sd, px.m, px.price, px.av, px.av < days.dec AS ok FROM days JOIN px ON days.d - px.d BETWEEN 2 AND 8),
+z AS (SELECT d, avg(price) FILTER (ok) AS mean, stddev_samp(price) FILTER (ok) AS std, CASE WHEN bool_and(ok) FILTER (d - sd = 2) THEN avg(price) FILTER (d - sd = 2) END AS mean2, CASE WHEN bool_and(ok) FILTER (d - sd = 2) THEN max(price) FILTER (d - sd = 2) - min(price) FILTER (d - sd = 2) END AS spread2,
+  min(epoch(dec) - epoch(av)) FILTER (ok) / 3600 AS margin FROM pj GROUP BY d),
+w AS (SELECT d, m, avg(price) AS x, max(price) FILTER (d - sd = 2) AS x2, max(price) FILTER (d - sd = 7) AS x7 FROM pj WHERE ok GROUP BY d, m),
+l AS (SELECT days.d, arg_max(px.price, px.av) AS x, (epoch(any_value(days.dec)) - epoch(max(px.av))) / 3600 AS margin FROM days JOIN px ON px.av < days.dec GROUP BY days.d),
+er2 AS (SELECT days.d, avg(e) FILTER (days.d - er.d = 2) AS e2, avg(e) AS bias, min(epoch(dec) - epoch(av)) / 3600 AS margin FROM days JOIN er ON days.d - er.d BETWEEN 2 AND 29 AND er.av < days.dec GROUP BY days.d),
+mg AS (SELECT (SELECT min(margin) FROM z) AS mp, (SELECT min(margin) FROM l) AS ml, (SELECT min(margin) FROM er2) AS me,
+  (SELECT min(floor(epoch(dec)) - floor(epoch(published_at))) / 3600 FROM vw JOIN tg USING (target_time) WHERE published_at < dec) AS mw, (SELECT min(floor(epoch(dec)) - floor(epoch(published_at))) / 3600 FROM ck JOIN tg USING (target_time) WHERE published_at < dec) AS md,
+  (SELECT min(least(a, b)) FROM (SELECT target_time, min(floor(epoch(dec)) - floor(epoch(published_at))) / 3600 AS a FROM vw JOIN tg USING (target_time) WHERE published_at < dec GROUP BY 1) FULL JOIN (SELECT target_time, min(floor(epoch(dec)) - floor(epoch(published_at))) / 3600 AS b FROM ck JOIN tg USING (target_time) WHERE published_at < dec GROUP BY 1) USING (target_time)) AS mb),
+df AS (SELECT count(*) AS rows, {", ".join(f"count(*) FILTER (NOT coalesce(abs(ff.{k} - ({v})) <= 2e-6 * greatest(1, abs(ff.{k})), ff.{k} IS NULL AND ({v}) IS NULL)) AS {k}" for k, v in _AGAIN.items())}
+  FROM ff JOIN pit p USING (target_time) LEFT JOIN z ON z.d = p.d LEFT JOIN w ON w.d = p.d AND w.m = p.m LEFT JOIN l ON l.d = p.d LEFT JOIN er2 ON er2.d = p.d)
+SELECT rows, feature, mismatches, round(margin, 6) AS least_margin_hours, CASE WHEN mismatches = 0 AND coalesce(margin > 0, true) THEN 'PASS' ELSE 'FAIL' END AS verdict FROM ({" UNION ALL ".join(f"SELECT rows, '{f}' AS feature, {f} AS mismatches, ({k})::DOUBLE AS margin FROM df, mg" for k, fs in _BY_MARGIN.items() for f in fs)})"""
+_EVEN = "o AS (SELECT o_orderdate::DATE AS day, sum(o_totalprice) AS all_t, sum(CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice ELSE 0 END) AS even_t, sum(CASE WHEN o_orderstatus = 'O' THEN o_totalprice ELSE 0 END) AS o_t, sum(CASE WHEN o_orderstatus = 'F' THEN o_totalprice ELSE 0 END) AS f_t FROM orders GROUP BY 1)"
+_BOUNDS = "SELECT round(quantile_cont(x, 0.025), 6) AS lo, round(quantile_cont(x, 0.5), 6) AS median, round(quantile_cont(x, 0.975), 6) AS hi FROM ({})"
+SQL["skill_interval"] = f"WITH {_EVEN}, " + _boot("b", "o", ["even_t", "all_t"], 1) + " " + _BOUNDS.format("SELECT 1 - even_t / all_t AS x FROM b")
+SQL["paired_capture"] = f"WITH {_EVEN}, " + _boot("b", "o", ["o_t", "f_t", "all_t"], 1) + " " + _BOUNDS.format("SELECT (o_t - f_t) / all_t AS x FROM b")
+SQL["range_window"] = f"WITH {DAYS} SELECT day, round(avg(total) OVER (ORDER BY day RANGE BETWEEN INTERVAL 8 DAY PRECEDING AND INTERVAL 2 DAY PRECEDING), 4) AS trailing_mean FROM od"
+SQL["lead_summary"] = "WITH e AS (SELECT event_type, event_id % 2 = 1 AS odd, (epoch(time_bucket(INTERVAL 30 MINUTE, ts)) + 172800 + event_id % 5 * 3600 - floor(epoch(ts))) / 3600 AS lead FROM events WHERE event_type IN ('view', 'click')) SELECT event_type, count(*) AS rows, round(min(lead), 6) AS min_lead, round(quantile_cont(lead, 0.5), 6) AS median_lead, round(max(lead), 6) AS max_lead, count(*) FILTER (odd) AS suspect FROM e GROUP BY 1"
+SQL["worst_days"] = f"WITH {G} SELECT {_local('t')}::DATE AS day, count(*) FILTER (coalesce(price < 150 AND volume < 6, false)) AS n_defaulted FROM g GROUP BY 1 HAVING count(*) FILTER (coalesce(price < 150 AND volume < 6, false)) > 0 ORDER BY 2 DESC, 1 LIMIT 10"
+SQL["vintage_build"] = f"""WITH e AS (SELECT event_id, date_trunc('second', ts) AS stamp, value, ts + (event_id % 4) * INTERVAL 12 HOUR AS tg FROM events WHERE event_type = 'view'),
+r AS (SELECT *, {_local('tg')}::DATE AS d, {_period('tg')} AS n FROM e),
+p AS (SELECT *, stamp < {_utc('d')} AS ok, CASE WHEN stamp < {_utc('d')} THEN stamp ELSE {_utc('d - 1 + INTERVAL 9 HOUR')} END AS published_at FROM r),
+u AS (SELECT *, row_number() OVER (PARTITION BY d, n, published_at ORDER BY event_id DESC) AS k FROM p)
+SELECT {_utc('d')} + (n - 1) * INTERVAL 30 MINUTE AS target_time, d AS settlement_date, n AS settlement_period, published_at, CASE WHEN ok THEN 'archive' ELSE 'schedule' END AS published_at_source, NOT ok AS published_at_suspect, value AS forecast
+FROM u WHERE k = 1 AND d > (SELECT min(d) FROM r) AND d < (SELECT max(d) FROM r)"""
+SQL["outside_grid"] = f"WITH {HH} SELECT t, price FROM hh WHERE {_local('t')}::DATE > (SELECT min({_local('t')}::DATE) FROM hh) + 9"
+SQL["grid_with_data"] = f"WITH {HH}, d AS (SELECT DISTINCT {_local('t')}::DATE AS day FROM hh), q AS (SELECT day, {_utc('day')} + (i - 1) * INTERVAL 30 MINUTE AS target_time, i::INTEGER AS i FROM (SELECT day, unnest(range(1, {_periods('day')} + 1)) AS i FROM d)) SELECT q.target_time, day AS settlement_date, i AS settlement_period, volume FROM q LEFT JOIN hh ON hh.t = q.target_time"
+SQL["matched_days"] = f"WITH {SCORED} SELECT d AS settlement_date, bool_and(actual IS NOT NULL AND naive_d2 IS NOT NULL AND mean_7d IS NOT NULL) AND count(*) = {_periods('d')} AS matched FROM sc GROUP BY d"
+SQL["described_events"] = f"WITH {CLEAN}, c2 AS (SELECT * FROM cl) SELECT * FROM (VALUES " + ", ".join(f"('{c}', (SELECT count(*) FROM c2 WHERE {x} IS NULL), '{k}')" for c, x, k in (("t", "t", "timestamp_ntz"), ("price", "price", "double"), ("price_defaulted", "defaulted", "boolean"), ("price_out_of_band", "oob", "boolean"), ("price_stuck", "stuck", "boolean"), ("price_interpolated", "interpolated", "boolean"), ("settlement_date", "settlement_date", "date"), ("settlement_period", "settlement_period", "int"), ("period_usable", "period_usable", "boolean"), ("day_complete", "day_complete", "boolean"), ("day_usable", "day_usable", "boolean"))) + ') v("column", nulls, "type")'
