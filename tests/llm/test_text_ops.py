@@ -257,7 +257,7 @@ def test_licenses_equal_a_full_scan(spark):
             if 100 * best >= 80 * len(x):
                 want[i, name] = best
     df = spark.createDataFrame([*enumerate(texts), (None, templates["short"]), (0, texts[0])], "doc_id long, text string").withColumns({"license": F.lit(1), "n_aligned": F.lit(2)})
-    rows = licenses.scan_licenses(df).collect()
+    rows = licenses.scan_licenses(df, templates).collect()
     assert [r["license"] for r in rows if r["doc_id"] is None] == ["short"]
     got = {(r["doc_id"], r["license"]): r["n_aligned"] for r in rows if r["doc_id"] is not None}
     # A match that lies inside another one's span is not told.

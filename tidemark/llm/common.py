@@ -159,9 +159,11 @@ def without(docs: DataFrame, gone: DataFrame, key: Column, repeated: DataFrame |
 
     @F.pandas_udf("boolean")
     def concerned(x: pd.Series) -> pd.Series:
-        return pd.Series(in_bitmap(bits, x.fillna(0).to_numpy(np.int64), log_bits) & x.notna().to_numpy())
+        return pd.Series(in_bitmap(bits, x.to_numpy(np.int64), log_bits))
 
-    marked = docs.withColumn(own, key.cast("long")).withColumn(mark, concerned(F.col(own)))
+    # Without nulls, with which pandas would make doubles of the keys.
+    marked = docs.withColumn(own, key.cast("long"))
+    marked = marked.withColumn(mark, F.col(own).isNotNull() & concerned(F.coalesce(own, F.lit(0).cast("long"))))
     left = marked.filter(mark).drop(mark).join(gone.select(F.col("key").alias(own)), own, "left_anti")
     if repeated is not None:
         again = repeated.select(F.col("key").alias(own)).distinct()
