@@ -3,7 +3,7 @@
 Training counts every n-gram of the labelled texts into ``buckets`` hash buckets by language;
 each task adds up its own counts, Spark sums them. The matrix of log-probabilities has languages
 times buckets cells, ``max_cells`` at most whatever the input, and is broadcast; texts are scored
-in numpy, a few megabytes at a time.
+in numpy, half a megabyte at a time.
 """
 
 from __future__ import annotations

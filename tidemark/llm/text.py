@@ -1,6 +1,6 @@
 """Vectorised text primitives shared by the corpus operators.
 
-Everything works on the UTF-8 bytes of an Arrow string column, a few megabytes of whole
+Everything works on the UTF-8 bytes of an Arrow string column, half a megabyte of whole
 documents at a time, so that a task's memory is bounded by the longest single text and not by
 the number of rows. Words are maximal runs of bytes outside ``[\\x20\\x09-\\x0D]``; no byte of a
 multi-byte UTF-8 character falls in that set, so byte runs and character runs are the same words.
@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 19
 SHINGLE_WORDS = 5
 
 SPACE = np.zeros(256, dtype=bool)
