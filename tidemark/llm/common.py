@@ -3,19 +3,55 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import functools
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DOC_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
+#: Bytes of a batch between Spark and Python while tables are written; both sides hold a few at once.
+BATCH_BYTES = 4 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Batches of ``BATCH_BYTES`` for the jobs that run meanwhile, or what the session asks for if that is less."""
+    before = spark.conf.get(_BATCH_SETTING, None)
+    if before is not None and 0 < int(before.removesuffix("b")) <= BATCH_BYTES:
+        yield
+        return
+    spark.conf.set(_BATCH_SETTING, f"{BATCH_BYTES}b")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_BATCH_SETTING)
+        else:
+            spark.conf.set(_BATCH_SETTING, before)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The function of a ``mapInArrow``, which leaves no freed memory with the worker that waits for its next task."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(AttributeError, OSError):  # other C libraries have no such call
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return tidied
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
@@ -78,7 +114,8 @@ class Workspace:
         path = f"{self.root}/t{self._n}"
         if small:
             df = df.coalesce(2 * self.spark.sparkContext.defaultParallelism)
-        df.write.parquet(path)
+        with small_batches(self.spark):
+            df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._tidemark_path = path
         return out

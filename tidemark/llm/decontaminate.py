@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, bitmap, bitmap_bits, in_bitmap, read_documents, without
+from .common import Workspace, bitmap, bitmap_bits, in_bitmap, lean, read_documents, without
 from .text import chunks, distinct_sorted, mix64, row_minima, shingles, stream64, words
 
 COORDS = 48
@@ -144,7 +144,7 @@ def contained_items(docs: DataFrame, items: DataFrame, *, percent: int = 75) ->
     spark = docs.sparkSession
     ws = Workspace(spark, "decontaminate")
     schema = "item_id long, size_class int, shingles array<long>, keys array<long>"
-    marked = ws.write(items.filter("item_id is not null").select(F.col("item_id").cast("long"), "text").mapInArrow(_item_keys, schema).withColumn("item", F.monotonically_increasing_id()))
+    marked = ws.write(items.filter("item_id is not null").select(F.col("item_id").cast("long"), "text").mapInArrow(lean(_item_keys), schema).withColumn("item", F.monotonically_increasing_id()))
     classes = sorted(r[0] for r in marked.select("size_class").distinct().collect())
     pair = "doc_id long, item_id long, n_shared long, n_item long, containment double"
     if not classes:
@@ -154,7 +154,7 @@ def contained_items(docs: DataFrame, items: DataFrame, *, percent: int = 75) ->
     sizes = marked.agg(F.count("*"), F.sum(F.size("shingles"))).first()
     key_log, set_log = bitmap_bits(256 * sizes[0] * COORDS, most=27), bitmap_bits(64 * sizes[1], most=27)
     search = _search(classes, bitmap(keys, "key", key_log), key_log, bitmap(parts, "shingle", set_log), set_log)
-    hits = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long"), "text").mapInArrow(search, "doc_id long, keys array<long>, shingles array<long>")
+    hits = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(search), "doc_id long, keys array<long>, shingles array<long>")
     hits = ws.write(hits.withColumn("row", F.monotonically_increasing_id()))
     candidates = hits.select("row", F.explode("keys").alias("key")).join(keys, "key").select("row", "item").distinct()
     shared = hits.select("row", F.explode("shingles").alias("shingle")).join(parts, "shingle").groupBy("row", "item").agg(F.count("*").alias("n_shared"))

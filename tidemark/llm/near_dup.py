@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, bitmap, bitmap_bits, components, in_bitmap, read_documents, without
+from .common import Workspace, bitmap, bitmap_bits, components, in_bitmap, lean, read_documents, without
 from .text import binary_column, chunks, distinct_sorted, mix64, row_minima, row_sums, shingles, stream64, words
 
 COORDS = 128
@@ -268,7 +268,7 @@ def _links(rows: DataFrame, classes: DataFrame, ws: Workspace, percent: int, rec
     share = 1 / (threshold * COORDS)
     trees = trees_for(recall, threshold, depth)
     sketches, signatures, items = rows.select("c", *_SKETCH), rows.select("c", "sig"), rows.select("c", "items")
-    level = ws.write(signatures.mapInArrow(_children(share, trees), "node long, c long, tree int").join(classes, "c", "left_semi"))
+    level = ws.write(signatures.mapInArrow(lean(_children(share, trees)), "node long, c long, tree int").join(classes, "c", "left_semi"))
 
     def nodes_of(first: int, size: int) -> DataFrame:
         return level.filter(F.col("tree").between(first, first + size - 1)).select("node", "c", F.lit(1).alias("level"))
@@ -289,20 +289,20 @@ def _links(rows: DataFrame, classes: DataFrame, ws: Workspace, percent: int, rec
             settled = (F.col("level") >= depth) | (F.col("n") * F.col("n_out") <= work)
             big = ws.write(live.join(shares, "node").withColumn("settled", settled), small=True)
             lists = live.filter(F.col("n") <= block).groupBy("node").agg(F.collect_list(F.struct("c", "k", *_SKETCH)).alias("members"))
-            near = lists.mapInArrow(_similar_within(least), "node long, c long")
-            near = near.union(_blocks(big.filter("settled"), block, ["c", "k", *_SKETCH]).mapInArrow(_similar_across(least), "node long, c long"))
+            near = lists.mapInArrow(lean(_similar_within(least)), "node long, c long")
+            near = near.union(_blocks(big.filter("settled"), block, ["c", "k", *_SKETCH]).mapInArrow(lean(_similar_across(least)), "node long, c long"))
             near = ws.write(near.distinct().join(live.select("node", "c", "k", *_SKETCH), ["node", "c"]), small=True)
             sets = _needed_sets(near.select("c"), items)
             counts = near.groupBy("node", "k").agg(F.count("*").alias("m")).groupBy("node").agg(F.max(F.struct("m", "k")).alias("top"), F.sum("m").alias("n"))
             counts = counts.select("node", F.col("top.k").alias("main"), "n", (F.col("n") - F.col("top.m")).alias("n_out"))
             full = _blocks(near.join(counts, "node").join(sets, "c"), block, ["c", "k", *_SKETCH, "items"])
-            links = full.mapInArrow(_link_blocks(percent), "a long, b long")
+            links = full.mapInArrow(lean(_link_blocks(percent)), "a long, b long")
             if waiting:
                 nxt = nodes_of(waiting.pop(0), _LATER)
             branch = big.filter("not settled")
             if not branch.isEmpty():
                 links = links.union(_pivot_links(branch, items, ws, percent))
-                children = branch.select("node", "c", "level").join(signatures, "c").mapInArrow(_children(share, 0), "node long, c long, level int")
+                children = branch.select("node", "c", "level").join(signatures, "c").mapInArrow(lean(_children(share, 0)), "node long, c long, level int")
                 children = ws.write(children.select("node", "c", "level"))
                 nxt = children if nxt is None else nxt.unionByName(children)
         links = ws.write(links.distinct(), small=True)
@@ -321,7 +321,7 @@ def _links(rows: DataFrame, classes: DataFrame, ws: Workspace, percent: int, rec
 def _needed_sets(classes: DataFrame, items: DataFrame) -> DataFrame:
     """The shingle sets of some classes; a bitmap of bounded size keeps the others out of the shuffle."""
     log_bits = bitmap_bits(4 * classes.count())
-    return items.mapInArrow(_needed(bitmap(classes, "c", log_bits), log_bits), "c long, items binary")
+    return items.mapInArrow(lean(_needed(bitmap(classes, "c", log_bits), log_bits)), "c long, items binary")
 
 
 def _pivot_links(rows: DataFrame, items: DataFrame, ws: Workspace, percent: int) -> DataFrame:
@@ -336,7 +336,7 @@ def _pivot_links(rows: DataFrame, items: DataFrame, ws: Workspace, percent: int)
     pairs = ws.write(near.select(F.least("c", "p_c").alias("a"), F.greatest("c", "p_c").alias("b")).distinct(), small=True)
     sets = _needed_sets(pairs.select(F.explode(F.array("a", "b")).alias("c")), items)
     full = pairs.join(sets.select(F.col("c").alias("a"), F.col("items").alias("items_a")), "a").join(sets.select(F.col("c").alias("b"), F.col("items").alias("items_b")), "b")
-    return full.mapInArrow(_verify(percent), "a long, b long")
+    return full.mapInArrow(lean(_verify(percent)), "a long, b long")
 
 
 def _blocks(rows: DataFrame, block: int, columns: list[str]) -> DataFrame:
@@ -386,7 +386,7 @@ def _grouped(docs: DataFrame, percent: int = 75, recall: float = 0.9999, block:
         raise ValueError("percent must lie between 30 and 100")
     ws = Workspace(docs.sparkSession, "near-dup")
     schema = "doc_id long, text_hash long, n_shingles long, f1 long, f2 long, s0 long, s1 long, s2 long, s3 long, sig binary, items binary"
-    feats = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(_features, schema)
+    feats = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(lean(_features), schema)
     feats = ws.write(feats.withColumn("rid", F.monotonically_increasing_id()))
     some = feats.filter("n_shingles > 0")
     key = ["n_shingles", "f1", "f2"]

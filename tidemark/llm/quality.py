@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import read_documents
+from .common import lean, read_documents
 from .text import SPACE, Words, chunks, mix64, row_sums, shingles, words
 
 #: Largest share of a text's word characters inside repeated n-grams, by n-gram length.
@@ -125,7 +125,7 @@ def repetition(docs: DataFrame, min_words: int = 20, columns: list[str] | None =
     columns = ["doc_id"] if columns is None else [c for c in columns if c not in measures]
     rows = docs.withColumn("doc_id", F.col("doc_id").cast("long")).select(*columns, F.col("text").alias("_text"))
     schema = T.StructType([rows.schema[c] for c in columns] + [T.StructField(c, T.LongType()) for c in _LONGS] + [T.StructField(c, T.DoubleType()) for c in shares])
-    rows = rows.mapInArrow(_measure, schema)
+    rows = rows.mapInArrow(lean(_measure), schema)
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     good = F.col("n_symbols") <= SYMBOL_LIMIT * F.col("n_words")
     for c, limit in shares.items():

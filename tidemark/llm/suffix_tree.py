@@ -38,7 +38,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, bitmap, bitmap_bits, in_bitmap, read_documents
+from .common import Workspace, bitmap, bitmap_bits, in_bitmap, lean, read_documents
 from .text import binary_column, chunks, mix64, row_sums, string_buffers, words
 
 _U = np.uint64
@@ -130,25 +130,26 @@ class _Counter:
         self.emit, self.most, self.parts, self.size = emit, most, [], 0
 
     def add(self, keys: np.ndarray, *more: np.ndarray) -> Iterator[pa.RecordBatch]:
-        k, at, n = np.unique(keys, return_index=True, return_counts=True)
-        self.parts.append((k, n, *(x[at] for x in more)))
-        self.size += k.size
-        if self.size > 2 * self.most:
+        self.parts.append((keys, np.ones(keys.size, np.int64), *more))
+        self.size += keys.size
+        if self.size > 3 * self.most:
             self._merge()
             if self.size > self.most:
                 yield from self.flush()
 
     def _merge(self) -> None:
-        if len(self.parts) > 1:
+        if self.size:
             k, n, *more = (np.concatenate(x) for x in zip(*self.parts))
-            u, at, inv = np.unique(k, return_index=True, return_inverse=True)
-            self.parts = [(u, np.bincount(inv, weights=n, minlength=u.size).astype(np.int64), *(x[at] for x in more))]
+            order = np.argsort(k)
+            k = k[order]
+            first = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
+            self.parts = [(k[first], np.add.reduceat(n[order], first), *(x[order[first]] for x in more))]
         self.size = sum(x[0].size for x in self.parts)
 
     def flush(self) -> Iterator[pa.RecordBatch]:
         self._merge()
-        for part in self.parts:
-            yield from self.emit(*part)
+        if self.size:
+            yield from self.emit(*self.parts[0])
         self.parts, self.size = [], 0
 
 
@@ -159,8 +160,9 @@ def _rows(names: list[str], *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
 
 def _deal(keys: np.ndarray, parts: int, names: list[str], *columns: np.ndarray) -> pa.RecordBatch:
     """A row for each part of the hashed keys that occurs: its number, and the columns' values of its keys as bytes."""
-    part = ((mix64(keys + _U(1)) >> _U(32)) * _U(parts) >> _U(32)).astype(np.int32)
-    order = np.argsort(part, kind="stable")
+    part = (mix64(keys + _U(1)) >> _U(32)) * _U(parts) >> _U(32)
+    # Numbers of two bytes are sorted by counting.
+    order = np.argsort(part.astype(np.uint16), kind="stable") if parts <= 1 << 16 else np.argsort(part)
     cuts = np.searchsorted(part[order], np.arange(parts + 1))
     some = np.flatnonzero(np.diff(cuts))
     offs = np.append(cuts[some], keys.size)
@@ -469,9 +471,9 @@ def _tree(train: DataFrame, vocab: DataFrame, total: int, floor: float, depth: i
         shared = spark.sparkContext.broadcast((hot, _bits(lower, "s"), promising))
         slices = []
         for i in range(SLICES):
-            blocks = train.mapInArrow(_count_sequences(shared, length, i, parts), _BLOCKS)
-            suffixes = lower.filter(F.pmod("s", F.lit(SLICES)) == i).select("s", "smooth").mapInArrow(_told("s", "v", parts), _BLOCKS)
-            slices.append(ws.write(blocks.union(suffixes).repartition(tasks, "p").mapInArrow(_counted(shared, least, parts), _BLOCKS)))
+            blocks = train.mapInArrow(lean(_count_sequences(shared, length, i, parts)), _BLOCKS)
+            suffixes = lower.filter(F.pmod("s", F.lit(SLICES)) == i).select("s", "smooth").mapInArrow(lean(_told("s", "v", parts)), _BLOCKS)
+            slices.append(ws.write(blocks.union(suffixes).repartition(tasks, "p").mapInArrow(lean(_counted(shared, least, parts)), _BLOCKS)))
             ws.release()
         shared.destroy()
         x = slices[0]
@@ -479,12 +481,12 @@ def _tree(train: DataFrame, vocab: DataFrame, total: int, floor: float, depth: i
             x = x.union(more)
         judged = []
         for lo, hi in ((0, parts // 2), (parts // 2, parts)):
-            contexts = lower.select("s", "n").mapInArrow(_told("c", "v", parts), _BLOCKS)
+            contexts = lower.select("s", "n").mapInArrow(lean(_told("c", "v", parts)), _BLOCKS)
             blocks = x.union(contexts).filter(F.col("p").between(lo, hi - 1)).repartition(tasks, "p")
-            judged.append(ws.write(blocks.mapInArrow(_judged(cost, not last), _LEVEL)))
+            judged.append(ws.write(blocks.mapInArrow(lean(_judged(cost, not last)), _LEVEL)))
             ws.release()
         if hot[0].size:
-            crowded = x.filter(F.col("p") >= parts).mapInArrow(_plain, "s long, c long, n long, below double")
+            crowded = x.filter(F.col("p") >= parts).mapInArrow(lean(_plain), "s long, c long, n long, below double")
             judged.append(ws.write(_judged_apart(crowded, lower, cost, ws)))
         ws.drop(*slices)
         before, level = level, judged
@@ -531,11 +533,11 @@ def score_texts(docs: DataFrame, held_out: Column, *, depth: int = 3, least: int
     spark = docs.sparkSession
     ws = Workspace(spark, "suffix-tree")
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(held_out, F.lit(False)).alias("held_out"), "text")
-    rows = rows.mapInArrow(_tokenise, "doc_id long, held_out boolean, tokens binary")
+    rows = rows.mapInArrow(lean(_tokenise), "doc_id long, held_out boolean, tokens binary")
     # Read several times, with the same number for each row.
     rows = ws.write(rows.withColumn("rid", F.monotonically_increasing_id())).select("rid", "doc_id", "held_out", "tokens")
     train = rows.filter("not held_out").select("tokens")
-    vocab = ws.write(train.mapInArrow(_count_words, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")))
+    vocab = ws.write(train.mapInArrow(lean(_count_words), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")))
     total, distinct = vocab.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     floor = total + 0.1 * (distinct + 1)
     common = vocab.filter(F.col("n") >= max(word_share * total, 1)).toPandas()
@@ -547,14 +549,14 @@ def score_texts(docs: DataFrame, held_out: Column, *, depth: int = 3, least: int
     bits, log_bits = _bits(light, "s")
     keys = [x.to_numpy(np.int64).view(np.uint64) for x in (common["h"], cache["s"])]
     shared = spark.sparkContext.broadcast((keys[0], common["n"].to_numpy(np.int64), floor, keys[1], cache["v"].to_numpy(np.float64), bits, log_bits, depth + 1))
-    scored = ws.write(rows.mapInArrow(_score(shared), "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<long>"))
+    scored = ws.write(rows.mapInArrow(lean(_score(shared)), "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<long>"))
     tasks = _reducers(spark, scored.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0] / SLICES)
     more = None
     for i in range(SLICES):
-        blocks = rows.select("rid", "tokens").mapInArrow(_asked(shared, i, BLOCKS * tasks), _QUESTIONS)
-        blocks = blocks.union(light.filter(F.pmod("s", F.lit(SLICES)) == i).mapInArrow(_answers(BLOCKS * tasks), _QUESTIONS)).repartition(tasks, "p")
-        sums = blocks.mapInArrow(_found(BLOCKS * tasks), "p int, r binary, v binary").repartition(tasks, "p")
-        sums = ws.write(sums.mapInArrow(_summed, "rid long, v double"))
+        blocks = rows.select("rid", "tokens").mapInArrow(lean(_asked(shared, i, BLOCKS * tasks)), _QUESTIONS)
+        blocks = blocks.union(light.filter(F.pmod("s", F.lit(SLICES)) == i).mapInArrow(lean(_answers(BLOCKS * tasks)), _QUESTIONS)).repartition(tasks, "p")
+        sums = blocks.mapInArrow(lean(_found(BLOCKS * tasks)), "p int, r binary, v binary").repartition(tasks, "p")
+        sums = ws.write(sums.mapInArrow(lean(_summed), "rid long, v double"))
         ws.release()
         more = sums if more is None else more.union(sums)
     more = more.groupBy("rid").agg(F.sum("v").alias("v"))
