@@ -26,11 +26,8 @@ _BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 @contextlib.contextmanager
 def small_batches(spark: SparkSession) -> Iterator[None]:
-    """Batches of ``BATCH_BYTES`` for the jobs that run meanwhile, or what the session asks for if that is less."""
+    """Batches of ``BATCH_BYTES`` for the jobs that run meanwhile; the session's own setting comes back afterwards."""
     before = spark.conf.get(_BATCH_SETTING, None)
-    if before is not None and 0 < int(before.removesuffix("b")) <= BATCH_BYTES:
-        yield
-        return
     spark.conf.set(_BATCH_SETTING, f"{BATCH_BYTES}b")
     try:
         yield
