@@ -31,7 +31,7 @@ def test_months_envelopes_and_sql_files(spark, tmp_path):
     assert tables.query_file(spark, str(tmp_path / "q.sql"), n=4).first()["m"] == 5
 
 
-@pytest.mark.parametrize("name", ["asof_purchase_view", "clean_pass", "grid_periods_per_day", "block_bootstrap_ci", "score_table"])
+@pytest.mark.parametrize("name", ["asof_purchase_view", "clean_pass", "grid_periods_per_day", "block_bootstrap_ci", "score_table", "strategy_table", "outturn_report"])
 def test_query_equals_its_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     c = duckdb.connect()

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import clock, rules
+from . import scoring, series
 
 
 def as_checks(one_row: DataFrame) -> DataFrame:
@@ -36,8 +37,17 @@ def compare_providers(wide: DataFrame, a: str, b: str, volumes: dict[str, str],
     )
 
 
-def outturn_quality(wide: DataFrame, fuels: list[str], moved: str) -> DataFrame:
-    return as_checks(wide.agg(F.count("*").alias("rows"), F.count_if(moved).alias("moved"), *(F.count_if(F.col(f).isNull()).alias(f"{f}_missing") for f in fuels)))
+def outturn_quality(wide: DataFrame, by: list[str], time: str, fuels: list[str], moved: str, start: str, steady: str) -> DataFrame:
+    """Missing values of each fuel, moved rows, how many own start times are the row's ``time``, and the
+    mean jump of the ``steady`` column into, out of and outside moved rows: alike where the move was right."""
+    m = F.coalesce(F.col(moved), F.lit(False))
+    return as_checks(
+        series.jumps(wide, by, time, steady).agg(
+            F.count("*").alias("rows"), F.count_if(m).alias("moved"), F.count(start).alias("starts"), F.count_if(F.col(start) == F.col(time)).alias("starts_agree"),
+            *(F.count_if(F.col(f).isNull()).alias(f"{f}_missing") for f in fuels),
+            F.avg(F.when(m, F.col("jump_in"))).alias("jump_into_moved"), F.avg(F.when(m, F.col("jump_out"))).alias("jump_out_of_moved"), F.avg(F.when(~m, F.col("jump_in"))).alias("jump_elsewhere"),
+        )
+    )
 
 
 def liquidity_audit(df: DataFrame, price: str, volume: str, threshold: float = rules.LIQUIDITY_THRESHOLD) -> DataFrame:
@@ -102,6 +112,28 @@ def strategy_rollup(daily: DataFrame, date: str, strategies: list[str]) -> DataF
     return by_year.unionByName(total.withColumn("year", F.lit(None).cast("int")))
 
 
+def strategy_table(daily: DataFrame, date: str, strategies: list[str], perfect: str, *, power: float = 1.0, energy: float = 1.0, replicates: int = 2000, block: int = 7) -> DataFrame:
+    """One row a strategy, from ``<strategy>_net`` and ``<strategy>_mwh`` of each day: revenue a MW and
+    year, cycles a year, days with a loss, and the share of perfect foresight with its interval.
+
+    One draw of blocks serves all strategies. The interval of ``perfect`` itself is null.
+    """
+    names = [perfect, *strategies]
+    reps = scoring.bootstrap_sums(daily, date, [f"{s}_net" for s in names], replicates, block)
+    share = reps.select(*(F.try_divide(f"{s}_net", f"{perfect}_net").alias(s) for s in strategies)).unpivot([], strategies, "strategy", "share")
+    bounds = share.groupBy("strategy").agg(F.percentile("share", F.lit(0.025)).alias("ci_low"), F.percentile("share", F.lit(0.975)).alias("ci_high"))
+    parts = [F.struct(F.lit(s).alias("strategy"), F.col(f"{s}_net").alias("net"), F.col(f"{s}_mwh").alias("mwh"), F.col(f"{perfect}_net").alias("best")) for s in names]
+    years = F.count("*") / 365.25
+    out = daily.select(F.inline(F.array(*parts))).groupBy("strategy").agg(
+        F.count("*").alias("days"),
+        (F.sum("net") / power / years).alias("per_mw_year"),
+        (F.sum("mwh") / energy / years).alias("cycles_year"),
+        F.count_if(F.col("net") < -1e-6).alias("loss_days"),
+        F.try_divide(F.sum("net"), F.sum("best")).alias("capture"),
+    )
+    return out.join(bounds, "strategy", "left")
+
+
 def scenario_pivot(summary: DataFrame, row: str, column: str, value: str, values: list) -> DataFrame:
     return summary.groupBy(row).pivot(column, values).agg(F.first(value))
 

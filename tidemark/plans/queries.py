@@ -524,6 +524,28 @@ def strategy_rollup(spark: SparkSession, d: str) -> DataFrame:
     return s.select("strategy", "year", F.round("revenue", 2).alias("revenue"), "days")
 
 
+def strategy_table(spark: SparkSession, d: str) -> DataFrame:
+    """Yearly figures and captures of the statuses' daily totals less a cost, on all days and without Sundays."""
+    one = lambda k: F.col("o_orderstatus") == k
+    cells = [F.sum("o_totalprice").alias("all_net"), F.count("*").alias("all_mwh")]
+    for k in ("F", "O", "P"):
+        cells += [(F.sum(F.when(one(k), F.col("o_totalprice")).otherwise(0.0)) - 150_000.0).alias(f"{k}_net"), F.count_if(one(k)).alias(f"{k}_mwh")]
+    daily = orders(spark, d).groupBy(F.to_date("o_orderdate").alias("day")).agg(*cells)
+    tables = [(p, reports.strategy_table(x, "day", ["F", "O", "P"], "all", power=2.0, energy=4.0)) for p, x in (("all", daily), ("clean", daily.filter("dayofweek(day) <> 1")))]
+    out = tables[0][1].withColumn("period", F.lit("all")).unionByName(tables[1][1].withColumn("period", F.lit("clean")))
+    return out.select("period", "strategy", "days", F.round("per_mw_year", 2).alias("per_mw_year"), F.round("cycles_year", 4).alias("cycles_year"), "loss_days", *(F.round(c, 6).alias(c) for c in ("capture", "ci_low", "ci_high")))
+
+
+def outturn_report(spark: SparkSession, d: str) -> DataFrame:
+    """Quality of a re-keyed outturn, of which some rows have no start time of their own."""
+    nth = F.pmod(F.unix_timestamp("t") / 1800, F.lit(97))
+    off = F.when(nth == 5, 1).when(nth == 6, -1).otherwise(0)
+    feed = gridded(spark, d).select("s", F.when(nth != 7, F.col("t")).alias("own"), F.to_date(clock.local(F.col("t"))).alias("d"), (clock.period(F.col("t")) + off).cast("int").alias("n"), F.col("price").alias("gen_wind_mw"))
+    wide = ingest.rekey(feed, "d", "n", "own").withColumn("start", clock.from_label(F.col("d"), F.col("n")))
+    r = reports.outturn_quality(wide, ["s"], "start", ["gen_wind_mw"], "moved", "own", "gen_wind_mw")
+    return r.select("check", F.round("value", 4).alias("value"))
+
+
 def day_set_reconcile(spark: SparkSession, d: str) -> DataFrame:
     """Days of urgent and of low orders."""
     o = orders(spark, d).withColumn("day", F.to_date("o_orderdate"))
@@ -680,5 +702,6 @@ QUERIES = {
         realisable_spread, settle_schedule, feasibility, threshold_dispatch, lattice_dispatch, backtest_capture, scenario_frontier, rule_against_optimum, monthly_rollup, strategy_rollup,
         day_set_reconcile, provider_report, provider_comparison, liquidity_report, vintage_timeliness, timezone_evidence, day_coverage, price_range, rekeyed_labels, walk_forward_gbt,
         range_window, lead_summary, worst_days, vintage_build, outside_grid, grid_with_data, skill_interval, paired_capture, matched_days, described_events,
+        strategy_table, outturn_report,
     )
 }

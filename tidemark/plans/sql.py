@@ -230,7 +230,16 @@ _EVEN = "o AS (SELECT o_orderdate::DATE AS day, sum(o_totalprice) AS all_t, sum(
 _BOUNDS = "SELECT round(quantile_cont(x, 0.025), 6) AS lo, round(quantile_cont(x, 0.5), 6) AS median, round(quantile_cont(x, 0.975), 6) AS hi FROM ({})"
 SQL["skill_interval"] = f"WITH {_EVEN}, " + _boot("b", "o", ["even_t", "all_t"], 1) + " " + _BOUNDS.format("SELECT 1 - even_t / all_t AS x FROM b")
 SQL["paired_capture"] = f"WITH {_EVEN}, " + _boot("b", "o", ["o_t", "f_t", "all_t"], 1) + " " + _BOUNDS.format("SELECT (o_t - f_t) / all_t AS x FROM b")
-SQL["range_window"] = f"WITH {DAYS} SELECT day, round(avg(total) OVER (ORDER BY day RANGE BETWEEN INTERVAL 8 DAY PRECEDING AND INTERVAL 2 DAY PRECEDING), 4) AS trailing_mean FROM od"
+_NETS = "o AS (SELECT o_orderdate::DATE AS day, sum(o_totalprice) AS all_net, count(*) AS all_mwh, " + ", ".join(f"sum(CASE WHEN o_orderstatus = '{k}' THEN o_totalprice ELSE 0 END) - 150000.0::DOUBLE AS {k}_net, count(*) FILTER (o_orderstatus = '{k}') AS {k}_mwh" for k in "FOP") + " FROM orders GROUP BY 1), c AS (SELECT * FROM o WHERE dayofweek(day) <> 0)"
+SQL["strategy_table"] = f"WITH {_NETS}, " + ", ".join(_boot(f"b{x}", x, ["all_net", "F_net", "O_net", "P_net"], 1) for x in "oc") + " " + " UNION ALL ".join(
+    f"SELECT '{p}' AS period, '{k}' AS strategy, count(*) AS days, round(sum({k}_net) / 2.0::DOUBLE / (count(*) / 365.25::DOUBLE), 2) AS per_mw_year, round(sum({k}_mwh) / 4.0::DOUBLE / (count(*) / 365.25::DOUBLE), 4) AS cycles_year, count(*) FILTER ({k}_net < -1e-6) AS loss_days, round(sum({k}_net) / sum(all_net), 6) AS capture, "
+    + ("NULL::DOUBLE AS ci_low, NULL::DOUBLE AS ci_high" if k == "all" else ", ".join(f"(SELECT round(quantile_cont({k}_net / all_net, {q}), 6) FROM b{x}) AS {n}" for n, q in (("ci_low", 0.025), ("ci_high", 0.975))))
+    + f" FROM {x}"
+    for x, p in (("o", "all"), ("c", "clean")) for k in ("all", "F", "O", "P")
+)
+_MOVED = f"{G}, m AS (SELECT price, (epoch(t)::BIGINT // 1800) % 97 AS k, abs(price - lag(price) OVER (ORDER BY t)) AS ji, abs(lead(price) OVER (ORDER BY t) - price) AS jo FROM g)"
+SQL["outturn_report"] = _checks(_MOVED, "m", {"rows": "count(*)", "moved": "count(*) FILTER (k IN (5, 6))", "starts": "count(*) FILTER (k <> 7)", "starts_agree": "count(*) FILTER (k <> 7)", "gen_wind_mw_missing": "count(*) FILTER (price IS NULL)", "jump_into_moved": "avg(ji) FILTER (k IN (5, 6))", "jump_out_of_moved": "avg(jo) FILTER (k IN (5, 6))", "jump_elsewhere": "avg(ji) FILTER (k NOT IN (5, 6))"}, 4)
+SQL["range_window"] =f"WITH {DAYS} SELECT day, round(avg(total) OVER (ORDER BY day RANGE BETWEEN INTERVAL 8 DAY PRECEDING AND INTERVAL 2 DAY PRECEDING), 4) AS trailing_mean FROM od"
 SQL["lead_summary"] = "WITH e AS (SELECT event_type, event_id % 2 = 1 AS odd, (epoch(time_bucket(INTERVAL 30 MINUTE, ts)) + 172800 + event_id % 5 * 3600 - floor(epoch(ts))) / 3600 AS lead FROM events WHERE event_type IN ('view', 'click')) SELECT event_type, count(*) AS rows, round(min(lead), 6) AS min_lead, round(quantile_cont(lead, 0.5), 6) AS median_lead, round(max(lead), 6) AS max_lead, count(*) FILTER (odd) AS suspect FROM e GROUP BY 1"
 SQL["worst_days"] = f"WITH {G} SELECT {_local('t')}::DATE AS day, count(*) FILTER (coalesce(price < 150 AND volume < 6, false)) AS n_defaulted FROM g GROUP BY 1 HAVING count(*) FILTER (coalesce(price < 150 AND volume < 6, false)) > 0 ORDER BY 2 DESC, 1 LIMIT 10"
 SQL["vintage_build"] = f"""WITH e AS (SELECT event_id, date_trunc('second', ts) AS stamp, value, ts + (event_id % 4) * INTERVAL 12 HOUR AS tg FROM events WHERE event_type = 'view'),
