@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import decontaminate, language, licenses, mixing, near_dup, pseudonyms, quality, suffix_tree, token_count, warc
+from . import chat, decontaminate, language, licenses, mixing, near_dup, phrases, pseudonyms, quality, stripes, suffix_tree, token_count, warc
 
 
 def queries() -> dict:
@@ -19,6 +19,9 @@ def queries() -> dict:
         "op8_token_counts": token_count.op8_token_counts,
         "op9_licenses": licenses.op9_licenses,
         "op10_pseudonyms": pseudonyms.op10_pseudonyms,
+        "op11_source_divergence": stripes.op11_source_divergence,
+        "op12_chat_format": chat.op12_chat_format,
+        "op13_collocations": phrases.op13_collocations,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -30,4 +33,7 @@ def oracle_sql() -> dict[str, str]:
         "op4_repetition": quality.OP4_SQL,
         "op6_near_duplicates": near_dup.OP6_SQL,
         "op7_mixture": mixing.OP7_SQL,
+        "op11_source_divergence": stripes.OP11_SQL,
+        "op12_chat_format": chat.OP12_SQL,
+        "op13_collocations": phrases.OP13_SQL,
     }
