@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import clock, rules
 from . import scoring, series
+from .quantiles import exact_quantiles, with_quantiles
 
 
 def as_checks(one_row: DataFrame) -> DataFrame:
@@ -26,15 +27,16 @@ def provider_quality(wide: DataFrame, prices: dict[str, str]) -> DataFrame:
 def compare_providers(wide: DataFrame, a: str, b: str, volumes: dict[str, str], large: float = 5.0) -> DataFrame:
     """Agreement of two providers' prices, and the level of each one's prices and volumes."""
     d = F.col(a) - F.col(b)
+    levels = {"d": d, "abs_d": F.abs(d)} | {c: F.col(c) for pair in volumes.items() for c in pair}
+    asked = {"median_diff": ("d", 0.5), "p95_abs_diff": ("abs_d", 0.95)} | {f"{c}_median": (c, 0.5) for pair in volumes.items() for c in pair}
     own = []
     for p, v in volumes.items():
-        own += [F.percentile(p, F.lit(0.5)).alias(f"{p}_median"), F.avg(p).alias(f"{p}_mean"), F.percentile(v, F.lit(0.5)).alias(f"{v}_median"), F.avg(v).alias(f"{v}_mean"), F.max(v).alias(f"{v}_max"), F.sum(v).alias(f"{v}_total")]
-    return as_checks(
-        wide.agg(
-            F.count(a).alias("n_a"), F.count(b).alias("n_b"), F.count(d).alias("n_both"), F.corr(a, b).alias("corr"), F.avg(d).alias("mean_diff"), F.percentile(d, F.lit(0.5)).alias("median_diff"),
-            F.avg(F.abs(d)).alias("mean_abs_diff"), F.percentile(F.abs(d), F.lit(0.95)).alias("p95_abs_diff"), F.count_if(F.abs(d) > large).alias("n_large"), *own,
-        )
+        own += [F.avg(p).alias(f"{p}_mean"), F.avg(v).alias(f"{v}_mean"), F.max(v).alias(f"{v}_max"), F.sum(v).alias(f"{v}_total")]
+    one = wide.agg(
+        F.count(a).alias("n_a"), F.count(b).alias("n_b"), F.count(d).alias("n_both"), F.corr(a, b).alias("corr"), F.avg(d).alias("mean_diff"),
+        F.avg(F.abs(d)).alias("mean_abs_diff"), F.count_if(F.abs(d) > large).alias("n_large"), *own,
     )
+    return as_checks(with_quantiles(one, exact_quantiles(wide, levels, asked)))
 
 
 def outturn_quality(wide: DataFrame, by: list[str], time: str, fuels: list[str], moved: str, start: str, steady: str) -> DataFrame:
@@ -71,7 +73,9 @@ def timeliness(vintages: DataFrame, target: str, recorded: str, day_start: Colum
     """By target year: rows, late or missing publications, median and least lead in hours."""
     lead = (F.unix_timestamp(day_start) - F.unix_timestamp(recorded)) / 3600
     ok = F.coalesce(F.col(recorded) < day_start, F.lit(False))
-    return vintages.groupBy(F.year(target).alias("year")).agg(F.count("*").alias("rows"), F.count_if(~ok).alias("late_or_missing"), F.percentile(F.when(ok, lead), F.lit(0.5)).alias("median_lead"), F.min(F.when(ok, lead)).alias("min_lead"))
+    rows = vintages.select(F.year(target).alias("year"), ok.alias("ok"), F.when(ok, lead).alias("lead"))
+    one = rows.groupBy("year").agg(F.count("*").alias("rows"), F.count_if(~F.col("ok")).alias("late_or_missing"), F.min("lead").alias("min_lead"))
+    return with_quantiles(one, exact_quantiles(rows, {"lead": F.col("lead")}, {"median_lead": ("lead", 0.5)}, ["year"]), ["year"])
 
 
 def timezone_evidence(df: DataFrame, stamp: str, zone: str = clock.ZONE) -> DataFrame:
@@ -80,8 +84,8 @@ def timezone_evidence(df: DataFrame, stamp: str, zone: str = clock.ZONE) -> Data
     hour = lambda x: F.hour(x) + F.minute(x) / 60
     winter, summer = F.month(t).isin(12, 1, 2), F.month(t).isin(6, 7, 8)
     read = {"as_utc": hour(clock.local(t, zone)), "as_local": hour(t)}
-    cells = [F.percentile(F.when(s, h), F.lit(0.5)).alias(f"{k}_{n}") for k, h in read.items() for n, s in (("winter", winter), ("summer", summer))]
-    return df.agg(*cells)
+    cells = {f"{k}_{n}": F.when(s, h) for k, h in read.items() for n, s in (("winter", winter), ("summer", summer))}
+    return exact_quantiles(df, cells, {c: (c, 0.5) for c in cells})
 
 
 def coverage(df: DataFrame, date: str, zone: str = clock.ZONE) -> DataFrame:
@@ -91,8 +95,10 @@ def coverage(df: DataFrame, date: str, zone: str = clock.ZONE) -> DataFrame:
 
 
 def lead_summary(vintages: DataFrame, source: str, target: str, published: str, suspect: str) -> DataFrame:
+    """Rows, least, median and largest lead in hours, and suspect rows of each source."""
     lead = (F.unix_timestamp(target) - F.unix_timestamp(published)) / 3600
-    return vintages.groupBy(source).agg(F.count("*").alias("rows"), F.min(lead).alias("min_lead"), F.percentile(lead, F.lit(0.5)).alias("median_lead"), F.max(lead).alias("max_lead"), F.count_if(suspect).alias("suspect"))
+    one = vintages.groupBy(source).agg(F.count("*").alias("rows"), F.min(lead).alias("min_lead"), F.max(lead).alias("max_lead"), F.count_if(suspect).alias("suspect"))
+    return with_quantiles(one, exact_quantiles(vintages, {"lead": lead}, {"median_lead": ("lead", 0.5)}, [source]), [source])
 
 
 def daily_range(df: DataFrame, time: str, price: str, zone: str = clock.ZONE) -> DataFrame:
