@@ -5,10 +5,11 @@ import random
 from zoneinfo import ZoneInfo
 
 import pytest
+from pyspark.errors import SparkRuntimeException
 from pyspark.sql import functions as F
 
 from tidemark.functions import clock
-from tidemark.operators.contracts import ContractError, assert_labels, assert_unique, one_to_one, require_columns
+from tidemark.operators.contracts import ContractError, assert_labels, assert_none, assert_unique, one_to_one, require_columns
 
 LONDON, UTC = ZoneInfo("Europe/London"), dt.timezone.utc
 CHANGES = [dt.date(2019, 3, 31), dt.date(2021, 10, 31), dt.date(2028, 3, 26)]
@@ -45,23 +46,23 @@ def test_labels_round_trip(days):
 def test_impossible_labels_are_null_or_refused(spark):
     df = spark.createDataFrame([(CHANGES[0], 47), (CHANGES[1], 50)], "d date, n int")
     assert {r["n"]: r["x"] is None for r in df.select("n", clock.from_label(F.col("d"), F.col("n")).alias("x")).collect()} == {47: True, 50: False}
-    with pytest.raises(ContractError):
-        assert_labels(df, "d", "n", clock.ZONE)
+    with pytest.raises(SparkRuntimeException, match="impossible period labels"):
+        assert_labels(df, "d", "n", clock.ZONE).count()
 
 
 def test_instants_between_half_hours_are_refused(spark):
     df = spark.createDataFrame([(dt.datetime(2021, 5, 5, 10, 30),), (dt.datetime(2021, 5, 5, 10, 31),)], "t timestamp")
     assert clock.assert_aligned(df.limit(1), "t").count() == 1
-    with pytest.raises(ContractError):
-        clock.assert_aligned(df, "t")
+    with pytest.raises(SparkRuntimeException, match="between periods"):
+        clock.assert_aligned(df, "t").count()
 
 
 def test_decisions_are_local_clock_times_of_the_eve(days):
     for r in clock.decision_table(days, 10 * 60 + 45).collect():
         assert r["decision_time"] == utc(r["settlement_date"] - dt.timedelta(1), 10 * 60 + 45)
     assert clock.assert_decided_before(clock.decision_table(days)).count() == len(set(DAYS))
-    with pytest.raises(ContractError):
-        clock.assert_decided_before(clock.decision_table(days, 60, 0))
+    with pytest.raises(SparkRuntimeException, match="after the day began"):
+        clock.assert_decided_before(clock.decision_table(days, 60, 0)).count()
 
 
 def test_repeated_and_skipped_clock_times(spark):
@@ -94,7 +95,36 @@ def test_contracts_name_what_is_wrong(spark):
     df = spark.createDataFrame([(1, 2), (1, 3)], "k int, v int")
     with pytest.raises(ContractError, match="lacks"):
         require_columns(df, ["z"])
-    with pytest.raises(ContractError, match="repeats"):
-        assert_unique(df, ["k"])
-    with pytest.raises(ContractError):
-        one_to_one(df, df, ["k"])
+    with pytest.raises(SparkRuntimeException, match=r'table repeats \[.k.\]: \{"k":1\}'):
+        assert_unique(df, ["k"]).collect()
+    with pytest.raises(SparkRuntimeException, match="left repeats"):
+        one_to_one(df, df.limit(1), ["k"]).count()
+    assert one_to_one(df.limit(1), df.limit(1).withColumnRenamed("v", "w"), ["k"]).columns == ["k", "v", "w"]
+
+
+def test_a_broken_contract_fails_the_write_that_it_guards(spark, tmp_path):
+    """The plan is built without a job, and what is written from broken rows does not come to be."""
+    tracker, group = spark.sparkContext.statusTracker(), "contracts"
+    spark.sparkContext.setJobGroup(group, group)
+    df = spark.range(2000).select((F.col("id") % 1999).alias("k"), "id")
+    checked = assert_none(assert_unique(df, ["k"]), F.col("id") < 0, "negative")
+    assert not tracker.getJobIdsForGroup(group)
+    with pytest.raises(Exception, match="repeats"):
+        checked.write.parquet(str(tmp_path / "out"))
+    assert not (tmp_path / "out" / "_SUCCESS").exists()
+    assert_unique(df.filter("id < 1999"), ["k"]).write.parquet(str(tmp_path / "good"))
+    assert spark.read.parquet(str(tmp_path / "good")).count() == 1999
+
+
+@pytest.mark.parametrize("zone,year", [("Australia/Lord_Howe", 2024), ("Europe/London", 2024), ("America/St_Johns", 2005), ("Antarctica/Troll", 2023), ("Asia/Kathmandu", 2024)])
+def test_first_passes_of_zones_with_other_changes(spark, zone, year):
+    """A year of instants, a quarter of an hour apart, against the clock times seen so far."""
+    start = dt.datetime(year, 1, 1, tzinfo=UTC)
+    instants = [start + dt.timedelta(minutes=15 * i) for i in range(4 * 24 * 366)]
+    df = spark.createDataFrame([(t.replace(tzinfo=None),) for t in instants], "t timestamp")
+    got = dict(df.select("t", clock.first_pass(F.col("t"), zone)).collect())
+    seen = set()
+    for t in instants:
+        clock_time = t.astimezone(ZoneInfo(zone)).replace(tzinfo=None)
+        assert got[t.replace(tzinfo=None)] == (clock_time not in seen)
+        seen.add(clock_time)

@@ -79,12 +79,22 @@ def minute_of_day(c: Column, zone: str = ZONE) -> Column:
     return (F.hour(t) * 60 + F.minute(t)).cast("int")
 
 
-def first_pass(c: Column, zone: str = ZONE, step: int = STEP_MINUTES) -> Column:
-    """Whether a half hour is the first of its local date and clock time: the autumn change repeats some.
+def _offset(t: Column, zone: str) -> Column:
+    """Seconds that the zone's clock is ahead of UTC at an instant."""
+    return F.unix_timestamp(F.from_utc_timestamp(t, zone)) - F.unix_timestamp(t)
 
-    The same clock time one hour earlier in UTC means a second pass; no row needs another.
+
+def first_pass(c: Column, zone: str = ZONE) -> Column:
+    """Whether an instant is the first of its local date and clock time: the autumn change repeats some.
+
+    A change within the three hours before that set the clock back by some time repeats that time:
+    the same clock stood as far ahead of UTC as before the change, once already. Changes of any
+    length up to three hours count, as those of half an hour; no row needs another.
     """
-    return F.from_utc_timestamp(F.timestamp_seconds(F.unix_timestamp(instant(c)) - 3600), zone) != local(c, zone)
+    t = instant(c)
+    back = _offset(F.timestamp_seconds(F.unix_timestamp(t) - 3 * 3600), zone) - _offset(t, zone)
+    before = _offset(F.timestamp_seconds(F.unix_timestamp(t) - back), zone)
+    return ~((back > 0) & (before == _offset(t, zone) + back))
 
 
 def grid(spark: SparkSession, start: str, end: str, zone: str = ZONE, step: int = STEP_MINUTES) -> DataFrame:

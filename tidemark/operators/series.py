@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import clock, rules
-from .contracts import require_columns
+from .contracts import holding, require_columns
+from .quantiles import join_groups
 
 CHUNK_DAYS = 32
 
@@ -33,13 +34,16 @@ def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 
 def regular_grid(df: DataFrame, series: list[str], time: str, step: int = 1800) -> DataFrame:
-    """Every step from a series' first to its last instant, with the rows that exist; missing ones are explicit."""
+    """Every step from a series' first to its last instant, with the rows that exist; missing ones are explicit.
+
+    The job fails at a reading between two steps, which would have no place, and at one without a time.
+    """
     t = F.unix_timestamp(clock.instant(time))
     ends = df.groupBy(*series).agg(F.min(t).alias("_a"), F.max(t).alias("_b"))
     steps = ends.select(*series, F.explode(F.sequence("_a", "_b", F.lit(step).cast("long"))).alias("_t"))
     rows = df.withColumn("_t", t).drop(time)
-    out = steps.join(rows, [*series, "_t"], "left").withColumn(time, F.timestamp_seconds("_t"))
-    return out.drop("_t").select(*series, time, *[c for c in df.columns if c not in series and c != time])
+    out = holding(steps.withColumn("_step", F.lit(True)).join(rows, [*series, "_t"], "full"), F.col("_step").isNull(), f"readings lie between the steps of {step} seconds")
+    return out.withColumn(time, F.timestamp_seconds("_t")).drop("_t", "_step").select(*series, time, *[c for c in df.columns if c not in series and c != time])
 
 
 def with_halo(df: DataFrame, time: str, halo_seconds: int, chunk_days: int = CHUNK_DAYS) -> DataFrame:
@@ -79,15 +83,34 @@ def zero_runs(df: DataFrame, series: list[str], time: str, value: str, min_run:
     return core(d.withColumn(name, F.col("_z") & (F.col("_n") >= min_run)).drop("_z", "_ch", "_n"))
 
 
-def gap_lengths(df: DataFrame, series: list[str], time: str, value: str, name: str = "gap") -> DataFrame:
-    """Length of the run of nulls a row belongs to, 0 where a value is present; runs may be of any length.
+def run_lengths(df: DataFrame, series: list[str], time: str, state: Column, name: str = "run", chunk_days: int = CHUNK_DAYS) -> DataFrame:
+    """Length of the run of equal states (null equal to null) that each row belongs to, however long.
 
-    Runs are summed by the number of values before them, with one window for each series' running count.
+    Runs are found chunk by chunk. Only a chunk's first and last run can go on beyond it: these, two
+    rows a chunk at most, are put together in the order of the chunks, and what they come to is
+    joined back. No window holds the rows of a series.
     """
-    w = Window.partitionBy(*series).orderBy(time).rowsBetween(Window.unboundedPreceding, 0)
-    d = df.withColumn("_block", F.count(value).over(w))
-    n = F.count_if(F.col(value).isNull()).over(Window.partitionBy(*series, "_block"))
-    return d.withColumn(name, F.when(F.col(value).isNull(), n).otherwise(0)).drop("_block")
+    where = [*series, "_chunk"]
+    t = F.unix_timestamp(clock.instant(time))
+    d = df.withColumn("_chunk", F.floor(t / (chunk_days * 86400))).withColumn("_state", F.struct(state.alias("v")))
+    w = Window.partitionBy(*where).orderBy(time)
+    new = ~F.coalesce(F.lag("_state").over(w).eqNullSafe(F.col("_state")), F.lit(False))
+    d = d.withColumn("_new", new).withColumn("_run", F.count_if("_new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    runs = d.groupBy(*where, "_run").agg(F.first("_state").alias("_state"), F.count("*").alias("_n"))
+    ends = runs.withColumn("_last", F.max("_run").over(Window.partitionBy(*where))).filter("_run = 1 or _run = _last")
+    c = Window.partitionBy(*series).orderBy("_chunk", "_run")
+    goes_on = F.coalesce(F.lag("_state").over(c).eqNullSafe(F.col("_state")) & (F.lag("_chunk").over(c) != F.col("_chunk")), F.lit(False))
+    ends = ends.withColumn("_on", goes_on).withColumn("_whole", F.count_if(~F.col("_on")).over(c.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    ends = ends.withColumn("_total", F.sum("_n").over(Window.partitionBy(*series, "_whole"))).select(*where, "_run", "_total")
+    out = join_groups(d, ends, [*where, "_run"], "left")
+    own = F.count("*").over(Window.partitionBy(*where, "_run"))
+    return out.withColumn(name, F.coalesce("_total", own)).drop("_chunk", "_state", "_new", "_run", "_total")
+
+
+def gap_lengths(df: DataFrame, series: list[str], time: str, value: str, name: str = "gap") -> DataFrame:
+    """Length of the run of nulls a row belongs to, 0 where a value is present; runs may be of any length."""
+    d = run_lengths(df, series, time, F.col(value).isNull(), name)
+    return d.withColumn(name, F.when(F.col(value).isNull(), F.col(name)).otherwise(0))
 
 
 def fill_short_gaps(df: DataFrame, series: list[str], time: str, value: str, max_gap: int = 2, step: int = 1800) -> DataFrame:
@@ -106,21 +129,34 @@ def fill_short_gaps(df: DataFrame, series: list[str], time: str, value: str, max
 
 
 def longest_run(df: DataFrame, series: list[str], time: str, value: str) -> DataFrame:
-    """Length of the longest run of equal values of each series."""
-    w = Window.partitionBy(*series).orderBy(time)
-    d = df.filter(F.col(value).isNotNull()).withColumn("_ch", F.coalesce(F.lag(value).over(w) != F.col(value), F.lit(True)))
-    d = d.withColumn("_run", F.count_if(F.col("_ch")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return d.groupBy(*series, "_run").agg(F.count("*").alias("n")).groupBy(*series).agg(F.max("n").alias("longest_run"))
+    """Length of the longest run of equal values of each series; nulls do not end a run."""
+    d = run_lengths(df.filter(F.col(value).isNotNull()), series, time, F.col(value), "n")
+    return d.groupBy(*series).agg(F.max("n").alias("longest_run"))
+
+
+def _islands(d: DataFrame, date: str, part: list[str]) -> DataFrame:
+    """Runs of successive days within windows by ``part``: first and last day."""
+    day = F.date_sub(date, F.row_number().over(Window.partitionBy(*part).orderBy(date)))
+    return d.withColumn("_g", day).groupBy(*part, "_g").agg(F.min(date).alias("first_day"), F.max(date).alias("last_day")).drop("_g")
 
 
-def date_runs(df: DataFrame, date: str, series: list[str] | None = None) -> DataFrame:
-    """Runs of successive dates: first and last day and length."""
+def date_runs(df: DataFrame, date: str, series: list[str] | None = None, chunk_days: int = 366) -> DataFrame:
+    """Runs of successive dates: first and last day and length.
+
+    Runs are found within chunks of days. Those that touch a chunk's end, two a chunk at most, are
+    put together afterwards.
+    """
     series = series or []
-    d = df.select(*series, date).distinct()
-    w = Window.partitionBy(*series).orderBy(date) if series else Window.orderBy(date)
-    key = F.date_sub(date, F.row_number().over(w)).alias("_g")
-    runs = d.select(*series, date, key).groupBy(*series, "_g")
-    return runs.agg(F.min(date).alias("first_day"), F.max(date).alias("last_day"), F.count("*").alias("n_days")).drop("_g")
+    number = lambda c: F.unix_date(c)
+    d = df.select(*series, date).filter(F.col(date).isNotNull()).distinct().withColumn("_chunk", F.floor(number(date) / chunk_days))
+    runs = _islands(d, date, [*series, "_chunk"])
+    edge = (F.pmod(number("first_day"), F.lit(chunk_days)) == 0) | (F.pmod(number("last_day") + 1, F.lit(chunk_days)) == 0)
+    w = Window.partitionBy(*series).orderBy("first_day")
+    joins = F.coalesce(F.date_add(F.lag("last_day").over(w), 1) == F.col("first_day"), F.lit(False))
+    ends = runs.filter(edge).withColumn("_on", joins).withColumn("_g", F.count_if(~F.col("_on")).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    ends = ends.groupBy(*series, "_g").agg(F.min("first_day").alias("first_day"), F.max("last_day").alias("last_day")).drop("_g")
+    out = runs.filter(~edge).select(*series, "first_day", "last_day").unionByName(ends)
+    return out.withColumn("n_days", (F.datediff("last_day", "first_day") + 1).cast("long"))
 
 
 def jumps(df: DataFrame, series: list[str], time: str, value: str, step: int = 1800) -> DataFrame:
@@ -142,8 +178,16 @@ def trailing_days(df: DataFrame, series: list[str], date: str, value: str, first
     return df.withColumn(name, F.avg(value).over(w))
 
 
-def cumulative(df: DataFrame, series: list[str], date: str, value: str, name: str = "cumulative") -> DataFrame:
-    return df.withColumn(name, F.sum(value).over(Window.partitionBy(*series).orderBy(date).rowsBetween(Window.unboundedPreceding, 0)))
+def cumulative(df: DataFrame, series: list[str], date: str, value: str, name: str = "cumulative", chunk_days: int = 366) -> DataFrame:
+    """Running sum over a series' dates: within chunks of days, with what earlier chunks come to added."""
+    where = [*series, "_chunk"]
+    d = df.withColumn("_chunk", F.floor(F.unix_date(F.to_date(date)) / chunk_days))
+    sums = d.groupBy(*where).agg(F.sum(value).alias("_sum"))
+    sums = sums.withColumn("_before", F.sum("_sum").over(Window.partitionBy(*series).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1))).drop("_sum")
+    own = F.sum(value).over(Window.partitionBy(*where).orderBy(date).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    out = join_groups(d.withColumn(name, own), sums, where, "left")
+    both = F.coalesce(F.col(name) + F.col("_before"), F.col(name), F.col("_before"))
+    return out.withColumn(name, both).drop("_chunk", "_before")
 
 
 @dataclass(frozen=True)
@@ -164,6 +208,8 @@ class CleaningPolicy:
 def clean_series(df: DataFrame, series: list[str], time: str, policy: CleaningPolicy) -> DataFrame:
     """Duplicates, grid, default prices, band, frozen runs, short fills and usability; judged, never deleted.
 
+    A reading between the grid's steps has no place in it: the job fails there.
+
     Adds for every price column ``_defaulted``, ``_liquidity_anomaly``, ``_out_of_band``,
     ``_stuck``, ``_interpolated``; and ``settlement_date``, ``settlement_period``,
     ``period_usable`` and ``day_complete``, ``day_usable`` by the first price column. Band and

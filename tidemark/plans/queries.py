@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 from ..functions import clock, rules
 from ..operators import asof, audit, dispatch, features, forecast, reports, scoring, series
 from ..sources import ingest
+from ..sources.store import Store
 from ..sources.tables import read_table
 
 TYPES = ["click", "error", "purchase", "signup", "view"]
-#: The order-date range of the driver's calendar queries.
+#: Power, hours, round-trip efficiency, least, greatest and first share of charge, and wear cost of each scenario.
 SCENARIOS = [(1.0, 2.0, 0.9, 0.0, 1.0, 0.5, 0.0), (1.0, 2.0, 0.9, 0.0, 1.0, 0.5, 20.0), (1.0, 1.0, 0.8, 0.1, 0.9, 0.5, 0.0)]
 
 
@@ -54,8 +55,9 @@ def daily_orders(spark: SparkSession, d: str) -> DataFrame:
 
 def priced(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Half-hour targets with their decision, and the sources of features (public 90 minutes after their start)."""
-    px = features.price_sources(gridded(spark, d).select(F.col("t").alias("start_time_utc"), F.col("price").alias("price_apx")), time="start_time_utc", price="price_apx")
-    base = gridded(spark, d).select(F.col("t").alias("target_time"), F.col("price").alias("actual"))
+    g = Store(spark, "priced").put(gridded(spark, d))
+    px = features.price_sources(g.select(F.col("t").alias("start_time_utc"), F.col("price").alias("price_apx")), time="start_time_utc", price="price_apx")
+    base = g.select(F.col("t").alias("target_time"), F.col("price").alias("actual"))
     base = base.withColumns({"settlement_date": clock.local_date(F.col("target_time")), "local_date": clock.local_date(F.col("target_time")), "minute_of_day": clock.minute_of_day(F.col("target_time"))})
     return clock.decision_table(base), px
 
@@ -262,7 +264,7 @@ def trailing_7d(spark: SparkSession, d: str) -> DataFrame:
     """Mean and deviation of the days D-8 to D-2."""
     base, px = priced(spark, d)
     days = base.select("local_date", "decision_time").distinct()
-    out = features.trailing(days, px, 8, 2, [], [F.avg("price").alias("mean"), F.stddev_samp("price").alias("std"), F.count("*").alias("n")])
+    out = features.trailing(days, px, 8, 2, [], "price", mean="mean", std="std", n="n")
     return out.select("local_date", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "n")
 
 
@@ -271,7 +273,7 @@ def trailing_28d_bias(spark: SparkSession, d: str) -> DataFrame:
     base, px = priced(spark, d)
     days = base.select("local_date", "decision_time").distinct()
     err = features.daily(px).select("local_date", (F.col("mean") - 250.0).alias("err"), "available_at")
-    out = features.trailing(days, err, 29, 2, [], [F.avg("err").alias("bias"), F.count("*").alias("n")])
+    out = features.trailing(days, err, 29, 2, [], "err", mean="bias", n="n")
     return out.select("local_date", F.round("bias", 6).alias("bias"), "n")
 
 
@@ -292,8 +294,12 @@ def forecasts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def market(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """A point-in-time frame, prices and outturn made of the events: views stand for wind forecasts, clicks for demand."""
-    g = gridded(spark, d)
+    """A point-in-time frame, prices and outturn made of the events: views stand for wind forecasts, clicks for demand.
+
+    The half hours and the frame are stored: features and audit read them many times.
+    """
+    store = Store(spark, "market")
+    g = store.put(gridded(spark, d))
     label = {"settlement_date": clock.local_date(F.col("target_time")), "settlement_period": clock.period(F.col("target_time"))}
     targets = clock.decision_table(g.select(F.col("t").alias("target_time")).withColumns(label))
     prices = g.select(F.col("t").alias("start_time_utc"), F.col("price").alias("price_apx"), (F.col("volume") < 2).alias("price_apx_interpolated"))
@@ -301,6 +307,7 @@ def market(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame
     own = prices.select(F.col("start_time_utc").alias("target_time"), "price_apx")
     pit = asof.point_in_time(targets, own, {"wind": (views, {"wind_forecast_mw": "wind_forecast_mw"}), "demand": (clicks, {"demand_forecast_mw": "demand_forecast_mw"})})
     pit = pit.withColumns({"wind_capacity_mw": F.lit(500.0), "wind_forecast_share": F.col("wind_forecast_mw") / 500.0, "period_usable": F.col("price_apx").isNotNull(), "day_usable": F.lit(True), "wind_suspect": F.lit(False)})
+    pit = store.put(pit)
     outturn = g.select(F.col("t").alias("target_time"), F.col("price").alias("gen_wind_mw"))
     return pit, prices, outturn
 
@@ -329,7 +336,8 @@ def availability_audit(spark: SparkSession, d: str) -> DataFrame:
     pit, prices, outturn = market(spark, d)
     views, clicks = forecasts(spark, d)
     again = audit.recompute(pit, prices, outturn, vintages={"wind": (views, "wind_forecast_mw"), "demand": (clicks, "demand_forecast_mw")})
-    out = audit.compare(features.feature_frame(pit, prices, outturn), again, list(features.REGISTER.features))
+    frame = Store(spark, "audit").put(features.feature_frame(pit, prices, outturn))
+    out = audit.compare(frame, again, list(features.REGISTER.features))
     return out.withColumn("least_margin_hours", F.round("least_margin_hours", 6))
 
 
@@ -340,12 +348,13 @@ def missing_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def scored(spark: SparkSession, d: str) -> DataFrame:
+    """Targets with three naive forecasts and quantiles, stored: scores read them more than once."""
     base, px = priced(spark, d)
     out = features.lag_same_time(features.lag_same_time(base, px, 2, "naive_d2"), px, 7, "naive_d7")
     days = base.select("local_date", "decision_time").distinct()
-    week = features.trailing(days, px.filter("first_occurrence"), 8, 2, ["minute_of_day"], [F.avg("price").alias("mean_7d")])
+    week = features.trailing(days, px.filter("first_occurrence"), 8, 2, ["minute_of_day"], "price", mean="mean_7d")
     out = out.join(week, ["local_date", "minute_of_day"], "left").withColumns({"q10": F.col("mean_7d") - 60.0, "q50": F.col("mean_7d"), "q90": F.col("mean_7d") + 60.0})
-    return out
+    return Store(spark, "scored").put(out)
 
 
 NAIVE = ["naive_d2", "naive_d7", "mean_7d"]
@@ -530,7 +539,7 @@ def strategy_table(spark: SparkSession, d: str) -> DataFrame:
     cells = [F.sum("o_totalprice").alias("all_net"), F.count("*").alias("all_mwh")]
     for k in ("F", "O", "P"):
         cells += [(F.sum(F.when(one(k), F.col("o_totalprice")).otherwise(0.0)) - 150_000.0).alias(f"{k}_net"), F.count_if(one(k)).alias(f"{k}_mwh")]
-    daily = orders(spark, d).groupBy(F.to_date("o_orderdate").alias("day")).agg(*cells)
+    daily = Store(spark, "strategies").put(orders(spark, d).groupBy(F.to_date("o_orderdate").alias("day")).agg(*cells))
     tables = [(p, reports.strategy_table(x, "day", ["F", "O", "P"], "all", power=2.0, energy=4.0)) for p, x in (("all", daily), ("clean", daily.filter("dayofweek(day) <> 1")))]
     out = tables[0][1].withColumn("period", F.lit("all")).unionByName(tables[1][1].withColumn("period", F.lit("clean")))
     return out.select("period", "strategy", "days", F.round("per_mw_year", 2).alias("per_mw_year"), F.round("cycles_year", 4).alias("cycles_year"), "loss_days", *(F.round(c, 6).alias(c) for c in ("capture", "ci_low", "ci_high")))
@@ -643,11 +652,11 @@ def vintage_build(spark: SparkSession, d: str) -> DataFrame:
     target = F.timestamp_seconds(F.unix_timestamp("ts") + F.pmod("event_id", F.lit(4)) * 43200)
     raw = e.select(clock.local_date(target).alias("Date"), clock.period(target).alias("Settlement_period"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("Stamp"), F.col("value").cast("string").alias("Forecast"), "event_id")
     feed = ingest.canonical(raw, {"Date": "day", "Settlement_period": "n", "Stamp": "stamp", "Forecast": "forecast", "event_id": "event_id"}, numeric=["forecast"])
-    first, last = feed.agg(F.date_add(F.min("day"), 1).cast("string"), F.date_sub(F.max("day"), 1).cast("string")).first()
+    ends = feed.agg(F.date_add(F.min("day"), 1).alias("first"), F.date_sub(F.max("day"), 1).alias("last"))
     # The latest of equal publications, as stamps that come after the day's start are all resolved to one instant.
     feed = feed.withColumn("at", clock.resolve_publication(clock.lenient(F.col("stamp")), F.col("day"), 540, 1)["published_at"])
     feed = series.latest_revision(feed, ["day", "n", "at"], "event_id")
-    v = ingest.vintage_table(feed, "day", "n", clock.lenient(F.col("stamp")), ["forecast"], minute=540, lead_days=1, start=first, end=last)
+    v = ingest.vintage_table(feed.crossJoin(F.broadcast(ends)), "day", "n", clock.lenient(F.col("stamp")), ["forecast"], minute=540, lead_days=1, start=F.col("first"), end=F.col("last"))
     return v.select(clock.plain("target_time").alias("target_time"), "settlement_date", "settlement_period", clock.plain("published_at").alias("published_at"), "published_at_source", "published_at_suspect", "forecast")
 
 
