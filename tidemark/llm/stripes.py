@@ -33,6 +33,8 @@ CELLS = 1 << 20
 SCALE_DIGITS = 9
 #: Groups (language and source) whose totals are broadcast; more of them meet the stripes in a shuffle.
 BROADCAST_GROUPS = 1 << 14
+#: First ranking of a group's terms: so many parts, whose best meet in the second.
+RANK_PARTS = 16
 
 STRIPE = "lang string, term string, df long, sources array<string>, counts array<long>"
 _U = np.uint64
@@ -318,8 +320,12 @@ def source_divergence(docs: DataFrame, *, min_docs: int = 3, top: int = 200, ent
         rows = rows.withColumn("first", F.explode(F.sequence(F.lit(0), F.size("totals") - 1, width))).repartition("lang", "first")
     parts = ws.write(rows.mapInArrow(lean(_diverge(top, cells)), "lang string, source string, part string, item string, value long"))
     summed = parts.groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value"))
-    rank = F.row_number().over(Window.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item"))
-    return summed.withColumn("rank", rank).filter((F.col("part") == "pair") | (F.col("rank") <= top))
+    kept = (F.col("part") == "pair") | (F.col("rank") <= top)
+    order = [F.desc("value"), "item"]
+    # The tasks' best terms are ranked in parts first, so that a group that most tasks know is not one task's.
+    some = summed.withColumn("dealt", F.pmod(F.xxhash64("item"), F.lit(RANK_PARTS))).repartition("lang", "source", "part", "dealt")
+    some = some.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "source", "part", "dealt").orderBy(*order))).filter(kept)
+    return some.drop("dealt").withColumn("rank", F.row_number().over(Window.partitionBy("lang", "source", "part").orderBy(*order))).filter(kept)
 
 
 def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
