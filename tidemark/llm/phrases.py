@@ -3,13 +3,15 @@
 A phrase that a language has ``support`` times has, in at least one shard, its support times the
 shard's share of the language's words, rounded up: were it rarer in every shard, the sum would be
 too small. So each shard is mined completely at that lowered support, and what is frequent in some
-shard is a candidate; then all candidates are counted exactly in all shards. A shard is a run of
-whole texts of about ``BLOCK`` words, mined in numpy level by level: a phrase of k words can only be
-frequent where its first and its last k - 1 words are.
-
-Candidates are 64-bit hashes. Tasks know them by a bitmap of bounded size, whose false hits cost a
-count that the support then drops; counts meet by hash in a shuffle. The phrases' words travel only
-for phrases that reach the support, from the shards where they are frequent.
+shard is a candidate. Shards that do not report a candidate hold it less often than their local
+support, which bounds its total from above; candidates that cannot reach the support go, the
+others are counted exactly in all shards.
+
+A shard is a run of whole texts of about ``BLOCK`` words, mined in numpy level by level: a phrase of
+k words can only be frequent where its first and its last k - 1 words are. Candidates are 64-bit
+hashes. Tasks know them by a bitmap of bounded size, whose false hits cost a count that the support
+then drops; counts meet by hash in a shuffle. The phrases' words travel only for phrases that reach
+the support, from the shard that has most of them.
 """
 
 from __future__ import annotations
@@ -31,8 +33,15 @@ BREAKS = ENDS.copy()
 BREAKS[[0x20, 0x09]] = True
 
 #: Words of a shard; a task's last shard has half to one and a half times as many, if the task has.
-BLOCK = 1 << 22
+#: Mining takes some twenty bytes a word. Larger shards have a larger local support and fewer candidates.
+BLOCK = 1 << 23
 MOST_WORDS = 5
+#: Places looked at together.
+SLICE = 1 << 18
+#: Classes of keys that are sorted one after the other.
+CLASSES = 4
+#: Makes one number of a key and a count.
+_MARK = 0x9E3779B1
 #: Languages whose totals are broadcast; more of them meet the texts in a shuffle.
 BROADCAST_LANGS = 10_000
 #: First ranking of a language's phrases: so many parts, whose best meet in the second.
@@ -43,7 +52,44 @@ _JOIN = _U(0xC2B2AE3D27D4EB4F)
 
 
 class _Shard:
-    """Words of whole texts: hashes, words left in the piece, language and place in the bytes."""
+    """Words of whole texts by their number among the shard's distinct words; words left in the piece, and row."""
+
+    def __init__(self, vocabulary, ids, left, rows, salts, totals, texts):
+        self.vocabulary, self.ids, self.left, self.rows, self.salts, self.totals, self.texts = vocabulary, ids, left, rows, salts, totals, texts
+
+    def keys(self, at: np.ndarray, k: int) -> np.ndarray:
+        """Hashes of the phrases of k words at some places, with their language's salt."""
+        h = self.vocabulary[self.ids[at]]
+        for j in range(1, k):
+            h *= _JOIN
+            h += self.vocabulary[self.ids[at + j]]
+        h += _U(k)
+        h ^= self.salts.view(_U)[self.rows[at]]
+        return mix64(h)
+
+    def needs(self, support: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The languages' salts, their local supports, and each row's: the share of the support that its
+        language's words of the shard are of all, rounded up."""
+        salts, at, lang = np.unique(self.salts, return_index=True, return_inverse=True)
+        have = np.bincount(lang, weights=np.bincount(self.rows, minlength=self.salts.size), minlength=at.size)
+        need = np.array([max(-(-support * int(w) // max(int(t), 1)), 1) for w, t in zip(have, self.totals[at])], np.int64)
+        return salts, need, need[lang]
+
+    def spell(self, at: np.ndarray, k: int) -> list[str]:
+        """The phrases at ascending places, words lower-cased and joined by a space."""
+        out: list[str] = []
+        first = np.cumsum([0] + [n for n, _, _ in self.texts])
+        for i in np.unique(np.searchsorted(first, at, side="right") - 1):
+            _, buf, offs = self.texts[i]
+            w = words(buf, offs, BREAKS)
+            data = LOWER[buf].tobytes()
+            mine = at[np.searchsorted(at, first[i]) : np.searchsorted(at, first[i + 1])] - first[i]
+            out += [b" ".join(data[a:b].split()).decode("utf-8", "replace") for a, b in zip(w.starts[mine].tolist(), w.ends[mine + k - 1].tolist())]
+        return out
+
+
+class _Words:
+    """Chunks of texts until they make a shard."""
 
     def __init__(self, spelt: bool):
         self.spelt, self.parts, self.n = spelt, [], 0
@@ -53,7 +99,7 @@ class _Shard:
         n = w.starts.size
         if not n:
             return
-        ends = np.zeros(buf.size + 1, np.int64)
+        ends = np.zeros(buf.size + 1, np.int32)
         np.cumsum(ENDS[buf], out=ends[1:])
         last = np.ones(n, bool)  # of its piece
         last[:-1] = ends[w.starts[1:]] > ends[w.ends[:-1]]
@@ -61,26 +107,29 @@ class _Shard:
         left = np.ones(n, np.int8)
         for k in range(2, MOST_WORDS + 1):
             left[: max(n - k + 1, 0)][~_any(last, k - 1)[: max(n - k + 1, 0)]] = k
+        distinct, ids = np.unique(w.hashes(), return_inverse=True)
         rows = np.repeat(np.arange(salts.size, dtype=np.int32), w.counts)
-        at = (buf, w.starts.astype(np.int32), w.ends.astype(np.int32)) if self.spelt else (buf[:0], rows[:0], rows[:0])
-        self.parts.append((w.hashes(), left, rows, salts, totals, *at))
+        self.parts.append((distinct, ids.astype(np.int32), left, rows, salts, totals, (n, buf.copy(), offs) if self.spelt else None))
         self.n += n
 
-    def take(self, least: int) -> tuple | None:
-        """Whole chunks of at least ``least`` words, joined; what remains stays."""
+    def take(self, least: int) -> _Shard | None:
+        """A shard of whole chunks with at least ``least`` words; what remains stays."""
         n, many = 0, 0
         while many < len(self.parts) and n < least:
-            n += self.parts[many][0].size
+            n += self.parts[many][1].size
             many += 1
-        mine, self.parts = self.parts[:many], self.parts[many:]
-        self.n -= n
         if not n:
             return None
-        row_at = np.cumsum([0] + [p[3].size for p in mine])
-        byte_at = np.cumsum([0] + [p[5].size for p in mine])
-        rows = np.concatenate([p[2] + at for p, at in zip(mine, row_at)])
-        starts, ends = (np.concatenate([p[i].astype(np.int64) + at for p, at in zip(mine, byte_at)]) for i in (6, 7))
-        return (*(np.concatenate([p[i] for p in mine]) for i in (0, 1)), rows, *(np.concatenate([p[i] for p in mine]) for i in (3, 4, 5)), starts, ends)
+        columns = [list(c) for c in zip(*self.parts[:many])]
+        del self.parts[:many]
+        self.n -= n
+        vocabulary = np.unique(np.concatenate(columns[0]))
+        joined = lambda i: np.concatenate([columns[i].pop(0) for _ in range(many)])
+        row_at = np.cumsum([0] + [x.size for x in columns[4]])
+        for i in range(many):
+            columns[1][i] = np.searchsorted(vocabulary, columns[0][i]).astype(np.int32)[columns[1][i]]
+            columns[3][i] = columns[3][i] + np.int32(row_at[i])
+        return _Shard(vocabulary, *(joined(i) for i in range(1, 6)), columns[6])
 
 
 def _any(flags: np.ndarray, k: int) -> np.ndarray:
@@ -91,49 +140,50 @@ def _any(flags: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def _needs(salts: np.ndarray, totals: np.ndarray, rows: np.ndarray, support: int) -> np.ndarray:
-    """Each row's local support: the support's share that its language's words of the shard are of all, rounded up."""
-    _, at, lang = np.unique(salts, return_index=True, return_inverse=True)
-    have = np.bincount(lang[rows], minlength=at.size)
-    need = [-(-support * int(w) // max(int(t), 1)) for w, t in zip(have, totals[at])]
-    return np.maximum(np.array(need, np.int64), 1)[lang]
-
-
-def _levels(shard: tuple, keep) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+def _levels(shard: _Shard, keep) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """(k, keys, counts, first places) of the kept phrases of k words, level by level.
 
-    ``keep(keys, places)`` returns, of the phrases at the places, which of the distinct keys are
-    kept, as (keys, counts, first places, kept places).
+    ``keep(key_of, places)`` returns the distinct kept keys of the phrases at the places, as (keys,
+    counts, first places, kept places); ``key_of`` gives the keys of some places.
     """
-    h, left, rows, salts, *_ = shard
-    roll = h.copy()
-    salt = salts.view(_U)
-    at = np.arange(h.size)
+    n = shard.ids.size
+    at = np.arange(n, dtype=np.int32 if n < 1 << 31 else np.int64)
     for k in range(1, MOST_WORDS + 1):
         if k > 1:
-            roll[: h.size - k + 1] *= _JOIN
-            roll[: h.size - k + 1] += h[k - 1 :]
-            flags = np.zeros(h.size + 1, bool)
+            flags = np.zeros(n + 1, bool)
             flags[at] = True
-            at = at[flags[at + 1] & (left[at] >= k)]
+            at = at[flags[at + 1] & (shard.left[at] >= k)]
+            del flags
         if not at.size:
             return
-        keys, counts, first, at = keep(mix64((roll[at] + _U(k)) ^ salt[rows[at]]), at)
+        keys, counts, first, at = keep(lambda x, k=k: shard.keys(x, k), at)
         at.sort()
         yield k, keys, counts, first
 
 
 def _frequent(need: np.ndarray, rows: np.ndarray):
-    """Keeps phrases with their local support."""
-
-    def keep(keys: np.ndarray, at: np.ndarray):
-        order = np.argsort(keys)
-        keys = keys[order]
-        starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        counts = np.diff(np.concatenate([starts, [keys.size]]))
-        first = at[order[starts]]
-        good = counts >= need[rows[first]]
-        return keys[starts[good]], counts[good], first[good], at[order[np.repeat(good, counts)]]
+    """Keeps phrases with their local support; keys are made and sorted one class at a time."""
+
+    def keep(key_of, at: np.ndarray):
+        out = []
+        for c in range(CLASSES):
+            keys, places = [np.zeros(0, _U)], [at[:0]]
+            for lo in range(0, at.size, SLICE):
+                x = at[lo : lo + SLICE]
+                key = key_of(x)
+                mine = (key >> _U(32)) % _U(CLASSES) == c
+                keys.append(key[mine])
+                places.append(x[mine])
+            own, mine = np.concatenate(keys), np.concatenate(places)
+            del keys, places
+            order = np.argsort(own)
+            own, mine = own[order], mine[order]
+            del order
+            starts = np.flatnonzero(np.concatenate([np.ones(min(own.size, 1), bool), own[1:] != own[:-1]]))
+            counts = np.diff(np.concatenate([starts, [own.size]]))
+            good = counts >= need[rows[mine[starts]]]
+            out.append((own[starts[good]], counts[good], mine[starts[good]], mine[np.repeat(good, counts)]))
+        return tuple(np.concatenate(x) for x in zip(*out))
 
     return keep
 
@@ -141,11 +191,16 @@ def _frequent(need: np.ndarray, rows: np.ndarray):
 def _hits(bits: np.ndarray, log_bits: int):
     """Keeps phrases whose bit is set."""
 
-    def keep(keys: np.ndarray, at: np.ndarray):
-        hit = in_bitmap(bits, keys, log_bits)
-        at = at[hit]
-        distinct, counts = np.unique(keys[hit], return_counts=True)
-        return distinct, counts, at[:0], at
+    def keep(key_of, at: np.ndarray):
+        keys, places = [np.zeros(0, _U)], [at[:0]]
+        for lo in range(0, at.size, SLICE):
+            x = at[lo : lo + SLICE]
+            key = key_of(x)
+            hit = in_bitmap(bits, key, log_bits)
+            keys.append(key[hit])
+            places.append(x[hit])
+        distinct, counts = np.unique(np.concatenate(keys), return_counts=True)
+        return distinct, counts, at[:0], np.concatenate(places)
 
     return keep
 
@@ -154,14 +209,14 @@ def _shards(spelt: bool, block: int, use):
     """``use(shard)`` of one shard after the other; rows are (salt of the language, words of it, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard = _Shard(spelt)
+        shard = _Words(spelt)
         for batch in batches:
             salts, totals = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             for lo, hi, buf, offs in chunks(batch.column(2)):
                 shard.add(buf, offs, salts[lo:hi], totals[lo:hi])
                 while shard.n >= block + block // 2:
                     yield from use(shard.take(block))
-        rest = shard.take(shard.n)
+        rest = shard.take(max(shard.n, 1))
         if rest is not None:
             yield from use(rest)
 
@@ -169,33 +224,40 @@ def _shards(spelt: bool, block: int, use):
 
 
 def _mine(support: int, block: int):
-    def use(shard: tuple) -> Iterator[pa.RecordBatch]:
-        need = _needs(shard[3], shard[4], shard[2], support)
-        for _, keys, _, _ in _levels(shard, _frequent(need, shard[2])):
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64))], names=["key"])
+    """Keys with their counts, local supports and salts; and for each language of a shard, without a key, its local support less one."""
+
+    def use(shard: _Shard) -> Iterator[pa.RecordBatch]:
+        names = ["key", "n", "need", "salt"]
+        salts, by_lang, need = shard.needs(support)
+        none = pa.nulls(salts.size, pa.int64())
+        yield pa.RecordBatch.from_arrays([none, pa.array(by_lang - 1), none, pa.array(salts)], names=names)
+        for _, keys, counts, first in _levels(shard, _frequent(need, shard.rows)):
+            rows = shard.rows[first]
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts.astype(np.int64)), pa.array(need[rows]), pa.array(shard.salts[rows])], names=names)
 
     return _shards(False, block, use)
 
 
 def _count(bits: np.ndarray, log_bits: int, block: int):
-    def use(shard: tuple) -> Iterator[pa.RecordBatch]:
+    def use(shard: _Shard) -> Iterator[pa.RecordBatch]:
         for _, keys, counts, _ in _levels(shard, _hits(bits, log_bits)):
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts.astype(np.int64))], names=["key", "n"])
 
     return _shards(False, block, use)
 
 
-def _spell(bits: np.ndarray, log_bits: int, support: int, block: int):
-    """Words of the phrases that are frequent in the shard and whose bit is set."""
+def _spell(bits: np.ndarray, log_bits: int, support: int, block: int, most: bool):
+    """Words of phrases that are frequent in the shard and whose bit is set: that of the key with its count, or of the key alone."""
 
-    def use(shard: tuple) -> Iterator[pa.RecordBatch]:
-        _, _, rows, salts, totals, buf, starts, ends = shard
-        data = LOWER[buf].tobytes()
-        for k, keys, _, first in _levels(shard, _frequent(_needs(salts, totals, rows, support), rows)):
-            hit = in_bitmap(bits, keys, log_bits)
+    def use(shard: _Shard) -> Iterator[pa.RecordBatch]:
+        _, _, need = shard.needs(support)
+        for k, keys, counts, first in _levels(shard, _frequent(need, shard.rows)):
+            marks = (keys.view(np.int64) ^ (counts * _MARK)).view(_U) if most else keys
+            hit = np.flatnonzero(in_bitmap(bits, marks, log_bits))
+            hit = hit[np.argsort(first[hit])]
             at = first[hit]
-            texts = [b" ".join(data[a:b].split()).decode("utf-8", "replace") for a, b in zip(starts[at].tolist(), ends[at + k - 1].tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array(keys[hit].view(np.int64)), pa.array(salts[rows[at]]), pa.array(np.full(at.size, k, np.int32)), pa.array(texts, pa.string())], names=["key", "salt", "k", "phrase"])
+            salts = shard.salts[shard.rows[at]]
+            yield pa.RecordBatch.from_arrays([pa.array(keys[hit].view(np.int64)), pa.array(salts), pa.array(np.full(at.size, k, np.int32)), pa.array(shard.spell(at, k), pa.string())], names=["key", "salt", "k", "phrase"])
 
     return _shards(True, block, use)
 
@@ -224,20 +286,36 @@ def frequent_phrases(docs: DataFrame, *, support: int = 100, block: int = BLOCK)
     counted = rows.mapInArrow(lean(_word_counts), "lang string, n long").groupBy("lang").agg(F.sum("n").alias("n"))
     totals = ws.write(counted.withColumn("salt", F.xxhash64("lang")), small=True)
     langs, total = totals.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    rows = rows.join(F.broadcast(totals) if langs <= BROADCAST_LANGS else totals, "lang").select("salt", "n", "text")
+    few = langs <= BROADCAST_LANGS
+    rows = rows.join(F.broadcast(totals) if few else totals, "lang").select("salt", "n", "text")
     # Shards are neither tiny nor more than tasks or memory ask for.
     rows = rows.coalesce(max(spark.sparkContext.defaultParallelism, -(-total // block)))
-    candidates = ws.write(rows.mapInArrow(lean(_mine(support, block)), "key long"))
+    mined = ws.write(rows.mapInArrow(lean(_mine(support, block)), "key long, n long, need long, salt long"))
+    # What shards that do not report a phrase can hold of it: all local supports less one, but those of the reporting shards.
+    slack = mined.filter("key is null").groupBy("salt").agg(F.sum("n").alias("slack"))
+    told = mined.filter("key is not null").groupBy("key").agg(F.sum("n").alias("s"), F.max("n").alias("most"), F.sum(F.col("need") - 1).alias("r"), F.min("salt").alias("salt"))
+    possible = told.join(F.broadcast(slack) if few else slack, "salt").filter(F.col("s") + F.col("slack") - F.col("r") >= support)
+    candidates = ws.write(possible.select("key", "most"))
+    ws.drop(mined)
     log_bits = bitmap_bits(candidates.count())
     counting = rows.mapInArrow(lean(_count(bitmap(candidates, "key", log_bits), log_bits, block)), "key long, n long")
-    counts = ws.write(counting.groupBy("key").agg(F.sum("n").alias("a")).filter(F.col("a") >= support))
+    counts = ws.write(counting.groupBy("key").agg(F.sum("n").alias("a")).filter(F.col("a") >= support).join(candidates, "key"))
     ws.drop(candidates)
-    log_bits = bitmap_bits(counts.count())
-    spelling = rows.mapInArrow(lean(_spell(bitmap(counts, "key", log_bits), log_bits, support, block)), "key long, salt long, k int, phrase string")
-    spelt = spelling.groupBy("key").agg(F.min(F.struct("phrase", "k", "salt")).alias("p"))
-    found = counts.join(spelt, "key").select("p.*", "a")
-    found = found.join(F.broadcast(totals) if langs <= BROADCAST_LANGS else totals, "salt")
-    return ws.write(found.select("lang", "phrase", F.col("k").cast("long"), "a", "n"))
+
+    def spelt(keys: DataFrame, most: bool) -> DataFrame:
+        log_bits = bitmap_bits(keys.count())
+        marks = keys.select((F.col("key").bitwiseXOR(F.col("most") * F.lit(_MARK).cast("long")) if most else F.col("key")).alias("key"))
+        spelling = rows.mapInArrow(lean(_spell(bitmap(marks, "key", log_bits), log_bits, support, block, most)), "key long, salt long, k int, phrase string")
+        one = spelling.groupBy("key").agg(F.min(F.struct("phrase", "k", "salt")).alias("p"))
+        return ws.write(keys.join(one, "key").select("key", "p.*", "a"))
+
+    found = spelt(counts, True)
+    # A task that came out with other shards than when it mined may have missed some.
+    left = counts.join(found, "key", "left_anti")
+    if not left.isEmpty():
+        found = found.unionByName(spelt(ws.write(left), False))
+    named = found.join(F.broadcast(totals) if few else totals, "salt")
+    return ws.write(named.select("lang", "phrase", F.col("k").cast("long"), "a", "n"))
 
 
 def collocations(docs: DataFrame, *, support: int = 100, top: int = 2000, block: int = BLOCK) -> DataFrame:
