@@ -145,7 +145,8 @@ def scenario_pivot(summary: DataFrame, row: str, column: str, value: str, values
 
 
 def describe_table(df: DataFrame) -> DataFrame:
-    """Columns with type and number of nulls; ``df.count()`` and ``limit`` show the rest."""
-    one = df.agg(*(F.count_if(F.col(c).isNull()).alias(c) for c in df.columns))
+    """Columns with type, number of rows and of nulls, and their least and greatest value as text."""
+    one = df.agg(F.count("*").alias("_rows"), *(F.struct(F.count_if(F.col(c).isNull()).alias("nulls"), F.min(c).cast("string").alias("least"), F.max(c).cast("string").alias("greatest")).alias(c) for c in df.columns))
     kinds = F.create_map(*(F.lit(x) for kv in df.dtypes for x in kv))
-    return one.unpivot([], df.columns, "column", "nulls").withColumn("type", kinds[F.col("column")])
+    out = one.unpivot(["_rows"], df.columns, "column", "x")
+    return out.select("column", kinds[F.col("column")].alias("type"), F.col("_rows").alias("rows"), "x.nulls", "x.least", "x.greatest")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import clock, rules
-from ..operators import asof, audit, dispatch, features, forecast, reports, scoring, series
+from ..operators import asof, audit, dispatch, features, forecast, reports, scoring, series, suspects
 from ..sources import ingest
 from ..sources.store import Store
 from ..sources.tables import read_table
@@ -222,9 +222,10 @@ def pivot_types(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pivot_fuel_revisions(spark: SparkSession, d: str) -> DataFrame:
-    """Latest value of each type a day, wide."""
-    e = events(spark, d).withColumn("day", F.to_date("ts"))
-    return ingest.pivot_fuels(e.select("day", "event_type", "value", "ts"), ["day"], "event_type", TYPES, "value", "ts")
+    """Latest value of each type a day, wide, whether a row of it was moved, and the first start time."""
+    e = events(spark, d).withColumns({"day": F.to_date("ts"), "moved": F.pmod("event_id", F.lit(50)) == 0})
+    wide = ingest.pivot_fuels(e.select("day", "event_type", "value", "ts", "moved"), ["day"], "event_type", TYPES, "value", "ts", "moved", "ts")
+    return wide.withColumn("start_time", clock.plain("start_time"))
 
 
 def vwap_types(spark: SparkSession, d: str) -> DataFrame:
@@ -350,7 +351,8 @@ def missing_shares(spark: SparkSession, d: str) -> DataFrame:
 def scored(spark: SparkSession, d: str) -> DataFrame:
     """Targets with three naive forecasts and quantiles, stored: scores read them more than once."""
     base, px = priced(spark, d)
-    out = features.lag_same_time(features.lag_same_time(base, px, 2, "naive_d2"), px, 7, "naive_d7")
+    out = features.lag_same_time(features.lag_same_time(base, px, 2, "lag_d2"), px, 7, "lag_d7")
+    out = forecast.baselines(out, {"lag_d2": "naive_d2", "lag_d7": "naive_d7"})
     days = base.select("local_date", "decision_time").distinct()
     week = features.trailing(days, px.filter("first_occurrence"), 8, 2, ["minute_of_day"], "price", mean="mean_7d")
     out = out.join(week, ["local_date", "minute_of_day"], "left").withColumns({"q10": F.col("mean_7d") - 60.0, "q50": F.col("mean_7d"), "q90": F.col("mean_7d") + 60.0})
@@ -697,10 +699,73 @@ def matched_days(spark: SparkSession, d: str) -> DataFrame:
 
 
 def described_events(spark: SparkSession, d: str) -> DataFrame:
-    """A36, IO11: columns of the cleaned series with their types and nulls."""
+    """A36, IO11: columns of the cleaned series with their types, rows, nulls and extremes."""
     return reports.describe_table(clean_pass(spark, d))
 
 
+AUDITED = suspects.SuspectColumns(date="day", period="period")
+
+
+def audited(spark: SparkSession, d: str) -> DataFrame:
+    """Orders by day and slot as outturn, the day's mean as a forecast that some slots lack; busy days are suspect."""
+    o = orders(spark, d).select(F.to_date("o_orderdate").alias("day"), (F.pmod("o_orderkey", F.lit(48)) + 1).cast("int").alias("period"), "o_totalprice")
+    days = o.groupBy("day").agg(hundredths("o_totalprice").alias("forecast"), F.count("*").alias("n"))
+    days = days.crossJoin(F.broadcast(days.agg(F.avg("n").alias("usual"))))
+    rows = o.groupBy("day", "period").agg(hundredths("o_totalprice").alias("actual")).join(days, "day")
+    own = F.timestamp_seconds(F.unix_timestamp(F.col("day").cast("timestamp")) + (F.col("period") - 1) * 1800)
+    return rows.select(
+        "day", "period", "actual", F.when(F.col("period") % 11 != 0, F.col("forecast")).alias("forecast"), F.lit(500_000.0).alias("capacity"), (F.col("n") > F.col("usual")).alias("suspect"),
+        own.alias("own_start"), clock.from_label(F.col("day"), F.col("period")).alias("label_start"),
+    )
+
+
+def suspect_block(spark: SparkSession, d: str) -> DataFrame:
+    """The longest run of suspect days of 1996, with the agreement of two start columns and what is dropped."""
+    return suspects.starts_agree(audited(spark, d), AUDITED, 1996, "own_start", "label_start")
+
+
+def suspect_block_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Errors of the block, of its season in control years, and of the year outside it."""
+    w = suspects.block_windows(audited(spark, d), AUDITED, 1996, [1995, 1997])
+    return w.select("window", "days", "periods", *(F.round(c, 6).alias(c) for c in ("mae", "rmse", "bias", "corr", "mae_early", "mae_late", "growth")))
+
+
+def suspect_block_ratios(spark: SparkSession, d: str) -> DataFrame:
+    """Ratio of daily errors of block and controls, and of one control to the other, with intervals and the verdict."""
+    r = suspects.block_ratios(audited(spark, d), AUDITED, 1996, [1995, 1997], replicates=2000)
+    return r.select("pair", *(F.round(c, 6).alias(c) for c in ("ratio", "lo", "hi")), "verdict")
+
+
+def shared_days(spark: SparkSession, d: str) -> DataFrame:
+    """Totals of large and of small orders on the days that have both, and whether only the first day is not shared."""
+    o = orders(spark, d).withColumn("day", F.to_date("o_orderdate"))
+    large, small = o.filter("o_totalprice > 200000"), o.filter("o_totalprice < 100000")
+    a, b = suspects.shared_days(large, small, "day")
+    total = lambda x, name: x.agg(F.countDistinct("day").alias(f"{name}_days"), F.round(F.sum("o_totalprice"), 2).alias(f"{name}_total"))
+    claim = suspects.only_the_first(large, small, "day")
+    return total(a, "large").crossJoin(total(b, "small")).crossJoin(claim)
+
+
+def spread_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Realisable spreads by k, summed up over days."""
+    h = half_hours(spark, d).withColumn("day", clock.local_date(F.col("t")))
+    return rounded(dispatch.spread_summary(h, ["day"], "price", [2, 4, 8], 0.9), ["k"])
+
+
+def single_day(spark: SparkSession, d: str) -> DataFrame:
+    """The half hours of one day, which must be whole and priced."""
+    g = day_prices(spark, d).select("settlement_date", F.posexplode("prices").alias("i", "price")).withColumn("day_usable", F.lit(True))
+    return dispatch.one_day(g, "settlement_date", "2024-01-10", "price").select("settlement_date", "i", "price")
+
+
+def scenario_pivot(spark: SparkSession, d: str) -> DataFrame:
+    """Revenue of the fixed schedule by duration (rows) and efficiency (columns)."""
+    s = dispatch.settle(clocked(spark, d), [*KEYS, "duration_h", "round_trip"])
+    s = s.groupBy("duration_h", "round_trip").agg(F.round(F.sum("gross_revenue"), 4).alias("revenue"))
+    p = reports.scenario_pivot(s, "duration_h", "round_trip", "revenue", [0.8, 0.9])
+    return p.select("duration_h", F.col("`0.8`").alias("at_80"), F.col("`0.9`").alias("at_90"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -711,6 +776,6 @@ QUERIES = {
         realisable_spread, settle_schedule, feasibility, threshold_dispatch, lattice_dispatch, backtest_capture, scenario_frontier, rule_against_optimum, monthly_rollup, strategy_rollup,
         day_set_reconcile, provider_report, provider_comparison, liquidity_report, vintage_timeliness, timezone_evidence, day_coverage, price_range, rekeyed_labels, walk_forward_gbt,
         range_window, lead_summary, worst_days, vintage_build, outside_grid, grid_with_data, skill_interval, paired_capture, matched_days, described_events,
-        strategy_table, outturn_report,
+        strategy_table, outturn_report, suspect_block, suspect_block_windows, suspect_block_ratios, shared_days, spread_summary, single_day, scenario_pivot,
     )
 }

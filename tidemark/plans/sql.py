@@ -139,7 +139,8 @@ SQL: dict[str, str] = {
     "day_usability": f"WITH {CLEAN} SELECT settlement_date, count(*) AS observed, {_periods('settlement_date')} AS expected, any_value(day_complete) AS day_complete, any_value(day_usable) AS day_usable FROM cl GROUP BY settlement_date",
     "quality_report": _checks(CLEAN, "cl", {"rows_out": "count(*)", "price_missing": "count(*) FILTER (price IS NULL)", "price_interpolated": "count(*) FILTER (interpolated)", "price_out_of_band": "count(*) FILTER (oob)", "price_stuck": "count(*) FILTER (stuck)", "price_defaulted": "count(*) FILTER (defaulted)", "price_liquidity_anomaly": "count(*) FILTER (anomaly)", "days_total": "count(DISTINCT settlement_date)", "days_incomplete": "count(DISTINCT settlement_date) FILTER (NOT day_complete)", "days_unusable": "count(DISTINCT settlement_date) FILTER (NOT day_usable)", "rows_in": "any_value((SELECT count(*) FROM hh))", "duplicates": "any_value((SELECT count(*) - count(DISTINCT t) FROM hh))", "inserted": "count(*) - any_value((SELECT count(DISTINCT t) FROM hh))"}, None, "BIGINT"),
     "pivot_types": f"WITH {WIDE} SELECT * FROM w",
-    "pivot_fuel_revisions": "SELECT ts::DATE AS day, " + ", ".join(f"arg_max(value, ts) FILTER (event_type = '{t}') AS gen_{t}_mw" for t in TYPES) + " FROM events GROUP BY 1",
+    "pivot_fuel_revisions": "WITH r AS (SELECT ts::DATE AS day, event_type, arg_max(value, ts) AS value, arg_max(event_id % 50 = 0, ts) AS moved, max(ts) AS ts FROM events GROUP BY 1, 2) "
+    + "SELECT day, " + ", ".join(f"max(value) FILTER (event_type = '{t}') AS gen_{t}_mw" for t in TYPES) + ", bool_or(moved) AS rekeyed, min(ts) AS start_time FROM r GROUP BY 1",
     "vwap_types": f"WITH {WIDE} SELECT day, round(" + "(" + " + ".join(f"coalesce({t}_price * {t}_volume, 0)" for t in TYPES) + ") / (" + " + ".join(f"coalesce({t}_volume, 0)" for t in TYPES) + "), 6) AS vwap, " + " + ".join(f"coalesce({t}_volume, 0)" for t in TYPES) + " AS volume FROM w",
     "latest_revision": "SELECT user_id, ts::DATE AS day, arg_max(event_id, ts) AS event_id FROM events GROUP BY 1, 2",
     "first_event": "SELECT user_id, ts::DATE AS day, arg_min(event_id, ts) AS event_id FROM events GROUP BY 1, 2",
@@ -163,7 +164,7 @@ SQL: dict[str, str] = {
     "trailing_thresholds": "WITH q AS (SELECT o_orderdate::DATE AS day, quantile_cont(o_totalprice, 0.25) AS l, quantile_cont(o_totalprice, 0.75) AS h FROM orders GROUP BY 1) SELECT day, round(avg(l) OVER w, 4) AS low, round(avg(h) OVER w, 4) AS high FROM q WINDOW w AS (ORDER BY day ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING)",
     "realisable_spread": f"WITH {HH}, d AS (SELECT {_local('t')}::DATE AS day, price, row_number() OVER (PARTITION BY {_local('t')}::DATE ORDER BY price) AS u, row_number() OVER (PARTITION BY {_local('t')}::DATE ORDER BY price DESC) AS w FROM hh) SELECT day, k::INTEGER AS k, round(avg(price) FILTER (w <= k) - avg(price) FILTER (u <= k) / 0.9, 6) AS spread FROM d, (SELECT unnest([2, 4, 8]) AS k) GROUP BY 1, 2 HAVING count(*) >= 2 * k",
     "settle_schedule": f"WITH {CLOCKED}, s AS (SELECT settlement_date, scenario, any_value(rt) AS rt, any_value(wear) AS wear, any_value(hi - lo) AS usable, any_value(start) AS start, sum(greatest(mw, 0) * 0.5) AS imp, sum(greatest(-mw, 0) * 0.5) AS exp, sum(-p * mw * 0.5) AS rev FROM cp GROUP BY 1, 2) SELECT settlement_date, scenario, round(imp, 6) AS import_mwh, round(exp, 6) AS export_mwh, round(rev, 6) AS gross_revenue, round((wear * exp)::DOUBLE, 6) AS wear, round(rev - wear * exp, 6) AS net_revenue, round(exp / usable, 6) AS cycles, round((start + sqrt(rt) * imp - exp / sqrt(rt))::DOUBLE, 6) + 0.0 AS final_soc FROM s",
-    "feasibility": f"WITH {CLOCKED}, q AS (SELECT *, start + sum(CASE WHEN mw > 0 THEN sqrt(rt) * mw * 0.5 ELSE mw * 0.5 / sqrt(rt) END) OVER (PARTITION BY settlement_date, scenario ORDER BY i) AS soc FROM cp) SELECT settlement_date, scenario, concat_ws('; ', CASE WHEN bool_or(abs(mw) > 1 + 1e-6) THEN 'power exceeds rating' END, CASE WHEN bool_or(soc < lo - 1e-6) THEN 'state of charge below lower bound' END, CASE WHEN bool_or(soc > hi + 1e-6) THEN 'state of charge above upper bound' END, CASE WHEN abs(arg_max(soc, i) - any_value(start)) > 1e-4 THEN 'terminal state of charge not met' END) AS problems FROM q GROUP BY 1, 2",
+    "feasibility": f"WITH {CLOCKED}, q AS (SELECT *, start + sum(CASE WHEN mw > 0 THEN sqrt(rt) * mw * 0.5 ELSE mw * 0.5 / sqrt(rt) END) OVER (PARTITION BY settlement_date, scenario ORDER BY i) AS soc FROM cp) SELECT settlement_date, scenario, concat_ws('; ', CASE WHEN bool_or(abs(mw) > 1 + 1e-6) THEN 'power_high' END, CASE WHEN bool_or(soc < lo - 1e-6) THEN 'soc_low' END, CASE WHEN bool_or(soc > hi + 1e-6) THEN 'soc_high' END, CASE WHEN abs(arg_max(soc, i) - any_value(start)) > 1e-4 THEN 'soc_end' END) AS problems FROM q GROUP BY 1, 2",
     "monthly_rollup": f"WITH {DAYS} SELECT date_trunc('month', day)::DATE AS month, round(sum(total), 2) AS total, sum(n)::BIGINT AS n FROM od GROUP BY 1",
     "strategy_rollup": "WITH d AS (SELECT o_orderdate::DATE AS day, o_orderstatus AS strategy, sum(o_totalprice) AS r FROM orders GROUP BY 1, 2) SELECT s.strategy, s.year::INTEGER AS year, round(sum(r), 2) AS revenue, count(r) AS days FROM (SELECT DISTINCT strategy, y AS year FROM (SELECT DISTINCT strategy FROM d), (SELECT DISTINCT year(day) AS y FROM d) UNION ALL SELECT DISTINCT strategy, NULL FROM d) s LEFT JOIN d ON d.strategy = s.strategy AND (s.year IS NULL OR year(d.day) = s.year) GROUP BY 1, 2",
     "day_set_reconcile": "WITH a AS (SELECT DISTINCT o_orderdate::DATE AS day FROM orders WHERE o_totalprice > 300000), b AS (SELECT DISTINCT o_orderdate::DATE AS day FROM orders WHERE o_totalprice < 50000) SELECT count(*) FILTER (b.day IS NULL) AS left_only, count(*) FILTER (a.day IS NULL) AS right_only, count(*) FILTER (a.day IS NOT NULL AND b.day IS NOT NULL) AS both, min(coalesce(a.day, b.day)) AS first_day, max(coalesce(a.day, b.day)) AS last_day FROM a FULL JOIN b ON a.day = b.day",
@@ -251,4 +252,56 @@ FROM u WHERE k = 1 AND d > (SELECT min(d) FROM r) AND d < (SELECT max(d) FROM r)
 SQL["outside_grid"] = f"WITH {HH} SELECT t, price FROM hh WHERE {_local('t')}::DATE > (SELECT min({_local('t')}::DATE) FROM hh) + 9"
 SQL["grid_with_data"] = f"WITH {HH}, d AS (SELECT DISTINCT {_local('t')}::DATE AS day FROM hh), q AS (SELECT day, {_utc('day')} + (i - 1) * INTERVAL 30 MINUTE AS target_time, i::INTEGER AS i FROM (SELECT day, unnest(range(1, {_periods('day')} + 1)) AS i FROM d)) SELECT q.target_time, day AS settlement_date, i AS settlement_period, volume FROM q LEFT JOIN hh ON hh.t = q.target_time"
 SQL["matched_days"] = f"WITH {SCORED} SELECT d AS settlement_date, bool_and(actual IS NOT NULL AND naive_d2 IS NOT NULL AND mean_7d IS NOT NULL) AND count(*) = {_periods('d')} AS matched FROM sc GROUP BY d"
-SQL["described_events"] = f"WITH {CLEAN}, c2 AS (SELECT * FROM cl) SELECT * FROM (VALUES " + ", ".join(f"('{c}', (SELECT count(*) FROM c2 WHERE {x} IS NULL), '{k}')" for c, x, k in (("t", "t", "timestamp_ntz"), ("price", "price", "double"), ("price_defaulted", "defaulted", "boolean"), ("price_out_of_band", "oob", "boolean"), ("price_stuck", "stuck", "boolean"), ("price_interpolated", "interpolated", "boolean"), ("settlement_date", "settlement_date", "date"), ("settlement_period", "settlement_period", "int"), ("period_usable", "period_usable", "boolean"), ("day_complete", "day_complete", "boolean"), ("day_usable", "day_usable", "boolean"))) + ') v("column", nulls, "type")'
+_CLEANED = [
+    ("t", "t", "timestamp_ntz"), ("price", "round(price, 6)", "double"), ("price_defaulted", "defaulted", "boolean"), ("price_out_of_band", "oob", "boolean"), ("price_stuck", "stuck", "boolean"),
+    ("price_interpolated", "interpolated", "boolean"), ("settlement_date", "settlement_date", "date"), ("settlement_period", "settlement_period", "int"), ("period_usable", "period_usable", "boolean"),
+    ("day_complete", "day_complete", "boolean"), ("day_usable", "day_usable", "boolean"),
+]
+SQL["described_events"] = f"WITH {CLEAN} " + " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", '{k}' AS type, count(*) AS rows, count(*) FILTER ({x} IS NULL) AS nulls, min({x})::VARCHAR AS least, max({x})::VARCHAR AS greatest FROM cl" for c, x, k in _CLEANED
+)
+
+# The audit of suspect days: a frame of orders, its longest busy run of 1996, the windows, and draws of their days.
+AUDITED = f"""ao AS (SELECT o_orderdate::DATE AS day, (o_orderkey % 48 + 1)::INTEGER AS period, round(o_totalprice * 100)::BIGINT AS c FROM orders),
+ad AS (SELECT day, floor(sum(c) / count(*)) / 100.0 AS forecast, count(*) AS n FROM ao GROUP BY day),
+af AS (
+  SELECT ao.day, period, CASE WHEN period % 11 <> 0 THEN any_value(forecast) END AS forecast, floor(sum(c) / count(*)) / 100.0 AS actual, any_value(n) > (SELECT avg(n) FROM ad) AS suspect
+  FROM ao JOIN ad ON ao.day = ad.day GROUP BY ao.day, period
+),
+ae AS (SELECT *, (forecast - actual) / 500000.0::DOUBLE AS e FROM af WHERE forecast IS NOT NULL),
+ar AS (SELECT min(day) AS a, max(day) AS b, count(*) AS n FROM (SELECT day, day - row_number() OVER (ORDER BY day)::INTEGER AS g FROM (SELECT DISTINCT day FROM ae WHERE suspect AND year(day) = 1996)) GROUP BY g),
+ab AS (SELECT * FROM ar ORDER BY n DESC, a LIMIT 1),
+aw AS (
+  SELECT ae.*, CASE WHEN s AND year(day) = 1996 THEN 'block' WHEN s AND year(day) IN (1995, 1997) THEN 'control ' || year(day) WHEN year(day) = 1996 AND NOT suspect THEN 'outside' END AS "window"
+  FROM (SELECT ae.*, month(day) * 100 + day(day) BETWEEN month(a) * 100 + day(a) AND month(b) * 100 + day(b) AS s FROM ae, ab) ae
+)"""
+SQL["suspect_block"] = f"""WITH {AUDITED} SELECT count(*) AS rows, count(*) FILTER (day + (period - 1) * INTERVAL 30 MINUTE = {_utc("day")} + (period - 1) * INTERVAL 30 MINUTE AND period <= {_periods("day")}) AS starts_agree,
+  count(*) FILTER (forecast IS NULL) AS dropped, any_value(a) AS first_day, any_value(b) AS last_day, any_value(ab.n) AS n_days FROM af, ab"""
+SQL["suspect_block_windows"] = f"""WITH {AUDITED}, x AS (
+  SELECT "window", count(DISTINCT day) AS days, count(*) AS periods, avg(abs(e)) AS mae, sqrt(avg(e * e)) AS rmse, avg(e) AS bias, corr(forecast, actual) AS corr,
+    avg(abs(e)) FILTER (period <= 16) AS mae_early, avg(abs(e)) FILTER (period >= 33) AS mae_late FROM aw WHERE "window" IS NOT NULL GROUP BY 1
+) SELECT "window", days, periods, {", ".join(f"round({c}, 6) AS {c}" for c in ("mae", "rmse", "bias", "corr", "mae_early", "mae_late"))}, round(CASE WHEN mae_early > 0 THEN mae_late / mae_early END, 6) AS growth FROM x"""
+_SAMPLES = {"block": "\"window\" = 'block'", "controls": "\"window\" LIKE 'control %'", "control 1995": "\"window\" = 'control 1995'", "control 1997": "\"window\" = 'control 1997'"}
+_DAILY = ", ".join(f"s{i} AS (SELECT day, avg(abs(e)) AS v FROM aw WHERE {w} GROUP BY day)" for i, w in enumerate(_SAMPLES.values()))
+_DRAWN = ", ".join(_boot(f"b{i}", f"s{i}", ["v"], i + 1) for i in range(4))
+SQL["suspect_block_ratios"] = f"WITH {AUDITED}, {_DAILY}, {_DRAWN}, " + f"""x AS (
+  SELECT 'block / controls' AS pair, b0.v / b0.n / (b1.v / b1.n) AS r, (SELECT avg(v) FROM s0) / (SELECT avg(v) FROM s1) AS ratio FROM b0 JOIN b1 USING (rep)
+  UNION ALL SELECT 'control 1995 / control 1997', b2.v / b2.n / (b3.v / b3.n), (SELECT avg(v) FROM s2) / (SELECT avg(v) FROM s3) FROM b2 JOIN b3 USING (rep)
+), y AS (SELECT pair, any_value(ratio) AS ratio, quantile_cont(r, 0.025) AS lo, quantile_cont(r, 0.975) AS hi FROM x GROUP BY pair)
+SELECT pair, round(ratio, 6) AS ratio, round(lo, 6) AS lo, round(hi, 6) AS hi,
+  CASE WHEN pair = 'block / controls' THEN CASE WHEN lo >= 0.8 THEN 'GENUINE' WHEN hi < 0.7 THEN 'REGENERATED' ELSE 'INCONCLUSIVE' END END AS verdict FROM y"""
+SQL["shared_days"] = """WITH o AS (SELECT o_orderdate::DATE AS day, o_totalprice AS p FROM orders), a AS (SELECT * FROM o WHERE p > 200000), b AS (SELECT * FROM o WHERE p < 100000),
+x AS (SELECT DISTINCT day FROM a WHERE day NOT IN (SELECT day FROM b))
+SELECT count(DISTINCT a.day) AS large_days, round(sum(p), 2) AS large_total, (SELECT count(DISTINCT day) FROM b WHERE day IN (SELECT day FROM a)) AS small_days,
+  (SELECT round(sum(p), 2) FROM b WHERE day IN (SELECT day FROM a)) AS small_total, (SELECT count(*) FROM x) AS extra_days,
+  (SELECT count(*) FROM x) = 1 AND (SELECT min(day) FROM x) = (SELECT min(day) FROM a) AS only_the_first
+FROM a WHERE day IN (SELECT day FROM b)"""
+SQL["spread_summary"] = f"""WITH {HH}, d AS (SELECT {_local("t")}::DATE AS day, price, row_number() OVER (PARTITION BY {_local("t")}::DATE ORDER BY price) AS u, row_number() OVER (PARTITION BY {_local("t")}::DATE ORDER BY price DESC) AS w FROM hh),
+x AS (
+  SELECT day, k, max(price) - min(price) AS range, avg(price) FILTER (w <= k) - avg(price) FILTER (u <= k) AS raw, avg(price) FILTER (w <= k) - avg(price) FILTER (u <= k) / 0.9 AS spread
+  FROM d, (SELECT unnest([2, 4, 8]) AS k) GROUP BY 1, 2 HAVING count(*) >= 2 * k
+) SELECT k::INTEGER AS k, count(*) AS days, round(avg(range), 6) AS mean_range, round(avg(raw), 6) AS mean_raw, round(avg(spread), 6) AS mean_spread, round(quantile_cont(spread, 0.5), 6) AS median_spread,
+  count(*) FILTER (spread <= 0) AS days_not_positive, round(100 * avg(spread) / avg(range), 6) AS percent_of_range FROM x GROUP BY k"""
+SQL["single_day"] = f"WITH {CLOCKED} SELECT settlement_date, (row_number() OVER (ORDER BY t) - 1)::INTEGER AS i, p AS price FROM gp WHERE settlement_date = DATE '2024-01-10'"
+SQL["scenario_pivot"] = f"""WITH {CLOCKED}, s AS (SELECT energy::DOUBLE AS duration_h, rt, round(sum(-p * mw * 0.5), 4) AS revenue FROM cp GROUP BY 1, 2)
+SELECT duration_h, max(revenue) FILTER (rt = 0.8) AS at_80, max(revenue) FILTER (rt = 0.9) AS at_90 FROM s GROUP BY 1"""

@@ -1,4 +1,4 @@
-"""Named views over Parquet, month-partitioned raw zones, landed JSON envelopes, sinks."""
+"""Named views over Parquet, landed JSON envelopes, sinks."""
 
 from __future__ import annotations
 
@@ -35,18 +35,6 @@ def query_file(spark: SparkSession, path: str, **params) -> DataFrame:
     return spark.sql(text, args=params)
 
 
-def write_months(df: DataFrame, path: str, time: str) -> None:
-    """Writes a raw zone by month; months that the frame has replace those on disk, others stay."""
-    out = df.withColumn("month", F.date_format(time, "yyyy-MM"))
-    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path)
-
-
-def read_months(spark: SparkSession, path: str, first: str, last: str) -> DataFrame:
-    """The months first to last, pruned by partition."""
-    month = F.col("month").cast("string")
-    return spark.read.option("basePath", path).parquet(path).filter(month.between(first, last))
-
-
 def read_envelopes(spark: SparkSession, path: str, schema: str, field: str = "data", drop: tuple[str, ...] = ("_id",)) -> DataFrame:
     """Rows of landed JSON responses: a list, or an object that holds the list in ``field`` (dots descend)."""
     inner = f"array<struct<{schema}>>"
