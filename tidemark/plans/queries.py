@@ -6,6 +6,8 @@ providers, its users the keys), ``orders`` the daily series. Times leave as zone
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -617,15 +619,17 @@ def rekeyed_labels(spark: SparkSession, d: str) -> DataFrame:
     return kept.select(clock.plain("t").alias("t"), F.col("d").alias("settlement_date"), F.col("n").alias("settlement_period"), "moved")
 
 
-def walk_forward_gbt(spark: SparkSession, d: str) -> DataFrame:
-    """Distributed trees on daily order counts by month, with residual quantiles."""
+def walk_forward_quantiles(spark: SparkSession, d: str) -> DataFrame:
+    """Quantiles of daily order counts for every month that has earlier days, all folds trained at once."""
     o = daily_orders(spark, d)
     w = Window.partitionBy(F.year("day")).orderBy("day")
-    f = o.select("day", F.col("n").cast("double").alias("y"), F.weekday("day").alias("dow"), F.lag("n", 7).over(w).alias("l7"), F.avg("n").over(w.rowsBetween(-14, -2)).alias("m14"))
-    folds = forecast.monthly_folds(spark, "1997-01-01", "1997-03-01")
-    p = forecast.walk_forward(f, folds, forecast.select_features(["dow", "l7", "m14"]), date="day", target="y", anchor="m14", trees=8, depth=3)
-    q = forecast.residual_quantiles(p, "y", F.col("dow"), {"q10": 0.1, "q50": 0.5, "q90": 0.9})
-    return q.select("day", "fold", "y", "predicted", "q10", "q50", "q90")
+    f = Store(spark, "walk").put(o.select("day", F.col("n").cast("double").alias("y"), F.weekday("day").alias("dow"), F.lag("n", 7).over(w).alias("l7"), F.avg("n").over(w.rowsBetween(-14, -2)).alias("m14")))
+    first, last = f.agg(F.min("day"), F.max("day")).first()
+    if first is None:
+        return f.withColumns({"fold": F.col("day"), **dict.fromkeys(("q10", "q50", "q90"), F.col("y"))}).select("day", "fold", "y", "q10", "q50", "q90")
+    folds = forecast.monthly_folds(spark, str(first + dt.timedelta(40)), str(last))
+    q = forecast.walk_forward_quantiles(f, folds, forecast.select_features(["dow", "l7", "m14"]), date="day", target="y", anchor="m14", levels={"q10": 0.1, "q50": 0.5, "q90": 0.9})
+    return q.select("day", "fold", "y", "q10", "q50", "q90")
 
 
 def range_window(spark: SparkSession, d: str) -> DataFrame:
@@ -774,7 +778,7 @@ QUERIES = {
         pivot_fuel_revisions, vwap_types, latest_revision, first_event, lag_same_time, lag_day_stats, trailing_7d, trailing_28d_bias, last_known, point_in_time, availability_check, feature_frame,
         availability_audit, missing_shares, score_table, mae_by_hour, reliability, coverage, skill_window, date_islands, season_window, block_bootstrap_ci, block_ratio_verdict, trailing_thresholds,
         realisable_spread, settle_schedule, feasibility, threshold_dispatch, lattice_dispatch, backtest_capture, scenario_frontier, rule_against_optimum, monthly_rollup, strategy_rollup,
-        day_set_reconcile, provider_report, provider_comparison, liquidity_report, vintage_timeliness, timezone_evidence, day_coverage, price_range, rekeyed_labels, walk_forward_gbt,
+        day_set_reconcile, provider_report, provider_comparison, liquidity_report, vintage_timeliness, timezone_evidence, day_coverage, price_range, rekeyed_labels, walk_forward_quantiles,
         range_window, lead_summary, worst_days, vintage_build, outside_grid, grid_with_data, skill_interval, paired_capture, matched_days, described_events,
         strategy_table, outturn_report, suspect_block, suspect_block_windows, suspect_block_ratios, shared_days, spread_summary, single_day, scenario_pivot,
     )
