@@ -33,13 +33,13 @@ BREAKS = ENDS.copy()
 BREAKS[[0x20, 0x09]] = True
 
 #: Words of a shard; a task's last shard has half to one and a half times as many, if the task has.
-#: Mining takes some twenty bytes a word. Larger shards have a larger local support and fewer candidates.
-BLOCK = 1 << 23
+#: Mining takes some sixteen bytes a word. Larger shards have a larger local support and fewer candidates.
+BLOCK = 13 << 20
 MOST_WORDS = 5
 #: Places looked at together.
 SLICE = 1 << 18
 #: Classes of keys that are sorted one after the other.
-CLASSES = 4
+CLASSES = 8
 #: Makes one number of a key and a count.
 _MARK = 0x9E3779B1
 #: Languages whose totals are broadcast; more of them meet the texts in a shuffle.
@@ -128,7 +128,7 @@ class _Words:
         row_at = np.cumsum([0] + [x.size for x in columns[4]])
         for i in range(many):
             columns[1][i] = np.searchsorted(vocabulary, columns[0][i]).astype(np.int32)[columns[1][i]]
-            columns[3][i] = columns[3][i] + np.int32(row_at[i])
+            columns[3][i] = (columns[3][i] + np.int32(row_at[i])).astype(np.uint16 if row_at[-1] < 1 << 16 else np.int32)
         return _Shard(vocabulary, *(joined(i) for i in range(1, 6)), columns[6])
 
 
