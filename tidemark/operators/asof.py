@@ -1,9 +1,10 @@
 """As-of joins: each left row with the latest right row published before it.
 
 The join is a union of both sides and one window that carries the last right row forward: one
-shuffle by key, no matter how many right rows a key has. With ``bucket`` the window is cut at
-time buckets, and what earlier buckets leave is carried over a table with one row per key and
-bucket; no key, and no series without a key, has to fit one task then.
+shuffle by key, no matter how many right rows a key has. Keys of more than ``hot_rows`` rows, as
+counted in the same plan, are cut into slices of time that have about so many; with ``bucket`` all
+keys are cut at time buckets. What earlier slices leave is carried over a table with one row per key
+and slice, so that no key, and no series without a key, has to fit one task.
 """
 
 from __future__ import annotations
@@ -12,6 +13,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.clock import instant
+from .quantiles import join_groups
+
+#: Rows of a key, of both sides, above which its window is cut into slices.
+HOT_ROWS = 1_000_000
 
 
 def _carry(left: DataFrame, right: DataFrame, part: list[str], strict: bool) -> DataFrame:
@@ -22,6 +27,16 @@ def _carry(left: DataFrame, right: DataFrame, part: list[str], strict: bool) ->
     return both.withColumn("_r", F.last("_r", ignorenulls=True).over(w)).filter(F.col("_s") == 0)
 
 
+def _sliced(left: DataFrame, right: DataFrame, names: list[str], hot_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with ``_b``, a slice of time, and ``_hot``: keys with more rows have slices of equal length, about ``hot_rows`` rows each."""
+    t = F.unix_micros("_t")
+    sizes = left.select(*names, "_t").unionByName(right.select(*names, "_t")).groupBy(*names).agg(F.count("*").alias("_n"), F.min(t).alias("_lo"), F.max(t).alias("_hi")).filter(F.col("_n") > hot_rows)
+    sizes = sizes.select(*names, "_lo", (F.col("_hi") - F.col("_lo") + 1).alias("_wide"), F.ceil(F.col("_n") / hot_rows).alias("_k"))
+    place = F.least(F.floor((t - F.col("_lo")).cast("double") / F.col("_wide") * F.col("_k")), F.col("_k") - 1)
+    cut = lambda df: join_groups(df, sizes, names, "left").withColumns({"_b": F.coalesce(place, F.lit(0)), "_hot": F.col("_k").isNotNull()}).drop("_lo", "_wide", "_k")
+    return cut(left), cut(right)
+
+
 def asof_join(
     left: DataFrame,
     right: DataFrame,
@@ -33,6 +48,7 @@ def asof_join(
     strict: bool = True,
     tie: list[str] | None = None,
     bucket: str | None = None,
+    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Left as-of join: every left row once, with columns of the latest earlier right row of its key.
 
@@ -41,6 +57,8 @@ def asof_join(
         columns: right columns to add and their new names; all but the keys if None.
         strict: a right row at the very instant of the left one does not count.
         tie: right columns that decide between right rows of one instant (the largest counts).
+        bucket: cuts every key at these times; without it keys of more than ``hot_rows`` rows are cut,
+            which costs a count of both sides' keys, or none if that is None.
 
     Rows with a null key or time match nothing. Left columns keep their names.
     """
@@ -57,22 +75,21 @@ def asof_join(
         some = some & F.col(k).isNotNull()
     r = right.filter(some).select(*keyed, instant(right_time).alias("_t"), order, added.alias("_r"))
     lf = left.select(*keyed, instant(left_time).alias("_t"), kept.alias("_l"))
-    if bucket is None:
+    if bucket is None and hot_rows is None:
         out = _carry(lf, r, names, strict)
     else:
-        part = F.date_trunc(bucket, "_t").alias("_b")
-        r, lf = r.select("*", part), lf.select("*", part)
-        near = _carry(lf, r, [*names, "_b"], strict)
-        # One row per key and bucket: what the bucket leaves to later ones.
-        leaves = r.groupBy(*names, "_b").agg(F.max_by("_r", F.struct("_t", "_o")).alias("_x"))
-        asked = lf.select(*names, "_b").distinct().join(leaves, [*names, "_b"], "full")
+        if bucket is None:
+            lf, r = _sliced(lf, r, names, hot_rows)
+        else:
+            lf, r = (x.withColumns({"_b": F.date_trunc(bucket, "_t"), "_hot": F.lit(True)}) for x in (lf, r))
+        where = [*names, "_b"]
+        near = _carry(lf.drop("_hot"), r.drop("_hot"), where, strict)
+        # One row per key and slice: what the slice leaves to later ones.
+        leaves = r.filter("_hot").groupBy(*where).agg(F.max_by("_r", F.struct("_t", "_o")).alias("_x"))
+        asked = lf.filter("_hot").select(*where).distinct().join(leaves, where, "full")
         w = Window.partitionBy(*names).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-        before = asked.select(*names, "_b", F.last("_x", ignorenulls=True).over(w).alias("_x"))
-        same = [near["_b"].eqNullSafe(before["_b"])] + [near[n].eqNullSafe(before[n]) for n in names]
-        cond = same[0]
-        for s in same[1:]:
-            cond = cond & s
-        out = near.join(before, cond, "left").select(near["_l"], near["_t"], F.coalesce(near["_r"], before["_x"]).alias("_r"))
+        before = asked.select(*where, F.last("_x", ignorenulls=True).over(w).alias("_x"))
+        out = join_groups(near, before, where, "left").select("_l", "_t", F.coalesce("_r", "_x").alias("_r"))
     ok = F.col("_t").isNotNull()
     return out.select("_l.*", *(F.when(ok, F.col("_r")[b]).alias(b) for b in columns.values()))
 
@@ -93,13 +110,13 @@ def too_late(left: DataFrame, right: DataFrame, on: list[str], left_time: Column
 def point_in_time(targets: DataFrame, prices: DataFrame, vintages: dict[str, tuple[DataFrame, dict[str, str]]], *, target: str = "target_time", decision: str = "decision_time", published: str = "published_at") -> DataFrame:
     """One row per target: the price of the target, and of every vintage table the values published strictly before the decision.
 
-    ``vintages`` maps a prefix to its table (unique in target and publication) and the columns to
-    take with their new names; ``<prefix>_published_at`` comes with them.
+    ``vintages`` maps a prefix to its table (unique in target and publication, so a target has few)
+    and the columns to take with their new names; ``<prefix>_published_at`` comes with them.
     """
     out = targets.join(prices, target, "left")
     for prefix, (table, columns) in vintages.items():
         cols = columns | {published: f"{prefix}_published_at"}
-        out = asof_join(out, table, on=[target], left_time=decision, right_time=published, columns=cols)
+        out = asof_join(out, table, on=[target], left_time=decision, right_time=published, columns=cols, hot_rows=None)
     return out
 
 
