@@ -387,3 +387,19 @@ def test_pipeline_stages_follow_one_another(spark, corpus):
     assert {r["doc_id"] for r in docs.collect()} == expected
     assert "4785380592391139" not in docs.filter("doc_id = 9004").first()["text"]
     assert corpus_pipeline.ORACLE_SQL is None and len(corpus_pipeline.STAGES) == 5
+
+
+def test_a_shingle_that_all_items_share_multiplies_nothing(spark):
+    """Items and documents that all hold one passage meet only where they share more; the result is exact."""
+    rnd = random.Random(31)
+    new = lambda n: " ".join(f"q{rnd.randint(0, 10**6)}" for _ in range(n))
+    opening = "answer the following question with"
+    items = [(i, f"{opening} {new(40)}") for i in range(150)]
+    rows = [(i, f"{new(30)} {opening} {items[i][1][len(opening) :] if i % 3 == 0 else new(40)} {new(30)}") for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = decontaminate.contained_items(docs, spark.createDataFrame(items, "item_id long, text string"))
+    sets = {i: shingle_set(t) for i, t in items}
+    want = {(d, i) for d, t in rows for i in sets if 100 * len(sets[i] & shingle_set(t)) >= 75 * len(sets[i])}
+    assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == want == {(i, i) for i in range(0, 150, 3)}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "shingle#" not in plan and "array_intersect" in plan

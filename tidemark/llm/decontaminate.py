@@ -157,9 +157,11 @@ def contained_items(docs: DataFrame, items: DataFrame, *, percent: int = 75) ->
     hits = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(search), "doc_id long, keys array<long>, shingles array<long>")
     hits = ws.write(hits.withColumn("row", F.monotonically_increasing_id()))
     candidates = hits.select("row", F.explode("keys").alias("key")).join(keys, "key").select("row", "item").distinct()
-    shared = hits.select("row", F.explode("shingles").alias("shingle")).join(parts, "shingle").groupBy("row", "item").agg(F.count("*").alias("n_shared"))
-    found = candidates.join(shared, ["row", "item"]).join(marked.select("item", "item_id", F.size("shingles").cast("long").alias("n_item")), "item")
-    found = found.filter(100 * F.col("n_shared") >= percent * F.col("n_item")).join(hits.select("row", "doc_id"), "row")
+    # Only candidates are compared, shingles against shingles: one that many items share multiplies nothing.
+    items_of = marked.select("item", "item_id", F.col("shingles").alias("asked"), F.size("shingles").cast("long").alias("n_item"))
+    found = candidates.join(items_of, "item").join(hits.select("row", "doc_id", "shingles"), "row")
+    found = found.withColumn("n_shared", F.size(F.array_intersect("shingles", "asked")).cast("long")).drop("shingles", "asked")
+    found = found.filter(100 * F.col("n_shared") >= percent * F.col("n_item"))
     best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct((F.col("n_shared") / F.col("n_item")).alias("c"), "n_shared", "n_item")).alias("b"))
     return best.select("doc_id", "item_id", "b.n_shared", "b.n_item", F.col("b.c").alias("containment"))
 
