@@ -328,6 +328,55 @@ def plain_date(day, key, back=False, late=False):
             return first + dt.timedelta(n)
 
 
+def plain_box(v, key):
+    """The mail box that a pseudonym was made of."""
+    spelt, domain = v.split("@")
+    box = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in spelt)
+    half = max(len(box) // 2, 1)
+    left, right = box[:half], box[half:]
+    for i in range(8)[::-1]:
+        part, other = (right, left) if i % 2 else (left, right)
+        pad = hmac.new(key.encode(), f"email|{i}|{other}|{domain.lower()}|{len(box)}".encode(), hashlib.sha512).hexdigest()
+        out = ""
+        for at, c in enumerate(part):
+            f = int(pad[at % 32 * 4 :][:4], 16)
+            base, n = next(((ord(a), ord(b) - ord(a) + 1) for a, b in ["09", *pseudonyms.ALPHABETS] if a <= c <= b), (ord(c), 1))
+            out += chr(base + (ord(c) - base - f) % n)
+        left, right = (left, out) if i % 2 else (out, right)
+    return "".join(c.upper() if "A" <= s <= "Z" else c for s, c in zip(spelt, left + right)) + "@" + domain
+
+
+def test_pseudonyms_of_the_same_person_are_linked(spark):
+    phones = ["1-743-555-3824", "1 (743) 555-3824", "743-555-3824", "+1 743 555 3824", "1.743.555.3824"]
+    trunk = ["+44 (0)20 7946 0958", "+442079460958", "+44 20 7946 0958"]
+    boxes = ["Ivan.Petrov@example.com", "ivan.petrov@example.com", "IVAN.PETROV@Example.com", "O'Brien@x.com", "ab" + "_" * 40 + "@x.museum", "x@y." + "a" * 40]
+    texts = phones + trunk + boxes
+    rows = pseudonyms.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").orderBy("doc_id").collect()
+    got = [r["text"] for r in rows]
+    assert all(r["n_found"] == r["n_replaced"] == 1 for r in rows) and all(a != b for a, b in zip(texts, got))
+    assert len({re.sub(r"\D", "", t)[-10:] for t in got[:5]}) == 1 and all(t.startswith(("1", "7", "+1")) or t[:3].isdigit() for t in got[:5])
+    assert got[0][:2] == "1-" and got[5].startswith("+44 (0)") and len({re.sub(r"\D", "", t.replace("(0)", ""))[2:] for t in got[5:8]}) == 1
+    ivan = got[8].split("@")[0]
+    assert [t.split("@")[0] for t in got[9:11]] == [ivan.lower(), ivan.upper()] and ivan[0].isupper() and ivan[5].isupper() and ivan.lower() != "ivan.petrov"
+    assert re.fullmatch(r"[A-Z]'[A-Z][a-z]{4}@x\.com", got[11])
+
+
+def test_without_a_key_the_session_draws_one(spark):
+    before = spark.conf.get("spark.tidemark.pseudonym.key", None)
+    try:
+        spark.conf.unset("spark.tidemark.pseudonym.key")
+        key = pseudonyms.secret(spark)
+        assert len(key) == 64 and pseudonyms.secret(spark) == key
+        spark.conf.unset("spark.tidemark.pseudonym.key")
+        assert pseudonyms.secret(spark) != key
+        spark.conf.set("spark.tidemark.pseudonym.key", "own")
+        assert pseudonyms.secret(spark) == "own"
+    finally:
+        spark.conf.unset("spark.tidemark.pseudonym.key")
+        if before:
+            spark.conf.set("spark.tidemark.pseudonym.key", before)
+
+
 def test_pseudonyms_equal_plain_python_and_can_be_inverted(spark):
     key, rnd = "a longer secret " * 9, random.Random(3)
     digits = lambda n: "".join(rnd.choice("0123456789") for _ in range(n))
@@ -348,6 +397,16 @@ def test_pseudonyms_equal_plain_python_and_can_be_inverted(spark):
         late = dt.date(rnd.randint(1900, 2099), rnd.randint(1, 12), rnd.randint(13, 28))
         texts.append(f"{late.month}/{late.day}/{late.year}")
         undo.append((lambda v: plain_date(dt.datetime.strptime(v, "%m/%d/%Y").date(), key, True, True), late))
+        ip = ".".join(str(rnd.randint(0, 255)) for _ in range(4))
+        texts.append(ip)
+        undo.append((lambda v: ".".join(map(str, plain_feistel(int.from_bytes(bytes(map(int, v.split(".")))), 65536, 65536, key, "ip", True).to_bytes(4))), ip))
+        national = digits(9)
+        texts.append(f"{national[:3]}-{national[3:5]}-{national[5:]}")
+        undo.append((lambda v: plain_digits(v.replace("-", ""), key, "national", True), national))
+        box = "".join(rnd.choice("abcXYZ019.'_-+é") for _ in range(rnd.randint(0, 40))) + rnd.choice("aZ7")
+        box = box.lstrip(".'_-+") if rnd.random() < 0.5 else "q" + box
+        texts.append(f"{box}@Mail.example.com")
+        undo.append((lambda v: plain_box(v, key), f"{box}@Mail.example.com"))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = [r["text"] for r in pseudonyms.pseudonymise(df, key).orderBy("doc_id").collect()]
     for text_, new, (f, want) in zip(texts, got, undo):

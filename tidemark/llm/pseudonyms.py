@@ -11,8 +11,9 @@ Formats and their domains:
 - card: 13 to 19 digits, alone or in groups joined by single spaces or hyphens, valid under the
   Luhn check. All digits but the last are permuted, the last is the new check digit.
 - phone: 7 to 15 digits after a plus sign, or ten digits as ``(ddd) ddd-dddd`` or ``ddd-ddd-dddd``
-  (also with dots), which are numbers of country code 1. The digits after the country code are
-  permuted, by one permutation a code and length, whatever stands between them.
+  (also with dots, and with ``1`` in front), which are numbers of country code 1. The digits after
+  the country code are permuted, by one permutation a code and length, whatever stands between them;
+  a trunk zero in brackets after the code stays and is no digit of the number.
 - national id (ddd-dd-dddd): all digits.
 - ip: four numbers of 0 to 255; the 32 bits are permuted.
 - date: year-month-day, also with slashes; day/month/year, also with dots and of one digit; and
@@ -28,6 +29,8 @@ Not covered: names, postal addresses, IBAN, IPv6, dates with names of months.
 from __future__ import annotations
 
 import hashlib
+import secrets
+from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,21 +38,22 @@ from pyspark.sql import functions as F
 from .common import DOC_COLUMNS, free_name, read_documents
 
 ROUNDS = 8
+_KEY = "spark.tidemark.pseudonym.key"
 MARK = "\u0001"
 
 # Formats, the most specific first.
-_EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++(?<=[\p{L}\p{N}][._%+-]{0,8})@[\p{L}\p{N}][\p{L}\p{N}.-]*\.\p{L}{2,24}(?![\p{L}\p{N}])"
+_EMAIL = r"(?<![\p{L}\p{N}._%+'-])[\p{L}\p{N}._%+'-]++(?<=[\p{L}\p{N}][._%+'-]{0,64})@[\p{L}\p{N}][\p{L}\p{N}.-]*\.\p{L}{2,63}(?![\p{L}\p{N}])"
 _IP = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)"
 _DATE = r"(?<![\d/.-])(?:(?:19|20)\d\d-[01]\d-[0-3]\d|(?:19|20)\d\d/[01]\d/[0-3]\d|[0-3]?\d/[0-3]?\d/(?:19|20)\d\d|[0-3]?\d\.[01]?\d\.(?:19|20)\d\d)(?![\d/-]|\.\d)"
 _NATIONAL = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 _CARD = r"(?<!\d)(?<!\d\.)(?:\d{4}(?:[ -]\d{4}){2}[ -]\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5}|\d{13,19})(?!\d)"
-_PHONE = r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<!\d)\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<!\d)(?<!\d[.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])"
+_PHONE = r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<!\d)(?<!\d[.-])(?:1[ .-]?)?\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<!\d)(?<!\d[.-])(?:1[ .-])?\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])"
 _ANY = "|".join([_EMAIL, _IP, _DATE, _NATIONAL, _CARD, _PHONE])
 # Country calling codes of one and two digits; all others have three.
 _COUNTRY = r"^(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 # First and last letter of the alphabets of mail boxes.
 ALPHABETS = [
-    "az", "AZ", "àö", "øÿ", "ÀÖ", "ØÞ", "Āſ", "ΑΡ", "ΣΩ", "αω", "ая", "АЯ", "ѐџ", "ЀЏ", "ԱՖ", "աֆ", "את", "ءغ",
+    "az", "àö", "øÿ", "ÀÖ", "ØÞ", "Āſ", "ΑΡ", "ΣΩ", "αω", "ая", "АЯ", "ѐџ", "ЀЏ", "ԱՖ", "աֆ", "את", "ءغ",
     "في", "अह", "กะ", "აჰ", "ぁゖ", "ァヺ", "一鿿", "가힣",
 ]
 #: Days of 1900-01-01 to 2099-12-31; the halves' product, 73051, exceeds them by two.
@@ -130,7 +134,8 @@ def _phone(v: Column, key: str) -> Column:
     digits = F.regexp_replace(v, "[^0-9]", "")
     abroad = v.startswith("+")
     code = F.when(abroad, F.regexp_extract(digits, _COUNTRY, 1)).otherwise("1")
-    written = F.when(abroad, code).otherwise("")
+    trunk = abroad & v.rlike(r"^\+\d{1,3}[ .-]?\(0\)") & F.substring(digits, F.length(code) + 1, F.lit(1)).eqNullSafe(F.lit("0"))
+    written = F.when(trunk, F.concat(code, F.lit("0"))).when(abroad | (F.length(digits) == 11), code).otherwise("")
     rest = F.substring(digits, F.length(written) + 1, F.length(digits))
     new = F.concat(written, _permute_digits(rest, key, F.concat(F.lit("phone"), code, F.lit("/"))))
     return F.when(F.length(digits).between(7, 15) & (F.length(rest) > 3), _refill(v, new))
@@ -174,8 +179,9 @@ def _date(v: Column, key: str) -> Column:
 def _email(v: Column, key: str) -> Column:
     """The mail box, letter by letter: each step's shift depends on the whole of the other half."""
     whole, domain = F.substring_index(v, "@", 1), F.substring_index(v, "@", -1)
-    lead = F.regexp_extract(whole, r"^[._%+-]*", 0)
-    box = F.substring(whole, F.length(lead) + 1, F.length(whole))
+    lead = F.regexp_extract(whole, r"^[._%+'-]*", 0)
+    spelt = F.substring(whole, F.length(lead) + 1, F.length(whole))
+    box = F.translate(spelt, ascii_uppercase, ascii_lowercase)
     n = F.length(box)
     half = F.greatest(F.floor(n / 2), F.lit(1)).cast("int")
     start = F.struct(F.substring(box, F.lit(1), half).alias("l"), F.substring(box, half + 1, n).alias("r"))
@@ -192,7 +198,7 @@ def _email(v: Column, key: str) -> Column:
             own = F.get(F.filter(alphabets, lambda x: (code >= x["a"]) & (code < x["a"] + x["n"])), F.lit(0))
             far = own["a"] + F.pmod(code - own["a"] + f, own["n"])
             far = F.decode(F.unhex(F.lpad(F.hex(far), 4, "0")), "UTF-16BE")
-            plain = F.when(c.rlike("^[a-z]$"), shifted(97, 26)).when(c.rlike("^[0-9]$"), shifted(48, 10)).when(c.rlike("^[A-Z]$"), shifted(65, 26))
+            plain = F.when(c.rlike("^[a-z]$"), shifted(97, 26)).when(c.rlike("^[0-9]$"), shifted(48, 10))
             return plain.when(code > 127, F.coalesce(far, c)).otherwise(c)
 
         return F.array_join(F.transform(cells, cell), "")
@@ -201,7 +207,10 @@ def _email(v: Column, key: str) -> Column:
         even = i % 2 == 0
         return F.struct(F.when(even, moved(s["l"], s["r"], i)).otherwise(s["l"]).alias("l"), F.when(even, s["r"]).otherwise(moved(s["r"], s["l"], i)).alias("r"))
 
-    return F.aggregate(F.array(*(F.lit(i) for i in range(ROUNDS))), start, step, lambda s: F.concat(lead, s["l"], s["r"], F.lit("@"), domain))
+    new = F.aggregate(F.array(*(F.lit(i) for i in range(ROUNDS))), start, step, lambda s: F.concat(s["l"], s["r"]))
+    cells = lambda x: F.split(x, "(?!^)(?!$)")
+    cased = F.array_join(F.zip_with(cells(spelt), cells(new), lambda old, c: F.when(old.rlike("^[A-Z]$"), F.upper(c)).otherwise(c)), "")
+    return F.concat(lead, cased, F.lit("@"), domain)
 
 
 def pseudonym(v: Column, key: str) -> Column:
@@ -250,8 +259,13 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
 
 
 def secret(spark: SparkSession) -> str:
-    """The key of the registered queries, ``spark.tidemark.pseudonym.key``; without one, a key for trials."""
-    return spark.conf.get("spark.tidemark.pseudonym.key", "for trials only")
+    """The key of the registered queries, ``spark.tidemark.pseudonym.key``; where it is unset, a random one that the
+    session keeps: its pseudonyms are linked within the session, and nobody can invert them afterwards."""
+    key = spark.conf.get(_KEY, "")
+    if not key:
+        key = secrets.token_hex(32)
+        spark.conf.set(_KEY, key)
+    return key
 
 
 def op10_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
