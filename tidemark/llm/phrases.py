@@ -52,10 +52,10 @@ _JOIN = _U(0xC2B2AE3D27D4EB4F)
 
 
 class _Shard:
-    """Words of whole texts by their number among the shard's distinct words; words left in the piece, and row."""
+    """Words of whole texts by their number among the shard's distinct words; words left in the piece, and language."""
 
-    def __init__(self, vocabulary, ids, left, rows, salts, totals, texts):
-        self.vocabulary, self.ids, self.left, self.rows, self.salts, self.totals, self.texts = vocabulary, ids, left, rows, salts, totals, texts
+    def __init__(self, vocabulary, ids, left, lang, salts, totals, texts):
+        self.vocabulary, self.ids, self.left, self.lang, self.salts, self.totals, self.texts = vocabulary, ids, left, lang, salts, totals, texts
 
     def keys(self, at: np.ndarray, k: int) -> np.ndarray:
         """Hashes of the phrases of k words at some places, with their language's salt."""
@@ -64,23 +64,21 @@ class _Shard:
             h *= _JOIN
             h += self.vocabulary[self.ids[at + j]]
         h += _U(k)
-        h ^= self.salts.view(_U)[self.rows[at]]
+        h ^= self.salts.view(_U)[self.lang[at]]
         return mix64(h)
 
-    def needs(self, support: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The languages' salts, their local supports, and each row's: the share of the support that its
-        language's words of the shard are of all, rounded up."""
-        salts, at, lang = np.unique(self.salts, return_index=True, return_inverse=True)
-        have = np.bincount(lang, weights=np.bincount(self.rows, minlength=self.salts.size), minlength=at.size)
-        need = np.array([max(-(-support * int(w) // max(int(t), 1)), 1) for w, t in zip(have, self.totals[at])], np.int64)
-        return salts, need, need[lang]
+    def needs(self, support: int) -> np.ndarray:
+        """Each language's local support: the share of the support that its words of the shard are of all, rounded up."""
+        have = np.bincount(self.lang, minlength=self.salts.size)
+        return np.array([max(-(-support * int(w) // max(int(t), 1)), 1) for w, t in zip(have, self.totals)], np.int64)
 
     def spell(self, at: np.ndarray, k: int) -> list[str]:
         """The phrases at ascending places, words lower-cased and joined by a space."""
         out: list[str] = []
-        first = np.cumsum([0] + [n for n, _, _ in self.texts])
+        first = np.cumsum([0] + [t[0] for t in self.texts])
         for i in np.unique(np.searchsorted(first, at, side="right") - 1):
-            _, buf, offs = self.texts[i]
+            _, size, packed, offs = self.texts[i]
+            buf = np.frombuffer(pa.decompress(packed, size, "lz4"), np.uint8)
             w = words(buf, offs, BREAKS)
             data = LOWER[buf].tobytes()
             mine = at[np.searchsorted(at, first[i]) : np.searchsorted(at, first[i + 1])] - first[i]
@@ -108,8 +106,7 @@ class _Words:
         for k in range(2, MOST_WORDS + 1):
             left[: max(n - k + 1, 0)][~_any(last, k - 1)[: max(n - k + 1, 0)]] = k
         distinct, ids = np.unique(w.hashes(), return_inverse=True)
-        rows = np.repeat(np.arange(salts.size, dtype=np.int32), w.counts)
-        self.parts.append((distinct, ids.astype(np.int32), left, rows, salts, totals, (n, buf.copy(), offs) if self.spelt else None))
+        self.parts.append((distinct, ids.astype(np.int32), left, w.counts, salts, totals, (n, buf.size, pa.compress(buf, "lz4"), offs) if self.spelt else None))
         self.n += n
 
     def take(self, least: int) -> _Shard | None:
@@ -124,12 +121,16 @@ class _Words:
         del self.parts[:many]
         self.n -= n
         vocabulary = np.unique(np.concatenate(columns[0]))
-        joined = lambda i: np.concatenate([columns[i].pop(0) for _ in range(many)])
-        row_at = np.cumsum([0] + [x.size for x in columns[4]])
-        for i in range(many):
-            columns[1][i] = np.searchsorted(vocabulary, columns[0][i]).astype(np.int32)[columns[1][i]]
-            columns[3][i] = (columns[3][i] + np.int32(row_at[i])).astype(np.uint16 if row_at[-1] < 1 << 16 else np.int32)
-        return _Shard(vocabulary, *(joined(i) for i in range(1, 6)), columns[6])
+        ids = np.empty(n, np.int32)
+        at = 0
+        for distinct in columns[0]:
+            own = columns[1].pop(0)
+            ids[at : at + own.size] = np.searchsorted(vocabulary, distinct).astype(np.int32)[own]
+            at += own.size
+        left = np.concatenate(columns[2])
+        salts, first, lang = np.unique(np.concatenate(columns[4]), return_index=True, return_inverse=True)
+        lang = lang.astype(np.uint8 if salts.size <= 256 else np.int32)
+        return _Shard(vocabulary, ids, left, np.repeat(lang, np.concatenate(columns[3])), salts, np.concatenate(columns[5])[first], columns[6])
 
 
 def _any(flags: np.ndarray, k: int) -> np.ndarray:
@@ -140,40 +141,43 @@ def _any(flags: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
+def _places(mask: np.ndarray) -> Iterator[np.ndarray]:
+    """The marked places, a slice after the other."""
+    for lo in range(0, mask.size, SLICE):
+        at = np.flatnonzero(mask[lo : lo + SLICE])
+        if at.size:
+            yield at + lo
+
+
 def _levels(shard: _Shard, keep) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """(k, keys, counts, first places) of the kept phrases of k words, level by level.
 
-    ``keep(key_of, places)`` returns the distinct kept keys of the phrases at the places, as (keys,
-    counts, first places, kept places); ``key_of`` gives the keys of some places.
+    ``keep(key_of, mask)`` returns the distinct kept keys of the phrases at the marked places, as
+    (keys, counts, first places, mask of the kept places); ``key_of`` gives the keys of some places.
     """
-    n = shard.ids.size
-    at = np.arange(n, dtype=np.int32 if n < 1 << 31 else np.int64)
+    mask = np.ones(shard.ids.size, bool)
     for k in range(1, MOST_WORDS + 1):
         if k > 1:
-            flags = np.zeros(n + 1, bool)
-            flags[at] = True
-            at = at[flags[at + 1] & (shard.left[at] >= k)]
-            del flags
-        if not at.size:
+            mask[:-1] &= mask[1:]
+            mask &= shard.left >= k
+        keys, counts, first, mask = keep(lambda at, k=k: shard.keys(at, k), mask)
+        if not keys.size:
             return
-        keys, counts, first, at = keep(lambda x, k=k: shard.keys(x, k), at)
-        at.sort()
         yield k, keys, counts, first
 
 
-def _frequent(need: np.ndarray, rows: np.ndarray):
-    """Keeps phrases with their local support; keys are made and sorted one class at a time."""
+def _frequent(need: np.ndarray, lang: np.ndarray):
+    """Keeps phrases with their language's local support; keys are made and sorted one class at a time."""
 
-    def keep(key_of, at: np.ndarray):
-        out = []
+    def keep(key_of, mask: np.ndarray):
+        out, kept = [], np.zeros(mask.size, bool)
         for c in range(CLASSES):
-            keys, places = [np.zeros(0, _U)], [at[:0]]
-            for lo in range(0, at.size, SLICE):
-                x = at[lo : lo + SLICE]
-                key = key_of(x)
+            keys, places = [np.zeros(0, _U)], [np.zeros(0, np.int32)]
+            for at in _places(mask):
+                key = key_of(at)
                 mine = (key >> _U(32)) % _U(CLASSES) == c
                 keys.append(key[mine])
-                places.append(x[mine])
+                places.append(at[mine].astype(np.int32 if mask.size < 1 << 31 else np.int64))
             own, mine = np.concatenate(keys), np.concatenate(places)
             del keys, places
             order = np.argsort(own)
@@ -181,26 +185,37 @@ def _frequent(need: np.ndarray, rows: np.ndarray):
             del order
             starts = np.flatnonzero(np.concatenate([np.ones(min(own.size, 1), bool), own[1:] != own[:-1]]))
             counts = np.diff(np.concatenate([starts, [own.size]]))
-            good = counts >= need[rows[mine[starts]]]
-            out.append((own[starts[good]], counts[good], mine[starts[good]], mine[np.repeat(good, counts)]))
-        return tuple(np.concatenate(x) for x in zip(*out))
+            good = counts >= need[lang[mine[starts]]]
+            kept[mine[np.repeat(good, counts)]] = True
+            out.append((own[starts[good]], counts[good], mine[starts[good]]))
+        return *(np.concatenate(x) for x in zip(*out)), kept
 
     return keep
 
 
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Keys and counts of all parts as one part."""
+    keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    counts = np.zeros(keys.size, np.int64)
+    np.add.at(counts, at, np.concatenate([n for _, n in parts]))
+    return [(keys, counts)]
+
+
 def _hits(bits: np.ndarray, log_bits: int):
-    """Keeps phrases whose bit is set."""
+    """Keeps phrases whose bit is set; counted slice by slice, so that memory follows the distinct ones."""
 
-    def keep(key_of, at: np.ndarray):
-        keys, places = [np.zeros(0, _U)], [at[:0]]
-        for lo in range(0, at.size, SLICE):
-            x = at[lo : lo + SLICE]
-            key = key_of(x)
+    def keep(key_of, mask: np.ndarray):
+        parts, held, kept = [(np.zeros(0, _U), np.zeros(0, np.int64))], 0, np.zeros(mask.size, bool)
+        for at in _places(mask):
+            key = key_of(at)
             hit = in_bitmap(bits, key, log_bits)
-            keys.append(key[hit])
-            places.append(x[hit])
-        distinct, counts = np.unique(np.concatenate(keys), return_counts=True)
-        return distinct, counts, at[:0], np.concatenate(places)
+            kept[at[hit]] = True
+            parts.append(np.unique(key[hit], return_counts=True))
+            held += parts[-1][0].size
+            if held > 2 * parts[0][0].size + 4 * SLICE:
+                parts, held = _summed(parts), 0
+        ((keys, counts),) = _summed(parts)
+        return keys, counts, np.zeros(0, np.int64), kept
 
     return keep
 
@@ -228,12 +243,12 @@ def _mine(support: int, block: int):
 
     def use(shard: _Shard) -> Iterator[pa.RecordBatch]:
         names = ["key", "n", "need", "salt"]
-        salts, by_lang, need = shard.needs(support)
-        none = pa.nulls(salts.size, pa.int64())
-        yield pa.RecordBatch.from_arrays([none, pa.array(by_lang - 1), none, pa.array(salts)], names=names)
-        for _, keys, counts, first in _levels(shard, _frequent(need, shard.rows)):
-            rows = shard.rows[first]
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts.astype(np.int64)), pa.array(need[rows]), pa.array(shard.salts[rows])], names=names)
+        need = shard.needs(support)
+        none = pa.nulls(need.size, pa.int64())
+        yield pa.RecordBatch.from_arrays([none, pa.array(need - 1), none, pa.array(shard.salts)], names=names)
+        for _, keys, counts, first in _levels(shard, _frequent(need, shard.lang)):
+            lang = shard.lang[first]
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts.astype(np.int64)), pa.array(need[lang]), pa.array(shard.salts[lang])], names=names)
 
     return _shards(False, block, use)
 
@@ -250,13 +265,12 @@ def _spell(bits: np.ndarray, log_bits: int, support: int, block: int, most: bool
     """Words of phrases that are frequent in the shard and whose bit is set: that of the key with its count, or of the key alone."""
 
     def use(shard: _Shard) -> Iterator[pa.RecordBatch]:
-        _, _, need = shard.needs(support)
-        for k, keys, counts, first in _levels(shard, _frequent(need, shard.rows)):
+        for k, keys, counts, first in _levels(shard, _frequent(shard.needs(support), shard.lang)):
             marks = (keys.view(np.int64) ^ (counts * _MARK)).view(_U) if most else keys
             hit = np.flatnonzero(in_bitmap(bits, marks, log_bits))
             hit = hit[np.argsort(first[hit])]
             at = first[hit]
-            salts = shard.salts[shard.rows[at]]
+            salts = shard.salts[shard.lang[at]]
             yield pa.RecordBatch.from_arrays([pa.array(keys[hit].view(np.int64)), pa.array(salts), pa.array(np.full(at.size, k, np.int32)), pa.array(shard.spell(at, k), pa.string())], names=["key", "salt", "k", "phrase"])
 
     return _shards(True, block, use)
