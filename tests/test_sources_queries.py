@@ -84,6 +84,29 @@ def test_changed_files_disagree_with_their_manifest(spark, tmp_path):
     assert {r["month"]: r["agrees"] for r in months.verify_months(spark, path).collect()} == {"2024-01": True, "2024-02": False}
 
 
+def scanned_rows(df):
+    """Rows that the scan of a plan without a shuffle read from its files."""
+    df.collect()
+    leaves = df._jdf.queryExecution().executedPlan().collectLeaves()
+    return sum(leaves.apply(i).metrics().apply("numOutputRows").value() for i in range(leaves.size()))
+
+
+def test_a_clustered_table_is_read_in_part(spark, tmp_path):
+    path = str(tmp_path / "clustered")
+    df = spark.range(64_000).select(((F.col("id") * 7919) % 64_000).alias("x")).withColumn("t", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("x") * 60))
+    tables.write_clustered(df, path, "t", ["x"], files=16, most_rows=3000)
+    back = spark.read.parquet(path)
+    assert back.exceptAll(df).count() == 0 and back.count() == 64_000
+    sizes = back.groupBy(F.col("_metadata.file_path").alias("f")).agg(F.count("*").alias("n"), F.min("t").alias("a"), F.max("t").alias("b")).orderBy("a").collect()
+    assert len(sizes) > 16 and max(r["n"] for r in sizes) <= 3000
+    assert all(a["b"] < b["a"] for a, b in zip(sizes, sizes[1:]))  # no two files share a time
+    part = back.filter(F.col("t").between(sizes[5]["a"], sizes[5]["b"]))
+    assert part.count() == sizes[5]["n"] and scanned_rows(part.select("x")) <= 3 * 3000
+    shuffled = str(tmp_path / "plain")
+    df.repartition(16).write.parquet(shuffled)
+    assert scanned_rows(spark.read.parquet(shuffled).filter(F.col("t").between(sizes[5]["a"], sizes[5]["b"])).select("x")) > 30_000
+
+
 def test_many_files_and_reports(spark, tmp_path):
     for name, x in (("a_2023", 1), ("b_2024", 2), ("c_2024_draft", 3)):
         spark.createDataFrame([(x,)], "x int").coalesce(1).write.parquet(str(tmp_path / name))

@@ -56,3 +56,14 @@ def read_many(spark: SparkSession, glob: str, exclude: list[str] | None = None)
 def write_report(report: DataFrame, path: str) -> None:
     """A quality report as JSON lines."""
     report.coalesce(1).write.mode("overwrite").json(path)
+
+
+def write_clustered(df: DataFrame, path: str, time: str, by: list[str] | None = None, *, files: int | None = None, most_rows: int = 5_000_000) -> None:
+    """Writes a table in the order of ``time`` (then ``by``): files of a range of times each, sorted, of at most ``most_rows`` rows.
+
+    The least and greatest time of each file and row group are those of its range, so that readers
+    with a restriction in time skip the others. ``files`` is the number of ranges; as many as the
+    session's shuffles have if None.
+    """
+    ranged = df.repartitionByRange(files, time) if files else df.repartitionByRange(time)
+    ranged.sortWithinPartitions(time, *(by or [])).write.mode("overwrite").option("maxRecordsPerFile", most_rows).parquet(path)
