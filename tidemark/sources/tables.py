@@ -63,7 +63,15 @@ def write_clustered(df: DataFrame, path: str, time: str, by: list[str] | None =
 
     The least and greatest time of each file and row group are those of its range, so that readers
     with a restriction in time skip the others. ``files`` is the number of ranges; as many as the
-    session's shuffles have if None.
+    session's shuffles have if None. Instants are written as microseconds, since Parquet keeps no
+    bounds for Spark's default form of them.
     """
+    spark = df.sparkSession
+    kind = "spark.sql.parquet.outputTimestampType"
+    before = spark.conf.get(kind)
     ranged = df.repartitionByRange(files, time) if files else df.repartitionByRange(time)
-    ranged.sortWithinPartitions(time, *(by or [])).write.mode("overwrite").option("maxRecordsPerFile", most_rows).parquet(path)
+    spark.conf.set(kind, "TIMESTAMP_MICROS")
+    try:
+        ranged.sortWithinPartitions(time, *(by or [])).write.mode("overwrite").option("maxRecordsPerFile", most_rows).parquet(path)
+    finally:
+        spark.conf.set(kind, before)
