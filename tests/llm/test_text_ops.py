@@ -131,8 +131,27 @@ def test_language_equals_brute_force(spark):
     for i, (best, score) in enumerate(brute_language(texts, asked)):
         r = got[1000 + i]
         assert abs(r["score"] - score) < 2e-3 and (r["lang_pred"] == best or score < 0.502)
-    with pytest.raises(ValueError):
-        language.identify_language(df, F.lit(False), max_cells=256)
+    blocks = {r["doc_id"]: r for r in language.identify_language(df, F.col("doc_id") >= 1000, max_cells=256).collect()}
+    assert all((blocks[i]["lang_pred"], pytest.approx(blocks[i]["score"], abs=1e-4)) == (r["lang_pred"], r["score"]) for i, r in got.items())
+
+
+def test_many_languages_keep_their_buckets(spark):
+    """Languages beyond one matrix, in blocks: predictions and probabilities are those of one Bayes over all."""
+    rnd = random.Random(12)
+    letters = [chr(c) for c in range(0x3B1, 0x3C0)]
+    own = {f"l{i:03}": rnd.choices(letters, k=4) for i in range(70)}
+    texts = [("".join(rnd.choice(own[k]) for _ in range(rnd.randint(2, 12))), k) for k in own for _ in range(rnd.randint(1, 4))]
+    asked = ["".join(rnd.choice(own[k]) for _ in range(6)) for k in list(own)[::9]] + ["".join(letters) * 50, "12", ""]
+    rows = [(i, t, k) for i, (t, k) in enumerate(texts)] + [(1000 + i, t, None) for i, t in enumerate(asked)] + [(2000, None, None)] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language.identify_language(df, F.col("doc_id") >= 1000, max_cells=1 << 21).collect()
+    assert len(got) == len(rows) and [r["lang_pred"] for r in got if r["doc_id"] == 2000] == ["und"] * 2
+    by = {r["doc_id"]: r for r in got}
+    for i, (best, score) in enumerate(brute_language(texts, asked)):
+        if asked[i].strip("12"):
+            r = by[1000 + i]
+            assert abs(r["score"] - score) < 2e-3 and (r["lang_pred"] == best or score < 0.6)
+    assert by[1000 + len(asked) - 2]["lang_pred"] == "und" == by[1000 + len(asked) - 1]["lang_pred"]
 
 
 def test_language_of_held_out_documents(spark):
