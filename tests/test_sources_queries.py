@@ -19,6 +19,12 @@ def test_views_and_required(spark):
         tables.register_views(spark, DATA, ["nothing"], ["nothing"])
 
 
+def test_a_table_that_cannot_be_read_is_no_absent_one(spark, tmp_path):
+    (tmp_path / "broken.parquet").mkdir()
+    with pytest.raises(Exception, match="UNABLE_TO_INFER_SCHEMA"):
+        tables.register_views(spark, str(tmp_path), ["broken", "nothing"])
+
+
 def feed(spark, *rows):
     return spark.createDataFrame([(dt.datetime.fromisoformat(t), x) for t, x in rows], "t timestamp, x int")
 

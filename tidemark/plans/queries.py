@@ -121,7 +121,7 @@ def labels_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 def decision_times(spark: SparkSession, d: str) -> DataFrame:
     """The eve's 11:00 London time of each order date."""
     days = orders(spark, d).select(F.to_date("o_orderdate").alias("settlement_date")).distinct()
-    return clock.decision_table(days).select("settlement_date", clock.plain("decision_time").alias("decision_time"))
+    return clock.assert_decided_before(clock.decision_table(days)).select("settlement_date", clock.plain("decision_time").alias("decision_time"))
 
 
 def calendar_keys(spark: SparkSession, d: str) -> DataFrame:

@@ -16,12 +16,14 @@ def read_table(spark: SparkSession, base: str, name: str) -> DataFrame:
 
 
 def register_views(spark: SparkSession, base: str, names: list[str], required: list[str] | None = None) -> list[str]:
-    """A view for every table that exists; a required one that does not is an error."""
+    """A view for every table that exists; a required one that does not is an error, and so is one that cannot be read."""
     found = []
     for name in names:
         try:
             read_table(spark, base, name).createOrReplaceTempView(name)
-        except AnalysisException:
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
             continue
         found.append(name)
     if missing := sorted(set(required or []) - set(found)):
