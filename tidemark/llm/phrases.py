@@ -39,7 +39,7 @@ MOST_WORDS = 5
 #: Places looked at together.
 SLICE = 1 << 18
 #: Classes of keys that are sorted one after the other.
-CLASSES = 8
+CLASSES = 16
 #: Makes one number of a key and a count.
 _MARK = 0x9E3779B1
 #: Languages whose totals are broadcast; more of them meet the texts in a shuffle.
@@ -106,7 +106,7 @@ class _Words:
         for k in range(2, MOST_WORDS + 1):
             left[: max(n - k + 1, 0)][~_any(last, k - 1)[: max(n - k + 1, 0)]] = k
         distinct, ids = np.unique(w.hashes(), return_inverse=True)
-        self.parts.append((distinct, ids.astype(np.int32), left, w.counts, salts, totals, (n, buf.size, pa.compress(buf, "lz4"), offs) if self.spelt else None))
+        self.parts.append((distinct, ids.astype(np.uint16 if distinct.size <= 1 << 16 else np.int32), left, w.counts, salts, totals, (n, buf.size, pa.compress(buf, "lz4"), offs) if self.spelt else None))
         self.n += n
 
     def take(self, least: int) -> _Shard | None:
@@ -193,29 +193,30 @@ def _frequent(need: np.ndarray, lang: np.ndarray):
     return keep
 
 
-def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Keys and counts of all parts as one part."""
-    keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+def _summed(parts: list[tuple[np.ndarray, ...]]) -> list[tuple[np.ndarray, ...]]:
+    """Keys, counts and first places of all parts as one part."""
+    keys, first, at = np.unique(np.concatenate([p[0] for p in parts]), return_index=True, return_inverse=True)
     counts = np.zeros(keys.size, np.int64)
-    np.add.at(counts, at, np.concatenate([n for _, n in parts]))
-    return [(keys, counts)]
+    np.add.at(counts, at, np.concatenate([p[1] for p in parts]))
+    return [(keys, counts, np.concatenate([p[2] for p in parts])[first])]
 
 
 def _hits(bits: np.ndarray, log_bits: int):
     """Keeps phrases whose bit is set; counted slice by slice, so that memory follows the distinct ones."""
 
     def keep(key_of, mask: np.ndarray):
-        parts, held, kept = [(np.zeros(0, _U), np.zeros(0, np.int64))], 0, np.zeros(mask.size, bool)
+        parts, held, kept = [(np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, np.int64))], 0, np.zeros(mask.size, bool)
         for at in _places(mask):
             key = key_of(at)
             hit = in_bitmap(bits, key, log_bits)
-            kept[at[hit]] = True
-            parts.append(np.unique(key[hit], return_counts=True))
-            held += parts[-1][0].size
+            at = at[hit]
+            kept[at] = True
+            keys, first, counts = np.unique(key[hit], return_index=True, return_counts=True)
+            parts.append((keys, counts, at[first]))
+            held += keys.size
             if held > 2 * parts[0][0].size + 4 * SLICE:
                 parts, held = _summed(parts), 0
-        ((keys, counts),) = _summed(parts)
-        return keys, counts, np.zeros(0, np.int64), kept
+        return *_summed(parts)[0], kept
 
     return keep
 
@@ -261,17 +262,17 @@ def _count(bits: np.ndarray, log_bits: int, block: int):
     return _shards(False, block, use)
 
 
-def _spell(bits: np.ndarray, log_bits: int, support: int, block: int, most: bool):
-    """Words of phrases that are frequent in the shard and whose bit is set: that of the key with its count, or of the key alone."""
+def _spell(bits: np.ndarray, log_bits: int, marks: np.ndarray | None, log_marks: int, block: int):
+    """Words of phrases whose bit is set, from the shards whose count of them is marked, or from all without ``marks``."""
 
     def use(shard: _Shard) -> Iterator[pa.RecordBatch]:
-        for k, keys, counts, first in _levels(shard, _frequent(shard.needs(support), shard.lang)):
-            marks = (keys.view(np.int64) ^ (counts * _MARK)).view(_U) if most else keys
-            hit = np.flatnonzero(in_bitmap(bits, marks, log_bits))
+        for k, keys, counts, first in _levels(shard, _hits(bits, log_bits)):
+            own = keys.view(np.int64)
+            hit = np.arange(keys.size) if marks is None else np.flatnonzero(in_bitmap(marks, (own ^ (counts * _MARK)).view(_U), log_marks))
             hit = hit[np.argsort(first[hit])]
             at = first[hit]
             salts = shard.salts[shard.lang[at]]
-            yield pa.RecordBatch.from_arrays([pa.array(keys[hit].view(np.int64)), pa.array(salts), pa.array(np.full(at.size, k, np.int32)), pa.array(shard.spell(at, k), pa.string())], names=["key", "salt", "k", "phrase"])
+            yield pa.RecordBatch.from_arrays([pa.array(own[hit]), pa.array(salts), pa.array(np.full(at.size, k, np.int32)), pa.array(shard.spell(at, k), pa.string())], names=["key", "salt", "k", "phrase"])
 
     return _shards(True, block, use)
 
@@ -316,10 +317,13 @@ def frequent_phrases(docs: DataFrame, *, support: int = 100, block: int = BLOCK)
     counts = ws.write(counting.groupBy("key").agg(F.sum("n").alias("a")).filter(F.col("a") >= support).join(candidates, "key"))
     ws.drop(candidates)
 
+    log_bits = bitmap_bits(counts.count())
+    frequent = bitmap(counts, "key", log_bits)
+
     def spelt(keys: DataFrame, most: bool) -> DataFrame:
-        log_bits = bitmap_bits(keys.count())
-        marks = keys.select((F.col("key").bitwiseXOR(F.col("most") * F.lit(_MARK).cast("long")) if most else F.col("key")).alias("key"))
-        spelling = rows.mapInArrow(lean(_spell(bitmap(marks, "key", log_bits), log_bits, support, block, most)), "key long, salt long, k int, phrase string")
+        mark = F.col("key").bitwiseXOR(F.col("most") * F.lit(_MARK).cast("long"))
+        marks = bitmap(keys.select(mark.alias("key")), "key", log_bits) if most else None
+        spelling = rows.mapInArrow(lean(_spell(frequent, log_bits, marks, log_bits, block)), "key long, salt long, k int, phrase string")
         one = spelling.groupBy("key").agg(F.min(F.struct("phrase", "k", "salt")).alias("p"))
         return ws.write(keys.join(one, "key").select("key", "p.*", "a"))
 
@@ -327,7 +331,7 @@ def frequent_phrases(docs: DataFrame, *, support: int = 100, block: int = BLOCK)
     # A task that came out with other shards than when it mined may have missed some.
     left = counts.join(found, "key", "left_anti")
     if not left.isEmpty():
-        found = found.unionByName(spelt(ws.write(left), False))
+        found = found.unionByName(spelt(left, False))
     named = found.join(F.broadcast(totals) if few else totals, "salt")
     return ws.write(named.select("lang", "phrase", F.col("k").cast("long"), "a", "n"))
 
