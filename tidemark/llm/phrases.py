@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace, bitmap, bitmap_bits, in_bitmap, lean, read_documents
+from .common import Workspace, bitmap, bitmap_bits, in_bitmap, lean, read_documents, trim
 from .text import LOWER, chunks, mix64, words
 
 #: Bytes that end a piece, and those between words.
@@ -128,8 +128,10 @@ class _Words:
             ids[at : at + own.size] = np.searchsorted(vocabulary, distinct).astype(np.int32)[own]
             at += own.size
         left = np.concatenate(columns[2])
+        columns[0] = columns[2] = None
         salts, first, lang = np.unique(np.concatenate(columns[4]), return_index=True, return_inverse=True)
         lang = lang.astype(np.uint8 if salts.size <= 256 else np.int32)
+        trim()  # what the chunks took, before mining takes as much again
         return _Shard(vocabulary, ids, left, np.repeat(lang, np.concatenate(columns[3])), salts, np.concatenate(columns[5])[first], columns[6])
 
 
@@ -161,6 +163,7 @@ def _levels(shard: _Shard, keep) -> Iterator[tuple[int, np.ndarray, np.ndarray,
             mask[:-1] &= mask[1:]
             mask &= shard.left >= k
         keys, counts, first, mask = keep(lambda at, k=k: shard.keys(at, k), mask)
+        trim()
         if not keys.size:
             return
         yield k, keys, counts, first
