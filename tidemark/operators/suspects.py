@@ -76,7 +76,7 @@ def block_windows(frame: DataFrame, columns: SuspectColumns, year: int, controls
     part = lambda when: F.avg(F.when(when, F.col("abs_share")))
     out = rows.groupBy("window").agg(
         F.countDistinct(c.date).alias("days"), F.count("*").alias("periods"), F.avg("abs_share").alias("mae"), F.sqrt(F.avg(F.col("error_share") * F.col("error_share"))).alias("rmse"),
-        F.avg("error_share").alias("bias"), F.corr(c.forecast, c.actual).alias("corr"), part(F.col(c.period) <= early).alias("mae_early"), part(F.col(c.period) >= late).alias("mae_late"),
+        F.avg("error_share").alias("bias"), scoring.correlation(c.forecast, c.actual).alias("corr"), part(F.col(c.period) <= early).alias("mae_early"), part(F.col(c.period) >= late).alias("mae_late"),
     )
     return out.withColumn("growth", F.when(F.col("mae_early") > 0, F.col("mae_late") / F.col("mae_early")))
 

@@ -731,7 +731,7 @@ def suspect_block(spark: SparkSession, d: str) -> DataFrame:
 def suspect_block_windows(spark: SparkSession, d: str) -> DataFrame:
     """Errors of the block, of its season in control years, and of the year outside it."""
     w = suspects.block_windows(audited(spark, d), AUDITED, 1996, [1995, 1997])
-    return w.select("window", "days", "periods", *(F.round(c, 6).alias(c) for c in ("mae", "rmse", "bias", "corr", "mae_early", "mae_late", "growth")))
+    return w.select("window", "days", "periods", *((F.round(c, 6) + 0.0).alias(c) for c in ("mae", "rmse", "bias", "corr", "mae_early", "mae_late", "growth")))
 
 
 def suspect_block_ratios(spark: SparkSession, d: str) -> DataFrame:

@@ -278,9 +278,9 @@ aw AS (
 SQL["suspect_block"] = f"""WITH {AUDITED} SELECT count(*) AS rows, count(*) FILTER (day + (period - 1) * INTERVAL 30 MINUTE = {_utc("day")} + (period - 1) * INTERVAL 30 MINUTE AND period <= {_periods("day")}) AS starts_agree,
   count(*) FILTER (forecast IS NULL) AS dropped, any_value(a) AS first_day, any_value(b) AS last_day, any_value(ab.n) AS n_days FROM af, ab"""
 SQL["suspect_block_windows"] = f"""WITH {AUDITED}, x AS (
-  SELECT "window", count(DISTINCT day) AS days, count(*) AS periods, avg(abs(e)) AS mae, sqrt(avg(e * e)) AS rmse, avg(e) AS bias, corr(forecast, actual) AS corr,
+  SELECT "window", count(DISTINCT day) AS days, count(*) AS periods, avg(abs(e)) AS mae, sqrt(avg(e * e)) AS rmse, avg(e) AS bias, CASE WHEN stddev_pop(forecast) > 0 AND stddev_pop(actual) > 0 THEN corr(forecast, actual) END AS corr,
     avg(abs(e)) FILTER (period <= 16) AS mae_early, avg(abs(e)) FILTER (period >= 33) AS mae_late FROM aw WHERE "window" IS NOT NULL GROUP BY 1
-) SELECT "window", days, periods, {", ".join(f"round({c}, 6) AS {c}" for c in ("mae", "rmse", "bias", "corr", "mae_early", "mae_late"))}, round(CASE WHEN mae_early > 0 THEN mae_late / mae_early END, 6) AS growth FROM x"""
+) SELECT "window", days, periods, {", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in ("mae", "rmse", "bias", "corr", "mae_early", "mae_late"))}, round(CASE WHEN mae_early > 0 THEN mae_late / mae_early END, 6) AS growth FROM x"""
 _SAMPLES = {"block": "\"window\" = 'block'", "controls": "\"window\" LIKE 'control %'", "control 1995": "\"window\" = 'control 1995'", "control 1997": "\"window\" = 'control 1997'"}
 _DAILY = ", ".join(f"s{i} AS (SELECT day, avg(abs(e)) AS v FROM aw WHERE {w} GROUP BY day)" for i, w in enumerate(_SAMPLES.values()))
 _DRAWN = ", ".join(_boot(f"b{i}", f"s{i}", ["v"], i + 1) for i in range(4))
