@@ -274,6 +274,43 @@ def test_suffix_tree_keeps_rare_sequences_of_a_large_table(spark, monkeypatch):
     assert got[len(texts)]["score"] > got[len(texts)]["base_score"] + 3
 
 
+@pytest.mark.parametrize("hot, rows, share, depth", [(40, 500, 4e-7, 3), (25, 200, 0.02, 3), (30, 1 << 20, 0.02, 1), (1 << 21, 300, 0.02, 2)])
+def test_suffix_tree_of_hot_and_rare_words_equals_brute_force(spark, monkeypatch, hot, rows, share, depth):
+    """Hot contexts of every length, rare words counted in the shuffle, and many reducers."""
+    rnd = random.Random(5)
+    line = "the quick brown fox of the quick brown dog of the end"
+    texts = [" ".join(line if rnd.random() < 0.1 else f"w{int(rnd.paretovariate(0.7))}" for _ in range(rnd.randint(0, 60))) for _ in range(300)] + ["oak elm"] * 2 + [None, "", "the"]
+    asked = ["quick brown fox of the", "oak elm the quick", line, "unseen the quick", texts[3]]
+    for name, value in (("HOT", hot), ("TASK_ROWS", rows), ("FLUSH", 1000)):
+        monkeypatch.setattr(suffix_tree, name, value)
+    df = spark.createDataFrame([(i, t, i >= len(texts)) for i, t in enumerate(texts + asked)], "doc_id long, text string, h boolean")
+    want = brute_tree_scores(texts, texts + asked, depth=depth)
+    got = {r["doc_id"]: r["score"] for r in suffix_tree.score_texts(df.repartition(4), F.col("h"), word_share=share, depth=depth).collect()}
+    assert len(got) == len(want) and max(abs(got[i] - w) for i, w in enumerate(want)) < 1e-6
+
+
+def test_suffix_tree_sends_blocks_of_many_tokens(spark, monkeypatch):
+    """Tasks gather tokens before they deal them to many reducers: a block for each part and batch grew with the square of the table."""
+    rnd = random.Random(6)
+    texts = [" ".join(f"w{int(rnd.paretovariate(0.8))}" for _ in range(200)) for _ in range(600)]
+    made, lean = spark.sparkContext.accumulator(0), suffix_tree.lean
+
+    def counted(run):
+        def each(batches):
+            for b in run(batches):
+                made.add(b.num_rows)
+                yield b
+
+        return lean(each)
+
+    monkeypatch.setattr(suffix_tree, "lean", counted)
+    for size in ("TASK_ROWS", "TASK_KEYS"):
+        monkeypatch.setattr(suffix_tree, size, 100, raising=False)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert suffix_tree.score_texts(df.repartition(3), F.col("doc_id") % 10 == 0).count() == 600
+    assert made.value < 600 * 200 / 2, made.value
+
+
 def test_archives_round_trip(spark):
     rnd = random.Random(5)
     big = "<p>" + "é" * 600
