@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm import decontaminate, mixing, near_dup, suffix_tree, warc
+from tidemark.llm import common, decontaminate, mixing, near_dup, suffix_tree, warc
 from tidemark.llm.common import Workspace, bitmap, components, in_bitmap, without
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -142,6 +142,16 @@ def test_components_bitmaps_and_without(spark):
     assert sorted(map(tuple, out.select("doc_id", "text").collect()), key=str) == [(1, "a"), (2, "a"), (None, "d")]
 
 
+def test_contracted_edges_are_about_one_a_vertex(spark):
+    """A group linked to several pivots kept all its links, as equal edges too, and met them again in every round."""
+    edges = [(leaf, pivot) for leaf in range(1000, 1400) for pivot in (3, 500, 2000, 2001)] + [(7, 8), (8, 9)]
+    ws = Workspace(spark, "t")
+    kept = common.contracted(spark.createDataFrame(edges, "a long, b long"), ws, rounds=2)
+    assert kept.count() <= 407
+    got = {r["c"]: r["k"] for r in components(kept.select(F.col("u").alias("a"), F.col("v").alias("b")), ws).collect()}
+    assert got == {**{x: 3 for e in edges[:-2] for x in e}, 7: 7, 8: 7, 9: 7}
+
+
 def test_contained_items_equal_brute_force(spark, docs, corpus):
     rnd = random.Random(3)
     new = lambda n: " ".join(f"q{rnd.randint(0, 9999)}" for _ in range(n))

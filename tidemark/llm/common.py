@@ -214,13 +214,12 @@ def without(docs: DataFrame, gone: DataFrame, key: Column, repeated: DataFrame |
     return marked.filter(f"not `{mark}`").select(*docs.columns).unionByName(left.select(*docs.columns))
 
 
-def components(edges: DataFrame, ws: Workspace, rounds: int | None = None) -> DataFrame:
-    """Connected components of ``edges(a, b)``: ``(c, k)`` for every vertex, k the smallest vertex reachable.
+def contracted(edges: DataFrame, ws: Workspace, rounds: int | None = None) -> DataFrame:
+    """Edges ``(u, v)``, u larger than v, of the same connected components as ``edges(a, b)``; after all rounds v is the smallest vertex.
 
     Alternating large-star and small-star rounds; every round is aggregations and joins over the
     edges, written to the shared folder. A vertex with very many edges is one aggregated minimum
-    and a join that Spark may split. After a limited number of rounds, k is some vertex of the
-    component, not the same for all of it: enough where labels only save work.
+    and a join that Spark may split. Edges that have become equal are one.
     """
     cur = ws.write(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), small=True)
     before, done = None, 0
@@ -228,18 +227,33 @@ def components(edges: DataFrame, ws: Workspace, rounds: int | None = None) -> Da
         both = cur.union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v")
-        large = ws.write(large, small=True)
+        large = ws.write(large.distinct(), small=True)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(low, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        nxt = ws.write(moved.union(low.select("u", F.col("m").alias("v"))), small=True)
+        nxt = ws.write(moved.union(low.select("u", F.col("m").alias("v"))).distinct(), small=True)
         now = nxt.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first() if rounds is None else None
         ws.drop(cur, large)
         cur, done = nxt, done + 1
         if rounds is None and now == before:
             break
         before = now
+    return cur
+
+
+def labels(cur: DataFrame, ws: Workspace) -> DataFrame:
+    """``(c, k)`` for every vertex of contracted edges, k some vertex of its component: the smallest after all rounds."""
     label = cur.groupBy(F.col("u").alias("c")).agg(F.min("v").alias("k"))
     roots = cur.select(F.col("v").alias("c")).distinct().join(label, "c", "left_anti").select("c", F.col("c").alias("k"))
-    out = ws.write(label.union(roots), small=True)
+    return ws.write(label.union(roots), small=True)
+
+
+def components(edges: DataFrame, ws: Workspace, rounds: int | None = None) -> DataFrame:
+    """Connected components of ``edges(a, b)``: ``(c, k)`` for every vertex, k the smallest vertex reachable.
+
+    After a limited number of rounds, k is some vertex of the component, not the same for all of
+    it: enough where labels only save work.
+    """
+    cur = contracted(edges, ws, rounds)
+    out = labels(cur, ws)
     ws.drop(cur)
     return out

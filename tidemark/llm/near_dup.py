@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, bitmap, bitmap_bits, components, in_bitmap, lean, read_documents, without
+from .common import Workspace, bitmap, bitmap_bits, components, contracted, in_bitmap, labels, lean, read_documents, without
 from .text import binary_column, chunks, distinct_sorted, mix64, row_minima, row_sums, shingles, stream64, words
 
 COORDS = 128
@@ -306,16 +306,19 @@ def _links(rows: DataFrame, classes: DataFrame, ws: Workspace, percent: int, rec
                 children = ws.write(children.select("node", "c", "level"))
                 nxt = children if nxt is None else nxt.unionByName(children)
         links = ws.write(links.distinct(), small=True)
-        known = links if known is None else known.union(links)
+        edges = links if known is None else links.union(known.select("u", "v"))
         ws.drop(live)
         if wave > 0:
             ws.drop(big, near)
         ws.release()
         wave, frontier = wave + 1, nxt
+        # What is linked stays linked by about one edge a class, so that later rounds do not meet all links again.
+        before, known = known, contracted(edges, ws, rounds=2)
+        ws.drop(links, before)
         # Labels that join most of what is linked so far; they only save comparisons.
-        comp = components(known, ws, rounds=1)
+        comp = labels(known, ws)
     ws.drop(level)
-    return None if known.isEmpty() else components(known, ws)
+    return None if known.isEmpty() else components(known.select(F.col("u").alias("a"), F.col("v").alias("b")), ws)
 
 
 def _needed_sets(classes: DataFrame, items: DataFrame) -> DataFrame:
