@@ -43,10 +43,12 @@ _WORD_BYTES = 6
 _WORD_MASK = _U((1 << 48) - 1)
 END = _U(0x51ED270B35A1B2C7) & _WORD_MASK
 DISCOUNT = 0.5
-#: Parts of the contexts that go through a shuffle one after the other, for less disk at a time.
+#: Parts of the contexts, a power of two, that go through a shuffle one after the other, for less disk at a time.
 SLICES = 8
 #: Tokens that a reducer takes, about, and those that a task gathers before it deals them out.
 TASK_ROWS, FLUSH = 1 << 18, 1 << 18
+#: Most frequent words in an index of hashes.
+INDEXED = 1 << 16
 #: Occurrences from which a sequence is hot, or a share of all tokens where that is more.
 HOT, HOT_SHARE = 3 << 19, 1e-6
 _PAIR = _U(0xD6E8FEB86659FD93)
@@ -100,9 +102,14 @@ def _tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _tokens(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, word hashes, row offsets) for runs of whole rows."""
     for lo, hi, buf, offs in chunks(column):
-        wide = np.zeros((buf.size // _WORD_BYTES, 8), np.uint8)
-        wide[:, :_WORD_BYTES] = buf.reshape(-1, _WORD_BYTES)
-        yield lo, hi, wide.view(np.uint64).ravel(), offs // _WORD_BYTES
+        yield lo, hi, _wide(buf), offs // _WORD_BYTES
+
+
+def _wide(packed: np.ndarray) -> np.ndarray:
+    """Words of six bytes each, one after the other, as integers."""
+    n = packed.size // _WORD_BYTES
+    padded = np.append(packed, np.zeros(8 - _WORD_BYTES, np.uint8))
+    return np.ndarray((n,), np.uint64, padded, 0, (_WORD_BYTES,)) & _WORD_MASK
 
 
 def _join(c: np.ndarray, t: np.ndarray) -> np.ndarray:
@@ -127,10 +134,9 @@ class _Counter:
     def _merge(self) -> None:
         if self.size:
             k, n, *more = (np.concatenate(x) for x in zip(*self.parts))
-            order = np.argsort(k)
-            k = k[order]
-            first = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
-            self.parts = [(k[first], np.add.reduceat(n[order], first), *(x[order[first]] for x in more))]
+            order, first = _grouped(k)
+            one = order[first]
+            self.parts = [(k[one], np.add.reduceat(n[order], first), *(x[one] for x in more))]
         self.size = sum(x[0].size for x in self.parts)
 
     def flush(self) -> Iterator[pa.RecordBatch]:
@@ -151,10 +157,11 @@ def _values(blocks: list[pa.Array], kind: type) -> np.ndarray:
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = _Counter(lambda k, n: _rows(["h", "n"], k.view(np.int64), n))
+    # Grouping goes by upper bits.
+    total = _Counter(lambda k, n: _rows(["h", "n"], (k >> _U(16)).view(np.int64), n))
     for batch in batches:
         for _, _, x, _ in _tokens(batch.column(0)):
-            yield from total.add(x)
+            yield from total.add(x << _U(16))
     yield from total.flush()
 
 
@@ -162,18 +169,25 @@ _BLOCKS = "p int, level int, base long, rows binary, v binary"
 
 
 def _row(depth: int) -> np.dtype:
-    """A token with the words before it, the nearest first and zero where the text has no more, and its row's number in its file, doubled, plus one if it is held out."""
+    """A token after the words before it, zero where the text has no more, and its row's number in its file, doubled, plus one if it is held out."""
     return np.dtype([("w", np.uint8, (depth + 1, _WORD_BYTES)), ("r", np.uint32)])
 
 
 def _unpacked(rows: np.ndarray) -> list[np.ndarray]:
-    """The token and the words before it as one array each."""
-    out = []
-    for k in range(rows["w"].shape[1]):
-        wide = np.zeros((rows.size, 8), np.uint8)
-        wide[:, :_WORD_BYTES] = rows["w"][:, k]
-        out.append(wide.view(np.uint64).ravel())
-    return out
+    """The token and the words before it, the nearest first, as one array each."""
+    return [_word(rows, k) for k in range(rows["w"].shape[1])]
+
+
+def _word(rows: np.ndarray, k: int) -> np.ndarray:
+    """The word ``k`` places before each token, the token itself for 0."""
+    at = (rows["w"].shape[1] - 1 - k) * _WORD_BYTES
+    # The two bytes too many are those of the next field.
+    return np.ndarray((rows.size,), np.uint64, np.ascontiguousarray(rows).view(np.uint8), at, (rows.itemsize,)) & _WORD_MASK
+
+
+def _taken(rows: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Rows at some places, moved as bytes: field by field takes twenty times as long."""
+    return rows.view(f"V{rows.itemsize}").take(at).view(rows.dtype)
 
 
 def _part(keys: np.ndarray) -> np.ndarray:
@@ -185,13 +199,13 @@ def _deal(rows: np.ndarray, keys: np.ndarray, parts: int, level: int, base: int
     part = (_part(keys) >> _U(32)) * _U(parts) >> _U(32)
     # Numbers of two bytes are sorted by counting.
     order = np.argsort(part.astype(np.uint16), kind="stable") if parts <= 1 << 16 else np.argsort(part)
-    cuts = np.searchsorted(part[order], np.arange(parts + 1))
-    some = np.flatnonzero(np.diff(cuts))
-    offs = np.append(cuts[some], rows.size)
+    size = np.bincount(part.astype(np.int64), minlength=1)
+    some = np.flatnonzero(size)
+    offs = np.append(0, np.cumsum(size[some]))
     n = some.size
     more = pa.nulls(n, pa.binary()) if v is None else binary_column(v[order].reshape(-1), offs * (v.size // max(rows.size, 1)))
     out = [pa.array(some.astype(np.int32)), pa.array(np.full(n, level, np.int32)), pa.array([base] * n, pa.int64())]
-    return pa.RecordBatch.from_arrays([*out, binary_column(rows[order].view(np.uint8).reshape(-1), offs * rows.itemsize), more], names=["p", "level", "base", "rows", "v"])
+    return pa.RecordBatch.from_arrays([*out, binary_column(_taken(rows, order).view(np.uint8), offs * rows.itemsize), more], names=["p", "level", "base", "rows", "v"])
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[tuple[int, int, int | None, np.ndarray, np.ndarray | None]]:
@@ -206,11 +220,16 @@ def _gathered(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[tuple[i
     """(level, [rows, their numbers in the table, numbers]) of all blocks of one part and level; a number is nan where a block has none."""
     got = {}
     for p, level, base, rows, v in _blocks(batches, depth):
-        got.setdefault((p, level), []).append((rows, (rows["r"] >> 1).astype(np.int64) + (base << 33), np.full((rows.size, 1), np.nan) if v is None else v))
+        got.setdefault((p, level), []).append((rows.view(np.uint8), base, rows.size, v))
     while got:
         (_, level), some = got.popitem()
-        out = [np.concatenate(x) for x in zip(*some)]
-        del some
+        rows, base, size, v = zip(*some)
+        rows = np.concatenate(rows).view(_row(depth))
+        rid = (rows["r"] >> 1).astype(np.int64)
+        rid += np.repeat(np.array(base, np.int64) << 33, size)
+        width = max((x.shape[1] for x in v if x is not None), default=1)
+        out = [rows, rid, np.concatenate([np.full((n, width), np.nan) if x is None else x for n, x in zip(size, v)])]
+        del some, rows, rid, v
         # Who takes the arrays may free them.
         yield level, out
 
@@ -258,44 +277,57 @@ def _windows(shared, depth: int, take: str, slice_no: int, parts: int):
 
     def chosen(x: np.ndarray, at: np.ndarray) -> np.ndarray:
         hot, rare = shared.value
-        place = np.arange(x.size) - np.repeat(at[:-1], np.diff(at))
         if take == "rare":
             return np.flatnonzero(_is_rare(rare, x))
-        before = _find(hot[0]["keys"], x)[1] if take == "hot" else _part(x) % _U(SLICES) == slice_no
-        pos = np.flatnonzero(before[:-1]) + 1
-        pos = pos[place[pos] > 0]
+        before = _find(hot[0]["keys"], x)[1] if take == "hot" else _part(x) & _U(SLICES - 1) == slice_no
+        # The last word of a text comes before none.
+        before[at[1:] - 1] = False
+        pos = np.flatnonzero(before) + 1
         if take != "hot" and hot[0]["keys"].size:
             pos = pos[~_find(hot[0]["keys"], x[pos - 1])[1]]
         return pos if rare is None else pos[~_is_rare(rare, x[pos])]
 
+    def windows(x: np.ndarray, at: np.ndarray, pos: np.ndarray, text: np.ndarray) -> np.ndarray:
+        """The rows of tokens without their texts' numbers: stretches of the packed words."""
+        packed = np.zeros((depth + x.size, _WORD_BYTES), np.uint8)
+        packed[depth:] = x.view(np.uint8).reshape(-1, 8)[:, :_WORD_BYTES]
+        whole = np.dtype([("w", f"V{(depth + 1) * _WORD_BYTES}"), ("r", np.uint32)])
+        rows = np.empty(pos.size, whole)
+        rows["w"] = np.ndarray((x.size,), whole["w"], packed, 0, (_WORD_BYTES,)).take(pos)
+        rows = rows.view(_row(depth))
+        place = pos - at[text]
+        early = np.flatnonzero(place < depth)
+        for k in range(1, depth + 1):
+            rows["w"][early[place[early] < k], depth - k] = 0
+        return rows
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush():
-            rows, rid = np.concatenate([r for r, _ in held]), np.concatenate([i for _, i in held])
-            for base in np.unique(rid >> 33).tolist():
-                own = rows[rid >> 33 == base]
-                w = _unpacked(own)
-                yield _deal(own, _route(w, own, shared.value[0]) if take == "hot" else w[0 if take == "rare" else 1], parts, 1, base)
+            for base, own in held.items():
+                rows = np.concatenate([x.view(np.uint8) for x in own]).view(_row(depth))
+                key = _route(_unpacked(rows), rows, shared.value[0]) if take == "hot" else _word(rows, 0 if take == "rare" else 1)
+                yield _deal(rows, key, parts, 1, base)
 
-        held, size = [], 0
+        held, size = {}, 0
         for batch in batches:
             rid, out = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
             for lo, hi, x, at in _tokens(batch.column(2)):
                 pos = chosen(x, at)
                 if not pos.size:
                     continue
-                text = np.searchsorted(at, pos, side="right") - 1
-                rows = np.zeros(pos.size, _row(depth))
-                small = x.view(np.uint8).reshape(-1, 8)[:, :_WORD_BYTES]
-                for k in range(depth + 1):
-                    inside = pos - at[text] >= k
-                    rows["w"][inside, k] = small[pos[inside] - k]
-                own = rid[lo:hi][text]
-                rows["r"] = (own & ((1 << 33) - 1)) * 2 + out[lo:hi][text]
-                held.append((rows, own))
+                text = np.repeat(np.arange(hi - lo), np.diff(at))[pos]
+                rows = windows(x, at, pos, text)
+                rows["r"] = ((rid[lo:hi] & ((1 << 33) - 1)) * 2 + out[lo:hi])[text]
+                bases = rid[lo:hi] >> 33
+                some = np.unique(bases).tolist()
+                for base in some:
+                    own = rows if len(some) == 1 else _taken(rows, np.flatnonzero(bases[text] == base))
+                    if own.size:
+                        held.setdefault(base, []).append(own)
                 size += pos.size
                 if size >= FLUSH:
                     yield from flush()
-                    held, size = [], 0
+                    held, size = {}, 0
         if held:
             yield from flush()
 
@@ -329,9 +361,9 @@ def _recounted(depth: int, parts: int):
             count = np.empty(rows.size)
             count[order] = np.repeat(n, np.diff(np.append(first, rows.size)))
             for base in np.unique(rid >> 33).tolist():
-                own = (rid >> 33 == base) & (w[1] != 0)
-                if own.any():
-                    yield _deal(rows[own], w[1][own], parts, 1, base, count[own][:, None])
+                own = np.flatnonzero((rid >> 33 == base) & (w[1] != 0))
+                if own.size:
+                    yield _deal(_taken(rows, own), w[1][own], parts, 1, base, count[own][:, None])
 
     return run
 
@@ -345,9 +377,9 @@ def _again(shared, depth: int, take: str, slice_no: int, parts: int):
             w = _unpacked(rows)
             own = _find(hot[0]["keys"], w[1])[1]
             if take != "hot":
-                own = ~own & (_part(w[1]) % _U(SLICES) == slice_no)
+                own = ~own & (_part(w[1]) & _U(SLICES - 1) == slice_no)
             if own.any():
-                w, rows, v = [x[own] for x in w], rows[own], v[own]
+                w, rows, v = [x[own] for x in w], _taken(rows, np.flatnonzero(own)), v[own]
                 yield _deal(rows, _route(w, rows, hot) if take == "hot" else w[1], parts, 1, base, v)
 
     return run
@@ -413,13 +445,13 @@ def _hot_counted(shared, depth: int, least: int):
                 counts[own[order], k] = np.repeat(m, np.diff(np.append(first, own.size)))
                 one = own[order[first[m >= least]]]
                 if one.size:
-                    yield _deal(rows[one], np.zeros(one.size, np.uint64), 1, k, None, counts[one])
+                    yield _deal(_taken(rows, one), np.zeros(one.size, np.uint64), 1, k, None, counts[one])
             for base in np.unique(rid >> 33).tolist():
                 for k in np.unique(level).tolist():
                     for rare in (False, True):
-                        own = (rid >> 33 == base) & (level == k) & (np.isnan(v[:, 0]) ^ rare)
-                        if own.any():
-                            yield _deal(rows[own], np.zeros(int(own.sum()), np.uint64), 1, k, base, counts[own, 1 - rare : k + 1])
+                        own = np.flatnonzero((rid >> 33 == base) & (level == k) & (np.isnan(v[:, 0]) ^ rare))
+                        if own.size:
+                            yield _deal(_taken(rows, own), np.zeros(own.size, np.uint64), 1, k, base, counts[own, 1 - rare : k + 1])
 
     return run
 
@@ -428,9 +460,14 @@ def _chances(words: tuple, w: np.ndarray, count: np.ndarray) -> np.ndarray:
     """Smoothed probabilities of tokens, by their counts where these are given."""
     keys, n, floor = words
     ask = np.isnan(count)
-    at, known = _find(keys, w[ask])
+    # Equal words are looked up once, in order: places far apart in the keys are slow to reach.
+    order, first = _grouped(w[ask] << _U(16))
+    x = w[ask][order[first]]
+    at, known = _find(keys, x)
     out = count.copy()
-    out[ask] = np.where(known, n[at], 0) if keys.size else 0
+    found = np.empty(order.size)
+    found[order] = np.repeat(np.where(known, n[at], 0) if keys.size else np.zeros(x.size), np.diff(np.append(first, order.size)))
+    out[ask] = found
     return (out + 0.1) / floor
 
 
@@ -502,22 +539,41 @@ def _judge_hot(spark: SparkSession, rows: DataFrame, words: tuple, hot: list[dic
 
 
 def _past_hot(shared, depth: int, slice_no: int, parts: int, least: int):
-    """Blocks by context of the rows of one slice whose next context is not hot, with their probabilities so far; with the first slice, all rows' sums, as level 0."""
+    """Blocks by context of the rows of one slice whose next context is not hot, with their probabilities so far."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, hot = shared.value
         for _, level, base, rows, v in _blocks(batches, depth):
-            w = _unpacked(rows)
-            below, more, _ = _through_hot(words, hot, w, v, level, least)
-            if slice_no == 0:
-                yield _deal(rows, rows["r"].astype(np.uint64), parts, 0, base, more[:, None])
-            if level < depth:
-                c = w[1]
-                for k in range(2, level + 2):
-                    c = _join(w[k], c)
-                own = (w[level + 1] != 0) & (_part(c) % _U(SLICES) == slice_no)
-                if own.any():
-                    yield _deal(rows[own], c[own], parts, level + 1, base, below[own][:, None])
+            if level == depth:
+                continue
+            c = _word(rows, 1)
+            for k in range(2, level + 2):
+                c = _join(_word(rows, k), c)
+            own = np.flatnonzero((_part(c) & _U(SLICES - 1) == slice_no) & (_word(rows, level + 1) != 0))
+            if own.size:
+                rows = _taken(rows, own)
+                below, _, _ = _through_hot(words, hot, _unpacked(rows), v[own], level, least)
+                yield _deal(rows, c[own], parts, level + 1, base, below[:, None])
+
+    return run
+
+
+def _hot_added(shared, depth: int, parts: int, least: int):
+    """Blocks of (row, what hot contexts add to its score), as ``_added`` has them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, hot = shared.value
+        held, size = [], 0
+        for _, level, base, rows, v in _blocks(batches, depth):
+            _, more, _ = _through_hot(words, hot, _unpacked(rows), v, level, least)
+            some = np.flatnonzero(more)
+            held.append(((rows["r"][some] >> 1).astype(np.int64) + (base << 33), more[some]))
+            size += some.size
+            if size >= FLUSH:
+                yield _row_sums(*(np.concatenate(x) for x in zip(*held)), parts)
+                held, size = [], 0
+        if size:
+            yield _row_sums(*(np.concatenate(x) for x in zip(*held)), parts)
 
     return run
 
@@ -586,24 +642,29 @@ def _added(shared, depth: int, least: int, cost: float, parts: int):
         for level, got in _gathered(batches, depth):
             rows, rid, v = got
             got.clear()
-            value = v[:, 0]
-            if level:
-                w, train = _unpacked(rows), rows["r"] & 1 == 0
-                del rows
-                value = _gains(w, train, value, level, least, cost, (lambda x, n: _chances(words, x, n)) if level == 1 else None)
-                del w, train
-            order, first = _grouped(_part(rid.view(np.uint64)))
-            some, sums = rid[order[first]], np.add.reduceat(value[order], first)
-            part = (_part(some.view(np.uint64)) >> _U(32)) * _U(parts) >> _U(32)
-            order = np.argsort(part, kind="stable")
-            cuts = np.searchsorted(part[order], np.arange(parts + 1))
-            there = np.flatnonzero(np.diff(cuts))
-            offs = np.append(cuts[there], some.size)
-            yield pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), binary_column(some[order], offs), binary_column(sums[order], offs)], names=["p", "r", "v"])
+            w, train = _unpacked(rows), rows["r"] & 1 == 0
+            del rows
+            value = _gains(w, train, v[:, 0], level, least, cost, (lambda x, n: _chances(words, x, n)) if level == 1 else None)
+            del w, train, v
+            some = np.flatnonzero(value)
+            if some.size:
+                yield _row_sums(rid[some], value[some], parts)
 
     return run
 
 
+def _row_sums(rid: np.ndarray, value: np.ndarray, parts: int) -> pa.RecordBatch:
+    """Blocks of (row, sum of its values), one for each part of the rows that occurs."""
+    order, first = _grouped(_part(rid.view(np.uint64)))
+    some, sums = rid[order[first]], np.add.reduceat(value[order], first)
+    part = ((_part(some.view(np.uint64)) >> _U(32)) * _U(parts) >> _U(32)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    size = np.bincount(part)
+    there = np.flatnonzero(size)
+    offs = np.append(0, np.cumsum(size[there]))
+    return pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), binary_column(some[order], offs), binary_column(sums[order], offs)], names=["p", "r", "v"])
+
+
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(row, sum) over a reducer's blocks."""
     got = [b for b in batches if b.num_rows]
@@ -682,6 +743,8 @@ def _additions(rows: DataFrame, vocab: DataFrame, words: tuple, rare: DataFrame,
         if after_hot is not None:
             blocks = blocks.union(after_hot.mapInArrow(lean(_past_hot(judged, depth, i, parts, least)), _BLOCKS))
         sums = blocks.repartitionById(parts, F.col("p")).mapInArrow(lean(_added(judged, depth, least, cost, parts)), "p int, r binary, v binary")
+        if after_hot is not None and i == 0:
+            sums = sums.union(after_hot.mapInArrow(lean(_hot_added(judged, depth, parts, least)), "p int, r binary, v binary"))
         sums = ws.write(sums.repartitionById(parts, F.col("p")).mapInArrow(lean(_summed), "rid long, v double"))
         ws.release()
         out = sums if out is None else out.union(sums)
@@ -698,10 +761,18 @@ def _score(shared):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts, floor = shared.value
-        index = HashIndex(keys)
+        # The most frequent words, found fast in little memory; others are looked up in order.
+        top = np.argpartition(counts, -INDEXED)[-INDEXED:] if keys.size > INDEXED else np.arange(keys.size)
+        index = HashIndex(keys[top])
         for batch in batches:
             for lo, hi, x, at in _tokens(batch.column(3)):
                 word = index.find(x)
+                word = np.where(word >= 0, top[word], -1) if top.size else word
+                if top.size < keys.size:
+                    left = np.flatnonzero(word < 0)
+                    left = left[np.argsort(x[left])]
+                    at_key, found = _find(keys, x[left])
+                    word[left[found]] = at_key[found]
                 known = word >= 0
                 p = np.log10(np.where(known, (counts[word] + 0.1) / floor, 1.0) if keys.size else np.ones(x.size))
                 rare = ~known
