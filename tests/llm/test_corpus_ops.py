@@ -321,6 +321,30 @@ def test_suffix_tree_sends_blocks_of_many_tokens(spark, monkeypatch):
     assert made.value < 600 * 200 / 2, made.value
 
 
+def test_suffix_tree_keeps_blocks_of_many_tokens_after_hot_words(spark, monkeypatch):
+    """What follows hot words came in a block for each file and reducer, and then for each part of every slice: with the square of the table."""
+    rnd = random.Random(6)
+    texts = [" ".join(f"w{int(rnd.paretovariate(0.8))}" for _ in range(200)) for _ in range(600)]
+    made, lean = collections.defaultdict(lambda: spark.sparkContext.accumulator(0)), suffix_tree.lean
+
+    def counted(run):
+        own = made[run.__qualname__.split(".")[0]]
+
+        def each(batches):
+            for b in run(batches):
+                own.add(b.num_rows)
+                yield b
+
+        return lean(each)
+
+    for name, value in (("lean", counted), ("HOT", 200), ("TASK_ROWS", 20000), ("SLICES", 2)):
+        monkeypatch.setattr(suffix_tree, name, value)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(40)
+    assert suffix_tree.score_texts(df, F.col("doc_id") % 10 == 0).count() == 600
+    rows = {name: x.value for name, x in made.items()}
+    assert 0 < rows["_hot_counted"] < 3000 and 0 < rows["_past_hot"] < 1000, rows
+
+
 def test_archives_round_trip(spark):
     rnd = random.Random(5)
     big = "<p>" + "é" * 600

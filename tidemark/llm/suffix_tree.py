@@ -47,6 +47,8 @@ DISCOUNT = 0.5
 SLICES = 8
 #: Tokens that a reducer takes, about, and those that a task gathers before it deals them out.
 TASK_ROWS, FLUSH = 1 << 18, 1 << 18
+#: Tokens in a block that is kept.
+BLOCK = 1 << 16
 #: Most frequent words in an index of hashes.
 INDEXED = 1 << 16
 #: Occurrences from which a sequence is hot, or a share of all tokens where that is more.
@@ -194,8 +196,10 @@ def _part(keys: np.ndarray) -> np.ndarray:
     return mix64(keys + _U(1))
 
 
-def _deal(rows: np.ndarray, keys: np.ndarray, parts: int, level: int, base: int | None, v: np.ndarray | None = None) -> pa.RecordBatch:
-    """Blocks of rows, and of the numbers ``v`` of each, one for each part of the hashed keys that occurs."""
+def _deal(rows: np.ndarray, keys: np.ndarray, parts: int, level: int, base: int | np.ndarray | None, v: np.ndarray | None = None) -> pa.RecordBatch:
+    """Blocks of rows, and of the numbers ``v`` of each, one for each part of the hashed keys that occurs; ``base`` is the file of all or, after the numbers, of each."""
+    if isinstance(base, np.ndarray):
+        base, v = -1, np.column_stack([v, base])
     part = (_part(keys) >> _U(32)) * _U(parts) >> _U(32)
     # Numbers of two bytes are sorted by counting.
     order = np.argsort(part.astype(np.uint16), kind="stable") if parts <= 1 << 16 else np.argsort(part)
@@ -208,12 +212,16 @@ def _deal(rows: np.ndarray, keys: np.ndarray, parts: int, level: int, base: int
     return pa.RecordBatch.from_arrays([*out, binary_column(_taken(rows, order).view(np.uint8), offs * rows.itemsize), more], names=["p", "level", "base", "rows", "v"])
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[tuple[int, int, int | None, np.ndarray, np.ndarray | None]]:
+def _blocks(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[tuple[int, int, int | np.ndarray | None, np.ndarray, np.ndarray | None]]:
     """(part, level, base, rows, numbers by row) of each block."""
+    kind = _row(depth)
     for batch in batches:
         for p, level, base, rows, v in zip(*(batch.column(i) for i in range(5))):
-            rows = np.frombuffer(rows.as_buffer(), _row(depth))
-            yield p.as_py(), level.as_py(), base.as_py(), rows, np.frombuffer(v.as_buffer(), np.float64).reshape(rows.size, -1) if v.is_valid else None
+            base, rows = base.as_py(), np.frombuffer(rows.as_buffer(), kind)
+            v = np.frombuffer(v.as_buffer(), np.float64).reshape(rows.size, -1) if v.is_valid else None
+            if base == -1:
+                base, v = v[:, -1].astype(np.int64), v[:, :-1]
+            yield p.as_py(), level.as_py(), base, rows, v
 
 
 def _gathered(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -226,7 +234,7 @@ def _gathered(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[tuple[i
         rows, base, size, v = zip(*some)
         rows = np.concatenate(rows).view(_row(depth))
         rid = (rows["r"] >> 1).astype(np.int64)
-        rid += np.repeat(np.array(base, np.int64) << 33, size)
+        rid += np.concatenate([np.broadcast_to(x, n) for x, n in zip(base, size)]) << 33
         width = max((x.shape[1] for x in v if x is not None), default=1)
         out = [rows, rid, np.concatenate([np.full((n, width), np.nan) if x is None else x for n, x in zip(size, v)])]
         del some, rows, rid, v
@@ -287,14 +295,12 @@ def _windows(shared, depth: int, take: str, slice_no: int, parts: int):
             pos = pos[~_find(hot[0]["keys"], x[pos - 1])[1]]
         return pos if rare is None else pos[~_is_rare(rare, x[pos])]
 
-    def windows(x: np.ndarray, at: np.ndarray, pos: np.ndarray, text: np.ndarray) -> np.ndarray:
+    def windows(packed: np.ndarray, at: np.ndarray, pos: np.ndarray, text: np.ndarray) -> np.ndarray:
         """The rows of tokens without their texts' numbers: stretches of the packed words."""
-        packed = np.zeros((depth + x.size, _WORD_BYTES), np.uint8)
-        packed[depth:] = x.view(np.uint8).reshape(-1, 8)[:, :_WORD_BYTES]
-        whole = np.dtype([("w", f"V{(depth + 1) * _WORD_BYTES}"), ("r", np.uint32)])
-        rows = np.empty(pos.size, whole)
-        rows["w"] = np.ndarray((x.size,), whole["w"], packed, 0, (_WORD_BYTES,)).take(pos)
-        rows = rows.view(_row(depth))
+        kind = _row(depth)
+        padded = np.zeros(packed.size + depth * _WORD_BYTES + kind["r"].itemsize, np.uint8)
+        padded[depth * _WORD_BYTES :][: packed.size] = packed
+        rows = np.ndarray((packed.size // _WORD_BYTES,), f"V{kind.itemsize}", padded, 0, (_WORD_BYTES,)).take(pos).view(kind)
         place = pos - at[text]
         early = np.flatnonzero(place < depth)
         for k in range(1, depth + 1):
@@ -311,12 +317,13 @@ def _windows(shared, depth: int, take: str, slice_no: int, parts: int):
         held, size = {}, 0
         for batch in batches:
             rid, out = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
-            for lo, hi, x, at in _tokens(batch.column(2)):
+            for lo, hi, packed, at in chunks(batch.column(2)):
+                x, at = _wide(packed), at // _WORD_BYTES
                 pos = chosen(x, at)
                 if not pos.size:
                     continue
                 text = np.repeat(np.arange(hi - lo), np.diff(at))[pos]
-                rows = windows(x, at, pos, text)
+                rows = windows(packed, at, pos, text)
                 rows["r"] = ((rid[lo:hi] & ((1 << 33) - 1)) * 2 + out[lo:hi])[text]
                 bases = rid[lo:hi] >> 33
                 some = np.unique(bases).tolist()
@@ -360,10 +367,10 @@ def _recounted(depth: int, parts: int):
             n = np.add.reduceat(1 - (rows["r"][order] & 1).astype(np.int64), first).astype(np.float64)
             count = np.empty(rows.size)
             count[order] = np.repeat(n, np.diff(np.append(first, rows.size)))
-            for base in np.unique(rid >> 33).tolist():
-                own = np.flatnonzero((rid >> 33 == base) & (w[1] != 0))
-                if own.size:
-                    yield _deal(_taken(rows, own), w[1][own], parts, 1, base, count[own][:, None])
+            own = np.flatnonzero(w[1] != 0)
+            for at in range(0, own.size, BLOCK):
+                some = own[at : at + BLOCK]
+                yield _deal(_taken(rows, some), w[1][some], parts, 1, rid[some] >> 33, count[some][:, None])
 
     return run
 
@@ -379,7 +386,7 @@ def _again(shared, depth: int, take: str, slice_no: int, parts: int):
             if take != "hot":
                 own = ~own & (_part(w[1]) & _U(SLICES - 1) == slice_no)
             if own.any():
-                w, rows, v = [x[own] for x in w], _taken(rows, np.flatnonzero(own)), v[own]
+                w, rows, base, v = [x[own] for x in w], _taken(rows, np.flatnonzero(own)), base[own], v[own]
                 yield _deal(rows, _route(w, rows, hot) if take == "hot" else w[1], parts, 1, base, v)
 
     return run
@@ -446,12 +453,12 @@ def _hot_counted(shared, depth: int, least: int):
                 one = own[order[first[m >= least]]]
                 if one.size:
                     yield _deal(_taken(rows, one), np.zeros(one.size, np.uint64), 1, k, None, counts[one])
-            for base in np.unique(rid >> 33).tolist():
-                for k in np.unique(level).tolist():
-                    for rare in (False, True):
-                        own = np.flatnonzero((rid >> 33 == base) & (level == k) & (np.isnan(v[:, 0]) ^ rare))
-                        if own.size:
-                            yield _deal(_taken(rows, own), np.zeros(own.size, np.uint64), 1, k, base, counts[own, 1 - rare : k + 1])
+            for k in np.unique(level).tolist():
+                for rare in (False, True):
+                    own = np.flatnonzero((level == k) & (np.isnan(v[:, 0]) ^ rare))
+                    for at in range(0, own.size, BLOCK):
+                        some = own[at : at + BLOCK]
+                        yield _deal(_taken(rows, some), np.zeros(some.size, np.uint64), 1, k, rid[some] >> 33, counts[some, 1 - rare : k + 1])
 
     return run
 
@@ -543,6 +550,14 @@ def _past_hot(shared, depth: int, slice_no: int, parts: int, least: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, hot = shared.value
+
+        def flush():
+            for level, own in held.items():
+                rows, c, base, below = zip(*own)
+                rows = np.concatenate([x.view(np.uint8) for x in rows]).view(_row(depth))
+                yield _deal(rows, np.concatenate(c), parts, level, np.concatenate(base), np.concatenate(below)[:, None])
+
+        held, size = {}, 0
         for _, level, base, rows, v in _blocks(batches, depth):
             if level == depth:
                 continue
@@ -553,7 +568,13 @@ def _past_hot(shared, depth: int, slice_no: int, parts: int, least: int):
             if own.size:
                 rows = _taken(rows, own)
                 below, _, _ = _through_hot(words, hot, _unpacked(rows), v[own], level, least)
-                yield _deal(rows, c[own], parts, level + 1, base, below[:, None])
+                held.setdefault(level + 1, []).append((rows, c[own], base[own], below))
+                size += own.size
+            if size >= FLUSH:
+                yield from flush()
+                held, size = {}, 0
+        if held:
+            yield from flush()
 
     return run
 
@@ -567,7 +588,7 @@ def _hot_added(shared, depth: int, parts: int, least: int):
         for _, level, base, rows, v in _blocks(batches, depth):
             _, more, _ = _through_hot(words, hot, _unpacked(rows), v, level, least)
             some = np.flatnonzero(more)
-            held.append(((rows["r"][some] >> 1).astype(np.int64) + (base << 33), more[some]))
+            held.append(((rows["r"][some] >> 1).astype(np.int64) + (base[some] << 33), more[some]))
             size += some.size
             if size >= FLUSH:
                 yield _row_sums(*(np.concatenate(x) for x in zip(*held)), parts)
@@ -585,29 +606,34 @@ def _gains(w: list[np.ndarray], train: np.ndarray, below: np.ndarray, start: int
     tokens from their keys and counts, where ``below`` has counts.
     """
     depth = len(w) - 1
-    out, at = np.zeros(w[0].size), np.arange(w[0].size)
+    out, at = np.zeros(w[0].size), None
     c, j = w[1], w[0]
     for k in range(2, start + 1):
         c = _join(w[k], c)
     for k in range(1, start):
         j = _join(w[k], j)
     for k in range(start, depth + 1):
+        # At first, all tokens in their order.
+        before = w[k] if at is None else w[k][at]
         if k > start:
-            c = _join(w[k][at], c)
-        inside = np.flatnonzero(w[k][at] != 0)
-        if inside.size < at.size:
-            at, c, j, below = at[inside], c[inside], j[inside], below[inside]
-        if not at.size:
+            c = _join(before, c)
+        inside = np.flatnonzero(before)
+        if inside.size < before.size:
+            at = inside if at is None else at[inside]
+            before, c, j, below = before[inside], c[inside], j[inside], below[inside]
+        if not before.size:
             break
-        j = _join(w[k][at], j)
+        j = _join(before, j)
         order, first = _grouped(j)
-        size = np.diff(np.append(first, at.size))
-        n = np.add.reduceat(train[at[order]], first, dtype=np.int64)
+        size = np.diff(np.append(first, order.size))
         one = order[first]
+        # From here on, tokens in the order of their sequences.
+        at = order if at is None else at[order]
+        n = np.diff(np.append(0, np.cumsum(train[at], dtype=np.int64)[first + size - 1]))
         often = np.flatnonzero(n >= least)
         b = below[one]
         if k == 1 and chances is not None:
-            b[often] = chances(w[0][at[one[often]]], b[often])
+            b[often] = chances(w[0][at[first[often]]], b[often])
         # The contexts, each with its sequences side by side.
         by, head = _grouped(_part(c[one]))
         of = np.empty(by.size, np.int64)
@@ -624,13 +650,14 @@ def _gains(w: list[np.ndarray], train: np.ndarray, below: np.ndarray, start: int
         value = np.where(stays, np.log10(rest), 0.0)[of]
         value[often] = np.where(stays[own], np.log10(ratio), 0.0)
         b[often] = np.where(stays[own], near, b[often])
-        group = np.empty(at.size, np.int64)
-        group[order] = np.repeat(np.arange(first.size), size)
-        out[at] += value[group]
+        out[at] += np.repeat(value, size)
+        if k == depth:
+            break
         # Longer contexts can only stay if this one has a transition.
-        alive = np.flatnonzero((kids > 0)[of][group])
-        below = b[group[alive]]
-        at, c, j = at[alive], c[alive], j[alive]
+        more = (kids > 0)[of]
+        alive = np.flatnonzero(np.repeat(more, size))
+        below = np.repeat(b[more], size[more])
+        at, c, j = at[alive], c[order[alive]], j[order[alive]]
     return out
 
 
@@ -774,7 +801,8 @@ def _score(shared):
                     at_key, found = _find(keys, x[left])
                     word[left[found]] = at_key[found]
                 known = word >= 0
-                p = np.log10(np.where(known, (counts[word] + 0.1) / floor, 1.0) if keys.size else np.ones(x.size))
+                p = np.zeros(x.size)
+                p[known] = np.log10((counts[word[known]] + 0.1) / floor)
                 rare = ~known
                 n = hi - lo
                 rare_offs = np.concatenate([[0], np.cumsum(row_sums(rare, at))]).astype(np.int32)
